@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from lodestone.llm._common import arrow_rows, table
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.decontaminate import contamination, digest
+
+    arrow_rows(spark, 500)
+    return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10))
+
+
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.neardup import near_duplicate_classes
+
+    arrow_rows(spark, 500)
+    return near_duplicate_classes(table(spark, sf_dir, "documents"), threshold=0.8, width=5)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
