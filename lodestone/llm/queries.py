@@ -15,6 +15,17 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10))
 
 
+def op4_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.toxicity import score_toxicity, train_toxicity
+
+    arrow_rows(spark, 500)
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)), F.lit(0))
+    model = train_toxicity(docs, labels.where(fold != 0))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.neardup import near_duplicate_classes
 
