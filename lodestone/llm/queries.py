@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from lodestone.llm._common import arrow_rows, table
 
 
+def op2_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.pii import digest, sanitise
+
+    return digest(sanitise(table(spark, sf_dir, "documents")))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.decontaminate import contamination, digest
 
