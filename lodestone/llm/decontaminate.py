@@ -18,9 +18,10 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import written
@@ -96,7 +97,7 @@ def _index(block: list[tuple[str, list[str]]], size: int, width: int, docs: Data
     return index
 
 
-def _hits(docs: DataFrame, index: dict[int, dict[str, list]], id_type: str, carry: list[str]) -> DataFrame:
+def _hits(docs: DataFrame, index: dict[int, dict[str, list]], carry: list[str], key: Column | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, spans, items = [], [], []
@@ -117,8 +118,8 @@ def _hits(docs: DataFrame, index: dict[int, dict[str, list]], id_type: str, carr
             cols = [pa.array(n_words, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*(batch.schema.names[1:]), "n_words", "spans", "items"])
 
-    kept = docs.select("text", *carry)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    kept = docs.select("text", *[key if c == "_key" and key is not None else F.col(c) for c in carry])
+    fields = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in carry)
     return kept.mapInArrow(run, f"{fields}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
@@ -135,29 +136,37 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, size: int = 10, width: int = 3, id_col: str = "doc_id") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, *, size: int = 10, width: int = 3, id_col: str = "doc_id", keep: tuple | list = ()) -> DataFrame:
     """(doc_id, n_words, spans, items): merged word spans that occur in items, and those items' ids.
 
+    keep: columns of docs that are carried into the result.
+
     One row per row of docs, repeated rows included. Null and empty texts have no words and no
     spans. An item without words has no window; items that share a window are all named; a null
     item id is named `null`. Other columns of docs and items are ignored. Ties in rarity fall to
     the least shingle, which changes no result.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select(F.col(id_col).alias("doc_id"), "text", *[c for c in keep if c != "text"])
+    carry = [c for c in docs.columns if c != "text"] + ["_text"] * ("text" in keep)
+    docs = docs.withColumn("_text", F.col("text")) if "text" in keep else docs
+    back = [F.col("_text").alias("text") if c == "_text" else F.col(c) for c in carry] + [F.col(c) for c in ("n_words", "spans", "items")]
+    blocks = _blocks(items.select("item_id", "text"))
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return _hits(docs, _index(first, size, width, docs), carry).select(back)
+    # several blocks: each document's findings are gathered by its content, the rows joined back to them
+    key = F.sha2(F.coalesce("text", F.lit("")), 256).alias("_key")
+    texts = written(docs.select(key, "text").groupBy("_key").agg(F.first("text").alias("text")), "texts")
     parts = []
-    for block in _blocks(items.select("item_id", "text")):
-        index = _index(block, size, width, docs)
-        parts.append(_hits(docs.withColumn("_row", F.monotonically_increasing_id()), index, kind, ["doc_id", "_row"]))
-    if not parts:
-        parts.append(_hits(docs.withColumn("_row", F.monotonically_increasing_id()), {}, kind, ["doc_id", "_row"]))
-    if len(parts) == 1:
-        return parts[0].drop("_row")
-    every = written(parts[0], "contamination")
+    for block in chain((first, second), blocks):
+        parts.append(written(_hits(texts, _index(block, size, width, docs), ["_key"]).where(F.size("spans") > 0), "contamination"))
+    every = parts[0]
     for p in parts[1:]:
-        every = every.unionByName(written(p, "contamination"))
-    by_row = every.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return by_row.select("doc_id", "n_words", "spans", "items")  # spans of different blocks may overlap
+        every = every.unionByName(p)
+    every = every.groupBy("_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    plain = _hits(docs, {}, [*carry, "_key"], key).drop("spans", "items").join(every, "_key", "left")
+    empty = lambda c: F.coalesce(c, F.array().cast(every.schema[c].dataType)).alias(c)
+    return plain.withColumns({"spans": empty("spans"), "items": empty("items")}).select(back)  # spans of different blocks may overlap
 
 
 def hit_words(spans: F.Column) -> F.Column:
