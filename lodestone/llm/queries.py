@@ -39,6 +39,21 @@ def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"), threshold=0.8, width=5)
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.winnowing import compare_with_edit_and_next
+
+    return compare_with_edit_and_next(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.chat import digest, formatted, linear_tree
+
+    said = r"\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return digest(formatted(linear_tree(turns.unionByName(extra))))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
