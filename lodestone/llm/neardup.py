@@ -1,6 +1,6 @@
 """Near-duplicate classes by DartMinHash signatures, banding and exact verification.
 
-1. Rows with the same word sequence collapse into one representative (pre-aggregated, salted).
+1. Rows with the same text collapse into one representative (pre-aggregated, salted).
 2. DartMinHash: each unit of weight of each shingle throws Poisson(1) darts into every unit of
    rank; a dart lands on one of `size` coordinates, and the earliest dart per coordinate is kept.
    The number of rank units that a text needs falls with its weight, so a signature costs
@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -55,23 +56,32 @@ def shingle_hashes(texts: list[str | None], width: int = 5) -> tuple[np.ndarray,
         words.extend(w)
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, _U)
-    h = _word_hashes(words)
+    h = np.fromiter(map(_word_hash, words), _U, len(words))
     sizes_ = np.array(sizes)
     begins = np.cumsum(sizes_) - sizes_
     doc = np.repeat(np.arange(len(texts)), sizes_)
     at = np.arange(len(h)) - begins[doc]
     runs = np.minimum(sizes_, width)[doc]
-    acc = np.zeros(len(h), _U)
-    for j in range(width):
-        nxt = np.minimum(np.arange(len(h)) + j, len(h) - 1)
-        with np.errstate(over="ignore"):
-            acc = np.where(j < runs, _mix(acc ^ h[nxt], j + 1), acc)
+    with np.errstate(over="ignore"):
+        acc = h * _U(0x9E3779B97F4A7C15)
+        for j in range(1, width):
+            nxt = np.append(h[j:], np.zeros(min(j, len(h)), _U))
+            acc = np.where(j < runs, (acc ^ (acc >> _U(29)) ^ nxt) * _U(0xBF58476D1CE4E5B9), acc)
     first = at <= sizes_[doc] - runs
-    return doc[first], acc[first]
+    return doc[first], _mix(acc[first], 1)
+
+
+class _WordHashes(dict):
+    """Word -> 64-bit hash; emptied when full."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        got = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        return got
 
-def _word_hashes(words: list[str]) -> np.ndarray:
-    return pd.util.hash_array(np.array(words, object), categorize=True)
+
+_word_hash = _WordHashes().__getitem__
 
 
 def weighted(doc: np.ndarray, h: np.ndarray, weights: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,45 +100,46 @@ def dart_minhash(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, docs: int,
     An element of weight w is cut into unit regions of its weight axis (the last may be partial:
     darts beyond w are refused). Rank units are thrown until every coordinate has a dart.
     """
-    units = np.ceil(weight).astype(np.int64)
-    own = np.repeat(np.arange(len(h)), units)
-    level = np.arange(len(own)) - np.repeat(np.cumsum(units) - units, units)
+    levels = np.ceil(weight).astype(np.int64)
+    own, level = _spread(levels)
     region = _mix(h[own] ^ (level.astype(_U) * _U(0xD6E8FEB86659FD93)), 11)
     limit, doc = weight[own] - level, doc[own]
     total = np.bincount(doc, minlength=docs)
     best_rank = np.full(docs * size, np.inf)
     best_dart = np.zeros(docs * size, _U)
-    need = size * (np.log(size) + 2)
-    enough = np.ceil(need / np.maximum(total, 1))
+    # rank units that make about size * (log size + 2) darts, the number after which few coordinates are empty
+    units = np.ceil(size * (np.log(size) + 2) / np.maximum(total, 1)).astype(np.int64)
+    start = np.zeros(docs, np.int64)
     open_docs = total > 0
-    unit = 0
     while open_docs.any():
-        live = open_docs[doc]
-        r, d, lim = region[live], doc[live], limit[live]
-        if not len(r):
-            break
-        cell = _mix(r, 101 + unit)
-        n = np.searchsorted(_POISSON, _unit(_mix(cell, 3)), "right")
-        hit = np.repeat(np.arange(len(r)), n)
-        k = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
+        live = np.flatnonzero(open_docs[doc])
+        e, k = _spread(units[doc[live]])
+        e = live[e]
+        unit = start[doc[e]] + k
+        cell = _mix(region[e] ^ (unit.astype(_U) * _U(0x9FB21C651E98DF25)), 3)
+        hit, k = _spread(np.searchsorted(_POISSON, _unit(cell), "right"))
         dart = _mix(cell[hit] ^ ((k.astype(_U) + _U(1)) * _U(0xA24BAED4963EE407)), 5)
-        rank = unit + _unit(_mix(dart, 6))
-        keep = _unit(_mix(dart, 7)) < lim[hit]
-        dart, rank = dart[keep], rank[keep]
-        slot = d[hit][keep] * size + (_mix(dart, 8) % _U(size)).astype(np.int64)
-        order = np.lexsort((rank, slot))
-        slot, rank, dart = slot[order], rank[order], dart[order]
-        first = np.ones(len(slot), bool)
-        first[1:] = slot[1:] != slot[:-1]
-        slot, rank, dart = slot[first], rank[first], dart[first]
-        better = rank < best_rank[slot]
-        best_rank[slot[better]], best_dart[slot[better]] = rank[better], dart[better]
-        unit += 1
-        done = ~np.isinf(best_rank.reshape(docs, size)).any(1) if unit >= enough[open_docs].min() else np.zeros(docs, bool)
-        open_docs &= ~done
+        e = e[hit]
+        inside = np.flatnonzero(_unit(_mix(dart, 7)) < limit[e])
+        dart, e, rank = dart[inside], e[inside], unit[hit][inside] + _unit(_mix(dart[inside], 6))
+        slot = doc[e] * size + (dart % _U(size)).astype(np.int64)
+        late = np.argsort(-rank)  # of equal slots the last one assigned, the earliest dart, stays
+        slot, rank, dart = slot[late], rank[late], dart[late]
+        new_rank, new_dart = np.full(docs * size, np.inf), np.zeros(docs * size, _U)
+        new_rank[slot], new_dart[slot] = rank, dart
+        better = new_rank < best_rank
+        best_rank[better], best_dart[better] = new_rank[better], new_dart[better]
+        start += np.where(open_docs, units, 0)
+        open_docs &= np.isinf(best_rank.reshape(docs, size)).any(1)
     return best_dart.reshape(docs, size)
 
 
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each index i repeated n[i] times, and the number of each repeat from 0."""
+    own = np.repeat(np.arange(len(n)), n)
+    return own, np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+
+
 def signatures(docs: DataFrame, *, size: int, bands: int, width: int, weights: str) -> DataFrame:
     """(id, keys array<long>, sketch binary, n): band keys and one byte per coordinate."""
     rows = size // bands
@@ -155,8 +166,7 @@ def shingle_sets(docs: DataFrame, width: int, weights: str) -> DataFrame:
         for batch in batches:
             d, h, w = weighted(*shingle_hashes(batch.column(1).to_pylist(), width), weights)
             n = w.astype(np.int64)
-            own = np.repeat(np.arange(len(h)), n)
-            k = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            own, k = _spread(n)
             h = np.where(k > 0, _mix(h[own] ^ k.astype(_U), 77), h[own])
             ends = np.concatenate([[0], np.cumsum(np.bincount(d[own], minlength=batch.num_rows))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(h.view(np.int64)))], names=["id", "set"])
@@ -205,8 +215,7 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = 0.8, width: in
     An empty table gives no rows. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    norm = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{Nd}\p{Nl}\p{No}]+", " "))
-    keyed = docs.select("id", F.sha2(F.when(norm == "", F.col("text")).otherwise(norm), 256).alias("key"))
+    keyed = docs.select("id", F.sha2("text", 256).alias("key"))
     copies = written(copies_of(keyed, "key", "id", F.min), "copies")
     later = copies.where("id <> _rep").select("id")
     reps = docs.join(later, "id", "left_anti")

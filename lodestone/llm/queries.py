@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import arrow_rows, table
+from lodestone.llm._common import arrow_rows, scratch_path, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.warc import archive, digests, read_warc
+
+    arrow_rows(spark, 200)
+    path = scratch_path(spark, "warc")
+    archive(table(spark, sf_dir, "pages"), path)
+    found = digests(read_warc(spark, path))
+    page = lambda c: F.when(F.col(c) != "null", F.col(c)).cast("long").alias(c)
+    return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to"))
 
 
 def op2_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +43,13 @@ def op4_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame
     return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.html_extract import extract
+
+    arrow_rows(spark, 200)
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.neardup import near_duplicate_classes
 
@@ -45,6 +63,18 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edit_and_next(table(spark, sf_dir, "documents"))
 
 
+def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.langid import identify, train_languages
+
+    arrow_rows(spark, 500)
+    docs = table(spark, sf_dir, "documents")
+    fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)), F.lit(2))
+    model = train_languages(docs.where(fold != 2).select("text", "lang"))
+    found = identify(docs.select("doc_id", "text"), model)
+    first = F.try_element_at("languages", F.lit(1))
+    return found.select("doc_id", (fold == 2).alias("held_out"), F.coalesce(first["lang"], F.lit("und")).alias("lang_pred"), F.coalesce(first["share"], F.lit(0.0)).alias("score"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.chat import digest, formatted, linear_tree
 
