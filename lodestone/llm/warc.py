@@ -33,14 +33,14 @@ def base32_sha1(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def cuts(payload: bytes, chunk: int) -> Iterator[tuple[int, int]]:
+def cuts(payload: memoryview, chunk: int) -> Iterator[tuple[int, int]]:
     """Chunk borders: at most `chunk` bytes each, and none holds the separator between records."""
-    mark, at, n = SEPARATOR.encode(), 0, len(payload)
+    mark, around, at, n = SEPARATOR.encode(), b"\r\n\r\n", 0, len(payload)
     while True:
         end = min(at + chunk, n)
-        hit = payload.find(mark, at, min(end + len(mark), n))
+        hit = b"".join((around, payload[at:end], around)).find(mark)  # as it stands between header and closing
         if hit >= 0:
-            end = min(end, hit + 6)
+            end = at + hit + 2
         yield at, end
         at = end
         if at >= n:
@@ -66,7 +66,7 @@ def chunk_table(records: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
                 whole = hashlib.sha1(view)
                 digest = base32_sha1(whole.digest())
                 stored = row["record_type"] != "revisit"
-                border = list(cuts(view.tobytes() if len(view) < chunk else bytes(view), chunk)) if stored else [(0, 0)]
+                border = list(cuts(view, chunk)) if stored else [(0, 0)]
                 for no, (a, b) in enumerate(border):
                     rows.append(row | {"chunk_no": no, "chunks": len(border), "data": bytes(view[a:b]), "total": len(view), "payload_digest": digest, "digested": b})
                     size += b - a
