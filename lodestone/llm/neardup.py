@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import components, copies_of, written
@@ -141,26 +141,27 @@ def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, *, size: int, bands: int, width: int, weights: str) -> DataFrame:
-    """(id, keys array<long>, sketch binary, n): band keys and one byte per coordinate."""
+    """(id, n, keys array<long>, sketch binary): set size, band keys and one byte per coordinate."""
     rows = size // bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, h = shingle_hashes(batch.column(1).to_pylist(), width)
-            sig = dart_minhash(*weighted(d, h, weights), batch.num_rows, size)
+            d, h, w = weighted(*shingle_hashes(batch.column(1).to_pylist(), width), weights)
+            n = np.bincount(d, w, batch.num_rows).astype(np.int32)
+            sig = dart_minhash(d, h, w, batch.num_rows, size)
             keys = np.zeros((len(sig), bands), _U)
             for j in range(rows):
                 keys = _mix(keys ^ sig[:, j::rows][:, :bands], 31 + j)
             keys = _mix(keys ^ np.arange(bands, dtype=_U), 61)
             flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
             sketch = pa.array([x.tobytes() for x in (sig & _U(255)).astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat, sketch], names=["id", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), flat, sketch], names=["id", "n", "keys", "sketch"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, keys array<long>, sketch binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, n int, keys array<long>, sketch binary").where("n > 0")
 
 
 def shingle_sets(docs: DataFrame, width: int, weights: str) -> DataFrame:
-    """(id, set array<long>): sorted distinct shingle hashes; for 'count', one per occurrence."""
+    """(id, set array<int>): distinct shingle hashes of 32 bits; for 'count', one per occurrence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,82 +170,110 @@ def shingle_sets(docs: DataFrame, width: int, weights: str) -> DataFrame:
             own, k = _spread(n)
             h = np.where(k > 0, _mix(h[own] ^ k.astype(_U), 77), h[own])
             ends = np.concatenate([[0], np.cumsum(np.bincount(d[own], minlength=batch.num_rows))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(h.view(np.int64)))], names=["id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends.astype(np.int32), pa.array((h >> _U(32)).astype(np.uint32).view(np.int32)))], names=["id", "set"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, set array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, set array<int>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose similarity, |A and B| / |A or B|, is at least the threshold."""
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(left, "a").where("size(sa) > 0").join(right, "b")
-    able = F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb"))
+    both = pairs.select("a", "b").join(right, "b").join(left, "a")  # the many b of a pivot travel once each
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(able).where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """Share of coordinates on which two sketches agree."""
+
+    @F.pandas_udf("double")
+    def share(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=float)
+        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(a), -1) for s in (a, b))
+        return pd.Series((x == y).mean(1))
+
+    return share(a, b)
 
 
-def _alike(least: int, size: int):
-    """Compares the open members of a block with the bucket's block; pairs that may be alike leave."""
+def _linked(threshold: float, least: float):
+    """Verified links between the open members of a block and the bucket's block, one per other class.
+
+    Sketches choose what is compared exactly, the most alike first; a member stops at a class once
+    it has a link to it.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        if not len(left) or not len(right):
-            return none
-        x = np.frombuffer(b"".join(left["sketch"]), np.uint8).reshape(-1, size)
-        y = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(-1, size)
-        la, lb = left["label"].to_numpy(), right["label"].to_numpy()
-        ia, ib = left["id"].to_numpy(), right["id"].to_numpy()
-        out = []
-        for k in range(len(x)):
-            hit = np.flatnonzero((lb != la[k]) & ((y == x[k]).sum(1) >= least))
-            out.append(np.stack([np.minimum(ia[k], ib[hit]), np.maximum(ia[k], ib[hit])], 1))
-        got = np.unique(np.concatenate(out), axis=0)
-        return pd.DataFrame(got, columns=["a", "b"]) if len(got) else none
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            x, y = (np.frombuffer(b"".join(s["sketch"]), np.uint8).reshape(len(s), -1) for s in (left, right))
+            labels, ids, sizes = right["label"].to_numpy(), right["id"].to_numpy(), right["n"].to_numpy()
+            sets = [np.asarray(s) for s in right["set"]]
+            for k, (own, label, n, mine) in enumerate(zip(left["id"], left["label"], left["n"], left["set"], strict=True)):
+                able = (labels != label) & (np.minimum(sizes, n) >= threshold * np.maximum(sizes, n))
+                score = (y == x[k]).mean(1)
+                met: set[int] = set()
+                mine = np.asarray(mine)
+                for j in sorted(np.flatnonzero(able & (score >= least)), key=lambda j: -score[j]):
+                    if labels[j] not in met:
+                        common = len(np.intersect1d(mine, sets[j], assume_unique=True))
+                        if common >= threshold * (len(mine) + len(sets[j]) - common):
+                            met.add(labels[j])
+                            out.append((min(own, ids[j]), max(own, ids[j])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype({"a": np.int64, "b": np.int64})
 
     return run
 
 
 def near_duplicate_classes(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, size: int = 144, bands: int = 24, weights: str = "set", slack: float = 0.13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links): class_id is the least id of the class; n_links counts the
-    verified links of the row's representative to different texts.
+    """(doc_id, class_id): class_id is the least id of the class.
 
     Rows without words match only rows with the same text (null and empty are the same).
     Repeated rows and ties fall into one class. A null id is not a document: the row is left out.
-    An empty table gives no rows. Other columns are ignored.
+    An empty table gives no rows. Other columns are ignored. slack: how far below the threshold a
+    sketch's estimate may be for the pair to be verified (four standard errors at 144 coordinates).
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    keyed = docs.select("id", F.sha2("text", 256).alias("key"))
-    copies = written(copies_of(keyed, "key", "id", F.min), "copies")
+    copies = written(copies_of(docs.select("id", F.sha2("text", 256).alias("key")), "key", "id", F.min), "copies")
     later = copies.where("id <> _rep").select("id")
     reps = docs.join(later, "id", "left_anti")
 
     sigs = written(signatures(reps, size=size, bands=bands, width=width, weights=weights), "signatures")
-    member = sigs.select("id", F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    member = sigs.select("id", "n", F.explode("keys").alias("key"))
+    shared = member.groupBy("key").agg(F.min_by(F.struct("id", "n"), "id").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1")
     member = written(member.join(shared, "key"), "buckets")
-    stars = member.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    stars = written(stars, "stars")
-    involved = stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct()
-    sets = written(shingle_sets(docs.join(involved, "id", "left_semi"), width, weights), "shingles")
-    links = written(verified(stars, sets, threshold), "links")
+    close = F.least("n", "pivot.n") >= threshold * F.greatest("n", "pivot.n")
+    stars = member.where(close).where("id <> pivot.id").select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
+    sketch = sigs.select("id", "sketch")
+    score = agreement(F.col("x.sketch"), F.col("y.sketch"))
+    stars = stars.join(sketch.alias("x"), F.col("a") == F.col("x.id")).join(sketch.alias("y"), F.col("b") == F.col("y.id")).select("a", "b", score.alias("score"))
+    stars = written(stars.where(F.col("score") >= threshold - slack), "stars")
+
+    # each member's most alike pivot first; its other pivots only where they are in another class then
+    involved = member.select("id").distinct()
+    sets = written(shingle_sets(reps.join(involved, "id", "left_semi"), width, weights), "shingles")
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a"))
+    links = written(verified(best, sets, threshold), "links")
+    label = components(links)
+    classed = lambda df, c: df.join(label.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}")), c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
+    other = classed(classed(stars.join(best, ["a", "b"], "left_anti"), "a"), "b").where("label_a <> label_b")
+    links = written(links.unionByName(verified(other, sets, threshold)), "links")
 
+    # what is still in several classes within a bucket of more than two
     label = components(links)
-    member = member.join(label, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-    mixed = member.where("n > 2").groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("count").alias("n")).where("labels > 1")
-    member = written(member.drop("n").join(mixed.select("key", "main", "n"), "key").join(sigs.select("id", "sketch"), "id"), "mixed")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    member = classed(member.where("m > 2"), "id").withColumnRenamed("label_id", "label")
+    mixed = member.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("count").alias("m")).where("labels > 1")
+    member = written(member.select("key", "id", "n", "label").join(mixed.select("key", "main", "m"), "key"), "mixed")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     cell = F.pmod(F.xxhash64("id"), blocks).cast("int")
     all_cells = F.sequence(F.lit(0), blocks - 1)
-    minor = member.where("label <> main").select("key", "id", "label", "sketch", F.lit(0).alias("side"), cell.alias("i"), F.explode(all_cells).alias("j"))
-    every = member.select("key", "id", "label", "sketch", F.lit(1).alias("side"), F.explode(all_cells).alias("i"), cell.alias("j"))
-    least = int(np.ceil((threshold - slack) * size))
-    more = minor.unionByName(every).groupBy("key", "i", "j").applyInPandas(_alike(least, size), "a long, b long").distinct()
-    links = written(links.unionByName(verified(more, sets, threshold)).distinct(), "links")
-    label = components(links)
-
-    degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    rep = docs.select("id").join(copies.select("id", "_rep"), "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("_rep", "id").alias("rep"))
-    label = label.join(degree, "id", "left").select(F.col("id").alias("rep"), "label", "n_links")
-    return rep.join(label, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    minor = member.where("label <> main").select("key", "id", "n", "label", F.lit(0).alias("side"), cell.alias("i"), F.explode(all_cells).alias("j"))
+    every = member.select("key", "id", "n", "label", F.lit(1).alias("side"), F.explode(all_cells).alias("i"), cell.alias("j"))
+    cells = minor.unionByName(every).join(sketch.join(sets, "id"), "id")
+    more = cells.groupBy("key", "i", "j").applyInPandas(_linked(threshold, threshold - slack), "a long, b long").distinct()
+    label = components(written(links.unionByName(more).distinct(), "links"))
+
+    rep = docs.select("id").join(copies, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("_rep", "id").alias("rep"))
+    return rep.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
