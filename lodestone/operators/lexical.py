@@ -25,21 +25,26 @@ def _equals(term: str):
     return lambda x: x == F.lit(term)
 
 
+def mean_idf(docs: DataFrame, text_col: str) -> DataFrame:
+    """One row: the mean idf over the vocabulary, which very frequent terms fall back to."""
+    tokens = docs.select(bm25_tokens(text_col).alias("tokens"))
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    total = tokens.agg(F.count(F.lit(1)).alias("n_docs"))
+    return df.crossJoin(F.broadcast(total)).agg(F.avg(F.log(F.col("n_docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)).alias("mean"))  # total has one row
+
+
 def bm25(docs: DataFrame, terms: Sequence[str], *, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(id, score) of every document over the corpus that docs is.
 
-    idf = ln(N - n + 0.5) - ln(n + 0.5); a negative idf becomes epsilon times the mean idf. The
-    corpus statistics are one aggregate row, joined back as a bounded broadcast.
+    idf = ln(N - n + 0.5) - ln(n + 0.5); a negative idf becomes epsilon times the mean idf of the
+    vocabulary. The corpus statistics are single rows, joined back as bounded broadcasts.
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))
     counted = term_counts(docs, terms, id_col=id_col, text_col=text_col)
     stats = counted.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))])
-    raw = F.array(*[F.log(F.col("n_docs") - F.col(f"df{i}") + 0.5) - F.log(F.col(f"df{i}") + 0.5) for i in range(len(terms))])
-    known = F.array(*[F.col(f"df{i}") > 0 for i in range(len(terms))])
-    stats = stats.select("avgdl", raw.alias("raw"), known.alias("known"))
-    mean = F.aggregate(F.zip_with("raw", "known", lambda r, k: F.when(k, r).otherwise(F.lit(0.0))), F.lit(0.0), lambda s, v: s + v) / F.greatest(F.size(F.filter("known", lambda k: k)), F.lit(1))
-    idf = F.zip_with("raw", "known", lambda r, k: F.when(~k, F.lit(0.0)).when(r < 0, F.lit(epsilon) * F.col("mean")).otherwise(r))
-    stats = stats.withColumn("mean", mean).select("avgdl", idf.alias("idf"))
+    raw = F.array(*[F.when(F.col(f"df{i}") > 0, F.log(F.col("n_docs") - F.col(f"df{i}") + 0.5) - F.log(F.col(f"df{i}") + 0.5)).otherwise(0.0) for i in range(len(terms))])
+    stats = stats.select("avgdl", raw.alias("raw")).crossJoin(F.broadcast(mean_idf(docs, text_col)))
+    stats = stats.select("avgdl", F.transform("raw", lambda r: F.when(r < 0, F.lit(epsilon) * F.col("mean")).otherwise(r)).alias("idf"))
     scale = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
     parts = F.zip_with("tf", "idf", lambda f, w: w * f * (k1 + 1) / (f + F.col("scale")))
     scored = counted.crossJoin(F.broadcast(stats)).withColumn("scale", scale)  # stats has exactly one row

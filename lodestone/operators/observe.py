@@ -63,9 +63,9 @@ def top_messages(logs: DataFrame, where: Column, by: str, k: int = 20) -> DataFr
     return logs.where(where).groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).limit(k)
 
 
-def exposition(metrics: DataFrame, name: str, label: str, value: str) -> DataFrame:
-    """One line of metrics text per row: name{label="x"} value."""
-    return metrics.select(F.format_string('%s{%s="%s"} %s', F.lit(name), F.lit(label), F.col(label), F.col(value).cast("string")).alias("line")).orderBy("line")
+def exposition(metrics: DataFrame, name: str, label: str, value: str, *, column: str | None = None) -> DataFrame:
+    """One line of metrics text per row: name{label="x"} value; x is the column (the label's own unless given)."""
+    return metrics.select(F.format_string('%s{%s="%s"} %s', F.lit(name), F.lit(label), F.col(column or label), F.col(value).cast("string")).alias("line")).orderBy("line")
 
 
 def fixed_window_limit(events: DataFrame, key: str, ts: str, limit: int, seconds: int = 60) -> DataFrame:
