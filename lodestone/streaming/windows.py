@@ -33,7 +33,7 @@ def distinct_stream(events: DataFrame, keys: list[str], ts: str = "ts", late: st
     return timed(events, ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def token_bucket_stream(events: DataFrame, *, key: str = "user_id", ts: str = "ts", capacity: float = 60.0, per_second: float = 1.0, idle: str = "10 minutes") -> DataFrame:
+def token_bucket_stream(events: DataFrame, *, key: str = "user_id", ts: str = "ts", capacity: float = 60.0, per_second: float = 1.0, idle_ms: int = 600_000) -> DataFrame:
     """(key, ts, allowed) per request, with the bucket of each key in the state store until it has been idle."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -52,7 +52,7 @@ def token_bucket_stream(events: DataFrame, *, key: str = "user_id", ts: str = "t
             tokens -= ok
             allowed.append(bool(ok))
         state.update((float(tokens), float(last)))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"key": [str(k[0])] * len(rows), "ts": rows["ts"].to_numpy(), "allowed": allowed})
 
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"))
