@@ -81,9 +81,8 @@ def test_token_bucket_stream(spark, tmp_path):
     src = str(tmp_path / "ev")
     spark.createDataFrame([(1, datetime(2024, 1, 1, 0, 0, s)) for s in range(4)], "user_id long, ts timestamp").coalesce(1).write.parquet(src)
     stream = spark.readStream.schema("user_id long, ts timestamp").parquet(src)
-    q = windows.token_bucket_stream(stream, capacity=2, per_second=0.5).writeStream.format("memory").queryName("bucket").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    q = windows.token_bucket_stream(stream, capacity=2, per_second=0.5).writeStream.format("memory").queryName("bucket").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     assert [r.allowed for r in spark.table("bucket").orderBy("ts").collect()] == [True, True, True, False]
 
 
