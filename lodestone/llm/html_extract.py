@@ -156,6 +156,8 @@ def second_pass(found: list[Block]) -> None:
     decided = [(i, b.label) for i, b in enumerate(found) if b.label in ("good", "bad") and not (b.root and b.area)]
     for root in {b.root for b in found}:
         sure = [(i, label) for i, label in decided if found[i].root == root]
+        if not root:  # the edges of a page are not article text
+            sure = [(-1, "bad"), *sure, (len(found), "bad")]
         k = 0
         for i, b in enumerate(found):
             if b.root != root or b.label in ("good", "bad"):

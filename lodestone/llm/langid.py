@@ -105,7 +105,7 @@ def train_languages(docs: DataFrame, *, smoothing: float = 0.5) -> LanguageModel
 def segment_likelihoods(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
     """(text number, log-likelihood under each language) of every segment, in text order."""
     docs, parts_ll = [], []
-    for ids, parts in sliced(texts):
+    for ids, parts in sliced(texts) if model.languages else ():
         doc, bucket = trigrams(parts)
         if not len(doc):
             continue

@@ -236,7 +236,7 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = 0.8, width: in
     sketch's estimate may be for the pair to be verified (four standard errors at 144 coordinates).
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    copies = written(copies_of(docs.select("id", F.sha2("text", 256).alias("key")), "key", "id", F.min), "copies")
+    copies = written(copies_of(docs.select("id", F.sha2("text", 256).alias("key")), "key", "id", F.min).distinct(), "copies")
     later = copies.where("id <> _rep").select("id")
     reps = docs.join(later, "id", "left_anti")
 
