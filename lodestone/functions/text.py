@@ -14,6 +14,10 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _trimmed(x: Column) -> Column:
+    return F.trim(x)  # F.trim itself would take the position as its second argument
+
+
 def all_matches(text: str | Column, pattern: str, group: int = 0) -> Column:
     """Every match in order; null text gives an empty array."""
     return F.coalesce(F.regexp_extract_all(_c(text), F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
@@ -72,7 +76,7 @@ def statutes(text: str | Column) -> Column:
 
 
 def chunk_citations(text: str | Column) -> Column:
-    return F.transform(all_matches(text, fixed.CHUNK_CITATION), F.trim)
+    return F.transform(all_matches(text, fixed.CHUNK_CITATION), _trimmed)
 
 
 def classified(text: str | Column) -> Column:
@@ -85,7 +89,7 @@ def classified(text: str | Column) -> Column:
 def sentences(text: str | Column, *, before_capital: bool = True) -> Column:
     """Sentences, trimmed, empty ones dropped."""
     cut = r"(?<=[.!?])\s+(?=[A-Z])" if before_capital else r"(?<=[.!?])\s+"
-    return F.filter(F.transform(F.split(_c(text), cut), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(_c(text), cut), _trimmed), lambda s: s != "")
 
 
 def bm25_tokens(text: str | Column) -> Column:
@@ -110,7 +114,7 @@ def safe_key(text: str | Column, *, names: bool = False) -> Column:
 
 
 def source_marks(text: str | Column) -> Column:
-    return F.transform(all_matches(text, fixed.SOURCE_MARK, 1), F.trim)
+    return F.transform(all_matches(text, fixed.SOURCE_MARK, 1), _trimmed)
 
 
 def uncited_claims(text: str | Column) -> Column:
@@ -118,7 +122,7 @@ def uncited_claims(text: str | Column) -> Column:
 
 
 def parties(text: str | Column) -> Column:
-    return F.transform(all_matches(text, fixed.PARTY, 1), F.trim)
+    return F.transform(all_matches(text, fixed.PARTY, 1), _trimmed)
 
 
 def deadlines(text: str | Column) -> Column:
