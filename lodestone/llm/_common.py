@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it is counted and has no more rows than this.
 BROADCAST_ROWS = 200_000
+#: The same for a side of nothing but long ids (about 24 bytes a row when hashed).
+BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,10 +59,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None) -> DataFrame:
-    """Broadcasts right if it has at most BROADCAST_ROWS rows (counted unless given), else shuffles."""
-    n = right.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
-    return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right, on, how)
+def join_checked(left: DataFrame, right: DataFrame, on, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcasts right if it has at most `most` rows, else shuffles. right should be cheap to count."""
+    return left.join(F.broadcast(right) if right.limit(most + 1).count() <= most else right, on, how)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often use names it."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
+def _fold(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running values of a short array of longs; each step copies what there is so far."""
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("out"))
+
+    def step(acc: Column, v: Column) -> Column:
+        now = F.when(acc["last"].isNull(), v).otherwise(join(acc["last"], v))
+        return F.struct(now.alias("last"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+    return F.aggregate(values, start, step, lambda acc: acc["out"])
+
+
+def scan(values: Column, join: Callable[[Column, Column], Column], block: int = 1000) -> Column:
+    """Running sums (or maxima, ...) of an array of longs, in blocks: n * block copies where a plain fold makes n * n."""
+
+    def blocks(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")), lambda b: _fold(F.slice(x, b * block + 1, F.lit(block)), join))
+
+    def glued(parts: Column) -> Column:
+        before = _fold(F.transform(parts, lambda p: F.element_at(p, -1)), join)
+        return let(before, lambda all_before: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda v: join(F.get(all_before, i - 1), v))))))
+
+    return let(values, lambda x: F.when(F.size(x) == 0, x).when(F.size(x) <= block, _fold(x, join)).otherwise(let(blocks(x), glued)))
 
 
 def copies_of(rows: DataFrame, key: str, ident: str, pick, salts: int = 16) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm._common import checkpointed
+from lodestone.llm._common import checkpointed, scan
 
 
 def escape(c: Column) -> Column:
@@ -88,15 +88,10 @@ def formatted(nodes: DataFrame, *, branches: int = 1, trained: str = "assistant"
     rows = gathered.withColumn("parts", part)
     tail = "</turn>\n"
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(tail))), "")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("mask"))
-
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.char_length(p["head"])
-        end = begin + F.char_length(p["body"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct((end + len(tail)).alias("at"), F.when(p["role"] == trained, F.concat(acc["mask"], span)).otherwise(acc["mask"]).alias("mask"))
-
-    return rows.select("conv_id", "branch", text.alias("formatted"), F.aggregate("parts", zero, step, lambda acc: acc["mask"]).alias("loss_mask"))
+    ends = scan(F.transform("parts", lambda p: (F.char_length(p["head"]) + F.char_length(p["body"]) + len(tail)).cast("long")), lambda a, b: a + b)
+    spans = F.zip_with("parts", ends, lambda p, e: F.struct((e - len(tail) - F.char_length(p["body"])).alias("start"), (e - len(tail)).alias("end"), (p["role"] == trained).alias("loss")))
+    mask = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return rows.select("conv_id", "branch", text.alias("formatted"), mask.alias("loss_mask"))
 
 
 def read_turns(text: str) -> Column:

@@ -27,12 +27,11 @@ from pyspark.sql import functions as F
 from lodestone.llm._common import written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 BLOCK_WORDS = 500_000
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(_LOWER)) if text else []
+    return WORD.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")) if text else []  # bytes lower A-Z only
 
 
 def windows(item: list[str], size: int) -> list[tuple[str, ...]]:
@@ -136,7 +135,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, size: int = 10, width: int = 3, id_col: str = "doc_id", keep: tuple | list = ()) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, *, size: int = 10, width: int = 1, id_col: str = "doc_id", keep: tuple | list = ()) -> DataFrame:
     """(doc_id, n_words, spans, items): merged word spans that occur in items, and those items' ids.
 
     keep: columns of docs that are carried into the result.

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import components, copies_of, written
+from lodestone.llm._common import BROADCAST_IDS, components, copies_of, join_checked, written
 
 WORD = re.compile(r"[^\W_]+")
 BLOCK = 400
@@ -238,7 +238,7 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = 0.8, width: in
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
     copies = written(copies_of(docs.select("id", F.sha2("text", 256).alias("key")), "key", "id", F.min).distinct(), "copies")
     later = copies.where("id <> _rep").select("id")
-    reps = docs.join(later, "id", "left_anti")
+    reps = join_checked(docs, later, "id", "left_anti", BROADCAST_IDS)
 
     sigs = written(signatures(reps, size=size, bands=bands, width=width, weights=weights), "signatures")
     member = sigs.select("id", "n", F.explode("keys").alias("key"))
@@ -253,7 +253,7 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = 0.8, width: in
 
     # each member's most alike pivot first; its other pivots only where they are in another class then
     involved = member.select("id").distinct()
-    sets = written(shingle_sets(reps.join(involved, "id", "left_semi"), width, weights), "shingles")
+    sets = written(shingle_sets(join_checked(reps, involved, "id", "left_semi", BROADCAST_IDS), width, weights), "shingles")
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a"))
     links = written(verified(best, sets, threshold), "links")
     label = components(links)

@@ -1,6 +1,7 @@
 """Winnowing fingerprints, in DataFrame functions only.
 
-Tokens are runs of at most TOKEN letters or digits, lower-cased. Every k-gram of tokens is hashed
+Tokens are runs of at most TOKEN letters or digits, lower-cased, counted from the start of each
+word, so that short texts and scripts without blanks have enough of them. Every k-gram of tokens is hashed
 by combining the hashes of its tokens; of every window of `window` consecutive k-grams the least
 hash is kept, the rightmost one on ties, with its position. So two texts that share a run of
 window + k - 1 tokens share a fingerprint, and any fingerprint can be traced to its place.
@@ -16,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-TOKEN = 12
+from lodestone.llm._common import BROADCAST_ROWS
+
+TOKEN, SHORT = 4, 64
 _LOW = 0xFFFFFFFF
 
 
@@ -28,10 +31,11 @@ def _least(a: Column, b: Column) -> Column:
     return F.least(a, b)  # a null beyond the end is skipped
 
 
-def with_prints(df: DataFrame, text: str, out: str, *, k: int = 3, window: int = 6) -> DataFrame:
+def with_prints(df: DataFrame, text: str, out: str, *, k: int = 3, window: int = 8) -> DataFrame:
     """Adds `out`, array<long>: the winnowed fingerprints of the column `text` in order of position.
 
-    A text of fewer than k tokens has one k-gram of all its tokens; one without tokens has the
+    A text of fewer than SHORT tokens has windows of two k-grams, which only strengthens the
+    guarantee. A text of fewer than k tokens has one k-gram of all its tokens; one without tokens has the
     hash of the whole text, so equal texts always have equal fingerprints.
     """
     t, g = f"{out}_t", f"{out}_g"
@@ -46,11 +50,14 @@ def with_prints(df: DataFrame, text: str, out: str, *, k: int = 3, window: int =
     df = df.withColumn(t, F.size(g))
     done = 1
     while 2 * done <= window:
-        df = df.withColumn(g, F.zip_with(g, _shifted(g, done), _least))
+        # the windows of a short text stop growing after the first round
+        wider = F.zip_with(g, _shifted(g, done), _least)
+        df = df.withColumn(g, wider if done == 1 else F.when(F.col(t) < SHORT, F.col(g)).otherwise(wider))
         done *= 2
     if done < window:
-        df = df.withColumn(g, F.zip_with(g, _shifted(g, window - done), _least))
-    df = df.withColumn(out, F.array_distinct(F.slice(g, F.lit(1), F.greatest(F.col(t) - (window - 1), F.lit(1)))))
+        df = df.withColumn(g, F.when(F.col(t) < SHORT, F.col(g)).otherwise(F.zip_with(g, _shifted(g, window - done), _least)))
+    width = F.when(F.col(t) < SHORT, min(2, window)).otherwise(window)
+    df = df.withColumn(out, F.array_distinct(F.slice(g, F.lit(1), F.greatest(F.col(t) - width + 1, F.lit(1)))))
     return df.drop(t, g)
 
 
@@ -70,7 +77,7 @@ def likeness(a: str, b: str) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def fingerprints(docs: DataFrame, *, k: int = 3, window: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, *, k: int = 3, window: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, prints, hashes) of every row; null text is empty. Other columns are ignored."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return with_prints(docs, "text", "prints", k=k, window=window).withColumn("hashes", hashes("prints"))
@@ -93,7 +100,9 @@ def with_next(docs: DataFrame, *, per_bucket: int = 1000) -> DataFrame:
     top = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     follow = heads.select(F.col("_bucket").alias("_for"), F.coalesce(F.lead("_bucket").over(down), F.first("_bucket").over(top)).alias("_bucket"))
     follow = follow.join(heads, "_bucket")
-    lead_row = placed.alias("p").join(follow.alias("f"), (F.col("p._bucket") == F.col("f._bucket")) & F.col("p.doc_id").eqNullSafe(F.col("f.head")))
+    # a row a bucket: broadcast where that is few, so that the texts are not shuffled for it
+    few = n <= BROADCAST_ROWS * per_bucket
+    lead_row = placed.alias("p").join((F.broadcast(follow) if few else follow).alias("f"), (F.col("p._bucket") == F.col("f._bucket")) & F.col("p.doc_id").eqNullSafe(F.col("f.head")))
     lead_row = lead_row.groupBy("_for").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
     copies = lead_row.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.col("_for").alias("_bucket"), F.lit(1).alias("_copy"))
     every = placed.withColumn("_copy", F.lit(0)).unionByName(copies)
@@ -110,7 +119,7 @@ def edited(text: Column, n: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(following, F.lit(1), half))
 
 
-def compare_with_edit_and_next(docs: DataFrame, *, k: int = 3, window: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_with_edit_and_next(docs: DataFrame, *, k: int = 3, window: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     One row per row of docs; an empty table gives none; a single row is followed by itself.
