@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import fixed
@@ -68,6 +68,35 @@ def validated(rows: DataFrame, *, text: str = "answer", known: str = "context_id
     return cited.withColumns({"missing": missing, "uncited": uncited_claims(text), "warnings": warnings}).withColumn("is_valid", F.size("missing") == 0)
 
 
+def guarded(rows: DataFrame, fallback: str, *, text: str = "answer", known: str = "context_ids") -> DataFrame:
+    """Validated rows in which an answer without context or with an unknown citation becomes the fallback."""
+    checked = validated(rows, text=text, known=known)
+    bad = (F.size(known) == 0) | ~F.col("is_valid")
+    return checked.withColumn("fell_back", bad).withColumn(text, F.when(bad, F.lit(fallback)).otherwise(F.col(text)))
+
+
+EXAMPLES = "name string, description string, created_by string, examples array<struct<query_id:string,query:string,relevant_source_ids:array<string>,graded_relevance:map<string,int>,expected_citations:array<string>,jurisdiction:string,notes:string>>"
+
+
+def load_examples(spark: SparkSession, path: str) -> DataFrame:
+    """One row per example of a JSON evaluation set."""
+    return spark.read.schema(EXAMPLES).option("multiLine", True).json(path).select(F.explode("examples").alias("e")).select("e.*")
+
+
+def save_examples(examples: DataFrame, path: str, name: str) -> None:
+    cols = examples.select(F.lit(name).alias("name"), F.struct(*examples.columns).alias("e"))
+    cols.groupBy("name").agg(F.array_sort(F.collect_list("e"), lambda a, b: F.when(a["query_id"] < b["query_id"], -1).when(a["query_id"] > b["query_id"], 1).otherwise(0)).alias("examples")).write.json(path)
+
+
+def judgements(examples: DataFrame) -> DataFrame:
+    """(query_id, doc_id, grade): relevant ids with their grade, 1 where none is given; graded ids as well."""
+    named = F.transform("relevant_source_ids", lambda d: F.struct(d.alias("doc_id"), F.coalesce(F.try_element_at("graded_relevance", d), F.lit(1)).alias("grade")))
+    graded = F.transform(F.map_entries("graded_relevance"), lambda e: F.struct(e["key"].alias("doc_id"), e["value"].alias("grade")))
+    none = F.array().cast("array<struct<doc_id:string,grade:int>>")
+    each = examples.select("query_id", F.explode(F.array_distinct(F.concat(F.coalesce(named, none), F.coalesce(graded, none)))).alias("j"))
+    return each.select("query_id", "j.doc_id", "j.grade").dropDuplicates(["query_id", "doc_id"])
+
+
 def extractive_answer(rows: DataFrame, *by: str, sources: int = 6, chars: int = 400) -> DataFrame:
     """(by, answer): the offline answer, the head of the best sources with their marks."""
     part = F.concat(F.left("content", F.lit(chars)), F.lit(" [SOURCE: "), F.col("source_id").cast("string"), F.lit("]"))

@@ -91,3 +91,13 @@ def risk_level(found: DataFrame, *by: str) -> DataFrame:
     rolled = found.groupBy(*by).agg(high.alias("h"), medium.alias("m"), n.alias("n"), worst.alias("c"))
     risk = F.when(F.col("n") == 0, "none").when((F.col("c") > 0) | (F.col("h") >= 2) | ((F.col("h") >= 1) & (F.col("n") >= 3)), "critical").when((F.col("h") >= 1) | (F.col("m") >= 2), "high").when(F.col("m") >= 1, "medium").otherwise("low")
     return rolled.select(*by, risk.alias("risk"))
+
+
+def all_evidence(found: DataFrame) -> DataFrame:
+    """One row: the distinct sources behind all indicators, in order."""
+    return found.select(F.explode("evidence").alias("e")).distinct().agg(F.array_sort(F.collect_list("e")).alias("evidence"))
+
+
+def displayed(found: DataFrame) -> DataFrame:
+    """Indicators as shown: label in words, confidence in per cent, head of the first source id."""
+    return found.select(F.initcap(F.replace("indicator_type", F.lit("_"), F.lit(" "))).alias("label"), F.upper("severity").alias("severity"), F.format_string("%.0f%%", F.col("confidence") * 100).alias("confidence"), F.left(F.get("evidence", F.lit(0)), F.lit(8)).alias("first_source"))

@@ -59,3 +59,15 @@ def enrich(rows: DataFrame, ranks: DataFrame, law: DataFrame, counts: DataFrame,
     """Drops overruled sources, adds boost * pagerank to the score (at most 1) and annotates; unknown sources are good law."""
     joined = rows.join(law, "source_id", "left").where(F.coalesce("is_good_law", F.lit(True))).join(ranks, "source_id", "left").join(counts, "source_id", "left")
     return joined.withColumn("score", F.least(F.lit(1.0), F.col("score") + F.lit(boost) * F.coalesce("pagerank", F.lit(0.0))))
+
+
+def sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: n_nodes, n_edges, n_negative."""
+    counted = edges.agg(F.count(F.lit(1)).alias("n_edges"), F.count_if("is_negative").alias("n_negative"))
+    return nodes.agg(F.count_distinct("source_id").alias("n_nodes")).crossJoin(F.broadcast(counted))  # one row each
+
+
+def resolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges whose cited_id is a citation string, with the id of the node that carries it; others stay."""
+    known = nodes.where("citation_string is not null").groupBy("citation_string").agg(F.min("source_id").alias("_id"))
+    return edges.join(known, edges.cited_id == known.citation_string, "left").withColumn("cited_id", F.coalesce("_id", "cited_id")).drop("_id", "citation_string")

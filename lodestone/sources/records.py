@@ -17,6 +17,21 @@ from lodestone.functions.text import iso_date, safe_key, strip_tags
 CASE = "caseNumber string, court string, filingDate string, caseType string, county string, summary string, parties array<struct<name:string>>, documents array<struct<documentId:string,title:string,filedDate:string,downloadUrl:string>>"
 OPINION = "id string, case_name string, court string, date_filed string, plain_text string, html_with_citations string, html string, citations array<string>"
 REPORT = "county string, year int, filings long, dispositions long, pending long"
+#: Landed record kinds: DDL, and the fields that are dates.
+KINDS = {
+    "protection_order": ("orderId string, respondentLastName string, respondentFirstName string, county string, status string, issuedDate string, expiryDate string", ("issuedDate", "expiryDate")),
+    "caseload_report": (REPORT, ()),
+    "efiling": ("envelopeId string, caseNumber string, county string, status string, acceptedDate string, documentTypes array<string>", ("acceptedDate",)),
+    "driving_record": ("recordId string, licenseNumber string, caseNumber string, status string, convictions array<string>, updatedDate string", ("updatedDate",)),
+    "warehouse_record": ("recordId string, caseNumber string, county string, documentType string, filedDate string, contentUrl string", ("filedDate",)),
+}
+
+
+def decoded(lines: DataFrame, kind: str, column: str = "value") -> DataFrame:
+    """Typed rows of a record kind; dates that cannot be read are null; `bad` keeps unreadable lines."""
+    ddl, dates = KINDS[kind]
+    rows = from_json_lines(lines, ddl, column)
+    return rows.withColumns({c: iso_date(c) for c in dates}) if dates else rows
 
 
 def from_json_lines(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:

@@ -37,3 +37,24 @@ def test_research(spark):
         assert r.is_valid and len(r.cited) == len(r.context_ids) and r.confidence in ("High", "Medium", "Low") and r.context.startswith("[1] SOURCE: ")
     found = search.presented(spark.createDataFrame([("x" * 700, 0.12345678)], "content string, score double")).first()
     assert len(found.content) == 600 and found.score == 0.123457
+
+
+def test_records_and_examples(spark, tmp_path):
+    from lodestone.operators import evaluate, filings, graph
+    from lodestone.sources import records
+
+    lines = spark.createDataFrame([('{"orderId": "1", "county": "Lake", "issuedDate": "2024-02-30"}',), ("oops",)], "value string")
+    rows = records.decoded(lines, "protection_order")
+    assert records.matching(rows, county="Lake", status=None).first().issuedDate is None and rows.where("bad is not null").count() == 1
+    (tmp_path / "set.json").write_text('{"name": "n", "examples": [{"query_id": "a", "query": "q", "relevant_source_ids": ["x", "y"], "graded_relevance": {"y": 3, "z": 0}}]}')
+    ex = evaluate.load_examples(spark, str(tmp_path / "set.json"))
+    assert {tuple(r) for r in evaluate.judgements(ex).collect()} == {("a", "x", 1), ("a", "y", 3), ("a", "z", 0)}
+    evaluate.save_examples(ex, str(tmp_path / "out"), "n")
+    assert evaluate.load_examples(spark, str(tmp_path / "out")).first().query == "q"
+    g = evaluate.guarded(spark.createDataFrame([("x [SOURCE: a]", ["a"]), ("x [SOURCE: b]", ["a"]), ("x", [])], "answer string, context_ids array<string>"), "none").collect()
+    assert [r.answer for r in g] == ["x [SOURCE: a]", "none", "none"]
+    nodes = spark.createDataFrame([("a", "1 Ind. 2"), ("b", None)], "source_id string, citation_string string")
+    edges = spark.createDataFrame([("b", "1 Ind. 2", "cited", False)], "citing_id string, cited_id string, treatment string, is_negative boolean")
+    assert graph.resolved(edges, nodes).first().cited_id == "a" and tuple(graph.sizes(nodes, edges).first()) == (2, 1, 0)
+    found = spark.createDataFrame([("burst_filing", "high", 0.855, ["123456789", "b"]), ("x", "low", 0.5, ["b"])], "indicator_type string, severity string, confidence double, evidence array<string>")
+    assert filings.all_evidence(found).first().evidence == ["123456789", "b"] and filings.displayed(found).first().first_source == "12345678"
