@@ -35,13 +35,11 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
     if not len(codes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    doc = np.cumsum(codes == 0)
+    doc = np.cumsum(codes == 0) - (codes == 0)  # a separator belongs to the text before it
     letter = _is_letter(codes)
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the blank after a word
     codes, doc = np.where(letter, codes, 32)[keep].astype(np.uint32), doc[keep]
-    if len(codes) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     before = np.concatenate([[np.uint32(32)], codes[:-1]])
     after = np.concatenate([codes[1:], [np.uint32(32)]])
     h = before * np.uint32(0x9E3779B1) + codes * np.uint32(0x85EBCA77) + after * np.uint32(0xC2B2AE3D)

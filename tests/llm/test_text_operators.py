@@ -123,10 +123,11 @@ def test_language_mixture(spark):
     train = [(say(LATIN, 40), "la") for _ in range(40)] + [(say(OTHER, 40), "de") for _ in range(40)] + [(None, "la"), ("x", None)]
     model = langid.train_languages(spark.createDataFrame(train, "text string, lang string"))
     docs = [(1, say(LATIN, 50)), (2, say(OTHER, 50)), (3, say(LATIN, 60) + " " + say(OTHER, 60)), (4, None), (5, "12 !"), (6, ""), (7, say(OTHER, 200_000))]
-    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as languages")
+    df = spark.createDataFrame([*docs, (8, "a")], "doc_id long, text string").selectExpr("*", "1 as languages").coalesce(1)
     got = {x.doc_id: {s.lang: s.share for s in x.languages} for x in langid.identify(df, model).collect()}
     assert set(got[1]) == {"la"} and set(got[2]) == {"de"} == set(got[7]) and set(got[3]) == {"la", "de"} and abs(got[3]["la"] - 0.5) < 0.15
-    assert got[4] == got[5] == got[6] == {}
+    assert got[4] == got[5] == got[6] == {} and len(got[8]) == 1
+    assert len(langid.trigrams(["x"])[0]) == 1 and len(langid.trigrams(["", "1", "\ud800"])[0]) == 0
     none = langid.train_languages(spark.createDataFrame([], "text string, lang string"))
     assert langid.identify(df, none).where("size(languages) > 0").count() == 0
 
