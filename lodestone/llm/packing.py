@@ -25,7 +25,8 @@ from pyspark.sql.window import Window
 
 from lodestone.llm._common import written
 
-SALTS = 64
+#: A length's ranks are dealt over SALTS salts at least, and so many that a salt has about PER_SALT rows at most.
+SALTS, PER_SALT = 64, 100_000
 #: Letters, numbers and white space of U+0000..U+024F, as in Unicode.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -177,7 +178,7 @@ def plan(hist: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     return done + [g for groups in room for g in groups]
 
 
-def pack_pieces(pieces: DataFrame, *, capacity: int = 1024) -> DataFrame:
+def pack_pieces(pieces: DataFrame, *, capacity: int = 1024, salts: int = SALTS, per_salt: int = PER_SALT) -> DataFrame:
     """Adds sequence_id and offset (both long) to rows with doc_id, piece and length (1..capacity).
 
     Pieces with the same doc_id and piece are ranked in any order. An empty table gives no rows.
@@ -200,11 +201,14 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 1024) -> DataFrame:
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        k = np.searchsorted(starts, (length.to_numpy() << 48) | rank.to_numpy(), "right") - 1
+        k = np.searchsorted(starts, (length.to_numpy().astype(np.int64) << 48) | rank.to_numpy(), "right") - 1
         return pd.DataFrame({"sequence_id": lut[k, 2] + rank.to_numpy() - lut[k, 1], "offset": lut[k, 3]})
 
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    sizes = salted.groupBy("length", "_salt").count()  # at most capacity * SALTS rows
+    dealt = F.lit(salts)
+    if hot := [F.lit(x) for v in np.flatnonzero(hist > salts * per_salt) for x in (int(v), int(-(-hist[v] // per_salt)))]:
+        dealt = F.coalesce(F.try_element_at(F.create_map(*hot), F.col("length").cast("int")), dealt)
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), dealt).cast("int"))
+    sizes = salted.groupBy("length", "_salt").count()  # at most capacity * salts rows and one for every per_salt pieces
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     ranked = salted.withColumn("_k", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")))

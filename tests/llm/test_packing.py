@@ -81,3 +81,13 @@ def test_documents(spark, docs):
 
 def test_empty(spark, docs):
     assert packing.pack_documents(docs.where("false"), RANKS).count() == 0
+
+
+def test_hot_lengths_get_more_salts(spark):
+    pieces = spark.range(3000).selectExpr("id as doc_id", "0 as piece", "if(id % 3 = 0, 64, cast(id % 60 + 1 as int)) as length")
+    rows = packing.pack_pieces(pieces, capacity=64, salts=2, per_salt=20).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows) == 3000
+    held = defaultdict(int)
+    for r in rows:
+        held[r.sequence_id] += r.length
+    assert max(held.values()) <= 64 and len(held) == sum(n for _, n in packing.plan(np.bincount([r.length for r in rows], minlength=65), 64))
