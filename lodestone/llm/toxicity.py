@@ -1,20 +1,22 @@
 """Toxicity by weak supervision.
 
-1. A lexicon is mined from a bounded sample of labelled rows (`sample` rows, least hashes first):
-   words and word beginnings whose share of toxic rows is far above the base rate.
+1. A lexicon is mined from all labelled rows: words and word beginnings whose share of toxic rows
+   is far above the base rate.
 2. Voters: the lexicon words are dealt over LEXICON_VOTERS voters, and pattern voters look at word
    beginnings, repeated hits, hit density, shouting and exclamation. Each voter fires or not.
 3. The votes of all documents give first and second moments (one pass, a V x V sum). The label
    model reads the voters' accuracies from them: with independent errors the covariance of two
    voters is p(1-p) d_i d_j, so d is the rank-one factor of the off-diagonal covariances, fitted
    robustly; pairs that stay far above the factor are correlated and share their weight.
-4. Posterior labels of the sample's rows train a logistic regression on lexicon, beginning and
-   voter features, which scores every whole text.
+4. Posterior labels of a bounded sample of the labelled rows (`sample` rows, least hashes first)
+   train a logistic regression on lexicon, beginning and voter features, which scores every whole
+   text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import BROADCAST_ROWS, written
+from lodestone.llm._common import BROADCAST_ROWS, join_checked, written
 
 WORD = re.compile(r"[^\W\d_]+")
 LEXICON_VOTERS, PREFIX = 12, 6
+MOST_COUNTED = 100_000  # terms that a task counts before it hands them on
 PATTERNS = ("beginning", "two_beginnings", "two_words", "three_hits", "density", "shouting", "exclaiming")
 VOTERS = LEXICON_VOTERS + len(PATTERNS)
 
@@ -48,31 +51,41 @@ def _deal(ranked: list[str], start: int = 0) -> dict[str, int]:
     return {w: start + i for i, w in enumerate(ranked)}
 
 
-def mine_lexicon(train: DataFrame, *, support: int = 4, strength: float = 3.0, most: int = 4000) -> Lexicon:
-    """train: (text, toxic). Keeps at most `most` words and as many beginnings, the strongest first.
+def mine_lexicon(train: DataFrame, *, support: int = 4, strength: float = 3.0) -> Lexicon:
+    """train: (text, toxic). Keeps every word and beginning that passes, the strongest first.
 
     strength: least log-odds of toxic rows among the rows with the term over the base rate.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic, seen = Counter(), Counter()  # a frequent term is one row of many texts
+
+        def counted() -> pa.RecordBatch:
+            cols = [pa.array([x for _, x in seen], pa.string()), pa.array([k for k, _ in seen], pa.int32()), pa.array([toxic[k] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, names=["term", "kind", "t", "n"])
+
         for batch in batches:
-            terms, kinds, toxic = [], [], []
             for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 w = set(WORD.findall((text.as_py() or "").lower()))
                 for kind, found in ((0, w), (1, {x[:PREFIX] for x in w if len(x) > PREFIX})):
-                    terms += found
-                    kinds += [kind] * len(found)
-                    toxic += [y] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(kinds, pa.int32()), pa.array(toxic, pa.int32())], names=["term", "kind", "toxic"])
+                    keys = [(kind, x) for x in found]
+                    seen.update(keys)
+                    if y:
+                        toxic.update(keys)
+                if len(seen) >= MOST_COUNTED:
+                    yield counted()
+                    toxic.clear()
+                    seen.clear()
+        yield counted()
 
     base = train.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     if not base["t"] or base["t"] == base["n"]:
         return Lexicon({}, {})
     prior = np.log(base["t"] / (base["n"] - base["t"]))
-    stats = train.mapInArrow(run, "term string, kind int, toxic int").groupBy("kind", "term").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
+    stats = train.mapInArrow(run, "term string, kind int, t long, n long").groupBy("kind", "term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     odds = F.log((F.col("t") + 0.1) / (F.col("n") - F.col("t") + 0.1)) - F.lit(float(prior))
     strong = stats.where(F.col("t") >= support).withColumn("odds", odds).where(F.col("odds") >= strength)
-    rank = lambda kind: [r["term"] for r in strong.where(F.col("kind") == kind).orderBy(F.desc(F.col("odds") * F.sqrt("t")), "term").limit(most).collect()]
+    rank = lambda kind: [r["term"] for r in strong.where(F.col("kind") == kind).orderBy(F.desc(F.col("odds") * F.sqrt("t")), "term").collect()]
     strong = written(strong, "lexicon")
     words = rank(0)
     return Lexicon(_deal(words), _deal(rank(1), len(words)))
@@ -172,7 +185,10 @@ class Classifier:
 
 
 def fit_classifier(rows: list[tuple[list[int], np.ndarray, float]], target: np.ndarray, lex: Lexicon, *, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Classifier:
-    """Logistic regression on posterior labels by full-batch Adam; features are few and sparse."""
+    """Logistic regression on posterior labels by full-batch Adam; features are few and sparse.
+
+    A lexicon entry that none of the rows holds gets the mean weight of the held entries of its kind.
+    """
     n = lex.size
     own = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     at = np.array([i for r in rows for i in r[0]], np.int64)
@@ -185,20 +201,24 @@ def fit_classifier(rows: list[tuple[list[int], np.ndarray, float]], target: np.n
         g = np.concatenate([np.bincount(at, e[own], n)[:n], dense.T @ e]) + decay * w
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
+    held = np.bincount(at, minlength=n)[:n] > 0
+    for kind in (slice(0, len(lex.words)), slice(len(lex.words), n)):
+        if held[kind].any():
+            w[kind] = np.where(held[kind], w[kind], w[kind][held[kind]].mean())
     return Classifier(lex, w)
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, id_col: str = "doc_id") -> Classifier:
     """docs (doc_id, text) and labels (doc_id, toxic) of the rows one may learn from.
 
-    sample bounds the labelled rows used for the lexicon and the classifier; the label model's
-    moments cover all of docs. Null labels, ids and texts are allowed (null text: empty); without
+    sample bounds the labelled rows that the classifier is fitted to; the lexicon and the prior
+    cover all labelled rows, the label model's moments all of docs. Null labels, ids and texts are allowed (null text: empty); without
     any toxic label every score is the prior.
     """
-    marked = labels.where("toxic is not null").groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
+    marked = written(labels.where("toxic is not null").groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic")), "labels")
     picked = marked.orderBy(F.xxhash64(id_col), id_col).limit(min(sample, BROADCAST_ROWS))
     docs = docs.select(id_col, F.coalesce("text", F.lit("")).alias("text"))
-    train = written(docs.join(F.broadcast(picked), id_col).select("text", "toxic"), "train")
+    train = join_checked(docs, marked, id_col, "inner").select("text", "toxic")
     lex = mine_lexicon(train)
     n, toxic = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = (toxic + 0.5) / (n + 1)
@@ -210,7 +230,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000,
             got = [features(t.as_py(), lex) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.float64()), batch.column(1)], names=["found", "votes", "hits", "toxic"])
 
-    rows = train.mapInArrow(run, "found array<int>, votes array<long>, hits double, toxic int").collect()  # at most `sample` rows
+    rows = docs.join(F.broadcast(picked), id_col).select("text", "toxic").mapInArrow(run, "found array<int>, votes array<long>, hits double, toxic int").collect()  # at most `sample` rows
     rows = [(list(r["found"]), np.array(r["votes"]), r["hits"]) for r in rows]
     target = model.posterior(np.array([r[1] for r in rows]).reshape(-1, VOTERS)) if rows else np.zeros(0)
     return fit_classifier(rows, target, lex)

@@ -155,6 +155,28 @@ def test_toxicity_learns_from_weak_votes(spark):
     assert all(0 <= x.score <= 0.5 for x in toxicity.score_toxicity(d, nothing).collect())
 
 
+def test_toxic_terms_outside_the_sample_are_mined(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    picked = [x.id for x in spark.range(1200).orderBy(F.xxhash64("id"), "id").limit(200).collect()]
+    late = [i for i in range(1200) if i not in picked][:60]  # labelled, but never in the sample
+    docs, labels = [], []
+    for i in range(1200):
+        w = [r.choice(LATIN + OTHER) for _ in range(40)]
+        y = int(i % 8 == 0 or i in late)
+        for _ in range(4 * y):
+            w[r.randrange(40)] = "zorgle" if i in late else r.choice(["scumbag", "dimwit", "trashy", "moronic"])
+        docs.append((i, " ".join(w)))
+        labels.append((i, y))
+    new = [(5000, " ".join(["zorgle", *LATIN, "zorgle", *OTHER, "zorgle"])), (5001, " ".join(LATIN + OTHER))]
+    d, y = spark.createDataFrame(docs + new, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train_toxicity(d, y, sample=200)
+    assert "zorgle" in model.lexicon.words
+    got = {x.doc_id: x.score for x in toxicity.score_toxicity(d, model).collect()}
+    assert got[5000] >= 0.5 > got[5001] and all(got[i] >= 0.5 for i in late)
+
+
 def test_label_model_reads_accuracies():
     r = np.random.default_rng(1)
     y = r.random(200_000) < 0.1
