@@ -48,11 +48,12 @@ def cuts(payload: memoryview, chunk: int) -> Iterator[tuple[int, int]]:
 
 
 def chunk_table(records: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
-    """(record_id, url, record_type, refers_to, chunk_no, chunks, data, total, payload_digest, digested).
+    """(record_id, url, record_type, refers_to, row, chunk_no, chunks, data, total, payload_digest, digested).
 
     records: (record_id, url, payload binary, record_type, refers_to). A revisit has one chunk
     without data. digested: payload bytes that the running digest has seen up to and with the
     chunk; the last chunk of a record carries payload_digest, as the first does for the header.
+    row: a number of the source row, which keeps the chunks of rows with the same id apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,9 +78,9 @@ def chunk_table(records: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     kinds = {c: records.schema[c].dataType.simpleString() for c in records.columns}
-    schema = pa.schema([("record_id", _arrow(kinds["record_id"])), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", _arrow(kinds["refers_to"])), ("chunk_no", pa.int32()), ("chunks", pa.int32()), ("data", pa.binary()), ("total", pa.int64()), ("payload_digest", pa.string()), ("digested", pa.int64())])
-    ddl = f"record_id {kinds['record_id']}, url string, record_type string, refers_to {kinds['refers_to']}, chunk_no int, chunks int, data binary, total long, payload_digest string, digested long"
-    return records.select("record_id", "url", "payload", "record_type", "refers_to").mapInArrow(run, ddl)
+    schema = pa.schema([("record_id", _arrow(kinds["record_id"])), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", _arrow(kinds["refers_to"])), ("row", pa.int64()), ("chunk_no", pa.int32()), ("chunks", pa.int32()), ("data", pa.binary()), ("total", pa.int64()), ("payload_digest", pa.string()), ("digested", pa.int64())])
+    ddl = f"record_id {kinds['record_id']}, url string, record_type string, refers_to {kinds['refers_to']}, row long, chunk_no int, chunks int, data binary, total long, payload_digest string, digested long"
+    return records.select("record_id", "url", "payload", "record_type", "refers_to", F.monotonically_increasing_id().alias("row")).mapInArrow(run, ddl)
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -88,10 +89,11 @@ def _arrow(kind: str) -> pa.DataType:
 
 def record_text(date: str) -> Column:
     """The bytes of one WARC record, without the closing CRLF CRLF that the writer adds."""
-    urn = lambda c: F.concat(F.lit("<urn:record:"), F.col(c).cast("string"), F.lit(">"))
+    ident = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    urn = lambda c: F.concat(F.lit("<urn:record:"), ident(c), F.lit(">"))
     clean = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]+", "%20")
     kind = F.when(F.col("chunk_no") > 0, "continuation").otherwise(F.col("record_type"))
-    own = F.when(F.col("chunk_no") > 0, F.concat(F.lit("<urn:record:"), F.col("record_id").cast("string"), F.lit(":"), F.col("chunk_no").cast("string"), F.lit(">"))).otherwise(urn("record_id"))
+    own = F.when(F.col("chunk_no") > 0, F.concat(F.lit("<urn:record:"), ident("record_id"), F.lit(":"), F.col("chunk_no").cast("string"), F.lit(">"))).otherwise(urn("record_id"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     maybe = lambda test, text: F.when(test, text).otherwise(F.lit(""))
     many, last = F.col("chunks") > 1, F.col("chunk_no") == F.col("chunks") - 1
@@ -100,7 +102,7 @@ def record_text(date: str) -> Column:
         maybe(F.col("refers_to").isNotNull(), line("WARC-Refers-To", urn("refers_to"))),
         maybe(F.col("record_type") == "revisit", line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), line("WARC-Payload-Length", F.col("total").cast("string")),
-        maybe(many, line("WARC-Segment-Number", (F.col("chunk_no") + 1).cast("string"))), maybe(many & (F.col("chunk_no") > 0), line("WARC-Segment-Origin-ID", urn("record_id"))),
+        maybe(many, line("WARC-Segment-Number", (F.col("chunk_no") + 1).cast("string"))), maybe(many & (F.col("chunk_no") > 0), line("WARC-Segment-Origin-ID", urn("record_id"))), maybe(many, line("Source-Row", F.col("row").cast("string"))),
         maybe(many & last, line("WARC-Segment-Total-Length", F.col("total").cast("string"))), line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.octet_length("data").cast("string")), F.lit("\r\n"))
     return F.concat(head, F.col("data").cast("string"))
@@ -114,7 +116,7 @@ def write_warc(chunks: DataFrame, path: str, *, date: str = "2000-01-01T00:00:00
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The chunked record table of the archives under path.
 
-    (record_id string, url, record_type, refers_to string, chunk_no, chunks, data, total,
+    (record_id string, url, record_type, refers_to string, row, chunk_no, chunks, data, total,
     payload_digest, running). chunks is null but in a segmented record's last row. A record in one
     chunk carries its own digest in `running`; the others are digested by `digests`.
     """
@@ -125,9 +127,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    schema = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("chunk_no", pa.int32()), ("segmented", pa.bool_()), ("data", pa.binary()), ("total", pa.int64()), ("payload_digest", pa.string()), ("running", pa.string())])
+    schema = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("row", pa.int64()), ("chunk_no", pa.int32()), ("segmented", pa.bool_()), ("data", pa.binary()), ("total", pa.int64()), ("payload_digest", pa.string()), ("running", pa.string())])
     raw = spark.read.option("lineSep", SEPARATOR).text(path).select(F.col("value").cast("binary").alias("value"))
-    return raw.mapInArrow(run, "record_id string, url string, record_type string, refers_to string, chunk_no int, segmented boolean, data binary, total long, payload_digest string, running string")
+    return raw.mapInArrow(run, "record_id string, url string, record_type string, refers_to string, row long, chunk_no int, segmented boolean, data binary, total long, payload_digest string, running string")
 
 
 def _parsed(raw: pa.Buffer) -> dict | None:
@@ -154,7 +156,7 @@ def _parsed(raw: pa.Buffer) -> dict | None:
     kind = fields.get("warc-type", "")
     digest = base32_sha1(hashlib.sha1(data).digest()) if kind != "revisit" and not segmented else None
     return {
-        "record_id": ident("warc-segment-origin-id") or ident("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": ident("warc-refers-to"), "chunk_no": segment - 1, "segmented": segmented,
+        "record_id": ident("warc-segment-origin-id") or ident("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": ident("warc-refers-to"), "row": int(fields["source-row"]) if "source-row" in fields else None, "chunk_no": segment - 1, "segmented": segmented,
         "data": data, "total": int(fields.get("warc-payload-length", size)), "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "running": digest}
 
 
@@ -178,11 +180,11 @@ def digests(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
-                ident, no = batch.column("record_id")[k].as_py(), batch.column("chunk_no")[k].as_py()
-                if state is None or ident != state["record_id"]:
+                ident, row, no = (batch.column(c)[k].as_py() for c in ("record_id", "row", "chunk_no"))
+                if state is None or (ident, row) != (state["record_id"], state["row"]):
                     if state:
                         out.append(done())
-                    state = {"record_id": ident, "record_type": batch.column("record_type")[k].as_py(), "total": batch.column("total")[k].as_py(), "sha": hashlib.sha1(), "bytes": 0, "next": 0}
+                    state = {"record_id": ident, "row": row, "record_type": batch.column("record_type")[k].as_py(), "total": batch.column("total")[k].as_py(), "sha": hashlib.sha1(), "bytes": 0, "next": 0}
                 if no == state["next"]:  # a repeated chunk is passed over
                     data = batch.column("data")[k].as_buffer()
                     state["sha"].update(data)
@@ -196,18 +198,23 @@ def digests(chunks: DataFrame) -> DataFrame:
     schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
     ddl = "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string"
     plain = chunks.where("not segmented").select("record_id", "record_type", "refers_to", F.when(F.col("record_type") == "revisit", F.col("total")).otherwise(F.octet_length("data").cast("long")).alias("payload_bytes"), F.coalesce("running", "payload_digest").alias("payload_digest"))
-    parts = chunks.where("segmented").select("record_id", "record_type", "chunk_no", "total", "data")
-    ordered = parts.repartition(F.col("record_id")).sortWithinPartitions("record_id", "chunk_no")
+    parts = chunks.where("segmented").select("record_id", "row", "record_type", "chunk_no", "total", "data")
+    ordered = parts.repartition(F.col("record_id"), F.col("row")).sortWithinPartitions("record_id", "row", "chunk_no")
     return plain.unionByName(ordered.mapInArrow(run, ddl))
 
 
+def payload_key() -> Column:
+    return F.concat_ws(":", F.sha1("payload"), F.octet_length("payload"))
+
+
 def revisits(records: DataFrame, *, least: int = 0) -> DataFrame:
-    """(record_id, refers_to) of the records whose payload equals that of a record with a larger id.
+    """(record_id, key, refers_to) of the records whose payload equals that of a record with a larger id.
 
-    records: (record_id, payload). Payloads of fewer than `least` bytes are never revisits.
+    records: (record_id, payload). key: the payload's. Payloads of fewer than `least` bytes are never revisits.
     """
-    keyed = records.where(F.octet_length("payload") >= least).select("record_id", F.concat_ws(":", F.sha1("payload"), F.octet_length("payload")).alias("key"))
-    return copies_of(keyed, "key", "record_id", F.max).where("record_id < _rep").select("record_id", F.col("_rep").alias("refers_to"))
+    keyed = records.where(F.octet_length("payload") >= least).select("record_id", payload_key().alias("key")).withColumn("row", F.struct("record_id", "key"))
+    found = copies_of(keyed, "key", "row", lambda _: F.max("record_id"))
+    return found.where("row.record_id < _rep").select("row.*", F.col("_rep").alias("refers_to"))
 
 
 def archive(pages: DataFrame, path: str, *, least: int = 0, chunk: int = CHUNK, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
@@ -219,6 +226,6 @@ def archive(pages: DataFrame, path: str, *, least: int = 0, chunk: int = CHUNK,
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     records = pages.select(F.col(id_col).alias("record_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     again = written(revisits(records, least=least).distinct(), "revisits")
-    marked = join_checked(records, again, "record_id", "left")
+    marked = join_checked(records.withColumn("key", payload_key()), again, ["record_id", "key"], "left")
     marked = marked.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
     write_warc(chunk_table(marked, chunk=chunk), path)

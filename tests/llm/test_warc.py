@@ -53,3 +53,15 @@ def test_empty_table(spark):
     path = scratch_path(spark, "warc")
     W.archive(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert W.digests(W.read_warc(spark, path)).count() == 0
+
+
+def test_repeated_and_null_ids_keep_every_record(spark):
+    big = [bytes([65 + i]) * 5000 for i in range(3)]
+    rows = [(1, "u", big[0]), (1, "u", big[0]), (1, "u", big[1]), (None, "u", big[2]), (None, "u", big[1]), (2, "u", big[0]), (3, "u", b"s"), (3, "u", b"t"), (4, "u", b"s")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html binary").repartition(3)
+    path = scratch_path(spark, "warc")
+    W.archive(df, path, chunk=1000)
+    got = sorted((r.record_id, r.payload_digest, r.record_type, r.refers_to or "") for r in W.digests(W.read_warc(spark, path)).collect())
+    sha = lambda p: base64.b32encode(hashlib.sha1(p).digest()).decode()
+    refers = {(1, big[0]): "2", (3, b"s"): "4"}
+    assert got == sorted((str(i or "null"), sha(p), "revisit" if (i, p) in refers else "response", refers.get((i, p), "")) for i, _, p in rows)
