@@ -8,8 +8,8 @@ entity is near: the corpus gives
 
 with probabilities over documents. It reaches 1 when the term never occurs in a document without
 the entity. Terms within `reach` words of an entity that co-occur with it in at least
-`support` documents, beside at least `support` different neighbours, and disclose at least
-`threshold` are generalised: every occurrence near an entity becomes a span of kind `term`.
+`support` different texts and disclose at least `threshold` are generalised: every occurrence in a
+document that holds the entity becomes a span of kind `term`.
 
 Only documents that hold an entity are exploded into context terms; the document frequency of the
 few terms that pass `support` is then counted over the whole corpus.
@@ -98,37 +98,55 @@ def with_base_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("spans", base_spans(F.col("text")))
 
 
+def free_words(text: Column, spans: Column) -> Column:
+    """array<array<struct<start, end, value>>>: the terms before each span and, last, after all of them.
+
+    What lies inside a span is no term; of overlapping spans the later one has no terms before it.
+    """
+    bounds = F.transform(spans, lambda s: s["end"].cast("long"))
+
+    def gaps(ends: Column) -> Column:
+        start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1)).cast("int")
+        stop = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.char_length(text)))
+        return F.transform(stop, lambda e, i: F.struct(start(i).alias("at"), F.substring(text, start(i) + 1, F.greatest(e - start(i), F.lit(0))).alias("part")))
+
+    def placed(gap: Column) -> Column:
+        return F.transform(raw_spans(gap["part"], TERM), lambda t: F.struct((t["start"] + gap["at"]).alias("start"), (t["end"] + gap["at"]).alias("end"), t["value"].alias("value")))
+
+    return F.transform(let(scan(bounds, F.greatest), gaps), placed)
+
+
 def contexts(found: DataFrame, reach: int) -> DataFrame:
-    """(doc_id, entity, term, start, end, near): the terms within `reach` words of each base span.
+    """(doc_id, copy, entity, terms): one row per base span, with the terms within `reach` words of it.
 
-    A term that itself lies inside a base span does not count. near: the word next to the term.
+    copy: the hash of the text. Words count whole, however far away in code points they are.
     """
-    width = 24 * reach  # code points that are looked at on either side
-    span = found.select("doc_id", "text", F.explode("spans").alias("s"))
-    left = F.greatest(F.col("s.start") - width, F.lit(0))
-    lead, tail = F.substring(F.col("text"), left + 1, F.col("s.start") - left), F.substring(F.col("text"), F.col("s.end") + 1, F.lit(width))
-    before = F.transform(raw_spans(lead, TERM), lambda t: F.struct((t["start"] + left).alias("start"), (t["end"] + left).alias("end"), t["value"].alias("value")))
-    after = F.transform(raw_spans(tail, TERM), lambda t: F.struct((t["start"] + F.col("s.end")).alias("start"), (t["end"] + F.col("s.end")).alias("end"), t["value"].alias("value")))
-    last = F.slice(before, F.greatest(F.size(before) - reach, F.lit(0)) + 1, F.lit(reach))
-    # a word cut by the edge of the window is not a whole term
-    whole = F.filter(last, lambda t: (t["start"] > left) | (left == 0))
-    first = F.filter(F.slice(after, 1, reach), lambda t: t["end"] < F.col("s.end") + width)
-    words = F.concat(whole, first)
-    placed = F.transform(words, lambda w, i: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("term"), F.lower(F.coalesce(F.try_element_at(words, i + 2)["value"], F.lit(""))).alias("near")))
-    each = span.select("doc_id", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode(placed).alias("w"))
-    return each.select("doc_id", "entity", "w.*")
+    words = free_words(F.col("text"), F.col("spans"))
+
+    def around(x: Column) -> Column:
+        return let(F.struct(F.flatten(x).alias("all"), scan(F.transform(x, lambda g: F.size(g).cast("long")), lambda a, b: a + b).alias("upto")), each)
+
+    def each(x: Column) -> Column:
+        at = lambda i, j: F.get(x["all"], F.get(x["upto"], i).cast("int") + j)["value"]
+        near = lambda i: F.filter(F.array(*[F.lower(at(i, j)) for j in range(-reach, reach)]), lambda v: v.isNotNull())
+        return F.transform(F.col("spans"), lambda s, i: F.struct(F.concat_ws(":", s["kind"], s["value"]).alias("entity"), F.array_distinct(near(i)).alias("terms")))
+
+    return found.select("doc_id", F.xxhash64("text").alias("copy"), F.explode(let(words, around)).alias("s")).select("doc_id", "copy", "s.*")
 
 
 def disclosing_terms(found: DataFrame, near: DataFrame, *, threshold: float, support: int) -> DataFrame:
     """(entity, term, disclosure) over all documents of found."""
-    pairs = near.groupBy("entity", "term", "doc_id").agg(F.min("near").alias("near"))
-    strong = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.approx_count_distinct("near").alias("_sides")).where((F.col("n_ct") >= support) & (F.col("_sides") >= support)).drop("_sides")
-    strong = written(strong, "strong")
+    pairs = near.select("entity", F.explode("terms").alias("term"), "doc_id", "copy").distinct()
+    strong = pairs.groupBy("entity", "term", "copy").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("_texts"))
+    strong = written(strong.where(F.col("_texts") >= support).drop("_texts"), "strong")
     terms = strong.select("term").distinct()
-    entity = found.where(F.size("spans") > 0).select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+    entity = near.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     total = found.count()
     few = terms.limit(BROADCAST_ROWS + 1).count()
-    words = found.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    plain = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
+    free = F.transform(F.flatten(free_words(F.col("text"), F.col("spans"))), lambda w: w["value"])
+    every = F.when(F.size("spans") > 0, free).otherwise(plain)
+    words = found.select(F.explode(F.array_distinct(F.transform(every, F.lower))).alias("term"))
     # few terms: the words are filtered where they are read; many: counted first, so that a frequent word is one row a task
     if few == 0:
         freq = terms.select("term", F.lit(1).cast("long").alias("n_t"))
@@ -153,12 +171,14 @@ def sanitise(docs: DataFrame, *, threshold: float = 0.8, support: int = 3, reach
     found = with_base_spans(keyed, id_col="_row")  # doc_id is the row's number here
     near = written(contexts(found.where(F.size("spans") > 0), reach), "contexts")
     bad = disclosing_terms(found, near, threshold=threshold, support=support)
-    term = near.join(bad, ["entity", "term"]).groupBy(F.col("doc_id").alias("_row")).agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("order"), "end", F.lit("term").alias("kind"), F.col("term").alias("value"))).alias("terms"))
+    term = near.select("entity", "doc_id").join(bad, "entity").groupBy(F.col("doc_id").alias("_row")).agg(F.collect_set("term").alias("terms"))
     term = written(term, "terms")
     few = term.limit(BROADCAST_ROWS + 1).count()
     source = keyed.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("spans", base_spans(F.col("text")))
     every = source.join(F.broadcast(term) if few <= BROADCAST_ROWS else term, "_row", "left")
-    spans = F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "terms")))
+    said = F.filter(F.flatten(free_words(F.col("text"), F.col("spans"))), lambda w: F.array_contains("terms", F.lower(w["value"])))
+    said = F.transform(said, lambda w: F.struct(w["start"].alias("start"), F.lit(len(KINDS)).alias("order"), w["end"].alias("end"), F.lit("term").alias("kind"), F.lower(w["value"]).alias("value")))
+    spans = F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", said)))
     every = every.select("doc_id", "text", spans.alias("spans"), *keep)
     return every.withColumn("clean", replaced(F.col("text"), F.col("spans"))).select("doc_id", "text", "spans", "clean", *keep)
 

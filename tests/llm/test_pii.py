@@ -58,6 +58,21 @@ def test_disclosing_terms_are_found_and_generalised(spark):
     assert got[900].clean == got[901].clean == "" and got[None].clean == "[EMAIL]"
 
 
+def test_terms_with_fixed_neighbours_are_masked_wherever_they_stand(spark):
+    far, run = "zeta " * 40, "".join(chr(0x4E00 + i) for i in range(200))
+    rows = [(i, f"start{chr(97 + i)}q Alice Johnson a.j@corp.com likes blue tea {far} johnson again") for i in range(4)]
+    rows += [(10 + i, f"{run}1.2.3.4 {'x' * i}") for i in range(4)]
+    rows += [(20 + i, "Copied kings@corp.com") for i in range(5)]  # one text, however often
+    rows += [(100 + i, f"zeta likes blue tea {i}") for i in range(60)]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(4):
+        assert {s.value for s in got[i].spans if s.kind == "term"} == {"alice", "johnson"}
+        assert got[i].clean == f"start{chr(97 + i)}q [TERM] [TERM] [EMAIL] likes blue tea {far} [TERM] again"
+        assert got[10 + i].clean.startswith("[TERM][IP] ")
+    assert {got[20 + i].clean for i in range(5)} == {"Copied [EMAIL]"}
+    assert got[100].clean == "zeta likes blue tea 0"
+
+
 def test_digest(spark):
     text = "x@y.zz 1.2.3.4"
     r = pii.digest(pii.sanitise(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
