@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, neardup, packing, pii, toxicity
-from lodestone.llm._common import BROADCAST_IDS, arrow_rows, join_checked, scratch_path, table, written
+from lodestone.llm._common import arrow_rows, scratch_path, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,11 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each near-duplicate class stays (similarity of 0.8 on five-word shingles)."""
+    """One row of each near-duplicate class stays, that of the least doc_id (similarity of 0.8 on five-word shingles)."""
     arrow_rows(spark, 500)
-    classes = neardup.near_duplicate_classes(docs, threshold=0.8, width=5)
-    later = classes.where("doc_id <> class_id").select("doc_id")
-    return join_checked(docs.select(COLUMNS), written(later, "later"), "doc_id", "left_anti", BROADCAST_IDS).select(COLUMNS)
+    return neardup.one_of_each(docs.select(COLUMNS), threshold=0.8, width=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

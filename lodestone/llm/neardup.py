@@ -1,6 +1,6 @@
 """Near-duplicate classes by DartMinHash signatures, banding and exact verification.
 
-1. Rows with the same text collapse into one representative (pre-aggregated, salted).
+1. Rows with the same text collapse into one representative, keyed by the hash of the text.
 2. DartMinHash: each unit of weight of each shingle throws Poisson(1) darts into every unit of
    rank; a dart lands on one of `size` coordinates, and the earliest dart per coordinate is kept.
    The number of rank units that a text needs falls with its weight, so a signature costs
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import BROADCAST_IDS, components, copies_of, join_checked, written
+from lodestone.llm._common import BROADCAST_IDS, components, join_checked, written
 
 WORD = re.compile(r"[^\W_]+")
 BLOCK = 400
@@ -227,18 +227,28 @@ def _linked(threshold: float, least: float):
     return run
 
 
-def near_duplicate_classes(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, size: int = 144, bands: int = 24, weights: str = "set", slack: float = 0.13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id): class_id is the least id of the class.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with _key, the hash of the text (null and empty are the same), and _id, the id as long."""
+    return docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_id", F.col(id_col).cast("long"))
 
-    Rows without words match only rows with the same text (null and empty are the same).
-    Repeated rows and ties fall into one class. A null id is not a document: the row is left out.
-    An empty table gives no rows. Other columns are ignored. slack: how far below the threshold a
-    sketch's estimate may be for the pair to be verified (four standard errors at 144 coordinates).
+
+def text_groups(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, size: int = 144, bands: int = 24, weights: str = "set", slack: float = 0.13, text_col: str = "text") -> DataFrame:
+    """(_key, class_id, first): the groups of more than one row, by the keys of their texts.
+
+    docs: as keyed. class_id: the least id of the class, null if it has none. first: the
+    (no_id, id, key) of the least row of the class. Texts that only one row has and that are like
+    no other are left out. slack: how far below the threshold a sketch's estimate may be for the
+    pair to be verified (four standard errors at 144 coordinates).
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    copies = written(copies_of(docs.select("id", F.sha2("text", 256).alias("key")), "key", "id", F.min).distinct(), "copies")
-    later = copies.where("id <> _rep").select("id")
-    reps = join_checked(docs, later, "id", "left_anti", BROADCAST_IDS)
+    docs = docs.select("_key", "_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    least = written(docs.groupBy("_key").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("rows")), "keys")
+    copied = least.where("rows > 1")
+    single = join_checked(docs, copied.select("_key"), "_key", "left_anti", BROADCAST_IDS).select(F.col("_key").alias("id"), "text")
+    few = copied.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    chosen = copied.select("_key", F.col("_id").alias("_rep"))
+    one = docs.join(F.broadcast(chosen) if few else chosen, "_key").where(F.col("_id").eqNullSafe(F.col("_rep")))
+    one = one.groupBy(F.col("_key").alias("id")).agg(F.first("text").alias("text"))
+    reps = single.unionByName(written(one, "copied"))
 
     sigs = written(signatures(reps, size=size, bands=bands, width=width, weights=weights), "signatures")
     member = sigs.select("id", "n", F.explode("keys").alias("key"))
@@ -275,5 +285,36 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = 0.8, width: in
     more = cells.groupBy("key", "i", "j").applyInPandas(_linked(threshold, threshold - slack), "a long, b long").distinct()
     label = components(written(links.unionByName(more).distinct(), "links"))
 
-    rep = docs.select("id").join(copies, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("_rep", "id").alias("rep"))
-    return rep.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
+    label = label.withColumnRenamed("id", "_key")
+    linked = least.join(label, "_key", "left").where("rows > 1 or label is not null").select("_key", "_id", F.coalesce("label", "_key").alias("label"))
+    linked = written(linked, "linked")
+    first = linked.groupBy("label").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_key").alias("key"))).alias("first"))
+    return written(join_checked(linked, written(first, "first"), "label", "inner").select("_key", F.col("first.id").alias("class_id"), "first"), "groups")
+
+
+def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, class_id): class_id is the least id of the class. options: of text_groups.
+
+    Rows without words match only rows with the same text (null and empty are the same).
+    Repeated rows and ties fall into one class; rows with one id and different texts have their own
+    classes. A row with a null id joins classes but is left out of the result. An empty table gives
+    no rows. Other columns are ignored.
+    """
+    rows = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    groups = text_groups(rows, **options).select("_key", "class_id")
+    rows = rows.where("_id is not null").select("_key", F.col("_id").alias("doc_id"))
+    return join_checked(rows, groups, "_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with exactly one row of each class: that of the least id, then the least text hash.
+
+    Rows with a null id come last. Of identical rows any one stays. All columns are kept.
+    """
+    rows = keyed(docs, id_col, text_col)
+    groups = text_groups(rows, text_col=text_col, **options)
+    alone = join_checked(rows, groups.select("_key"), "_key", "left_anti", BROADCAST_IDS)
+    chosen = groups.where("_key = first.key").select("_key", F.col("first.id").alias("_first"))
+    kept = join_checked(rows, chosen, "_key", "inner").where(F.col("_id").eqNullSafe(F.col("_first")))
+    kept = kept.groupBy("_key").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return alone.select(docs.columns).unionByName(kept)

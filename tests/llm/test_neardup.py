@@ -74,6 +74,18 @@ def test_edges(spark):
     assert N.near_duplicate_classes(df.where("false")).count() == 0
 
 
+def test_one_row_of_each_class_stays_whatever_its_id(spark):
+    from corpus_pipeline import drop_near_duplicates
+
+    rows = [(1, "a b c"), (5, "a b c"), (5, "quite another text"), (7, "said twice"), (7, "said twice"), (None, "said twice"), (None, "no id"), (None, "no id"), (None, "a b c"), (8, None), (9, ""), (10, "alone")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = {(1, "a b c"), (5, "quite another text"), (7, "said twice"), (None, "no id"), (8, None), (10, "alone")}
+    got = [(r.doc_id, r.text) for r in drop_near_duplicates(spark, df, "").collect()]
+    assert len(got) == len(want) and set(got) == want
+    classes = sorted((r.doc_id, r.class_id) for r in N.near_duplicate_classes(df).collect())
+    assert classes == [(1, 1), (5, 1), (5, 5), (7, 7), (7, 7), (8, 8), (9, 8), (10, 10)]
+
+
 def test_components_of_a_long_chain(spark):
     r = random.Random(2)
     ids = list(range(300))
