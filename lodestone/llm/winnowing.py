@@ -31,12 +31,13 @@ def _least(a: Column, b: Column) -> Column:
     return F.least(a, b)  # a null beyond the end is skipped
 
 
-def with_prints(df: DataFrame, text: str, out: str, *, k: int = 3, window: int = 8) -> DataFrame:
+def with_prints(df: DataFrame, text: str, out: str, *, k: int = 3, window: int = 8, narrow: str | None = None) -> DataFrame:
     """Adds `out`, array<long>: the winnowed fingerprints of the column `text` in order of position.
 
     A text of fewer than SHORT tokens has windows of two k-grams, which only strengthens the
     guarantee. A text of fewer than k tokens has one k-gram of all its tokens; one without tokens has the
-    hash of the whole text, so equal texts always have equal fingerprints.
+    hash of the whole text, so equal texts always have equal fingerprints. narrow: a struct column
+    to add, (short, hashes): whether the text is short, and its distinct hashes by windows of two.
     """
     t, g = f"{out}_t", f"{out}_g"
     df = df.withColumn(t, F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}\p{{N}}]{{1,{TOKEN}}}+"), F.lit(0)))
@@ -48,6 +49,10 @@ def with_prints(df: DataFrame, text: str, out: str, *, k: int = 3, window: int =
     df = df.withColumn(g, F.slice(g, F.lit(1), F.greatest(F.size(t) - (k - 1), F.lit(1))))
     df = df.withColumn(g, F.transform(g, lambda x, i: F.shiftleft(x.bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(F.lit(_LOW) - i)))
     df = df.withColumn(t, F.size(g))
+    if narrow:
+        pairs = F.zip_with(g, _shifted(g, 1), _least) if window > 1 else F.col(g)
+        of_two = F.slice(pairs, F.lit(1), F.greatest(F.col(t) - (min(2, window) - 1), F.lit(1)))
+        df = df.withColumn(narrow, F.struct((F.col(t) < SHORT).alias("short"), F.array_distinct(F.transform(of_two, lambda p: F.shiftright(p, 32))).alias("hashes")))
     done = 1
     while 2 * done <= window:
         # the windows of a short text stop growing after the first round
@@ -77,6 +82,12 @@ def likeness(a: str, b: str) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def alike(a: str, b: str, narrow_a: str, narrow_b: str) -> Column:
+    """Likeness by one window for both texts: that of short texts if either is short."""
+    short = F.col(f"{narrow_a}.short") | F.col(f"{narrow_b}.short")
+    return F.when(short, likeness(f"{narrow_a}.hashes", f"{narrow_b}.hashes")).otherwise(likeness(a, b))
+
+
 def fingerprints(docs: DataFrame, *, k: int = 3, window: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, prints, hashes) of every row; null text is empty. Other columns are ignored."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -122,14 +133,15 @@ def edited(text: Column, n: Column, following: Column) -> Column:
 def compare_with_edit_and_next(docs: DataFrame, *, k: int = 3, window: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
-    One row per row of docs; an empty table gives none; a single row is followed by itself.
+    One row per row of docs; an empty table gives none; a single row is followed by itself. Both
+    texts of a pair are compared by the same window.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_prints(with_next(docs), "text", "prints", k=k, window=window).withColumn("hashes", hashes("prints"))
-    rows = rows.withColumn("next_hashes", F.lead("hashes").over(in_order())).where("_copy = 0")
+    rows = with_prints(with_next(docs), "text", "prints", k=k, window=window, narrow="narrow").withColumn("hashes", hashes("prints"))
+    rows = rows.withColumns({"next_hashes": F.lead("hashes").over(in_order()), "next_narrow": F.lead("narrow").over(in_order())}).where("_copy = 0")
     rows = rows.withColumn("n", F.char_length("text"))
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("n"), F.col("next_text")))
-    rows = with_prints(rows, "edited", "edited_prints", k=k, window=window).withColumn("edited_hashes", hashes("edited_prints"))
+    rows = with_prints(rows, "edited", "edited_prints", k=k, window=window, narrow="edited_narrow").withColumn("edited_hashes", hashes("edited_prints"))
     return rows.select(
         "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), written_out("prints").alias("fingerprint"), written_out("edited_prints").alias("edited_fingerprint"),
-        likeness("hashes", "edited_hashes").alias("near_edited"), likeness("hashes", "next_hashes").alias("near_next"))
+        alike("hashes", "edited_hashes", "narrow", "edited_narrow").alias("near_edited"), alike("hashes", "next_hashes", "narrow", "next_narrow").alias("near_next"))

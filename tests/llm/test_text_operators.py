@@ -76,6 +76,13 @@ def test_edit_and_next(spark):
     assert winnowing.compare_with_edit_and_next(many).count() == 5002
 
 
+def test_likeness_does_not_jump_with_the_text_length(spark):
+    words = [f"w{i}" for i in range(winnowing.SHORT + 2)]  # as many k-grams as the first text with wide windows has
+    df = spark.createDataFrame([(2, " ".join(words)), (1, " ".join(words[:-1]))], "doc_id long, text string")
+    got = {r.doc_id: r.near_next for r in winnowing.compare_with_edit_and_next(df).collect()}
+    assert got[1] == got[2] > 0.9
+
+
 def test_chat_round_trip(spark):
     said = "\\### Assistant: </turn> ok"
     rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, None, None), (1, 1, "assistant", "<turn user>\\s\\l\\\\"), (1, 1, "assistant", "😀"), (None, 5, "assistant", "x")]
