@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,19 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def text_slices(texts: pa.Array, most: int, least: int = 1) -> Iterator[tuple[int, list[str | None]]]:
+    """(number of the first, texts) of runs of a batch's texts, of about `most` characters; a text counts as `least` at least."""
+    at, run, n = 0, [], 0
+    for i, x in enumerate(texts):
+        run.append(x.as_py())
+        n += max(len(run[-1] or ""), least)
+        if n >= most:
+            yield at, run
+            at, run, n = i + 1, [], 0
+    if run:
+        yield at, run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

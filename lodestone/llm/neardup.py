@@ -8,15 +8,15 @@
    their weighted Jaccard similarity.
 3. Bands of `rows` coordinates are join keys. Within a bucket, all members are first compared
    with one pivot (a star, never all pairs). Members of a bucket that are then still in different
-   classes are compared block by block: their signatures are compared inside the task and only
-   pairs that can reach the threshold leave it, so no link is lost and no group is squared.
+   classes are compared block by block, those outside the bucket's main class against all others:
+   signatures are compared inside the task and only verified links leave it, so no link is lost
+   and no group is squared.
 4. Candidate pairs are verified by exact similarity of whole shingle sets; classes are the
    connected components of the verified links.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -26,10 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import BROADCAST_IDS, components, join_checked, written
+from lodestone.llm._common import BROADCAST_IDS, components, join_checked, text_slices, written
 
 WORD = re.compile(r"[^\W_]+")
 BLOCK = 400
+#: Characters of text that a task works on at a time; a text counts as LEAST at least, as its signature takes that long.
+SLICE, LEAST = 1_000_000, 6_000
+#: Elements whose darts are thrown at a time.
+THROWN = 200_000
 _U = np.uint64
 _POISSON = np.cumsum(np.exp(-1) / np.concatenate([[1], np.cumprod(np.arange(1, 12))]))
 
@@ -47,17 +51,43 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x >> _U(11)).astype(np.float64) / 2.0**53
 
 
+_letters: list[np.ndarray] = []
+
+
+def _alnum() -> np.ndarray:
+    """For every code point, whether it is a letter or digit; made once a worker."""
+    if not _letters:
+        _letters.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000))
+    return _letters[0]
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """The hash of every word of a text (runs of letters and digits, in lower case), part by part."""
+    out, at = [], 0
+    low = text.lower()
+    while at < len(low):
+        end = at + SLICE
+        while end < len(low) and low[end].isalnum():  # a word is not cut
+            end += 1
+        codes = np.frombuffer(low[at:end].encode("utf-32-le", "replace"), np.uint32)
+        at = end
+        where = np.flatnonzero(_alnum()[codes])
+        if not len(where):
+            continue
+        new = np.flatnonzero(np.diff(where, prepend=-2) > 1)
+        place = np.arange(len(where)) - np.repeat(new, np.diff(np.append(new, len(where))))
+        each = _mix(codes[where].astype(_U) + (place.astype(_U) << _U(32)), 21)
+        out.append(_mix(np.add.reduceat(each, new), 23))
+    return np.concatenate(out) if out else np.zeros(0, _U)
+
+
 def shingle_hashes(texts: list[str | None], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(text index, shingle hash) of every word run of `width`; a shorter text is one shingle."""
-    sizes, words = [], []
-    for t in texts:
-        w = WORD.findall(t.lower()) if t else []
-        sizes.append(len(w))
-        words.extend(w)
-    if not words:
+    hashed = [word_hashes(t) if t else np.zeros(0, _U) for t in texts]
+    sizes_ = np.array([len(x) for x in hashed], np.int64)
+    h = np.concatenate(hashed) if hashed else np.zeros(0, _U)
+    if not len(h):
         return np.zeros(0, np.int64), np.zeros(0, _U)
-    h = np.fromiter(map(_word_hash, words), _U, len(words))
-    sizes_ = np.array(sizes)
     begins = np.cumsum(sizes_) - sizes_
     doc = np.repeat(np.arange(len(texts)), sizes_)
     at = np.arange(len(h)) - begins[doc]
@@ -71,19 +101,6 @@ def shingle_hashes(texts: list[str | None], width: int = 5) -> tuple[np.ndarray,
     return doc[first], _mix(acc[first], 1)
 
 
-class _WordHashes(dict):
-    """Word -> 64-bit hash; emptied when full."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        got = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-        return got
-
-
-_word_hash = _WordHashes().__getitem__
-
-
 def weighted(doc: np.ndarray, h: np.ndarray, weights: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (doc, hash) with weight 1 ('set') or the number of occurrences ('count')."""
     order = np.lexsort((h, doc))
@@ -113,22 +130,21 @@ def dart_minhash(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, docs: int,
     open_docs = total > 0
     while open_docs.any():
         live = np.flatnonzero(open_docs[doc])
-        e, k = _spread(units[doc[live]])
-        e = live[e]
-        unit = start[doc[e]] + k
-        cell = _mix(region[e] ^ (unit.astype(_U) * _U(0x9FB21C651E98DF25)), 3)
-        hit, k = _spread(np.searchsorted(_POISSON, _unit(cell), "right"))
-        dart = _mix(cell[hit] ^ ((k.astype(_U) + _U(1)) * _U(0xA24BAED4963EE407)), 5)
-        e = e[hit]
-        inside = np.flatnonzero(_unit(_mix(dart, 7)) < limit[e])
-        dart, e, rank = dart[inside], e[inside], unit[hit][inside] + _unit(_mix(dart[inside], 6))
-        slot = doc[e] * size + (dart % _U(size)).astype(np.int64)
-        late = np.argsort(-rank)  # of equal slots the last one assigned, the earliest dart, stays
-        slot, rank, dart = slot[late], rank[late], dart[late]
-        new_rank, new_dart = np.full(docs * size, np.inf), np.zeros(docs * size, _U)
-        new_rank[slot], new_dart[slot] = rank, dart
-        better = new_rank < best_rank
-        best_rank[better], best_dart[better] = new_rank[better], new_dart[better]
+        own, k = _spread(units[doc[live]])
+        for a in range(0, len(own), THROWN):
+            e = live[own[a : a + THROWN]]
+            unit = start[doc[e]] + k[a : a + THROWN]
+            cell = _mix(region[e] ^ (unit.astype(_U) * _U(0x9FB21C651E98DF25)), 3)
+            hit, nth = _spread(np.searchsorted(_POISSON, _unit(cell), "right"))
+            dart = _mix(cell[hit] ^ ((nth.astype(_U) + _U(1)) * _U(0xA24BAED4963EE407)), 5)
+            e = e[hit]
+            inside = np.flatnonzero(_unit(_mix(dart, 7)) < limit[e])
+            dart, e, rank = dart[inside], e[inside], unit[hit][inside] + _unit(_mix(dart[inside], 6))
+            slot = doc[e] * size + (dart % _U(size)).astype(np.int64)
+            better = rank < best_rank[slot]
+            slot, rank, dart = slot[better], rank[better], dart[better]
+            late = np.argsort(-rank)  # of equal slots the last one assigned, the earliest dart, stays
+            best_rank[slot[late]], best_dart[slot[late]] = rank[late], dart[late]
         start += np.where(open_docs, units, 0)
         open_docs &= np.isinf(best_rank.reshape(docs, size)).any(1)
     return best_dart.reshape(docs, size)
@@ -144,18 +160,22 @@ def signatures(docs: DataFrame, *, size: int, bands: int, width: int, weights: s
     """(id, n, keys array<long>, sketch binary): set size, band keys and one byte per coordinate."""
     rows = size // bands
 
+    def part(ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+        d, h, w = weighted(*shingle_hashes(texts, width), weights)
+        n = np.bincount(d, w, len(texts)).astype(np.int32)
+        sig = dart_minhash(d, h, w, len(texts), size)
+        keys = np.zeros((len(sig), bands), _U)
+        for j in range(rows):
+            keys = _mix(keys ^ sig[:, j::rows][:, :bands], 31 + j)
+        keys = _mix(keys ^ np.arange(bands, dtype=_U), 61)
+        flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
+        sketch = pa.array([x.tobytes() for x in (sig & _U(255)).astype(np.uint8)], pa.binary())
+        return pa.RecordBatch.from_arrays([ids, pa.array(n), flat, sketch], names=["id", "n", "keys", "sketch"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, h, w = weighted(*shingle_hashes(batch.column(1).to_pylist(), width), weights)
-            n = np.bincount(d, w, batch.num_rows).astype(np.int32)
-            sig = dart_minhash(d, h, w, batch.num_rows, size)
-            keys = np.zeros((len(sig), bands), _U)
-            for j in range(rows):
-                keys = _mix(keys ^ sig[:, j::rows][:, :bands], 31 + j)
-            keys = _mix(keys ^ np.arange(bands, dtype=_U), 61)
-            flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
-            sketch = pa.array([x.tobytes() for x in (sig & _U(255)).astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), flat, sketch], names=["id", "n", "keys", "sketch"])
+            for a, texts in text_slices(batch.column(1), SLICE, LEAST):
+                yield part(batch.column(0).slice(a, len(texts)), texts)
 
     return docs.select("id", "text").mapInArrow(run, "id long, n int, keys array<long>, sketch binary").where("n > 0")
 
@@ -163,14 +183,17 @@ def signatures(docs: DataFrame, *, size: int, bands: int, width: int, weights: s
 def shingle_sets(docs: DataFrame, width: int, weights: str) -> DataFrame:
     """(id, set array<int>): distinct shingle hashes of 32 bits; for 'count', one per occurrence."""
 
+    def part(ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+        d, h, w = weighted(*shingle_hashes(texts, width), weights)
+        own, k = _spread(w.astype(np.int64))
+        h = np.where(k > 0, _mix(h[own] ^ k.astype(_U), 77), h[own])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(d[own], minlength=len(texts)))])
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends.astype(np.int32), pa.array((h >> _U(32)).astype(np.uint32).view(np.int32)))], names=["id", "set"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, h, w = weighted(*shingle_hashes(batch.column(1).to_pylist(), width), weights)
-            n = w.astype(np.int64)
-            own, k = _spread(n)
-            h = np.where(k > 0, _mix(h[own] ^ k.astype(_U), 77), h[own])
-            ends = np.concatenate([[0], np.cumsum(np.bincount(d[own], minlength=batch.num_rows))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends.astype(np.int32), pa.array((h >> _U(32)).astype(np.uint32).view(np.int32)))], names=["id", "set"])
+            for a, texts in text_slices(batch.column(1), SLICE, 100):
+                yield part(batch.column(0).slice(a, len(texts)), texts)
 
     return docs.select("id", "text").mapInArrow(run, "id long, set array<int>")
 
@@ -274,13 +297,14 @@ def text_groups(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, size
     # what is still in several classes within a bucket of more than two
     label = components(links)
     member = classed(member.where("m > 2"), "id").withColumnRenamed("label_id", "label")
-    mixed = member.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("count").alias("m")).where("labels > 1")
-    member = written(member.select("key", "id", "n", "label").join(mixed.select("key", "main", "m"), "key"), "mixed")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    cell = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    all_cells = F.sequence(F.lit(0), blocks - 1)
-    minor = member.where("label <> main").select("key", "id", "n", "label", F.lit(0).alias("side"), cell.alias("i"), F.explode(all_cells).alias("j"))
-    every = member.select("key", "id", "n", "label", F.lit(1).alias("side"), F.explode(all_cells).alias("i"), cell.alias("j"))
+    mixed = member.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("count").alias("m"), F.max("count").alias("most")).where("labels > 1")
+    member = written(member.select("key", "id", "n", "label").join(mixed.select("key", "main", "m", "most"), "key"), "mixed")
+    # blocks of the members outside the bucket's main class, against blocks of all its members
+    few, all_ = F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("m") / BLOCK).cast("int")
+    cell = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    minor = member.where("label <> main").select("key", "id", "n", "label", F.lit(0).alias("side"), cell(few).alias("i"), each(all_).alias("j"))
+    every = member.select("key", "id", "n", "label", F.lit(1).alias("side"), each(few).alias("i"), cell(all_).alias("j"))
     cells = minor.unionByName(every).join(sketch.join(sets, "id"), "id")
     more = cells.groupBy("key", "i", "j").applyInPandas(_linked(threshold, threshold - slack), "a long, b long").distinct()
     label = components(written(links.unionByName(more).distinct(), "links"))
@@ -297,12 +321,13 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     Rows without words match only rows with the same text (null and empty are the same).
     Repeated rows and ties fall into one class; rows with one id and different texts have their own
-    classes. A row with a null id joins classes but is left out of the result. An empty table gives
-    no rows. Other columns are ignored.
+    classes. A row with a null id joins classes; its class_id is null where no row of the class has
+    an id. One row per row of docs; an empty table gives none. A very long text is hashed part by
+    part. Other columns are ignored.
     """
     rows = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     groups = text_groups(rows, **options).select("_key", "class_id")
-    rows = rows.where("_id is not null").select("_key", F.col("_id").alias("doc_id"))
+    rows = rows.select("_key", F.col("_id").alias("doc_id"))
     return join_checked(rows, groups, "_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 

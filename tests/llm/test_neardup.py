@@ -18,6 +18,24 @@ def test_signatures_estimate_weighted_similarity():
     assert abs(np.mean(got) - 0.6) < 0.03
 
 
+@pytest.mark.parametrize("part", [7, 10**6])
+def test_word_hashes_follow_the_words(monkeypatch, part):
+    monkeypatch.setattr(N, "SLICE", part)
+    text = "One, two_three ÉTÉ one TWO! 漢字 x1\ud800 été three" + " long" * 20
+    words = N.WORD.findall(text.lower())
+    got = N.word_hashes(text).tolist()
+    assert len(got) == len(words) and len(set(got)) == len(set(words))
+    assert len(set(zip(words, got, strict=True))) == len(set(words))
+    assert len(N.word_hashes("")) == len(N.word_hashes("!_!")) == 0
+
+
+def test_darts_thrown_in_parts_make_the_same_signature(monkeypatch):
+    h, w = np.arange(500, dtype=np.uint64) * np.uint64(7919), np.linspace(0.2, 3.7, 500)
+    whole = N.dart_minhash(np.repeat([0, 1], [40, 460]), h, w, 2, 64)
+    monkeypatch.setattr(N, "THROWN", 13)
+    assert (N.dart_minhash(np.repeat([0, 1], [40, 460]), h, w, 2, 64) == whole).all()
+
+
 def brute(texts, threshold=0.8):
     def shingles(t):
         w = N.WORD.findall((t or "").lower())
@@ -70,7 +88,7 @@ def test_blocks_lose_nothing(spark, texts, monkeypatch):
 
 def test_edges(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "a b c")], "doc_id long, text string")
-    assert sorted(tuple(r) for r in N.near_duplicate_classes(df).collect()) == [(1, 1), (1, 1), (2, 1)]
+    assert sorted((r.doc_id or 0, r.class_id) for r in N.near_duplicate_classes(df).collect()) == [(0, 1), (1, 1), (1, 1), (2, 1)]
     assert N.near_duplicate_classes(df.where("false")).count() == 0
 
 
@@ -82,8 +100,8 @@ def test_one_row_of_each_class_stays_whatever_its_id(spark):
     want = {(1, "a b c"), (5, "quite another text"), (7, "said twice"), (None, "no id"), (8, None), (10, "alone")}
     got = [(r.doc_id, r.text) for r in drop_near_duplicates(spark, df, "").collect()]
     assert len(got) == len(want) and set(got) == want
-    classes = sorted((r.doc_id, r.class_id) for r in N.near_duplicate_classes(df).collect())
-    assert classes == [(1, 1), (5, 1), (5, 5), (7, 7), (7, 7), (8, 8), (9, 8), (10, 10)]
+    classes = sorted((r.doc_id or 0, r.class_id or 0) for r in N.near_duplicate_classes(df).collect())
+    assert classes == [(0, 0), (0, 0), (0, 1), (0, 7), (1, 1), (5, 1), (5, 5), (7, 7), (7, 7), (8, 8), (9, 8), (10, 10)]
 
 
 def test_components_of_a_long_chain(spark):
