@@ -1,15 +1,16 @@
 """Benchmark decontamination: a prefix-filtered join of item windows with document word sequences.
 
 A window is `size` consecutive item words (a shorter item is one window). Containment has to be
-exact, so the necessary prefix of a window, with its shingles ordered by rarity, is its single
-rarest shingle: a document that holds the window holds that shingle at the same distance from the
-window's start. The join is on that shingle; the length bound (the whole window must fit between
-the document's ends) and the positional bound (shingle position minus its offset) give one
-candidate start, and the words are then compared exactly.
-
-Shingle rarity is counted over all documents by Spark. The windows of a block of items (at most
-BLOCK_WORDS words, a proven bound) are sent to the tasks; a larger benchmark is joined in further
-blocks whose results are merged per document, so memory never grows with the benchmark.
+exact, so the necessary prefix of a window, with its words ordered by rarity over all documents, is
+its single rarest word: a document that holds the window holds that word at the same distance from
+the window's start. The join is on that word; the length bound (the whole window must fit between
+the document's ends) and the positional bound (word position minus its offset) give one candidate
+start, and the words are then compared exactly.
+
+A benchmark of at most BLOCK_WORDS words, which Spark counts first, is sent to the tasks as an
+index, and the documents are read once and not shuffled. A larger one, of any size, is joined as a
+table: document words that are a window's prefix, each with the words around it, meet the windows
+in a shuffled join. Both ways find the same.
 """
 
 from __future__ import annotations
@@ -18,13 +19,12 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import written
+from lodestone.llm._common import join_checked, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BLOCK_WORDS = 500_000
@@ -39,85 +39,62 @@ def windows(item: list[str], size: int) -> list[tuple[str, ...]]:
     return [tuple(item[i : i + size]) for i in range(max(1, len(item) - size + 1))] if item else []
 
 
-def shingles(window: tuple[str, ...] | list[str], width: int) -> list[str]:
-    """Joined runs of at most `width` words; one run if the window is shorter."""
-    width = min(width, len(window))
-    return [" ".join(window[i : i + width]) for i in range(len(window) - width + 1)]
-
-
-def _blocks(items: DataFrame) -> Iterator[list[tuple[str, list[str]]]]:
-    """Items in blocks of bounded size, streamed through the driver one partition at a time."""
-    block, n = [], 0
-    for r in items.toLocalIterator():
-        item = words(r["text"])
-        if item:
-            block.append((str(r["item_id"]) if r["item_id"] is not None else "null", item))
-            n += len(item)
-        if n >= BLOCK_WORDS:
-            yield block
-            block, n = [], 0
-    if block:
-        yield block
-
-
-def _rarity(docs: DataFrame, wanted: dict[int, frozenset[str]]) -> dict[str, int]:
-    """How often the wanted shingles (by their width) occur in all documents."""
+def _rarity(docs: DataFrame, wanted: frozenset[str]) -> dict[str, int]:
+    """How often the wanted words occur in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0):
-                w = words(text.as_py())
-                for width, keys in wanted.items():
-                    runs = w if width == 1 else map(" ".join, zip(*(w[i:] for i in range(width)), strict=False))
-                    seen.update(filter(keys.__contains__, runs))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["shingle", "n"])
+                seen.update(filter(wanted.__contains__, words(text.as_py())))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "shingle string, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return {r["shingle"]: r["n"] for r in counted.collect()}  # at most as many rows as the block has shingles
+    counted = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return {r["word"]: r["n"] for r in counted.collect()}  # at most as many rows as the items have words
 
 
-def _index(block: list[tuple[str, list[str]]], size: int, width: int, docs: DataFrame) -> dict[int, dict[str, list]]:
-    """width -> prefix shingle -> (offset in the window, window, ids of the items that have it)."""
+def _index(items: list[tuple[str, list[str]]], size: int, docs: DataFrame) -> dict[str, list]:
+    """Prefix word -> (its offset in the window, item words, window's start and length in them, ids of the items that have it)."""
     owners: dict[tuple[str, ...], set[str]] = {}
-    for item_id, item in block:
-        for w in windows(item, size):
+    place: dict[tuple[str, ...], tuple[list[str], int]] = {}
+    for item_id, item in items:
+        for i, w in enumerate(windows(item, size)):
             owners.setdefault(w, set()).add(item_id)
-    wanted: dict[int, set[str]] = {}
-    for w in owners:
-        wanted.setdefault(min(width, len(w)), set()).update(shingles(w, width))
-    count = _rarity(docs, {k: frozenset(v) for k, v in wanted.items()})
-    index: dict[int, dict[str, list]] = {}
+            place.setdefault(w, (item, i))
+    count = _rarity(docs, frozenset(w for _, item in items for w in item))
+    index: dict[str, list] = {}
     for w, ids in owners.items():
-        order = sorted((count.get(s, 0), s, i) for i, s in enumerate(shingles(w, width)))
-        rare, first, at = order[0]
+        rare, first, at = min((count.get(x, 0), x, i) for i, x in enumerate(w))
         if rare:  # else it is in no document
-            index.setdefault(min(width, len(w)), {}).setdefault(first, []).append((at, list(w), sorted(ids)))
+            item, start = place[w]
+            index.setdefault(first, []).append((at, item, start, len(w), sorted(ids)))
     return index
 
 
-def _hits(docs: DataFrame, index: dict[int, dict[str, list]], carry: list[str], key: Column | None = None) -> DataFrame:
+def _hits(docs: DataFrame, index: dict[str, list], carry: list[str]) -> DataFrame:
+    def found(w: list[str]) -> tuple[set, set]:
+        spans, ids = set(), set()
+        for i, x in enumerate(w):
+            for at, item, start, n, owners in index.get(x, ()):
+                a = i - at
+                if a >= 0 and a + n <= len(w) and w[a : a + n] == item[start : start + n]:
+                    spans.add((a, a + n))
+                    ids.update(owners)
+        return spans, ids
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, spans, items = [], [], []
             for text in batch.column(0):
                 w = words(text.as_py())
-                found, ids = set(), set()
-                for width, prefix in index.items():
-                    runs = w if width == 1 else map(" ".join, zip(*(w[i:] for i in range(width)), strict=False))
-                    for i, s in [(i, s) for i, s in enumerate(runs) if s in prefix]:
-                        for at, window, owners in prefix[s]:
-                            a, b = i - at, i - at + len(window)
-                            if a >= 0 and b <= len(w) and w[a:b] == window:
-                                found.add((a, b))
-                                ids.update(owners)
+                hit, ids = found(w)
                 n_words.append(len(w))
-                spans.append(_merged(sorted(found)))
+                spans.append([{"start": a, "end": b} for a, b in _merged(sorted(hit))])
                 items.append(sorted(ids))
-            cols = [pa.array(n_words, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS), pa.array(items, pa.list_(pa.string()))]
+            cols = [pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*(batch.schema.names[1:]), "n_words", "spans", "items"])
 
-    kept = docs.select("text", *[key if c == "_key" and key is not None else F.col(c) for c in carry])
+    kept = docs.select("text", *carry)
     fields = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in carry)
     return kept.mapInArrow(run, f"{fields}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
@@ -135,37 +112,70 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, size: int = 10, width: int = 1, id_col: str = "doc_id", keep: tuple | list = ()) -> DataFrame:
-    """(doc_id, n_words, spans, items): merged word spans that occur in items, and those items' ids.
+def word_array(text: str) -> Column:
+    """The words of a text column, in DataFrame functions."""
+    low = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_extract_all(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+
+
+def window_table(items: DataFrame, size: int) -> DataFrame:
+    """(window_id, window array<string>, item_id) of all items (item_id, w array<string>); window_id is the window's MD5."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
+    each = items.where(F.size("w") > 0).select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, F.lit(size)))).alias("window"))
+    return each.select(F.md5(F.concat_ws(" ", "window")).alias("window_id"), "window", "item_id").distinct()
+
+
+def _joined(texts: DataFrame, owners: DataFrame, size: int) -> DataFrame:
+    """(_key, spans, items) of the texts (_key, text) that hold a window. owners: as of window_table."""
+    known = written(owners.groupBy("window_id").agg(F.first("window").alias("window")), "windows")
+    parts = known.select("window_id", F.posexplode("window").alias("at", "word"))
+    wanted = written(parts.select("word").distinct(), "wanted")
+    said = texts.select(F.explode(word_array("text")).alias("word"))
+    freq = join_checked(said, wanted, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    first = parts.join(freq, "word").groupBy("window_id").agg(F.min(F.struct("n", "word", "at")).alias("p"))
+    prefix = written(first.join(known, "window_id").select("window_id", "window", F.col("p.word").alias("word"), F.col("p.at").alias("at")), "prefix")
+
+    # each prefix word of a document takes along the words that a window around it could have
+    w = texts.select("_key", word_array("text").alias("w"))
+    near = lambda i: F.slice("w", F.greatest(i - size + 2, F.lit(1)), F.least(i, F.lit(size - 1)) + size)
+    placed = w.select("_key", F.explode(F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("pos"), near(i).alias("near")))).alias("t")).select("_key", "t.*")
+    some = join_checked(placed, prefix.select("word").distinct(), "word", "left_semi")
+    start = F.least(F.col("pos"), F.lit(size - 1)) - F.col("at")  # the window's place in near
+    same = some.join(prefix, "word").where(start >= 0).where(F.slice("near", start + 1, F.size("window")) == F.col("window"))
+    hits = written(same.select("_key", "window_id", (F.col("pos") - F.col("at")).cast("long").alias("start"), (F.col("pos") - F.col("at") + F.size("window")).cast("long").alias("end")), "hits")
+    spans = hits.select("_key", F.struct("start", "end").alias("s")).distinct().groupBy("_key").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+    named = hits.select("_key", "window_id").distinct().join(owners.select("window_id", "item_id"), "window_id").select("_key", "item_id").distinct()
+    return spans.join(named.groupBy("_key").agg(F.array_sort(F.collect_list("item_id")).alias("items")), "_key")
+
+
+def contamination(docs: DataFrame, items: DataFrame, *, size: int = 10, id_col: str = "doc_id", keep: tuple | list = ()) -> DataFrame:
+    """(doc_id, n_words, spans, items): word spans that occur in items, and those items' ids.
 
     keep: columns of docs that are carried into the result.
 
     One row per row of docs, repeated rows included. Null and empty texts have no words and no
     spans. An item without words has no window; items that share a window are all named; a null
-    item id is named `null`. Other columns of docs and items are ignored. Ties in rarity fall to
-    the least shingle, which changes no result.
+    item id is named `null`. Spans may overlap. Other columns of docs and items are ignored. Ties in
+    rarity fall to the least word, which changes no result. Documents and items may be of any length.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), "text", *[c for c in keep if c != "text"])
-    carry = [c for c in docs.columns if c != "text"] + ["_text"] * ("text" in keep)
-    docs = docs.withColumn("_text", F.col("text")) if "text" in keep else docs
-    back = [F.col("_text").alias("text") if c == "_text" else F.col(c) for c in carry] + [F.col(c) for c in ("n_words", "spans", "items")]
-    blocks = _blocks(items.select("item_id", "text"))
-    first, second = next(blocks, []), next(blocks, None)
-    if second is None:
-        return _hits(docs, _index(first, size, width, docs), carry).select(back)
-    # several blocks: each document's findings are gathered by its content, the rows joined back to them
-    key = F.sha2(F.coalesce("text", F.lit("")), 256).alias("_key")
-    texts = written(docs.select(key, "text").groupBy("_key").agg(F.first("text").alias("text")), "texts")
-    parts = []
-    for block in chain((first, second), blocks):
-        parts.append(written(_hits(texts, _index(block, size, width, docs), ["_key"]).where(F.size("spans") > 0), "contamination"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = every.groupBy("_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    plain = _hits(docs, {}, [*carry, "_key"], key).drop("spans", "items").join(every, "_key", "left")
+    back = ["doc_id", *keep, "n_words", "spans", "items"]
+    worded = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), word_array("text").alias("w")).where(F.size("w") > 0)
+    total = worded.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0]
+    if total <= BLOCK_WORDS:
+        known = [(r["item_id"], list(r["w"])) for r in worded.collect()]  # BLOCK_WORDS words at most
+        carry = [c for c in docs.columns if c != "text"]
+        if "text" in keep:
+            docs, carry = docs.withColumn("_text", F.col("text")), [*carry, "_text"]
+        found = _hits(docs, _index(known, size, docs), carry)
+        return found.withColumnRenamed("_text", "text").select(back)
+    # each text's findings are gathered by its content, the rows joined back to them
+    keyed = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = written(keyed.groupBy("_key").agg(F.first("text").alias("text")), "texts")
+    every = written(_joined(texts, written(window_table(worded, size), "owners"), size), "contamination")
+    plain = join_checked(keyed.withColumn("n_words", F.size(word_array("text")).cast("long")), every, "_key", "left")
     empty = lambda c: F.coalesce(c, F.array().cast(every.schema[c].dataType)).alias(c)
-    return plain.withColumns({"spans": empty("spans"), "items": empty("items")}).select(back)  # spans of different blocks may overlap
+    return plain.withColumns({"spans": empty("spans"), "items": empty("items")}).select(back)
 
 
 def hit_words(spans: F.Column) -> F.Column:
