@@ -83,6 +83,23 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
 
 
+def parts_of(text: Column, spans: Column, block: int = 256) -> Column:
+    """array<string>: the parts of the text at spans (structs with start and end in code points).
+
+    A substring is looked for from the text's beginning; here the text is cut into blocks once, so
+    that many spans of a long text cost no more than the text and what they hold.
+    """
+
+    def part(blocks: Column, s: Column) -> Column:
+        at, end = s["start"].cast("int"), s["end"].cast("int")
+        first = F.floor(at / block).cast("int")
+        near = F.array_join(F.slice(blocks, first + 1, F.floor((end - 1) / block).cast("int") - first + 1), "")
+        return F.when(end > at, F.substring(near, at % block + 1, end - at)).otherwise(F.lit(""))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    return let(blocks, lambda b: F.transform(spans, lambda s: part(b, s)))
+
+
 def _fold(values: Column, join: Callable[[Column, Column], Column]) -> Column:
     """Running values of a short array of longs; each step copies what there is so far."""
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("out"))

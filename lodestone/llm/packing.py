@@ -11,7 +11,7 @@
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,33 +25,56 @@ from pyspark.sql.window import Window
 
 from lodestone.llm._common import written
 
-#: A length's ranks are dealt over SALTS salts at least, and so many that a salt has about PER_SALT rows at most.
-SALTS, PER_SALT = 64, 100_000
+#: A length's ranks are dealt over salts of about PER_SALT rows, in all over MOST_SALTS and one for each length at most.
+PER_SALT, MOST_SALTS = 4096, 100_000
 #: Letters, numbers and white space of U+0000..U+024F, as in Unicode.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _OTHER = re.compile("[^\x00-ɏ]")
 
 
+def _byte_letters() -> dict[str, int]:
+    """The letter by which a byte-level vocabulary writes each byte: itself where it prints, else one from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder(dict):
-    """Text piece -> its ids as little-endian uint32 bytes; the cache is emptied when full."""
+    """Text piece -> its ids as little-endian uint32 bytes; the cache is emptied when full.
 
-    def __init__(self, ranks_path: str, most: int = 500_000) -> None:
+    Vocabulary and added tokens are those of a byte-level BPE file of the tokenizers library, and
+    so are the ids: an added token's string in a text becomes its id.
+    """
+
+    def __init__(self, path: str, most: int = 60_000) -> None:
         super().__init__()
         import public_tokenizers
         import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        added = {t["content"]: t["id"] for t in told["added_tokens"]}
+        letters = _byte_letters()
+        ranks = {bytes(letters[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in added}
+        self.added = {k: np.array([i], "<u4").tobytes() for k, i in added.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.most, self.bpe = most, tiktoken.Encoding("lodestone", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        got = self[piece] = np.array(self.bpe.encode_ordinary(piece), "<u4").tobytes()
+        got = np.array(self.bpe.encode_ordinary(piece), "<u4").tobytes()
+        if len(piece) <= 40:  # what is long seldom comes again
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = got
         return got
 
     def encode(self, text: str) -> bytes:
+        if self.split and any(t in text for t in self.added):
+            return b"".join(self.added[part] if part in self.added else self.plain(part) for part in self.split.split(text))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if _OTHER.search(text):
             return np.array(self.bpe.encode_ordinary(text.encode("utf-8", "replace").decode()), "<u4").tobytes()
         return b"".join(map(self.__getitem__, _LATIN.findall(text)))
@@ -60,7 +83,7 @@ class Encoder(dict):
 _encoders: dict[str, Encoder] = {}
 
 
-def tokenised_pieces(docs: DataFrame, ranks_path: str, *, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document.
 
     A document is its ids and then end_id. Only longer ones are cut, so that all pieces but the
@@ -69,7 +92,7 @@ def tokenised_pieces(docs: DataFrame, ranks_path: str, *, capacity: int = 1024,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoders.get(ranks_path) or _encoders.setdefault(ranks_path, Encoder(ranks_path))
+        enc = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
@@ -178,10 +201,11 @@ def plan(hist: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     return done + [g for groups in room for g in groups]
 
 
-def pack_pieces(pieces: DataFrame, *, capacity: int = 1024, salts: int = SALTS, per_salt: int = PER_SALT) -> DataFrame:
+def pack_pieces(pieces: DataFrame, *, capacity: int = 1024, per_salt: int = PER_SALT) -> DataFrame:
     """Adds sequence_id and offset (both long) to rows with doc_id, piece and length (1..capacity).
 
     Pieces with the same doc_id and piece are ranked in any order. An empty table gives no rows.
+    per_salt: about how many pieces of one length are ranked in one task.
     """
     hist = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most `capacity` rows
@@ -204,11 +228,10 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 1024, salts: int = SALTS,
         k = np.searchsorted(starts, (length.to_numpy().astype(np.int64) << 48) | rank.to_numpy(), "right") - 1
         return pd.DataFrame({"sequence_id": lut[k, 2] + rank.to_numpy() - lut[k, 1], "offset": lut[k, 3]})
 
-    dealt = F.lit(salts)
-    if hot := [F.lit(x) for v in np.flatnonzero(hist > salts * per_salt) for x in (int(v), int(-(-hist[v] // per_salt)))]:
-        dealt = F.coalesce(F.try_element_at(F.create_map(*hot), F.col("length").cast("int")), dealt)
+    unit = max(per_salt, -(-int(hist.sum()) // MOST_SALTS))
+    dealt = F.get(F.lit([int(x) for x in np.maximum(1, -(-hist // unit))]), F.col("length").cast("int"))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), dealt).cast("int"))
-    sizes = salted.groupBy("length", "_salt").count()  # at most capacity * salts rows and one for every per_salt pieces
+    sizes = salted.groupBy("length", "_salt").count()  # at most MOST_SALTS and 2 * capacity rows
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     ranked = salted.withColumn("_k", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")))
@@ -217,7 +240,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 1024, salts: int = SALTS,
     return out.select(*pieces.columns, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, *, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenises, cuts and packs; the pieces are written once, as both the histogram and the result need them."""
-    pieces = tokenised_pieces(docs, ranks_path, capacity=capacity, end_id=end_id, with_ids=with_ids, id_col=id_col, text_col=text_col)
+    pieces = tokenised_pieces(docs, tokenizer, capacity=capacity, end_id=end_id, with_ids=with_ids, id_col=id_col, text_col=text_col)
     return pack_pieces(written(pieces, "pieces"), capacity=capacity)

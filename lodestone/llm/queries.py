@@ -28,14 +28,14 @@ def op2_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.decontaminate import contamination, digest
 
-    arrow_rows(spark, 500)
+    arrow_rows(spark, 200)
     return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10))
 
 
 def op4_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.toxicity import score_toxicity, train_toxicity
 
-    arrow_rows(spark, 500)
+    arrow_rows(spark, 200)
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)), F.lit(0))
     model = train_toxicity(docs, labels.where(fold != 0))
@@ -66,7 +66,7 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.langid import identify, train_languages
 
-    arrow_rows(spark, 500)
+    arrow_rows(spark, 200)
     docs = table(spark, sf_dir, "documents")
     fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)), F.lit(2))
     model = train_languages(docs.where(fold != 2).select("text", "lang"))
@@ -89,8 +89,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from lodestone.llm.packing import pack_documents
 
-    arrow_rows(spark, 500)
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=1024, end_id=2)
+    arrow_rows(spark, 200)
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -117,7 +117,7 @@ _ESCAPED = "(length({0}) + length({0}) - length(replace(replace({0}, '\\', ''),
 _OP10 = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', {_SAID}), (-7, 1, 'assistant', {_SAID})))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
 coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-sum(15 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")})::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
+sum(15 + {_ESCAPED.format("role")} + length(role) - length(replace(role, '>', '')) + {_ESCAPED.format("text")})::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
 
 
 def queries() -> dict:
