@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import sys
@@ -73,6 +74,68 @@ def test_terms_with_fixed_neighbours_are_masked_wherever_they_stand(spark):
     assert got[100].clean == "zeta likes blue tea 0"
 
 
+def disclosed(rows, reach=3, support=3, threshold=0.8):
+    """Brute force of the disclosing pairs: {(entity, term)}."""
+    term = re.compile(r"[^\W\d_]{3,}")
+    near, held, freq = {}, {}, {}
+    for k, text in enumerate(rows):
+        spans = brute(text)
+        inside = lambda m: any(m.start() < e and m.end() > a for a, _, e, _ in spans)
+        free = [m for m in term.finditer(text) if not inside(m)]
+        for w in {m[0].lower() for m in term.finditer(text)}:
+            freq[w] = freq.get(w, 0) + 1
+        for a, _, e, kind in spans:
+            before = sum(m.start() < a for m in free)
+            for entity in (kind, f"{kind}:{text[a:e]}"):
+                held.setdefault(entity, set()).add(k)
+                for m in free[max(before - reach, 0) : before + reach]:
+                    near.setdefault((entity, m[0].lower()), set()).add(k)
+    n, out = len(rows), set()
+    for (c, t), docs in near.items():
+        p = len(held[c]) / n
+        if len({rows[k] for k in docs}) >= support and p < 1 and math.log(len(docs) / (freq[t] + 1) / p) / -math.log(p) >= threshold:
+            out.add((c, t))
+    return out
+
+
+def test_disclosure_equals_brute_force(spark):
+    r = random.Random(21)
+    words = [f"w{a}{b}rd" for a in "abcdefgh" for b in "klmnop"]
+    texts = []
+    for i in range(400):
+        w = [r.choice(words) for _ in range(r.randint(5, 25))]
+        if i % 9 == 0:
+            at = r.randrange(len(w))
+            w[at:at] = r.choice([["mail", "me", f"u{i}@x{i}.org"], ["server", "10.0.0.7", "down"], ["reach", f"+1 555 000 {i:04d}"], ["Bob", "boss@corp.com"]])
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = pii.with_base_spans(docs).where("size(spans) > 0").withColumnRenamed("doc_id", "_row")
+    bad = pii.disclosing_terms(docs, pii.contexts(found, 3), threshold=0.8, support=3).collect()
+    want = disclosed(texts)
+    assert {(x.entity, x.term) for x in bad} == want and {("email", "mail"), ("ip", "server"), ("ip:10.0.0.7", "down"), ("phone", "reach"), ("email:boss@corp.com", "bob")} <= want
+    done = {x.doc_id: x for x in pii.sanitise(docs).collect()}
+    for i, t in enumerate(texts):
+        held = {e for a, _, b, kind in brute(t) for e in (kind, f"{kind}:{t[a:b]}")}
+        free = {m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(m.start() < b and m.end() > a for a, _, b, _ in brute(t))}
+        assert {s.value for s in done[i].spans if s.kind == "term"} == {w for e, w in want if e in held and w in free}
+
+
+def test_secrets_and_their_cues(spark):
+    r = random.Random(2)
+    key = lambda: "".join(r.choice("0123456789") + r.choice("abcdef") for _ in range(20))
+    rows = [(i, f'the config says apikey = "{key()}" in line {"abcdefghij"[i]}') for i in range(10)] + [(100 + i, f"the config says nothing in line {i} of a-very-long-hyphenated-headline-2024 12345678901234567890") for i in range(90)]
+    got = {x.doc_id: x for x in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(10):
+        assert [s.kind for s in got[i].spans] == ["term", "secret"] and got[i].clean.startswith('the config says [TERM] = "[SECRET]" in line')
+    assert not any(got[100 + i].spans for i in range(90))
+
+
+def test_long_texts_with_many_spans(spark):
+    text = " ".join(f"é{i % 10}@b.cd" for i in range(40_000))
+    x = pii.sanitise(spark.createDataFrame([(1, text), (2, "word " * 200_000)], "doc_id long, text string")).where("doc_id = 1").first()
+    assert len(x.spans) == 40_000 and x.clean == " ".join(["é[EMAIL]"] * 40_000)
+
+
 def test_digest(spark):
     text = "x@y.zz 1.2.3.4"
     r = pii.digest(pii.sanitise(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
