@@ -1,17 +1,21 @@
 """Main-text extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one looks at each block alone: its link
-density, length and stop-word density (and whether it stands in an area that is never article
-text) make it good, bad, near-good or short. Pass two lets the ambiguous blocks, short and
-near-good, inherit the label of the nearest decided neighbours. Where a page marks its article
-(`article` or `main`), neighbours are looked for inside it, and a block that has no decided
-neighbour there is good; pages without such a mark are decided by density alone.
+A page is cut into blocks at block-level tags. Pass one looks at each block alone and adds up its
+evidence: stop-word density and length speak for article text, link density against it; where the
+block stands adds to that (in the page's `article` or `main` element, beside one, or in an area
+named as menu, advert, comments and so on). Enough evidence makes a block good, little makes it
+bad, and what lies between is ambiguous: short blocks and those of middling density. Pass two lets
+an ambiguous block inherit the label of the nearest decided blocks on either side of it in its
+region, the article or the rest of the page, and a heading that of the block after it. Where the
+neighbours differ, or the region has none, its own evidence decides against the middle of the scale.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +29,7 @@ NEVER = frozenset("head script style noscript template nav footer aside form sel
 RAW = frozenset("script style textarea title noscript template iframe xmp svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li dt dd td th tr option".split())
 #: Words of class, id and role attributes that name areas beside the article.
 AREAS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer comment comments discussion reply replies cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup login share sharing social related recommended widget toolbar pagination pager search disclaimer".split())
 HEADER_AREAS = frozenset("header masthead topbar".split())
@@ -35,7 +40,8 @@ STOP = frozenset(
     "der die das und ist nicht ein eine zu den von mit sich auf für dem im als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei "
     "el los las y del se por con no una su para es al lo como más pero sus este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<|[^<]+", re.S)
+#: A tag ends before the next `<` outside quotes, so that a `<` without `>` costs no more than the text up to the next one.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<|[^<]+", re.S)
 _MARK = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -49,9 +55,51 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    evidence: float = 0.0
     label: str = ""
 
 
+class _Open(list):
+    """The open elements, as (name, inside an area, article number), with counts of what matters of them."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.count: Counter[str] = Counter()
+        self.blocks: list[int] = []  # places of block elements
+        self.links = self.headings = 0
+
+    def push(self, name: str, area: bool, root: int) -> None:
+        if name in BLOCK:
+            self.blocks.append(len(self))
+        self.count[name] += 1
+        self.links += name == "a"
+        self.headings += name in HEADINGS
+        self.append((name, area, root))
+
+    def cut(self, at: int) -> list[str]:
+        """Closes the elements from place `at` on."""
+        gone = [x[0] for x in self[at:]]
+        del self[at:]
+        self.count.subtract(gone)
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
+        self.links -= gone.count("a")
+        self.headings -= sum(x in HEADINGS for x in gone)
+        return gone
+
+    def close(self, name: str) -> list[str]:
+        """Closes the innermost element of that name and all inside it; nothing if none is open."""
+        if not self.count[name]:
+            return []
+        at = len(self) - 1
+        while self[at][0] != name:
+            at -= 1
+        return self.cut(at)
+
+    def place(self) -> tuple[bool, int]:
+        return self[-1][1:] if self else (False, 0)
+
+
 def _named(attributes: str) -> set[str]:
     found: set[str] = set()
     for m in _MARK.finditer(attributes):
@@ -60,10 +108,9 @@ def _named(attributes: str) -> set[str]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order; blocks without text are left out."""
+    """The text blocks of a page in order; blocks without text are left out. Takes time in proportion to the page."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, inside an area, article number
-    roots, link, heading, at = 0, 0, 0, 0
+    stack, roots, at = _Open(), 0, 0
     now = Block(0, False, False)
 
     def close() -> None:
@@ -71,8 +118,8 @@ def blocks(page: str) -> list[Block]:
         now.text = " ".join(html.unescape("".join(now.parts)).split())
         if now.text:
             out.append(now)
-        area, root = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        now = Block(root, area, bool(heading))
+        area, root = stack.place()
+        now = Block(root, area, bool(stack.headings))
 
     while m := _TOKEN.match(page, at):
         at = m.end()
@@ -80,122 +127,131 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             if page[m.start()] != "<" or m.end() == m.start() + 1:
                 now.parts.append(m[0])
-                now.linked += len(m[0].split()) and len(m[0].strip()) if link else 0
+                now.linked += len(m[0].strip()) if stack.links else 0
             continue
-        tag, ending = tag.lower(), bool(m[1])
-        if ending:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag == "a":
-                        link = max(0, link - 1)
-                    heading -= sum(x[0] in HEADINGS for x in stack[k:])
-                    changes = any(x[0] in BLOCK or x[0] in NEVER for x in stack[k:])
-                    del stack[k:]
-                    if changes:
-                        close()
-                    break
+        tag = tag.lower()
+        if m[1]:
+            if any(x in BLOCK or x in NEVER for x in stack.close(tag)):
+                close()
             continue
         if tag == "br":
             now.parts.append(" ")
-            continue
+        if tag == "hr":
+            close()
         if tag in VOID:
-            if tag == "hr":
-                close()
             continue
-        area, root = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        if tag == "a":
-            link += 1
-        if tag in BLOCK:  # an open paragraph, item or cell ends where the next block begins
-            for k in range(len(stack) - 1, -1, -1):
-                name = stack[k][0]
-                if name == "p" or (name == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option", "a")):
-                    heading -= sum(x[0] in HEADINGS for x in stack[k:])
-                    link -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    area, root = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                    break
-                if name in BLOCK:
-                    break
+        if tag in BLOCK and stack.blocks:  # an open paragraph, item or cell ends where the next block begins
+            name = stack[stack.blocks[-1]][0]
+            if name == "p" or (name == tag and tag in ITEMS):
+                stack.cut(stack.blocks[-1])
+        area, root = stack.place()
         if tag in ("article", "main") and not area and not root:
             roots += 1
             root = roots
-        names = _named(m[3]) if m[3] and tag not in HEADINGS and tag not in ("html", "body", "article", "main") else ()
-        beside = tag in NEVER or (tag == "header" and not root) or bool(names and (not AREAS.isdisjoint(names) or (not root and not HEADER_AREAS.isdisjoint(names))))
-        raw = tag in RAW
-        if raw or m[0].endswith("/>"):
-            if raw and not m[0].endswith("/>"):
+        if tag in RAW or m[0].endswith("/>"):
+            if tag in RAW and not m[0].endswith("/>"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
-        heading += tag in HEADINGS
-        stack.append((tag, area or beside, root))
+        beside = _beside(tag, m[3], root)
+        stack.push(tag, area or beside, root)
         if tag in BLOCK or tag in NEVER or beside:
             close()
     close()
     return out
 
 
-def first_pass(b: Block, *, low: int = 70, high: int = 200, stop_low: float = 0.2, stop_high: float = 0.3, links: float = 0.4) -> str:
+def _beside(tag: str, attributes: str, root: int) -> bool:
+    """Whether an element is an area beside the article text, by its own or its class, id or role name."""
+    if tag in NEVER or (tag == "header" and not root):
+        return True
+    names = _named(attributes) if attributes and tag not in HEADINGS and tag not in ("html", "body", "article", "main") else set()
+    return not AREAS.isdisjoint(names) or (not root and not HEADER_AREAS.isdisjoint(names))
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Weights and thresholds of the evidence. Density and length count up to 1 each."""
+
+    stop: float = 0.25  # share of stop words that counts in full
+    length: int = 200  # characters that count in full
+    links: float = 3.0  # against a block that is all links
+    inside: float = 1.25  # for a block in the page's article
+    outside: float = -1.5  # for a block outside it, where the page has one
+    area: float = -4.0
+    rights: float = -2.0  # for a copyright sign outside the article
+    good: float = 1.6
+    middle: float = 0.9
+    bad: float = 0.0
+
+
+RULES = Rules()
+
+
+def first_pass(b: Block, marked: bool, rules: Rules = RULES) -> None:
+    """Sets evidence and label (good, bad or ambiguous) of a block by itself. marked: whether its page has an article element."""
     n = len(b.text)
-    share = b.linked / max(n, 1)
-    if b.area or share > links or ("©" in b.text and not b.root):
-        return "bad"
     words = _WORD.findall(b.text.lower())
     dense = sum(w in STOP for w in words) / max(len(words), 1)
-    if n < low:
-        return "bad" if share > 0 and not b.root else "short"
-    if dense >= stop_high:
-        return "good" if n > high else "near"
-    if dense >= stop_low:
-        return "near"
-    return "short" if b.root else "bad"
-
-
-def second_pass(found: list[Block]) -> None:
-    """Ambiguous blocks take the label of the nearest decided block of their article or of the rest of the page."""
-    decided = [(i, b.label) for i, b in enumerate(found) if b.label in ("good", "bad") and not (b.root and b.area)]
-    for root in {b.root for b in found}:
-        sure = [(i, label) for i, label in decided if found[i].root == root]
-        if not root:  # the edges of a page are not article text
-            sure = [(-1, "bad"), *sure, (len(found), "bad")]
-        k = 0
-        for i, b in enumerate(found):
-            if b.root != root or b.label in ("good", "bad"):
-                continue
-            while k < len(sure) and sure[k][0] < i:
-                k += 1
-            left = sure[k - 1] if k else None
-            right = sure[k] if k < len(sure) else None
-            if not left and not right:
-                b.label = "good" if root or b.label == "near" else "bad"
-                continue
-            gap_l = i - left[0] if left else 10**9
-            gap_r = right[0] - i if right else 10**9
-            if b.heading and right:  # a heading belongs to what follows
-                b.label = right[1]
-            elif gap_l == gap_r and left[1] != right[1]:
-                b.label = "good" if root or b.label == "near" else "bad"
-            else:
-                b.label = left[1] if gap_l <= gap_r else right[1]
-            if b.label == "bad" and b.root:
-                b.label = "good" if not b.linked else "bad"
+    b.evidence = min(dense / rules.stop, 1.0) + min(n / rules.length, 1.0) - rules.links * b.linked / max(n, 1)
+    if b.area:
+        b.evidence += rules.area
+    elif b.root:
+        b.evidence += rules.inside
+    elif marked:
+        b.evidence += rules.outside
+    if not b.root and "©" in b.text:
+        b.evidence += rules.rights
+    b.label = "good" if b.evidence >= rules.good else "bad" if b.evidence <= rules.bad else "ambiguous"
 
 
-def main_text(page: str | None) -> str:
+def second_pass(found: list[Block], rules: Rules = RULES) -> None:
+    """Ambiguous blocks inherit from the nearest decided blocks before and after them in their region, which is their article or the rest of the page.
+
+    Where these two agree, theirs is the label; where they differ, the block's own evidence decides
+    against the middle. The edges of an article count as good blocks, those of the rest of the page as
+    bad ones; in a region without decided blocks the evidence decides. A heading takes the label of
+    the block after it in its region. Areas named as beside the article are no neighbours.
+    """
+    labels = [b.label for b in found]
+    decided: dict[int, list[int]] = {}
+    regions: dict[int, list[int]] = {}
+    for i, b in enumerate(found):
+        if not b.area:
+            regions.setdefault(b.root, []).append(i)
+            if labels[i] != "ambiguous":
+                decided.setdefault(b.root, []).append(i)
+    for i, b in enumerate(found):
+        if labels[i] == "ambiguous":
+            sure, edge = decided.get(b.root, []), "good" if b.root else "bad"
+            k = bisect(sure, i)
+            left, right = labels[sure[k - 1]] if k else edge, labels[sure[k]] if k < len(sure) else edge
+            b.label = left if sure and left == right else "good" if b.evidence >= rules.middle else "bad"
+    for places in regions.values():
+        for i, after in zip(places[-2::-1], places[:0:-1], strict=True):
+            if found[i].heading and labels[i] == "ambiguous":
+                found[i].label = found[after].label
+
+
+def classified(page: str | None) -> list[Block]:
+    """The blocks of a page, labelled by both passes."""
     found = blocks(page or "")
-    rooted = any(b.root and not b.area for b in found)
+    marked = any(b.root and not b.area for b in found)
     for b in found:
-        b.label = first_pass(b)
-        if rooted and not b.root:
-            b.label = "bad"  # the page marks its article
+        first_pass(b, marked)
     second_pass(found)
-    return "\n\n".join(b.text for b in found if b.label == "good")
+    return found
+
+
+def main_text(page: str | None) -> str:
+    return "\n\n".join(b.text for b in classified(page) if b.label == "good")
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", keep: tuple | list = ("page_id", "url")) -> DataFrame:
     """(*keep, text): the main text of every row; null and empty pages have none.
 
-    One row per row of pages, repeated rows included; broken markup is read as far as it goes.
+    One row per row of pages, repeated rows included; broken markup is read as far as it goes, a
+    page of any length in one piece. An empty table gives no rows. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,49 +14,34 @@ def test_winnowing_equals_brute_force(spark):
     r = random.Random(1)
     texts = ["", None, "!!!", "one", "One two", "a" * 5000, "Ünï çødé ☃ text"] + [" ".join(r.choice(LATIN) for _ in range(r.choice([3, 10, 100, 300]))) for _ in range(30)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as hashes", "2 as prints_t").repartition(3)
-    from pyspark.sql import functions as F
+    every = _all(spark, [t or "" for t in texts])
+    for w in (1, 4, 5, 8):
+        got = {x.doc_id: [(p.hash, p.pos) for p in x.prints] for x in winnowing.fingerprints(df, window=w).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == _winnowed(every[t or ""], w), (w, t)
 
-    grams = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    hashes = {x.doc_id: x.g for x in winnowing.with_prints(grams, "text", "g", window=1).collect()}  # every k-gram
-    got = {x.doc_id: x.prints for x in winnowing.fingerprints(df).collect()}
-    for i, t in enumerate(texts):
-        n = len(re.findall(rf"[^\W_]{{1,{winnowing.TOKEN}}}", (t or "").lower()))
-        w = 2 if max(n - 2, 1) < winnowing.SHORT else 8
-        every = _all(spark, t or "", n)
-        want = []
-        for a in range(max(1, len(every) - w + 1)):
-            low = min(h for h, _ in every[a : a + w])
-            pick = max((h, p) for h, p in every[a : a + w] if h == low)
-            if pick not in want:
-                want.append(pick)
-        assert [(p >> 32, 0xFFFFFFFF - (p & 0xFFFFFFFF)) for p in got[i]] == want
-    assert len(hashes) == len(texts)
-
-
-def _all(spark, text, n):
-    """All (hash, position) of the text's k-grams, hashed by Spark one by one."""
-    from pyspark.sql import functions as F
 
-    tokens = re.findall(rf"[^\W_]{{1,{winnowing.TOKEN}}}", text.lower())
-    row = spark.range(1)
-    if not tokens:
-        return [(row.select(F.xxhash64(F.xxhash64(F.xxhash64(F.lit(text)))).bitwiseAND(F.lit(0x7FFFFFFF))).first()[0], 0)]
-    one = [F.xxhash64(F.lit(t)) for t in dict.fromkeys(tokens)]
-    at = {t: h for t, h in zip(dict.fromkeys(tokens), row.select(*one).first(), strict=True)}
-    size = min(3, len(tokens))
-    runs = [tokens[i : i + size] for i in range(len(tokens) - size + 1)]
+def _winnowed(every, w):
+    want = []
+    for a in range(max(1, len(every) - w + 1)):
+        low = min(h for h, _ in every[a : a + w])
+        pick = max((h, p) for h, p in every[a : a + w] if h == low)
+        if pick not in want:
+            want.append(pick)
+    return want
+
 
-    def mixed(run):
-        c = F.lit(at[run[0]])
-        for t in run[1:]:
-            c = F.xxhash64(c, F.lit(at[t]))
-        for _ in range(3 - size):  # a missing token is a null, which only hashes once more
-            c = F.xxhash64(c)
-        return c.bitwiseAND(F.lit(0x7FFFFFFF))
+def _all(spark, texts):
+    """text -> all (hash, position) of its k-grams, from tokens and grams that are hashed one a row."""
+    from pyspark.sql import functions as F
 
-    distinct = list(dict.fromkeys(map(tuple, runs)))
-    value = dict(zip(distinct, row.select(*[mixed(list(x)).alias(f"c{i}") for i, x in enumerate(distinct)]).first(), strict=True))
-    return [(value[tuple(x)], i) for i, x in enumerate(runs)]
+    tokens = {t: re.findall(rf"[^\W_]{{1,{winnowing.TOKEN}}}", t.lower()) or [t] for t in texts}
+    words = spark.createDataFrame([(w,) for w in sorted({w for x in tokens.values() for w in x})], "w string")
+    at = {r.w: r.h for r in words.select("w", F.xxhash64("w").alias("h")).collect()}
+    runs = {t: [tuple(at[w] for w in x[i : i + 3]) + (None,) * (3 - len(x)) for i in range(max(1, len(x) - 2))] for t, x in tokens.items()}
+    grams = spark.createDataFrame(sorted({g for x in runs.values() for g in x}, key=str), "a long, b long, c long")
+    mixed = {(r.a, r.b, r.c): r.h for r in grams.select("*", F.xxhash64(F.xxhash64("a", "b"), "c").alias("h")).collect()}  # a missing token is a null, which only hashes once more
+    return {t: [(mixed[g], i) for i, g in enumerate(x)] for t, x in runs.items()}
 
 
 def test_edit_and_next(spark):
@@ -76,11 +61,39 @@ def test_edit_and_next(spark):
     assert winnowing.compare_with_edit_and_next(many).count() == 5002
 
 
-def test_likeness_does_not_jump_with_the_text_length(spark):
-    words = [f"w{i}" for i in range(winnowing.SHORT + 2)]  # as many k-grams as the first text with wide windows has
-    df = spark.createDataFrame([(2, " ".join(words)), (1, " ".join(words[:-1]))], "doc_id long, text string")
-    got = {r.doc_id: r.near_next for r in winnowing.compare_with_edit_and_next(df).collect()}
-    assert got[1] == got[2] > 0.9
+def test_likeness_equals_brute_force_at_every_length(spark):
+    words = [f"w{i}" for i in range(80)]
+    texts = {i: " ".join(words[: 80 - i]) for i in range(80)}
+    got = {r.doc_id: r for r in winnowing.compare_with_edit_and_next(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    following = {i: texts[(i - 1) % 80] for i in texts}
+    changed = {i: t[: len(t) - len(t) // 2] + following[i][: len(t) // 2] for i, t in texts.items()}
+    every = _all(spark, [*texts.values(), *changed.values()])
+    prints = lambda t: {h for h, _ in _winnowed(every[t], 4)}
+    for i, t in texts.items():
+        for other, likeness in ((following[i], got[i].near_next), (changed[i], got[i].near_edited)):
+            assert likeness == len(prints(t) & prints(other)) / len(prints(t) | prints(other))
+    assert min(got[i].near_next for i in range(1, 60)) > 0.85  # no jump at any length
+
+
+def test_ids_of_any_spread_keep_their_order_in_small_buckets(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    spreads = {
+        "hashed": [r.randrange(-(2**63), 2**63) for _ in range(3000)] + [-(2**63), 2**63 - 1], "outlier": [*range(3000), 10**15], "two ranges": [*range(1500), *range(10**12, 10**12 + 1500)],
+        "hot id": [7] * 2000 + [*range(100, 600)] + [None] * 500}
+    for name, ids in spreads.items():
+        rows = [(i, f"text {k}") for k, i in enumerate(ids)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        got = winnowing.with_next(df, per_bucket=100).where("_copy = 0").collect()
+        hashed = {x.text: x.h for x in df.select("text", F.xxhash64("text").alias("h")).collect()}
+        order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), -hashed[x[1]]))
+        follows = {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)}
+        assert {x.text: x.next_text for x in got} == follows, name
+        sizes = {}
+        for x in got:
+            sizes[x._bucket] = sizes.get(x._bucket, 0) + 1
+        assert max(sizes.values()) <= 250, name
 
 
 def test_chat_round_trip(spark):
@@ -95,6 +108,18 @@ def test_chat_round_trip(spark):
     assert chat.formatted(chat.linear_tree(df.where("false"))).count() == 0
 
 
+def test_chat_roles_may_hold_marks_and_conversations_may_be_long(spark):
+    texts = [f"{i} \\g \\s <turn a> > é😀 " * (i % 5) for i in range(3000)]
+    rows = [(1, i, ("a>b", "</turn>", "\\g>", "assistant")[i % 4], t) for i, t in enumerate(texts)] + [(2, 0, "a>b", "hello"), (3, 0, "assistant", "x" * 1_000_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    done = chat.formatted(chat.linear_tree(df))
+    turns = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in done.withColumn("turns", chat.read_turns("formatted")).collect()}
+    assert turns[1] == [(r, t) for _, _, r, t in rows[:3000]] and turns[2] == [("a>b", "hello")]
+    got = {r.conv_id: r for r in chat.digest(done).collect()}
+    said = "".join(t for i, t in enumerate(texts) if i % 4 == 3)
+    assert (got[1].loss_chars, got[1].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest()) and got[3].loss_chars == 1_000_000 and got[2].loss_chars == 0
+
+
 def test_best_branch_of_a_tree(spark):
     nodes = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", 0.1), (1, 3, 1, "assistant", "good", 0.9), (1, 4, 3, "user", "thanks", 0.5), (1, 5, 99, "user", "orphan", -1.0), (1, 6, 7, "user", "c", 9.0), (1, 7, 6, "user", "c", 9.0)]
     df = spark.createDataFrame(nodes, "conv_id long, node long, parent long, role string, text string, score double")
@@ -119,9 +144,54 @@ def test_html():
         html_extract.main_text(broken)
 
 
+def test_blocks_inherit_from_their_nearest_neighbours():
+    r = random.Random(5)
+    for _ in range(300):
+        found = [html_extract.Block(r.choice([0, 0, 1]), r.random() < 0.1, r.random() < 0.15, evidence=r.uniform(-1, 3), text="x") for _ in range(r.randint(0, 25))]
+        for b in found:
+            b.label = r.choice(["good", "bad", "ambiguous", "ambiguous"])
+        first = [b.label for b in found]
+        html_extract.second_pass(found)
+        for i, b in enumerate(found):
+            if first[i] != "ambiguous":
+                assert b.label == first[i]
+                continue
+            region = [j for j, x in enumerate(found) if x.root == b.root and not x.area]
+            sure = [j for j in region if first[j] != "ambiguous"]
+            edge = "good" if b.root else "bad"
+            left, right = ([first[j] for j in sure if j < i] or [edge])[-1], ([first[j] for j in sure if j > i] or [edge])[0]
+            want = left if sure and left == right else "good" if b.evidence >= html_extract.RULES.middle else "bad"
+            after = [j for j in region if j > i]
+            if b.heading and after and not b.area:
+                want = found[after[0]].label
+            assert b.label == want
+
+
+def test_ambiguous_blocks_may_turn_bad():
+    links = "".join(f"<p><a href=x>more of the news and of the day number {i}</a></p>" for i in range(3))
+    long = "the man was in the house and it was on the hill, as he had been there with his dog for a year " * 3
+    page = f"<article><p>{long}</p>{links}<p>Xylophone quartz</p>{links}</article>"
+    assert html_extract.main_text(page) == long.strip()
+    assert [b.label for b in html_extract.classified(page)] == ["good"] + ["bad"] * 7
+
+
+def test_closing_over_a_link_ends_it():
+    assert html_extract.main_text("<article><p><a href=x>foo</p><p>the man of the house</p></article>") == "the man of the house"
+
+
+def test_broken_pages_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    for bad in ("<a " * 80_000, "<b>" * 80_000 + "</i>" * 80_000, "<b>" * 8000 + "<div></div>" * 50_000, "<!" * 80_000, "<div>" * 50_000, "<a href='" * 50_000, "<p>x" * 50_000):
+        html_extract.main_text(bad)
+    assert time.time() - began < 60
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>x"), (2, None, None)], "page_id long, url string, html string").selectExpr("*", "'t' as text")
     assert {(r.page_id, r.text) for r in html_extract.extract(df).collect()} == {(1, "x"), (2, "")}
+    assert html_extract.extract(df.where("false")).count() == 0 and html_extract.extract(df.unionByName(df)).count() == 4
 
 
 def test_language_mixture(spark):
@@ -134,11 +204,30 @@ def test_language_mixture(spark):
     got = {x.doc_id: {s.lang: s.share for s in x.languages} for x in langid.identify(df, model).collect()}
     assert set(got[1]) == {"la"} and set(got[2]) == {"de"} == set(got[7]) and set(got[3]) == {"la", "de"} and abs(got[3]["la"] - 0.5) < 0.15
     assert got[4] == got[5] == got[6] == {} and len(got[8]) == 1
+    assert len(langid.trigrams(["\U00030010\U00031234"])[0]) == 2  # letters beyond U+30000
     assert len(langid.trigrams(["x"])[0]) == 1 and len(langid.trigrams(["", "1", "\ud800"])[0]) == 0
     none = langid.train_languages(spark.createDataFrame([], "text string, lang string"))
     assert langid.identify(df, none).where("size(languages) > 0").count() == 0
 
 
+def test_any_number_of_languages(spark):
+    r = random.Random(9)
+    letters = [[chr(0x4E00 + 30 * k + j) for j in range(6)] for k in range(90)]
+    say = lambda k, n: " ".join("".join(r.choices(letters[k], k=4)) for _ in range(n))
+    model = langid.train_languages(spark.createDataFrame([(say(k, 60), f"l{k:02d}") for k in range(90)], "text string, lang string"))
+    docs = [(k, say(k, 30)) for k in range(90)] + [(100, " ".join(say(k, 60) for k in range(7)))]
+    got = {x.doc_id: {s.lang for s in x.languages} for x in langid.identify(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    assert all(got[k] == {f"l{k:02d}"} for k in range(90)) and got[100] == {f"l{k:02d}" for k in range(7)}
+
+
+def test_texts_are_sliced_between_words(monkeypatch):
+    monkeypatch.setattr(langid, "SLICE", 10)
+    texts = ["abcdefgh ijklmnop", None, "x" * 25 + " y", "short"]
+    parts = [(i, p) for ids, run in langid.sliced(texts) for i, p in zip(ids, run, strict=True)]
+    assert ["".join(p for i, p in parts if i == k) for k in range(4)] == [t or "" for t in texts]
+    assert all(not (p and p[-1].isalpha() and q[0].isalpha()) for (i, p), (j, q) in zip(parts, parts[1:], strict=False) if i == j)
+
+
 def test_toxicity_learns_from_weak_votes(spark):
     r = random.Random(6)
     bad = ["scumbag", "dimwit", "trashy", "moronic", "loserly", "nitwit"]
@@ -184,6 +273,18 @@ def test_toxic_terms_outside_the_sample_are_mined(spark):
     assert got[5000] >= 0.5 > got[5001] and all(got[i] >= 0.5 for i in late)
 
 
+def test_toxicity_sample_bounds_what_the_driver_gets(spark, monkeypatch):
+    rows = [(1, f"text number {i} " + "scumbag " * (i % 2)) for i in range(600)]
+    d, y = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as toxic", "2 as found"), spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, toxic int")
+    got = []
+    fit = toxicity.fit_classifier
+    monkeypatch.setattr(toxicity, "fit_classifier", lambda r, *a, **k: got.append(len(r)) or fit(r, *a, **k))
+    toxicity.train_toxicity(d, y, sample=20)
+    assert got[0] <= 20
+    empty = toxicity.train_toxicity(d.where("false"), y)
+    assert toxicity.score_toxicity(d.where("false"), empty).count() == 0 and toxicity.score_toxicity(d, empty).count() == 600
+
+
 def test_label_model_reads_accuracies():
     r = np.random.default_rng(1)
     y = r.random(200_000) < 0.1
