@@ -1,26 +1,27 @@
 """Winnowing fingerprints, in DataFrame functions only.
 
 Tokens are runs of at most TOKEN letters or digits, lower-cased, counted from the start of each
-word, so that short texts and scripts without blanks have enough of them. Every k-gram of tokens is hashed
-by combining the hashes of its tokens; of every window of `window` consecutive k-grams the least
-hash is kept, the rightmost one on ties, with its position. So two texts that share a run of
-window + k - 1 tokens share a fingerprint, and any fingerprint can be traced to its place.
-
-A fingerprint is one long: 31 bits of hash, then the inverted position, so that the least long of
-a window is the least hash and, on ties, the rightmost position. Windows are taken by doubling,
-array against shifted array, so the cost per token grows with log(window).
+word, so that short texts and scripts without blanks have enough of them. Every k-gram of tokens is
+hashed to 64 bits by combining the hashes of its tokens; of every window of `window` consecutive
+k-grams the least hash is kept, the rightmost one on ties, with its position. So two texts that
+share a run of window + k - 1 tokens share a fingerprint, and any fingerprint can be traced to its
+place. One window serves texts of every length.
+
+Window minima are taken by doubling, array against shifted array, so the cost per token grows with
+log(window).
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm._common import BROADCAST_ROWS
 
-TOKEN, SHORT = 4, 64
-_LOW = 0xFFFFFFFF
+TOKEN, QUANTILES = 4, 1024
 
 
 def _shifted(c: str, by: int) -> Column:
@@ -31,15 +32,14 @@ def _least(a: Column, b: Column) -> Column:
     return F.least(a, b)  # a null beyond the end is skipped
 
 
-def with_prints(df: DataFrame, text: str, out: str, *, k: int = 3, window: int = 8, narrow: str | None = None) -> DataFrame:
-    """Adds `out`, array<long>: the winnowed fingerprints of the column `text` in order of position.
+def with_prints(df: DataFrame, text: str, out: str, *, k: int = 3, window: int = 4) -> DataFrame:
+    """Adds `out`, array<struct<hash long, pos int>>: the winnowed fingerprints of the column `text` by position.
 
-    A text of fewer than SHORT tokens has windows of two k-grams, which only strengthens the
-    guarantee. A text of fewer than k tokens has one k-gram of all its tokens; one without tokens has the
-    hash of the whole text, so equal texts always have equal fingerprints. narrow: a struct column
-    to add, (short, hashes): whether the text is short, and its distinct hashes by windows of two.
+    A text of fewer than k tokens has one k-gram of all its tokens; one without tokens has the hash
+    of the whole text, so equal texts always have equal fingerprints. A text of fewer k-grams than
+    `window` has one window. The helper columns out_t, out_g and out_m replace columns of such names.
     """
-    t, g = f"{out}_t", f"{out}_g"
+    t, g, m = f"{out}_t", f"{out}_g", f"{out}_m"
     df = df.withColumn(t, F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}\p{{N}}]{{1,{TOKEN}}}+"), F.lit(0)))
     df = df.withColumn(t, F.transform(t, lambda x: F.xxhash64(x)))
     df = df.withColumn(t, F.when(F.size(t) > 0, F.col(t)).otherwise(F.array(F.xxhash64(text))))
@@ -47,33 +47,33 @@ def with_prints(df: DataFrame, text: str, out: str, *, k: int = 3, window: int =
     for j in range(1, k):
         df = df.withColumn(g, F.zip_with(g, _shifted(t, j), lambda a, b: F.xxhash64(a, b)))
     df = df.withColumn(g, F.slice(g, F.lit(1), F.greatest(F.size(t) - (k - 1), F.lit(1))))
-    df = df.withColumn(g, F.transform(g, lambda x, i: F.shiftleft(x.bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(F.lit(_LOW) - i)))
-    df = df.withColumn(t, F.size(g))
-    if narrow:
-        pairs = F.zip_with(g, _shifted(g, 1), _least) if window > 1 else F.col(g)
-        of_two = F.slice(pairs, F.lit(1), F.greatest(F.col(t) - (min(2, window) - 1), F.lit(1)))
-        df = df.withColumn(narrow, F.struct((F.col(t) < SHORT).alias("short"), F.array_distinct(F.transform(of_two, lambda p: F.shiftright(p, 32))).alias("hashes")))
+    df = df.withColumn(m, F.col(g))
     done = 1
-    while 2 * done <= window:
-        # the windows of a short text stop growing after the first round
-        wider = F.zip_with(g, _shifted(g, done), _least)
-        df = df.withColumn(g, wider if done == 1 else F.when(F.col(t) < SHORT, F.col(g)).otherwise(wider))
-        done *= 2
-    if done < window:
-        df = df.withColumn(g, F.when(F.col(t) < SHORT, F.col(g)).otherwise(F.zip_with(g, _shifted(g, window - done), _least)))
-    width = F.when(F.col(t) < SHORT, min(2, window)).otherwise(window)
-    df = df.withColumn(out, F.array_distinct(F.slice(g, F.lit(1), F.greatest(F.col(t) - width + 1, F.lit(1)))))
-    return df.drop(t, g)
+    while done < window:
+        step = min(done, window - done)
+        df = df.withColumn(m, F.zip_with(m, _shifted(m, step), _least))
+        done += step
+    df = df.withColumn(m, F.slice(m, F.lit(1), F.greatest(F.size(g) - (window - 1), F.lit(1))))
+
+    def rightmost(least: Column, i: Column) -> Column:
+        place = i
+        for j in range(1, window):
+            place = F.when(F.get(F.col(g), i + j) == least, i + j).otherwise(place)
+        return place
+
+    df = df.withColumn(t, F.array_distinct(F.transform(m, rightmost)))
+    df = df.withColumn(out, F.transform(t, lambda p: F.struct(F.get(F.col(g), p).alias("hash"), p.alias("pos"))))
+    return df.drop(t, g, m)
 
 
 def hashes(prints: str) -> Column:
     """The distinct hashes of an array of fingerprints."""
-    return F.array_distinct(F.transform(prints, lambda p: F.shiftright(p, 32)))
+    return F.array_distinct(F.transform(prints, lambda p: p["hash"]))
 
 
 def written_out(prints: str) -> Column:
     """hash@position of each fingerprint, joined by commas."""
-    return F.array_join(F.transform(prints, lambda p: F.concat(F.lower(F.hex(F.shiftright(p, 32))), F.lit("@"), (F.lit(_LOW) - p.bitwiseAND(F.lit(_LOW))).cast("string"))), ",")
+    return F.array_join(F.transform(prints, lambda p: F.concat(F.lower(F.hex(p["hash"])), F.lit("@"), p["pos"].cast("string"))), ",")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -82,46 +82,83 @@ def likeness(a: str, b: str) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def alike(a: str, b: str, narrow_a: str, narrow_b: str) -> Column:
-    """Likeness by one window for both texts: that of short texts if either is short."""
-    short = F.col(f"{narrow_a}.short") | F.col(f"{narrow_b}.short")
-    return F.when(short, likeness(f"{narrow_a}.hashes", f"{narrow_b}.hashes")).otherwise(likeness(a, b))
-
-
-def fingerprints(docs: DataFrame, *, k: int = 3, window: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, *, k: int = 3, window: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, prints, hashes) of every row; null text is empty. Other columns are ignored."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return with_prints(docs, "text", "prints", k=k, window=window).withColumn("hashes", hashes("prints"))
 
 
+def _listed(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _interval(df: DataFrame, bounds: list[int], out: str) -> DataFrame:
+    """Adds the number of bounds (sorted) that are at most doc_id, by bisection."""
+    df = df.withColumn(out, F.lit(0))
+    step = 1 << max(len(bounds).bit_length() - 1, 0)
+    while step and bounds:
+        df = df.withColumn(out, F.when(F.get(_listed(bounds, "long"), F.col(out) + step - 1) <= F.col("doc_id"), F.col(out) + step).otherwise(F.col(out)))
+        step //= 2
+    return df
+
+
+def _bounds(quantiles: list[int]) -> list[int]:
+    """Distinct quantiles; an id that is several of them gets an interval of its own."""
+    own = {q + 1 for a, q in zip(quantiles, quantiles[1:], strict=False) if a == q and q < 2**63 - 1}
+    return sorted({*quantiles, *own})
+
+
+def with_buckets(docs: DataFrame, per_bucket: int = 1000) -> DataFrame:
+    """Adds _hash and _bucket, ranges of the order (id, text hash) of about per_bucket rows; null ids come before all.
+
+    Quantiles of the ids cut their range into intervals; an interval is cut into equal ranges of ids
+    by its count, or of text hashes if it holds one id. So neither gaps nor outliers nor an id that
+    many rows share makes a large bucket; there are BROADCAST_ROWS + 2 * QUANTILES + 1 buckets at most.
+    """
+    docs = docs.withColumn("_hash", F.xxhash64("text"))
+    n, ids, low, high = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    per = max(per_bucket, -(-n // BROADCAST_ROWS))
+    q = min(QUANTILES, ids // per)
+    quantiles = docs.agg(F.percentile_approx("doc_id", [i / q for i in range(1, q)], 20_000)).first()[0] if q > 1 else []
+    bounds = _bounds([int(x) for x in quantiles])
+    placed = _interval(docs, bounds, "_interval")
+    counts = {r["_interval"]: r["count"] for r in placed.where("doc_id is not null").groupBy("_interval").count().collect()}  # 2 * QUANTILES rows at most
+    edges = [low or 0, *bounds, (high or 0) + 1]
+    parts = [-(-counts.get(i, 1) // per) for i in range(len(edges) - 1)]
+    of = lambda values, kind: F.get(_listed(values, kind), F.col("_interval"))
+    wide = [float(b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    by_hash = F.col("_hash").cast("double") / F.lit(2.0**64) + 0.5
+    by_id = (F.col("doc_id").cast("double") - of([float(x) for x in edges[:-1]], "double")) / of(wide, "double")
+    sub = lambda share, parts: F.greatest(F.lit(0), F.least(F.floor(share * parts).cast("long"), parts - 1))
+    inner = sub(F.when(of(wide, "double") > 1, by_id).otherwise(by_hash), of(parts, "long"))
+    null_parts = max(1, -(-(n - ids) // per))
+    bucket = F.when(F.col("doc_id").isNull(), sub(by_hash, F.lit(null_parts).cast("long")) - (1 << 20)).otherwise(F.col("_interval").cast("long") * (1 << 20) + inner)
+    return placed.withColumn("_bucket", bucket).drop("_interval")
+
+
 def with_next(docs: DataFrame, *, per_bucket: int = 1000) -> DataFrame:
     """Adds next_text and keeps the id order in buckets: the next row by descending doc_id.
 
     After the last row comes the first. Rows with a null id come last; rows with equal ids are
-    ordered by the hash of their text. Ranges of ids are the buckets; each bucket also gets a copy
-    of the row that follows its last one, so no task sees more than its bucket and that row.
-    docs: (doc_id, text). Adds _bucket and _copy (1 for such a copy) for later windows.
+    ordered by the hash of their text. Each bucket also gets a copy of the row that follows its last
+    one, so no task sees more than its bucket and that row. docs: (doc_id, text), ids any long.
+    Adds _hash, _bucket and _copy (1 for such a copy) for later windows.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(1, ((high - low + 1) * per_bucket) // max(n, 1)) if n else 1
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / width).cast("long"), F.lit(-1).cast("long"))
-    placed = docs.withColumn("_bucket", bucket)
-    heads = placed.groupBy("_bucket").agg(F.max("doc_id").alias("head"))
-    down = Window.orderBy(F.desc("_bucket"))  # as many rows as there are buckets
-    top = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = with_buckets(docs, per_bucket)
+    heads = placed.groupBy("_bucket").agg(F.max(F.struct("doc_id", "_hash")).alias("head"))
+    down = Window.orderBy(F.desc("_bucket"))  # as many rows as there are buckets, a bounded number
+    top = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     follow = heads.select(F.col("_bucket").alias("_for"), F.coalesce(F.lead("_bucket").over(down), F.first("_bucket").over(top)).alias("_bucket"))
     follow = follow.join(heads, "_bucket")
-    # a row a bucket: broadcast where that is few, so that the texts are not shuffled for it
-    few = n <= BROADCAST_ROWS * per_bucket
-    lead_row = placed.alias("p").join((F.broadcast(follow) if few else follow).alias("f"), (F.col("p._bucket") == F.col("f._bucket")) & F.col("p.doc_id").eqNullSafe(F.col("f.head")))
-    lead_row = lead_row.groupBy("_for").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
-    copies = lead_row.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.col("_for").alias("_bucket"), F.lit(1).alias("_copy"))
+    here = (F.col("p._bucket") == F.col("f._bucket")) & F.col("p.doc_id").eqNullSafe(F.col("f.head.doc_id")) & (F.col("p._hash") == F.col("f.head._hash"))
+    lead_row = placed.alias("p").join(F.broadcast(follow).alias("f"), here).groupBy("_for").agg(F.max("text").alias("text"), F.max("_hash").alias("_hash"))
+    copies = lead_row.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "_hash", F.col("_for").alias("_bucket"), F.lit(1).alias("_copy"))
     every = placed.withColumn("_copy", F.lit(0)).unionByName(copies)
     return every.withColumn("next_text", F.lead("text").over(in_order()))
 
 
 def in_order():
-    return Window.partitionBy("_bucket").orderBy("_copy", F.desc("doc_id"), F.desc(F.xxhash64("text")))
+    return Window.partitionBy("_bucket").orderBy("_copy", F.desc("doc_id"), F.desc("_hash"))
 
 
 def edited(text: Column, n: Column, following: Column) -> Column:
@@ -130,18 +167,19 @@ def edited(text: Column, n: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(following, F.lit(1), half))
 
 
-def compare_with_edit_and_next(docs: DataFrame, *, k: int = 3, window: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_with_edit_and_next(docs: DataFrame, *, k: int = 3, window: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
-    One row per row of docs; an empty table gives none; a single row is followed by itself. Both
-    texts of a pair are compared by the same window.
+    One row per row of docs; null text is empty; an empty table gives none; a single row is followed
+    by itself; repeated rows follow one another. Ids are whole numbers. A text of any length is one
+    row. Other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_prints(with_next(docs), "text", "prints", k=k, window=window, narrow="narrow").withColumn("hashes", hashes("prints"))
-    rows = rows.withColumns({"next_hashes": F.lead("hashes").over(in_order()), "next_narrow": F.lead("narrow").over(in_order())}).where("_copy = 0")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = with_prints(with_next(docs), "text", "prints", k=k, window=window).withColumn("hashes", hashes("prints"))
+    rows = rows.withColumn("next_hashes", F.lead("hashes").over(in_order())).where("_copy = 0")
     rows = rows.withColumn("n", F.char_length("text"))
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("n"), F.col("next_text")))
-    rows = with_prints(rows, "edited", "edited_prints", k=k, window=window, narrow="edited_narrow").withColumn("edited_hashes", hashes("edited_prints"))
+    rows = with_prints(rows, "edited", "edited_prints", k=k, window=window).withColumn("edited_hashes", hashes("edited_prints"))
     return rows.select(
         "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), written_out("prints").alias("fingerprint"), written_out("edited_prints").alias("edited_fingerprint"),
-        alike("hashes", "edited_hashes", "narrow", "edited_narrow").alias("near_edited"), alike("hashes", "next_hashes", "narrow", "next_narrow").alias("near_next"))
+        likeness("hashes", "edited_hashes").alias("near_edited"), likeness("hashes", "next_hashes").alias("near_next"))
