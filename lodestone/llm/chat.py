@@ -5,9 +5,9 @@
    doubles the covered length: log2(depth) rounds whatever the shape, one row per path node.
 2. Branches are ranked per conversation by the mean score of their nodes; the best `branches` stay.
 3. Each path is formatted as one string. A turn is `<turn ROLE>` TEXT `</turn>` and a line end.
-   In roles and texts `\\` becomes `\\s` and `<` becomes `\\l`, so no text can hold a mark, and
-   reading is a split at `<` and two replacements. The loss mask lists the code-point ranges of
-   the trained role's texts in the formatted string.
+   In roles and texts `\\` becomes `\\s` and `<` becomes `\\l`, in roles `>` becomes `\\g` as well, so
+   none can hold a mark, and reading is a split at `<` and three replacements. The loss mask lists
+   the code-point ranges of the trained role's texts in the formatted string.
 """
 
 from __future__ import annotations
@@ -16,15 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm._common import checkpointed, scan
+from lodestone.llm._common import checkpointed, parts_of, scan
 
 
 def escape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\\"), F.lit("\\s")), F.lit("<"), F.lit("\\l"))
 
 
+def escape_role(c: Column) -> Column:
+    return F.replace(escape(c), F.lit(">"), F.lit("\\g"))
+
+
 def unescape(c: Column) -> Column:
-    return F.replace(F.replace(c, F.lit("\\l"), F.lit("<")), F.lit("\\s"), F.lit("\\"))
+    return F.replace(F.replace(F.replace(c, F.lit("\\l"), F.lit("<")), F.lit("\\g"), F.lit(">")), F.lit("\\s"), F.lit("\\"))
 
 
 def linear_tree(turns: DataFrame) -> DataFrame:
@@ -80,11 +84,13 @@ def best_branches(nodes: DataFrame, branches: int = 1) -> DataFrame:
 def formatted(nodes: DataFrame, *, branches: int = 1, trained: str = "assistant") -> DataFrame:
     """(conv_id, branch, formatted, loss_mask array<struct<start, end>>), one row per chosen path.
 
-    nodes: (conv_id, node, parent, role, text, score); null roles and texts are empty.
+    nodes: (conv_id, node, parent, role, text, score); null roles and texts are empty. Rows with a
+    null conv_id are one conversation. A path of any length is one row. Other columns are ignored;
+    an empty table gives no rows.
     """
     turn = F.struct((-F.col("up")).alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = best_branches(nodes, branches).groupBy("conv_key", "branch").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(turn)).alias("turns"))
-    part = F.transform("turns", lambda t: F.struct(F.concat(F.lit("<turn "), escape(t["role"]), F.lit(">")).alias("head"), escape(t["text"]).alias("body"), t["role"].alias("role")))
+    part = F.transform("turns", lambda t: F.struct(F.concat(F.lit("<turn "), escape_role(t["role"]), F.lit(">")).alias("head"), escape(t["text"]).alias("body"), t["role"].alias("role")))
     rows = gathered.withColumn("parts", part)
     tail = "</turn>\n"
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(tail))), "")
@@ -97,14 +103,13 @@ def formatted(nodes: DataFrame, *, branches: int = 1, trained: str = "assistant"
 def read_turns(text: str) -> Column:
     """array<struct<role, text>> read back from a formatted string."""
     pieces = F.filter(F.split(text, "<", -1), lambda p: p.startswith("turn "))
-    cut = lambda p: F.instr(p, ">")
     return F.transform(pieces, lambda p: F.struct(unescape(F.substring(p, F.lit(6), F.locate(">", p) - 6)).alias("role"), unescape(F.substring(p, F.locate(">", p) + 1, F.char_length(p))).alias("text")))
 
 
 def digest(done: DataFrame) -> DataFrame:
     rows = done.withColumn("turns", read_turns("formatted"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("loss_mask", lambda m: unescape(F.substring(F.col("formatted"), (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int")))), "")
+    loss = F.array_join(F.transform(parts_of(F.col("formatted"), F.col("loss_mask")), unescape), "")
     rows = rows.withColumn("loss", loss)
     return rows.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
