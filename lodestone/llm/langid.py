@@ -3,8 +3,9 @@
 Training counts hashed character trigrams per language over all learnable rows (one pass; the
 model has languages x BUCKETS cells, whatever the corpus). A text is cut into segments of SEGMENT
 trigrams; each segment has a likelihood under every language. EM finds the proportions of the
-languages in the document; sets of the one to `most` largest are refitted, and the set with the
-best penalised likelihood wins.
+languages in the document; the set of its largest languages is grown by one language and refitted
+as long as the penalised likelihood rises, and the best set wins. A set may hold any number of
+languages.
 """
 
 from __future__ import annotations
@@ -18,15 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, SEGMENT, SLICE = 1 << 15, 24, 1_000_000
-MOST_LANGUAGES = 64
 _letters: np.ndarray | None = None
 
 
 def _is_letter(codes: np.ndarray) -> np.ndarray:
     global _letters
     if _letters is None:
-        _letters = np.array([chr(c).isalpha() for c in range(0x30000)])
-    return _letters[np.minimum(codes, len(_letters) - 1)]
+        _letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    return _letters[codes]
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,12 +49,17 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sliced(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Groups of (text numbers, parts) of about SLICE characters; a longer text comes in several parts."""
+    """Groups of (text numbers, parts) of about SLICE characters; a longer text comes in several parts, cut between words."""
     ids, parts, n = [], [], 0
     for i, t in enumerate(texts):
         t = (t or "").replace("\0", " ")
-        for at in range(0, max(len(t), 1), SLICE):
-            part = t[at : at + SLICE]
+        at = 0
+        while at < max(len(t), 1):
+            end = at + SLICE
+            while end < len(t) and t[end].isalpha():
+                end += 1
+            part = t[at:end]
+            at = end
             ids.append(i)
             parts.append(part)
             n += len(part)
@@ -72,11 +77,10 @@ class LanguageModel:
 
 
 def train_languages(docs: DataFrame, *, smoothing: float = 0.5) -> LanguageModel:
-    """docs: (text, lang); rows with a null text or lang teach nothing. At most MOST_LANGUAGES languages."""
+    """docs: (text, lang); rows with a null text or lang teach nothing. Any number of languages, of BUCKETS floats each."""
     docs = docs.where("text is not null and lang is not null").select("lang", "text")
-    langs = sorted(r["lang"] for r in docs.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    langs = sorted(r["lang"] for r in docs.select("lang").distinct().collect())  # one short string a language
+    place = {x: k for k, x in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -93,10 +97,10 @@ def train_languages(docs: DataFrame, *, smoothing: float = 0.5) -> LanguageModel
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    total = np.full((len(langs), BUCKETS), smoothing)
+    total = np.full((len(langs), BUCKETS), smoothing, np.float32)
     cells = docs.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    for r in cells.toLocalIterator():  # at most MOST_LANGUAGES x BUCKETS rows
-        total[langs.index(r["lang"]), r["bucket"]] += r["n"]
+    for r in cells.toLocalIterator():  # languages x BUCKETS rows at most
+        total[place[r["lang"]], r["bucket"]] += r["n"]
     return LanguageModel(langs, np.log(total / total.sum(1, keepdims=True)) if langs else total)
 
 
@@ -117,8 +121,11 @@ def segment_likelihoods(texts: list[str | None], model: LanguageModel) -> tuple[
     return np.concatenate(docs), np.concatenate(parts_ll)
 
 
-def mixture(doc: np.ndarray, ll: np.ndarray, docs: int, *, most: int = 3, rounds: int = 12, penalty: float = 3.0) -> np.ndarray:
-    """docs x languages proportions; languages outside the chosen set are 0. All zero: no letters."""
+def mixture(doc: np.ndarray, ll: np.ndarray, docs: int, *, rounds: int = 12, penalty: float = 3.0) -> np.ndarray:
+    """docs x languages proportions; languages outside the chosen set are 0. All zero: no letters.
+
+    doc: sorted text numbers of the segments; ll: their log-likelihoods.
+    """
     n_lang = ll.shape[1]
     best = np.zeros((docs, n_lang))
     if not len(doc) or not n_lang:
@@ -126,26 +133,30 @@ def mixture(doc: np.ndarray, ll: np.ndarray, docs: int, *, most: int = 3, rounds
     begin = np.flatnonzero(np.diff(doc, prepend=-1))
     have = doc[begin]
     size = np.diff(np.append(begin, len(doc)))
-    own = np.repeat(np.arange(len(begin)), size)
-    top = ll.max(1, keepdims=True)
-    like = np.exp(ll - top)
+    like = np.exp(ll - ll.max(1, keepdims=True))
 
-    def em(pi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    def em(pi: np.ndarray, steps: int, like: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
         for _ in range(steps):
             r = pi[own] * like
-            r /= r.sum(1, keepdims=True)
-            pi = np.add.reduceat(r, begin, 0) / size[:, None]
-        return pi, np.add.reduceat(np.log((pi[own] * like).sum(1) + 1e-300), begin)
+            r /= r.sum(1, keepdims=True) + 1e-300
+            pi = np.add.reduceat(r, first, 0) / size[:, None]
+        return pi, np.add.reduceat(np.log((pi[own] * like).sum(1) + 1e-300), first)
 
-    full, _ = em(np.full((len(begin), n_lang), 1 / n_lang), rounds)
+    full, _ = em(np.full((len(begin), n_lang), 1 / n_lang), rounds, like, size)
     rank = np.argsort(np.argsort(-full, 1, kind="stable"), 1)
-    chosen, value = np.zeros_like(full), np.full(len(begin), -np.inf)
-    for m in range(1, min(most, n_lang) + 1):
-        start = np.where(rank < m, np.maximum(full, 1e-6), 0)
-        pi, fit = em(start / start.sum(1, keepdims=True), 5 if m > 1 else 0)
-        fit = fit - penalty * (m - 1) * np.log(size + 1)
-        better = fit > value
-        value, chosen = np.where(better, fit, value), np.where(better[:, None], pi, chosen)
+    chosen, value, live = np.zeros_like(full), np.full(len(begin), -np.inf), np.arange(len(begin))
+    for m in range(1, n_lang + 1):
+        # only the texts for which the last language was worth its penalty grow on
+        segments = np.repeat(np.isin(np.arange(len(begin)), live), size)
+        start = np.where(rank[live] < m, np.maximum(full[live], 1e-6), 0)
+        pi, fit = em(start / start.sum(1, keepdims=True), 5 if m > 1 else 0, like[segments], size[live])
+        fit = fit - penalty * (m - 1) * np.log(size[live] + 1)
+        better = fit > value[live]
+        live = live[better]
+        value[live], chosen[live] = fit[better], pi[better]
+        if not len(live):
+            break
     best[have] = chosen
     return best
 
@@ -153,8 +164,10 @@ def mixture(doc: np.ndarray, ll: np.ndarray, docs: int, *, most: int = 3, rounds
 def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple | list = ()) -> DataFrame:
     """(doc_id, *keep, languages array<struct<lang, share>>): the chosen set, largest share first.
 
-    One row per row of docs. Null texts and texts without a letter have an empty set; ties in
-    share fall to the language that sorts first. A model without languages gives empty sets.
+    One row per row of docs, repeated rows and null ids included. Null texts and texts without a
+    letter have an empty set; ties in share fall to the language that sorts first. A model without
+    languages gives empty sets, an empty table no rows. Texts of any length are read whole, in
+    slices. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
