@@ -1,16 +1,17 @@
 """Toxicity by weak supervision.
 
 1. A lexicon is mined from all labelled rows: words and word beginnings whose share of toxic rows
-   is far above the base rate.
-2. Voters: the lexicon words are dealt over LEXICON_VOTERS voters, and pattern voters look at word
-   beginnings, repeated hits, hit density, shouting and exclamation. Each voter fires or not.
+   is far above the base rate, beyond what chance makes among so many terms.
+2. Voters: the lexicon words are dealt over LEXICON_VOTERS voters; pattern voters look at word
+   beginnings, repeated hits and hit density, and, without any label, at shouting, exclamation,
+   address in the second person, drawn-out letters and masked words. Each voter fires or not.
 3. The votes of all documents give first and second moments (one pass, a V x V sum). The label
    model reads the voters' accuracies from them: with independent errors the covariance of two
    voters is p(1-p) d_i d_j, so d is the rank-one factor of the off-diagonal covariances, fitted
    robustly; pairs that stay far above the factor are correlated and share their weight.
-4. Posterior labels of a bounded sample of the labelled rows (`sample` rows, least hashes first)
-   train a logistic regression on lexicon, beginning and voter features, which scores every whole
-   text.
+4. Posterior labels of a bounded sample of the labelled rows (`sample` rows), given the votes and
+   the annotator's label, train a logistic regression on lexicon, beginning and voter features,
+   which scores every whole text.
 """
 
 from __future__ import annotations
@@ -26,12 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import BROADCAST_ROWS, join_checked, written
+from lodestone.llm._common import join_checked, written
 
 WORD = re.compile(r"[^\W\d_]+")
 LEXICON_VOTERS, PREFIX = 12, 6
 MOST_COUNTED = 100_000  # terms that a task counts before it hands them on
-PATTERNS = ("beginning", "two_beginnings", "two_words", "three_hits", "density", "shouting", "exclaiming")
+PATTERNS = ("beginning", "two_beginnings", "two_words", "three_hits", "density", "shouting", "exclaiming", "addressing", "drawn_out", "masked")
+#: Second-person pronouns of four languages.
+SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine deinen tu te toi ton ta tes tú ti tus tuyo".split())
+DRAWN_OUT = re.compile(r"([^\W\d_])\1\1\1")
+MASKED = re.compile(r"[^\W\d_][*@#$%]+[^\W\d_]")
 VOTERS = LEXICON_VOTERS + len(PATTERNS)
 
 
@@ -51,10 +56,15 @@ def _deal(ranked: list[str], start: int = 0) -> dict[str, int]:
     return {w: start + i for i, w in enumerate(ranked)}
 
 
-def mine_lexicon(train: DataFrame, *, support: int = 4, strength: float = 3.0) -> Lexicon:
+def mine_lexicon(train: DataFrame, *, strength: float = 3.0, chance: float = 1.0) -> Lexicon:
     """train: (text, toxic). Keeps every word and beginning that passes, the strongest first.
 
     strength: least log-odds of toxic rows among the rows with the term over the base rate.
+    chance: how many of all the terms may pass by chance. n rows with the term of which t are toxic
+    have, at base rate p, a probability of at most exp(-n KL(t/n, p)), so the rows that a term needs
+    follow the base rate and the number of terms: few where toxic rows are rare, more where they are
+    frequent. The lexicon comes to the driver and to each task; it holds the marked vocabulary of
+    toxic text, which is small beside the corpus, but has no fixed bound.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,10 +93,14 @@ def mine_lexicon(train: DataFrame, *, support: int = 4, strength: float = 3.0) -
         return Lexicon({}, {})
     prior = np.log(base["t"] / (base["n"] - base["t"]))
     stats = train.mapInArrow(run, "term string, kind int, t long, n long").groupBy("kind", "term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    odds = F.log((F.col("t") + 0.1) / (F.col("n") - F.col("t") + 0.1)) - F.lit(float(prior))
-    strong = stats.where(F.col("t") >= support).withColumn("odds", odds).where(F.col("odds") >= strength)
-    rank = lambda kind: [r["term"] for r in strong.where(F.col("kind") == kind).orderBy(F.desc(F.col("odds") * F.sqrt("t")), "term").collect()]
+    stats = written(stats.where(F.col("t") > 0), "terms")
+    p = float(base["t"] / base["n"])
+    t, n = F.col("t").cast("double"), F.col("n").cast("double")
+    odds = F.log((t + 0.1) / (n - t + 0.1)) - F.lit(float(prior))
+    surprise = t * F.log(t / n / p) + F.when(n > t, (n - t) * F.log((n - t) / n / (1 - p))).otherwise(0.0)
+    strong = stats.withColumn("odds", odds).where((F.col("odds") >= strength) & (surprise >= F.lit(float(np.log(max(stats.count(), 1) / chance)))))
     strong = written(strong, "lexicon")
+    rank = lambda kind: [r["term"] for r in strong.where(F.col("kind") == kind).orderBy(F.desc(F.col("odds") * F.sqrt("t")), "term").collect()]
     words = rank(0)
     return Lexicon(_deal(words), _deal(rank(1), len(words)))
 
@@ -104,7 +118,8 @@ def features(text: str | None, lex: Lexicon) -> tuple[list[int], np.ndarray, flo
     votes[[i % LEXICON_VOTERS for i in found]] = 1
     votes[LEXICON_VOTERS:] = (
         len(begun) >= 1, len(begun) >= 2, len(hit) >= 2, n >= 3, n >= 1 and n * 150 >= len(low),
-        len(raw) >= 5 and 2 * sum(w.isupper() and len(w) > 1 for w in raw) >= len(raw), bool(text) and text.count("!") * 20 >= len(raw) + 20)
+        len(raw) >= 5 and 2 * sum(w.isupper() and len(w) > 1 for w in raw) >= len(raw), bool(text) and text.count("!") * 20 >= len(raw) + 20,
+        bool(raw) and 15 * sum(w in SECOND_PERSON for w in low) >= len(low), bool(text) and bool(DRAWN_OUT.search(text)), bool(text) and bool(MASKED.search(text)))
     return sorted(found + [lex.beginnings[b] for b in begun]), votes, float(np.log1p(n))
 
 
@@ -135,8 +150,9 @@ class LabelModel:
     rest: np.ndarray
     share: np.ndarray
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        odds = self.prior + (np.where(votes > 0, self.fire, self.rest) * self.share).sum(1)
+    def posterior(self, votes: np.ndarray, given: np.ndarray | float = 0.0) -> np.ndarray:
+        """Probability of class 1; given: log-odds from elsewhere, such as an annotator's label."""
+        odds = self.prior + given + (np.where(votes > 0, self.fire, self.rest) * self.share).sum(1)
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -208,18 +224,21 @@ def fit_classifier(rows: list[tuple[list[int], np.ndarray, float]], target: np.n
     return Classifier(lex, w)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, id_col: str = "doc_id") -> Classifier:
+def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, annotator: float = 0.9, id_col: str = "doc_id") -> Classifier:
     """docs (doc_id, text) and labels (doc_id, toxic) of the rows one may learn from.
 
-    sample bounds the labelled rows that the classifier is fitted to; the lexicon and the prior
-    cover all labelled rows, the label model's moments all of docs. Null labels, ids and texts are allowed (null text: empty); without
-    any toxic label every score is the prior.
+    sample bounds the labelled rows that the classifier is fitted to, chosen by the hash of id and
+    text; the lexicon and the prior cover all labelled rows, the label model's moments all of docs.
+    annotator: how often the given labels are taken to be right; they are one more voter of the
+    rows that have them.
+    Null labels, ids and texts are allowed (null text: empty); an id with several labels is toxic if
+    one of them says so; repeated rows count each. Without any toxic label, or with empty tables,
+    every score is the prior. Texts of any length count whole; other columns are ignored.
     """
     marked = written(labels.where("toxic is not null").groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic")), "labels")
-    picked = marked.orderBy(F.xxhash64(id_col), id_col).limit(min(sample, BROADCAST_ROWS))
     docs = docs.select(id_col, F.coalesce("text", F.lit("")).alias("text"))
-    train = join_checked(docs, marked, id_col, "inner").select("text", "toxic")
-    lex = mine_lexicon(train)
+    train = join_checked(docs, marked, id_col, "inner").select(id_col, "text", "toxic")
+    lex = mine_lexicon(train.select("text", "toxic"))
     n, toxic = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = (toxic + 0.5) / (n + 1)
     total, together = vote_moments(docs, lex)
@@ -230,9 +249,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000,
             got = [features(t.as_py(), lex) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.float64()), batch.column(1)], names=["found", "votes", "hits", "toxic"])
 
-    rows = docs.join(F.broadcast(picked), id_col).select("text", "toxic").mapInArrow(run, "found array<int>, votes array<long>, hits double, toxic int").collect()  # at most `sample` rows
+    share = F.pmod(F.xxhash64(id_col, "text"), F.lit(1_000_000)) < F.lit(int(1e6 * min(1.0, sample / max(n, 1))))
+    picked = train.where(share).select("text", "toxic").mapInArrow(run, "found array<int>, votes array<long>, hits double, toxic int")
+    rows = picked.limit(sample).collect()
+    given = np.where([r["toxic"] for r in rows], 1.0, -1.0) * np.log(annotator / (1 - annotator)) if rows else np.zeros(0)
     rows = [(list(r["found"]), np.array(r["votes"]), r["hits"]) for r in rows]
-    target = model.posterior(np.array([r[1] for r in rows]).reshape(-1, VOTERS)) if rows else np.zeros(0)
+    target = model.posterior(np.array([r[1] for r in rows]).reshape(-1, VOTERS), given) if rows else np.zeros(0)
     return fit_classifier(rows, target, lex)
 
 
