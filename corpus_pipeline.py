@@ -17,20 +17,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go; rows with null text score as empty and stay."""
-    arrow_rows(spark, 500)
+    arrow_rows(spark, 200)
     model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score_toxicity(docs.select(COLUMNS), model, out="_score").where("_score < 0.5").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate class stays, that of the least doc_id (similarity of 0.8 on five-word shingles)."""
-    arrow_rows(spark, 500)
+    arrow_rows(spark, 200)
     return neardup.one_of_each(docs.select(COLUMNS), threshold=0.8, width=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a ten-word window of a benchmark item go."""
-    arrow_rows(spark, 500)
+    arrow_rows(spark, 200)
     docs = docs.select(COLUMNS)
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), size=10, keep=COLUMNS[1:])
     return found.where(F.size("spans") == 0).select(COLUMNS)
@@ -46,8 +46,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their sequence and offset."""
     import public_tokenizers
 
-    arrow_rows(spark, 500)
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=1024, end_id=2)
+    arrow_rows(spark, 200)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("pii", mask_private), ("packing", pack)]
