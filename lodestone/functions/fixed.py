@@ -55,3 +55,31 @@ QUITCLAIM = r"(?i)\bquitclaim\s+deed\b"
 NOMINAL = r"(?i)\bfor\s+(?:the\s+sum\s+of\s+)?\$(?:1|10|100)\.?00?\b"
 NUMBERED_ENTITY = r"(?i)\bEntity\s*\d+\b|\bCo\.\s*\d+\b"
 TRANSFER_ADDRESS = r"\b(\d{3,5}\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*,?\s*(?:Indianapolis|Indiana)\b"
+
+#: descriptions of indicators
+BURST_TEXT = "Party '%s' filed %d cases in %d days starting %s."
+SSN_TEXT = "SSN fragment ...%s appears in %d separate cases."
+BIRTH_TEXT = "Date of birth %s appears in %d separate cases."
+DEED_TEXT = "Found %d quitclaim deeds with nominal consideration ($1-$100), a common deed fraud pattern."
+ENTITY_TEXT = "Found %d cases with numerically-named entities (e.g. 'Entity 42 LLC')."
+TRANSFER_TEXT = "Property '%s' transferred %d times in %d days."
+
+#: the counties of the state, in alphabetical order
+COUNTY_NAMES = (
+    "Adams", "Allen", "Bartholomew", "Benton", "Blackford", "Boone", "Brown", "Carroll", "Cass", "Clark", "Clay", "Clinton",
+    "Crawford", "Daviess", "Dearborn", "Decatur", "DeKalb", "Delaware", "Dubois", "Elkhart", "Fayette", "Floyd", "Fountain", "Franklin",
+    "Fulton", "Gibson", "Grant", "Greene", "Hamilton", "Hancock", "Harrison", "Hendricks", "Henry", "Howard", "Huntington", "Jackson",
+    "Jasper", "Jay", "Jefferson", "Jennings", "Johnson", "Knox", "Kosciusko", "LaGrange", "Lake", "LaPorte", "Lawrence", "Madison",
+    "Marion", "Marshall", "Martin", "Miami", "Monroe", "Montgomery", "Morgan", "Newton", "Noble", "Ohio", "Orange", "Owen",
+    "Parke", "Perry", "Pike", "Porter", "Posey", "Pulaski", "Putnam", "Randolph", "Ripley", "Rush", "St. Joseph", "Scott",
+    "Shelby", "Spencer", "Starke", "Steuben", "Sullivan", "Switzerland", "Tippecanoe", "Tipton", "Union", "Vanderburgh", "Vermillion", "Vigo",
+    "Wabash", "Warren", "Warrick", "Washington", "Wayne", "Wells", "White", "Whitley",
+)
+
+#: code -> case type
+CASE_CODES = {
+    "CF": "Criminal Felony", "CM": "Criminal Misdemeanor", "IF": "Infraction", "CT": "Civil Tort", "CC": "Civil Collection", "PL": "Civil Plenary",
+    "SC": "Small Claims", "DR": "Domestic Relations", "JP": "Juvenile — CHINS/TPR", "JD": "Juvenile — Delinquency", "JS": "Juvenile — Status",
+    "GU": "Guardianship", "ES": "Estate", "TR": "Trust", "MH": "Mental Health", "PO": "Protective Order", "AD": "Adoption", "MI": "Miscellaneous",
+    "PC": "Post-Conviction Relief", "EV": "Eviction", "MF": "Mortgage Foreclosure", "XP": "Expungement",
+}

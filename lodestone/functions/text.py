@@ -40,7 +40,7 @@ def strip_tags(text: str | Column) -> Column:
 
 def keywords(text: str | Column) -> Column:
     """Distinct lower-case words of three letters or more that are no stop words, first seen first."""
-    words = F.transform(all_matches(text, r"\b[a-zA-Z]{3,}\b"), F.lower)
+    words = F.transform(all_matches(text, r"(?U)\b[a-zA-Z]{3,}\b"), F.lower)
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(*fixed.STOPWORDS)))
 
 
@@ -146,7 +146,7 @@ def iso_date(text: str | Column) -> Column:
 
 def treatment(context: str | Column) -> Column:
     """struct<treatment, is_negative>: the longest label that the context names, negative ones first."""
-    lower, chain = F.lower(F.left(_c(context), F.lit(500))), F.struct(F.lit("cited").alias("treatment"), F.lit(False).alias("is_negative"))
+    lower, chain = F.lower(_c(context)), F.struct(F.lit("cited").alias("treatment"), F.lit(False).alias("is_negative"))
     ranked = [(n, True) for n in sorted(fixed.NEGATIVE_TREATMENTS, key=lambda x: (-len(x), x))] + [(n, False) for n in sorted(fixed.POSITIVE_TREATMENTS, key=lambda x: (-len(x), x))]
     for name, bad in reversed(ranked):
         chain = F.when(lower.contains(name), F.struct(F.lit(name).alias("treatment"), F.lit(bad).alias("is_negative"))).otherwise(chain)

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.functions import fixed
 from lodestone.functions.text import all_matches, sentences, source_marks, uncited_claims
@@ -20,7 +21,11 @@ def ranking_metrics(queries: DataFrame, retrieved: DataFrame, judged: DataFrame,
     A query without judgements has recall 1 and NDCG 0; k = 0 gives precision 0; repeated ids in a
     ranking count again for precision and DCG but once for recall.
     """
-    ideal = judged.groupBy("query_id").agg(F.count_distinct("doc_id").alias("n_rel"), F.sort_array(F.collect_list("grade"), asc=False).alias("grades"))
+    n_rel = judged.groupBy("query_id").agg(F.count_distinct("doc_id").alias("n_rel"))
+    # of a query's judgements only the best grades count, as many as the largest cut-off
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("grade"))
+    few = judged.select("query_id", "grade", F.row_number().over(best_first).alias("_k")).where(F.col("_k") <= max([1, *ks]))
+    ideal = n_rel.join(few.groupBy("query_id").agg(F.sort_array(F.collect_list("grade"), asc=False).alias("grades")), "query_id", "left")
     hits = retrieved.join(judged, ["query_id", "doc_id"], "left")
     gain = (F.pow(F.lit(2.0), F.coalesce("grade", F.lit(0))) - 1) / F.log2(F.col("rank") + 1)
     rel = F.col("grade").isNotNull()

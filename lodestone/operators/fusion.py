@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.text import court_weight
+from lodestone.operators.ordering import order_statistics
 
 
 def ranked(scores: DataFrame, by: str = "score") -> DataFrame:
@@ -41,10 +45,12 @@ def valid_on(reference: Column, effective: str | Column = "effective_date", expi
 
 
 def confidence(rows: DataFrame, *by: str, score: str = "score") -> DataFrame:
-    """(by, confidence): High, Medium or Low from the top score and its gap to the median."""
-    top, mid = F.max(score), F.median(score)
-    label = F.when((F.col("top") > 0.018) & (F.col("top") - F.col("mid") > 0.004), "High").when((F.col("top") > 0.010) & (F.col("top") - F.col("mid") > 0.002), "Medium").otherwise("Low")
-    return rows.groupBy(*by).agg(top.alias("top"), mid.alias("mid")).select(*by, label.alias("confidence"))
+    """(by, confidence): High, Medium or Low from the top score and its gap to the median, which is exact whatever the group's size."""
+    half = F.col("n") - 1
+    stats = order_statistics(rows, by, score, {"lower": F.floor(half / 2), "upper": F.ceil(half / 2), "top": half})
+    gap = F.col("top") - (F.col("lower") + F.col("upper")) / 2
+    label = F.when((F.col("top") > 0.018) & (gap > 0.004), "High").when((F.col("top") > 0.010) & (gap > 0.002), "Medium").otherwise("Low")
+    return stats.select(*by, label.alias("confidence"))
 
 
 def lexical_reranker(query: str) -> Column:
@@ -57,3 +63,32 @@ def lexical_reranker(query: str) -> Column:
 def rerank(rows: DataFrame, scorer: Column, k: int) -> DataFrame:
     """The k rows with the best new score. scorer: any column, such as a pandas UDF over (query, content)."""
     return rows.withColumn("score", scorer).orderBy(F.desc("score"), "id").limit(k)
+
+
+Scorer = Callable[[list[tuple[str, str]]], list[float]]
+
+
+def model_reranker(query: str | Column, make: Callable[[], Scorer], *, content: str = "content", batch: int = 32) -> Column:
+    """Score of (query, content) pairs by a pluggable model.
+
+    make builds the scorer in the task, once per Python worker; it gets lists of at most `batch`
+    pairs and returns as many scores. Null contents count as empty.
+    """
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        scorer = make()
+        for q, text in parts:
+            pairs = list(zip(q.fillna(""), text.fillna(""), strict=True))
+            out = [s for i in range(0, len(pairs), batch) for s in scorer(pairs[i : i + batch])]
+            yield pd.Series(out, dtype=float)
+
+    return score(F.lit(query) if isinstance(query, str) else query, F.col(content))
+
+
+def overlap_scorer() -> Scorer:
+    """An offline scorer of the same shape as a model: share of the query's words that the content has."""
+    import re
+
+    words = lambda t: set(re.findall(r"[a-z0-9]+", t.lower()))
+    return lambda pairs: [len(words(q) & words(t)) / max(len(words(q)), 1) for q, t in pairs]

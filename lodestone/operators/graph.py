@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.fixed import OVERRULING
+from lodestone.storage import written
 
 
 def citing_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -37,20 +38,20 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, round
 
     Negative edges pass nothing but count in a node's out-degree; edges from or to ids that are no
     nodes are ignored; dangling nodes give nothing back. The lineage is cut every few rounds with
-    a checkpoint in the shared folder where one is set.
+    a checkpoint in the shared folder.
     """
     ids = nodes.select("source_id").distinct()
     real = edges.join(ids, edges.citing_id == ids.source_id, "left_semi").join(ids, edges.cited_id == ids.source_id, "left_semi")
     degree = real.groupBy("citing_id").agg(F.count(F.lit(1)).alias("out"))
-    flow = real.where("not is_negative").join(degree, "citing_id").groupBy("citing_id", "cited_id").agg(F.sum(1 / F.col("out")).alias("w")).cache()
+    flow = real.where("not is_negative").join(degree, "citing_id").groupBy("citing_id", "cited_id").agg(F.sum(1 / F.col("out")).alias("w"))
+    flow = written(flow, "flow")
     n = ids.count()
     rank = ids.withColumn("pagerank", F.lit(1.0 / max(n, 1)))
-    folder = ids.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     for i in range(rounds):
         got = flow.join(rank, flow.citing_id == rank.source_id).groupBy("cited_id").agg(F.sum(F.col("w") * F.col("pagerank")).alias("got"))
         rank = ids.join(got, ids.source_id == got.cited_id, "left").select("source_id", (F.lit((1 - damping) / max(n, 1)) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("pagerank"))
-        if (i + 1) % every == 0:
-            rank = rank.checkpoint() if folder else rank.cache()
+        if (i + 1) % every == 0 or i + 1 == rounds:
+            rank = rank.checkpoint()
     top = rank.agg(F.max("pagerank").alias("top"))
     return rank.crossJoin(F.broadcast(top)).select("source_id", (F.col("pagerank") / F.col("top")).alias("pagerank"))  # top has one row
 

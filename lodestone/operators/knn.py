@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.functions.vectors import cosine
 
@@ -18,23 +20,110 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int, *, where: Column | N
     return scored.where("score is not null").orderBy(F.desc("score"), "id").limit(k)
 
 
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, id, score): the k most similar vectors of each query, ties by id.
+
+    queries: (id, vector) under the same names; a vector is not its own neighbour. Queries go to the
+    tasks in blocks of at most `block` rows; every task keeps the k best of what it reads, so only
+    k rows per query and task are merged. Null vectors have no neighbours and are none.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+
+    def unit(v: np.ndarray) -> np.ndarray:
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+    def scored(block_ids: np.ndarray, q: np.ndarray):
+        def run(batches):
+            ids, best = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own = batch.column(0).to_numpy()
+                v = unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1))
+                s = np.where(block_ids[:, None] == own[None], -np.inf, q @ v.T)
+                ids, best = np.hstack([ids, np.broadcast_to(own, s.shape)]), np.hstack([best, s])
+                order = np.lexsort((ids, -best), axis=1)[:, :k]
+                ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+            n = ids.shape[1]
+            real = np.isfinite(best).ravel()
+            cols = [np.repeat(block_ids, n)[real], ids.ravel()[real], best.ravel()[real]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["query_id", "id", "score"])
+
+        return run
+
+    out, ids, part = None, [], []
+    it = asked.toLocalIterator()
+    while True:
+        r = next(it, None)
+        if r is not None:
+            ids.append(r["id"])
+            part.append(r["v"])
+        if part and (r is None or len(part) == block):
+            found = rows.mapInArrow(scored(np.array(ids), unit(np.array(part))), "query_id long, id long, score double")
+            out = found if out is None else out.unionByName(found)
+            ids, part = [], []
+        if r is None:
+            break
+    if out is None:
+        return rows.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score")).where("false")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return out.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
+
+
 def build_ivf(vectors: DataFrame, *, lists: int = 100, seed: int = 7, sample: int = 100_000, id_col: str = "vec_id", vector_col: str = "embedding"):
     """(assigned vectors with `list_id`, centroids). Fitted on a bounded sample; every row is assigned.
 
-    Written with partitionBy('list_id'), a probe reads only its lists' folders.
+    Written with partitionBy('list_id'), a probe reads only its lists' folders. The sample is the
+    rows whose id hash falls below the sample's share of all rows, about `sample` of them.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     rows = vectors.where(F.col(vector_col).isNotNull()).withColumn("features", array_to_vector(F.col(vector_col).cast("array<double>")))
-    some = rows.orderBy(F.xxhash64(id_col)).limit(sample)
+    share = int(1_000_000 * min(1.0, sample / max(rows.count(), 1)))
+    some = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share)
     model = KMeans(k=lists, seed=seed, distanceMeasure="cosine", maxIter=15, predictionCol="list_id").fit(some)
     return model.transform(rows).drop("features"), model.clusterCenters()
 
 
 def probe_ivf(assigned: DataFrame, centroids, query: Sequence[float], k: int, *, probes: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, score): the k most similar vectors among those of the `probes` nearest lists."""
     import numpy as np
 
     c, q = np.array(centroids), np.array(query)
     near = np.argsort(-(c @ q) / (np.linalg.norm(c, axis=1) * np.linalg.norm(q) + 1e-12))[:probes]
     return knn(assigned, query, k, where=F.col("list_id").isin([int(i) for i in near]), id_col=id_col, vector_col=vector_col)
+
+
+def probe_ivf_batch(assigned: DataFrame, centroids, queries: DataFrame, k: int, *, probes: int = 10, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, id, score): as knn_batch, each query against the rows of its `probes` nearest lists only.
+
+    Queries meet lists in a join on list_id, so a list's rows are scored in its own tasks; the k
+    best of each query and list come out of a bounded top-k.
+    """
+    import numpy as np
+
+    c = np.array(centroids)
+    c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+
+    @F.pandas_udf("array<int>")
+    def nearest(v: pd.Series) -> pd.Series:
+        q = np.array(v.tolist(), float).reshape(len(v), -1)
+        return pd.Series(list(np.argsort(-(q @ c.T), 1)[:, :probes].astype(np.int32)))
+
+    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("q"))
+    asked = asked.select("query_id", "q", F.explode(nearest("q")).alias("list_id"))
+    rows = assigned.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), "list_id")
+    met = rows.join(asked, "list_id").where("id <> query_id").select("query_id", "id", cosine(F.col("v"), F.col("q")).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return met.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
+
+
+def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
+    """(query_id, recall): the share of each query's k exact neighbours that were found."""
+    hit = exact.join(found.select("query_id", "id", F.lit(1).alias("_hit")), ["query_id", "id"], "left")
+    return hit.groupBy("query_id").agg((F.count("_hit") / F.least(F.count(F.lit(1)), F.lit(k))).alias("recall"))

@@ -1,54 +1,125 @@
-"""Full-text matching and BM25 as joins and aggregates.
+"""Full-text matching and BM25 as scans and aggregates.
 
-The query terms are a small literal set, so document frequencies are counted for those terms only:
-one scan gives each document's length and its counts of the terms, with no explosion of the corpus.
+Two ways to the same scores. `bm25` scans the corpus: one pass counts its size and the document
+frequencies of the query's terms (one row to the driver), a second scores. Only if a term is so
+frequent that its idf is negative is the vocabulary counted for the mean idf. `build_index` writes
+postings and statistics once; `bm25_from_index` then reads the partitions of its terms only.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import bm25_tokens, light_stem
 
 
+@dataclass(frozen=True)
+class Statistics:
+    n_docs: int
+    mean_length: float
+    df: dict[str, int]
+    mean_idf: float = 0.0
+
+    def raw_idf(self, term: str) -> float:
+        n = self.df.get(term, 0)
+        return math.log(self.n_docs - n + 0.5) - math.log(n + 0.5) if n else 0.0
+
+    def idf(self, term: str, epsilon: float) -> float:
+        """ln(N - n + 0.5) - ln(n + 0.5); a negative one becomes epsilon times the mean idf of the vocabulary."""
+        raw = self.raw_idf(term)
+        return epsilon * self.mean_idf if raw < 0 else raw
+
+
+def _distinct(terms: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys(t.lower() for t in terms))
+
+
 def term_counts(docs: DataFrame, terms: Sequence[str], *, id_col: str, text_col: str) -> DataFrame:
     """(id, dl, tf array<int>): length and the count of each term, in the order of terms."""
     tokens = docs.select(F.col(id_col).alias("id"), bm25_tokens(text_col).alias("tokens"))
-    tf = F.array(*[F.size(F.filter("tokens", _equals(t))) for t in terms])
-    return tokens.select("id", F.size("tokens").alias("dl"), tf.alias("tf"))
+    known = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+    hits = F.filter("tokens", lambda x: F.array_contains(known, x))
+    tf = F.array(*[F.size(F.filter("hits", _equals(t))) for t in terms])
+    return tokens.select("id", F.size("tokens").alias("dl"), hits.alias("hits")).select("id", "dl", tf.alias("tf"))
 
 
 def _equals(term: str):
     return lambda x: x == F.lit(term)
 
 
-def mean_idf(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: the mean idf over the vocabulary, which very frequent terms fall back to."""
-    tokens = docs.select(bm25_tokens(text_col).alias("tokens"))
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    total = tokens.agg(F.count(F.lit(1)).alias("n_docs"))
-    return df.crossJoin(F.broadcast(total)).agg(F.avg(F.log(F.col("n_docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)).alias("mean"))  # total has one row
+def mean_idf(docs: DataFrame, text_col: str, n_docs: int) -> float:
+    """The mean idf over the vocabulary, which very frequent terms fall back to."""
+    words = docs.select(F.explode(F.array_distinct(bm25_tokens(text_col))).alias("t"))
+    df = words.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    mean = F.avg(F.log(F.lit(n_docs) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))
+    return df.agg(mean).first()[0] or 0.0
+
+
+def statistics(docs: DataFrame, terms: Sequence[str], *, id_col: str = "doc_id", text_col: str = "text") -> Statistics:
+    """Size, mean length and the terms' document frequencies of a corpus."""
+    terms = _distinct(terms)
+    counted = term_counts(docs, terms, id_col=id_col, text_col=text_col)
+    n, length, *df = counted.agg(F.count(F.lit(1)), F.avg("dl"), *[F.count_if(F.col("tf")[i] > 0) for i in range(len(terms))]).first()
+    found = Statistics(n, length or 0.0, dict(zip(terms, df, strict=True)))
+    if any(found.raw_idf(t) < 0 for t in terms):
+        found = Statistics(n, found.mean_length, found.df, mean_idf(docs, text_col, n))
+    return found
+
+
+def _weight(tf: Column, dl: Column, idf: float, mean_length: float, k1: float, b: float) -> Column:
+    scale = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / F.lit(max(mean_length, 1e-9)))
+    return F.lit(idf) * tf * (k1 + 1) / (tf + scale)
 
 
 def bm25(docs: DataFrame, terms: Sequence[str], *, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """(id, score) of every document over the corpus that docs is.
+    """(id, score) of every document over the corpus that docs is."""
+    terms = _distinct(terms)
+    stats = statistics(docs, terms, id_col=id_col, text_col=text_col)
+    counted = term_counts(docs, terms, id_col=id_col, text_col=text_col)
+    score = F.lit(0.0)
+    for i, t in enumerate(terms):
+        score = score + _weight(F.col("tf")[i], F.col("dl"), stats.idf(t, epsilon), stats.mean_length, k1, b)
+    return counted.select("id", score.alias("score"))
 
-    idf = ln(N - n + 0.5) - ln(n + 0.5); a negative idf becomes epsilon times the mean idf of the
-    vocabulary. The corpus statistics are single rows, joined back as bounded broadcasts.
+
+def build_index(docs: DataFrame, path: str, *, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes path/postings (bucket, term, id, tf, dl), sorted by term within a bucket, and path/statistics.
+
+    Counts come from each document's sorted tokens, so nothing but the postings is shuffled; a
+    frequent term's postings are dealt over several files.
     """
-    terms = list(dict.fromkeys(t.lower() for t in terms))
-    counted = term_counts(docs, terms, id_col=id_col, text_col=text_col)
-    stats = counted.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))])
-    raw = F.array(*[F.when(F.col(f"df{i}") > 0, F.log(F.col("n_docs") - F.col(f"df{i}") + 0.5) - F.log(F.col(f"df{i}") + 0.5)).otherwise(0.0) for i in range(len(terms))])
-    stats = stats.select("avgdl", raw.alias("raw")).crossJoin(F.broadcast(mean_idf(docs, text_col)))
-    stats = stats.select("avgdl", F.transform("raw", lambda r: F.when(r < 0, F.lit(epsilon) * F.col("mean")).otherwise(r)).alias("idf"))
-    scale = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    parts = F.zip_with("tf", "idf", lambda f, w: w * f * (k1 + 1) / (f + F.col("scale")))
-    scored = counted.crossJoin(F.broadcast(stats)).withColumn("scale", scale)  # stats has exactly one row
-    return scored.select("id", F.aggregate(parts, F.lit(0.0), lambda s, v: s + v).alias("score"))
+    tokens = docs.select(F.col(id_col).alias("id"), F.array_sort(bm25_tokens(text_col)).alias("t"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    tokens = tokens.select("id", "t", F.size("t").alias("dl"), F.when(F.size("t") > 0, starts).otherwise(F.array().cast("array<int>")).alias("s"))
+    posting = F.transform("s", lambda p, k: F.struct(F.get("t", p).alias("term"), (F.coalesce(F.get("s", k + 1), F.col("dl")) - p).alias("tf")))
+    rows = tokens.select("id", "dl", F.explode(posting).alias("p")).select(F.pmod(F.xxhash64("p.term"), F.lit(buckets)).cast("int").alias("bucket"), "p.term", "id", "p.tf", "dl")
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("bucket", "term")
+    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+    spark = docs.sparkSession
+    n, length = tokens.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    df = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    mean = df.agg(F.avg(F.log(F.lit(n) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))).first()[0]
+    spark.createDataFrame([(n, float(length or 0), float(mean or 0), buckets)], "n_docs long, mean_length double, mean_idf double, buckets int").coalesce(1).write.parquet(f"{path}/statistics")
+
+
+def bm25_from_index(spark: SparkSession, path: str, terms: Sequence[str], *, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """(id, score) of the documents that hold any of the terms; only the terms' buckets are read."""
+    terms = _distinct(terms)
+    s = spark.read.parquet(f"{path}/statistics").first()
+    bucket = F.pmod(F.xxhash64("t"), F.lit(s["buckets"])).cast("int")
+    wanted = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(bucket).distinct().collect()] if terms else []
+    hits = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(wanted) & F.col("term").isin(terms))
+    df = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a term
+    stats = Statistics(s["n_docs"], s["mean_length"], df, s["mean_idf"])
+    part = F.lit(0.0)
+    for t in terms:
+        part = F.when(F.col("term") == t, _weight(F.col("tf"), F.col("dl"), stats.idf(t, epsilon), stats.mean_length, k1, b)).otherwise(part)
+    return hits.select("id", part.alias("part")).groupBy("id").agg(F.sum("part").alias("score"))
 
 
 def matches_any(text: str | Column, terms: Sequence[str], *, stem: bool = False) -> Column:
@@ -58,13 +129,14 @@ def matches_any(text: str | Column, terms: Sequence[str], *, stem: bool = False)
     return F.arrays_overlap(F.transform(words, light_stem), F.array(*map(light_stem, wanted))) if stem else F.arrays_overlap(words, F.array(*wanted))
 
 
-def match_count(text: str | Column, terms: Sequence[str]) -> Column:
+def match_count(text: str | Column, terms: Sequence[str], *, stem: bool = False) -> Column:
     """How many of the terms occur: the rank of a full-text match."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0))
-    return F.size(F.array_intersect(words, F.array(*[F.lit(t.lower()) for t in terms])))
+    wanted = F.array(*[F.lit(t.lower()) for t in terms])
+    return F.size(F.array_intersect(F.transform(words, light_stem), F.transform(wanted, light_stem)) if stem else F.array_intersect(words, wanted))
 
 
 def keyword_search(docs: DataFrame, terms: Sequence[str], k: int, *, id_col: str = "doc_id", text_col: str = "text", stem: bool = False) -> DataFrame:
     """(id, score): the k best OR matches; the score is the number of terms, ties by id."""
     hit = docs.where(matches_any(text_col, terms, stem=stem))
-    return hit.select(F.col(id_col).alias("id"), match_count(text_col, terms).cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return hit.select(F.col(id_col).alias("id"), match_count(text_col, terms, stem=stem).cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(k)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.functions.text import version_id
+from lodestone.operators.ordering import with_next_in_group
 
 
 def with_hash(rows: DataFrame, *, source: str = "source_id", content: str = "content") -> DataFrame:
@@ -19,10 +19,9 @@ def new_versions(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def version_log(versions: DataFrame) -> DataFrame:
-    """is_current and superseded_by from the order of ingestion: the newest version of a source is current."""
-    order = Window.partitionBy("source_id").orderBy("ingested_at", "version_id")
-    nxt = F.lead("version_id").over(order)
-    return versions.withColumn("superseded_by", nxt).withColumn("is_current", F.col("superseded_by").isNull())
+    """is_current and superseded_by from the order of ingestion: the newest version of a source is current. A source may have any number of versions."""
+    log = with_next_in_group(versions, "source_id", ["ingested_at", "version_id"], "version_id", "superseded_by")
+    return log.withColumn("is_current", F.col("superseded_by").isNull())
 
 
 def content_dedup(rows: DataFrame, *, source: str = "source_id", content: str = "content") -> DataFrame:

@@ -145,3 +145,93 @@ def test_alarm_needs_consecutive_periods(spark):
     ev = spark.createDataFrame([(60 * m, v) for m, v in ((0, 9.0), (5, 9.0), (15, 9.0), (20, 9.0), (25, 9.0))], "s long, value double").withColumn("ts", F.timestamp_seconds("s"))
     rows = observe.alarms(ev, "ts", 5, F.max("value"), 5, 3).orderBy("period_start").collect()
     assert [r.alarm for r in rows] == [False, False, False, False, False, True]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 1000])
+def test_order_statistics_are_exact(spark, n):
+    import random
+
+    from lodestone.operators.ordering import order_statistics
+
+    r = random.Random(n)
+    data = {g: [r.choice([r.gauss(0, 1), 0.5]) for _ in range(n)] for g in "ab"}
+    df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs] + [("a", None)], "g string, v double").repartition(3)
+    got = {x.g: x for x in order_statistics(df, ["g"], "v", {"low": F.lit(0), "mid": F.floor(F.col("n") / 2), "top": F.col("n") - 1}).collect()}
+    for g, vs in data.items():
+        vs = sorted(vs)
+        assert (got[g].n, got[g].low, got[g].mid, got[g].top) == (n, vs[0], vs[n // 2], vs[-1])
+
+
+def test_next_in_group_crosses_partitions(spark):
+    from lodestone.operators.ordering import with_next_in_group
+
+    rows = [("hot", i, f"v{i}") for i in range(500)] + [("b", 1, "x"), (None, 1, "n"), (None, 2, "m")]
+    df = spark.createDataFrame(rows, "g string, t int, v string").repartition(4)
+    got = {(x.g, x.t): x.nxt for x in with_next_in_group(df, "g", ["t"], "v", "nxt").collect()}
+    assert all(got["hot", i] == (f"v{i + 1}" if i < 499 else None) for i in range(500)) and got["b", 1] is None and got[None, 1] == "m" and got[None, 2] is None
+
+
+def test_index_and_scan_give_the_same_scores(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "The theft of the goods"), (2, "theft THEFT case"), (3, ""), (4, "the the the"), (5, "the end")], "doc_id int, text string")
+    lexical.build_index(docs, str(tmp_path / "ix"), buckets=4)
+    for terms in (["the", "Theft"], ["nowhere"], ["goods"], []):
+        want = {r.id: r.score for r in lexical.bm25(docs, terms).collect() if r.score}
+        assert {r.id: r.score for r in lexical.bm25_from_index(spark, str(tmp_path / "ix"), terms).collect() if r.score} == pytest.approx(want)
+
+
+def test_vocabulary_is_counted_only_for_frequent_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "common " + ("rare" if i == 0 else "x")) for i in range(9)], "doc_id int, text string")
+    called = []
+    mean = lexical.mean_idf
+    monkeypatch.setattr(lexical, "mean_idf", lambda *a: called.append(1) or mean(*a))
+    lexical.bm25(docs, ["rare"])
+    assert not called
+    lexical.bm25(docs, ["common"])
+    assert called
+
+
+def test_nearest_neighbours_in_blocks(spark):
+    import numpy as np
+
+    from lodestone.operators import knn
+
+    v = np.random.default_rng(1).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(999, None)], "vec_id long, embedding array<double>").repartition(5)
+    asked = df.where("vec_id % 10 = 0")
+    got = {}
+    for r in knn.knn_batch(df, asked, 5, block=7).collect():
+        got.setdefault(r.query_id, []).append((-round(r.score, 9), r.id))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(0, 300, 10):
+        s = [(-round(float(u[q] @ u[j]), 9), j) for j in range(300) if j != q]
+        assert sorted(got[q]) == sorted(s)[:5]
+    assert set(got) == set(range(0, 300, 10)) and knn.knn_batch(df, asked.where("false"), 5).count() == 0
+    assigned, centres = knn.build_ivf(df, lists=8)
+    shares = knn.recall(knn.probe_ivf_batch(assigned, centres, asked, 5, probes=8), knn.knn_batch(df, asked, 5), 5).collect()
+    assert len(shares) == 30 and all(x.recall == 1.0 for x in shares)  # all lists are all rows
+
+
+def test_evidence_is_bounded_and_links_are_whole(spark):
+    rows = [(f"s{i:03d}", "A quitclaim deed for the sum of $1.00 XXX-XX-1234", ["Entity 4 LLC"], date(2024, 1, 1)) for i in range(50)]
+    df = spark.createDataFrame(rows, "source_id string, content string, parties array<string>, filing_date date")
+    found = {r.indicator_type: r for r in filings.indicators(df, evidence=3).collect()}
+    assert set(found) == {"burst_filing", "identity_reuse", "deed_fraud_pattern", "suspicious_entity"}
+    assert all(r.evidence == ["s000", "s001", "s002"] and r.n_evidence == 50 for r in found.values())
+    assert filings.evidence_links(df).count() == 200
+    assert filings.indicators(df.where("false")).count() == 0
+
+
+def test_model_reranker_loads_once_and_scores_batches(spark):
+    rows = spark.createDataFrame([(1, "the cat"), (2, "the dog and the cat"), (3, None)], "id int, content string").coalesce(1)
+    sizes = []
+
+    def make():
+        def score(pairs):
+            sizes.append(len(pairs))
+            return [float(len(t)) for _, t in pairs]
+
+        return score
+
+    got = fusion.rerank(rows, fusion.model_reranker("q", make, batch=2), 2).collect()
+    assert [(r.id, r.score) for r in got] == [(2, 19.0), (1, 7.0)]
+    assert fusion.overlap_scorer()([("the cat", "The CAT sat"), ("", "x")]) == [1.0, 0.0]
