@@ -29,12 +29,6 @@ def split_poison(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return messages.where(good), messages.where(~good).select("value")
 
 
-def ingest_batch(docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs (source_id, content, ingested_at) -> (new version rows, their chunks)."""
-    fresh = new_versions(docs, known)
-    return fresh.select("version_id", "source_id", "content_hash", "ingested_at"), chunk_documents(fresh, id_col="source_id", text_col="content")
-
-
 def run_ingest(docs: DataFrame, versions_path: str, chunks_path: str, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
     """Streams docs into version and chunk tables. Versions are appended; chunks carry their version,
     so the current chunks are those of current versions (see current_chunks)."""

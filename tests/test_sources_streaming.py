@@ -86,6 +86,30 @@ def test_token_bucket_stream(spark, tmp_path):
     assert [r.allowed for r in spark.table("bucket").orderBy("ts").collect()] == [True, True, True, False]
 
 
+def test_fixed_window_stream_keeps_its_state_and_leaves_late_requests_out(spark, tmp_path):
+    src, cp, out = (str(tmp_path / x) for x in ("ev", "cp", "out"))
+    at = lambda s: (1, datetime(2024, 1, 1, 0, s // 60, s % 60))
+    allowed = {}
+    for batch in ([at(0), at(1), at(2)], [at(3), at(61), at(62)], [at(900)], [at(5), at(901)]):
+        spark.createDataFrame(batch, "user_id long, ts timestamp").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("user_id long, ts timestamp").parquet(src)
+        q = windows.fixed_window_stream(stream, limit=2, seconds=60, late="1 minute").writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    allowed = {(r.ts.minute * 60 + r.ts.second): r.allowed for r in spark.read.parquet(out).collect()}
+    assert allowed == {0: True, 1: True, 2: False, 3: False, 61: True, 62: True, 900: True, 901: True}  # 5 s came after the watermark
+
+
+def test_watermark_drops_late_rows(spark, tmp_path):
+    src, cp = str(tmp_path / "ev"), str(tmp_path / "cp")
+    for k, minutes in enumerate(([0, 1], [40], [2, 41])):
+        spark.createDataFrame([(datetime(2024, 1, 1, 0, m), "a") for m in minutes], "ts timestamp, event_type string").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("ts timestamp, event_type string").parquet(src)
+        q = windows.tumbling_stream(stream, "5 minutes", "event_type").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        q.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r.window_start.minute, r.n) for r in rows] == [(0, 2)]  # minute 2 came 38 minutes late
+
+
 def test_revocations(spark):
     t = spark.createDataFrame([("a",), ("b",), ("c",)], "token_id string")
     r = spark.createDataFrame([("a", datetime(2030, 1, 1)), ("b", datetime(2020, 1, 1))], "token_id string, expires_at timestamp")
