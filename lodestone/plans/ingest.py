@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.sources import records, sinks
 
+log = logging.getLogger(__name__)
+
 
 def _messages(cases: DataFrame, documents: DataFrame, dry_run: bool) -> DataFrame:
     found = documents.join(cases.select("case_number"), "case_number", "left_semi")
@@ -26,11 +31,21 @@ def ingest_case(cases: DataFrame, documents: DataFrame, number: str, *, dry_run:
     return _messages(records.case_by_number(cases, number), documents, dry_run)
 
 
-def union_of_courts(branches: dict[str, DataFrame]) -> DataFrame:
-    """The scans of several courts as one table with the court's name; columns that some lack are null."""
+def union_of_courts(branches: dict[str, DataFrame | Callable[[], DataFrame]], failed: dict[str, str] | None = None) -> DataFrame | None:
+    """The scans of several courts as one table with the court's name; columns that some lack are null.
+
+    A branch may be a function that makes the scan. One that raises is logged, noted in `failed` and
+    left out. None if no branch is left.
+    """
     out = None
-    for court, rows in branches.items():
-        rows = rows.withColumn("court", F.lit(court))
+    for court, branch in branches.items():
+        try:
+            rows = (branch() if callable(branch) else branch).withColumn("court", F.lit(court))
+        except Exception as e:  # noqa: BLE001  the other courts go on
+            log.warning("court %s is left out: %s", court, e)
+            if failed is not None:
+                failed[court] = str(e)
+            continue
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out
 

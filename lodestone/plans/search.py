@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import filings, fusion, lexical
+from lodestone.operators import filings, fusion, graph, lexical
 from lodestone.operators.evaluate import extractive_answer, prompt_context, validated
 from lodestone.operators.knn import knn
+from lodestone.storage import written
 
 
 def parse_queries(queries: DataFrame, column: str = "query") -> DataFrame:
@@ -22,13 +23,17 @@ def parse_queries(queries: DataFrame, column: str = "query") -> DataFrame:
     }).withColumn("kind", T.classified(q)).select("*", "kind.*").drop("kind")
 
 
+#: Bounds of a request, and how many candidates go to the reranker at most.
+QUERY_CHARS, TOP_K, RERANKED = (3, 1000), (1, 20), 20
+
+
 @dataclass(frozen=True)
 class Request:
-    """One search. candidates: how many rows each branch gives (four times top_k, at least 20, unless set)."""
+    """One search. candidates: how many rows each branch gives (min(4 top_k, RERANKED) unless set)."""
 
     terms: Sequence[str]
     vector: Sequence[float]
-    top_k: int = 10
+    top_k: int = 5
     weight: float = 0.5
     mode: str = "production"
     candidates: int | None = None
@@ -36,37 +41,81 @@ class Request:
     where: Column | None = None
 
     def __post_init__(self) -> None:
-        if not 1 <= self.top_k <= 1000:
-            raise ValueError("top_k must be between 1 and 1000")
+        if not TOP_K[0] <= self.top_k <= TOP_K[1]:
+            raise ValueError(f"top_k must be between {TOP_K[0]} and {TOP_K[1]}")
         if self.mode not in ("production", "lexical") or self.scope not in ("corpus", "candidates"):
             raise ValueError("unknown mode or scope")
 
     @property
     def n(self) -> int:
-        return self.candidates or max(20, 4 * self.top_k)
+        return self.candidates or min(4 * self.top_k, RERANKED)
+
+
+@dataclass(frozen=True)
+class Parsed:
+    """What a query's text says about how to search for it."""
 
+    normalized: str
+    terms: list[str]
+    weight: float
+    alpha: float
+    temporal: bool
+    jurisdiction: str | None
+    case_type: str | None
 
-def hybrid_search(docs: DataFrame, vectors: DataFrame, request: Request, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): dense candidates and full-text candidates, BM25 and weighted reciprocal ranks.
+
+def parsed_query(spark: SparkSession, query: str) -> Parsed:
+    """One query through the same expressions as parse_queries."""
+    if not QUERY_CHARS[0] <= len(query) <= QUERY_CHARS[1]:
+        raise ValueError(f"a query has {QUERY_CHARS[0]} to {QUERY_CHARS[1]} characters")
+    r = parse_queries(spark.createDataFrame([(query,)], "query string")).first()
+    words = [w for w in r["normalized"].lower().split() if w]
+    return Parsed(r["normalized"], words, r["bm25_weight"], r["authority_alpha"], r["temporal"], r["jurisdiction"], r["case_type"])
+
+
+def hybrid_search(docs: DataFrame, vectors: DataFrame, request: Request, *, id_col: str = "doc_id", text_col: str = "text", n: int | None = None) -> DataFrame:
+    """(id, score): the n (top_k unless given) best of dense candidates and BM25 candidates by weighted reciprocal ranks.
 
     In lexical mode the dense list is ignored, as no embedding provider is at hand.
     """
     rows = docs if request.where is None else docs.where(request.where)
-    hits = rows.where(lexical.matches_any(text_col, request.terms))
-    # the candidates are the best rows, so BM25 is scored over the corpus or, if asked, over the matches alone
-    base = rows if request.scope == "corpus" else hits
+    # BM25 is scored over the corpus or, if asked, over the matching rows alone
+    base = rows if request.scope == "corpus" else rows.where(lexical.matches_any(text_col, request.terms))
     scores = lexical.bm25(base, request.terms, id_col=id_col, text_col=text_col)
-    sparse = scores.where("score > 0").orderBy(F.desc("score"), "id").limit(request.n)
-    if request.mode == "lexical":
-        fused = fusion.rrf(sparse, sparse, weight=1.0)
-    else:
-        fused = fusion.rrf(knn(vectors, request.vector, request.n), sparse, weight=request.weight)
-    return fused.orderBy(F.desc("score"), "id").limit(request.top_k)
+    return fuse(None if request.mode == "lexical" else knn(vectors, request.vector, request.n), scores, request, n or request.top_k)
 
 
-def fuse(dense: DataFrame, scores: DataFrame, request: Request) -> DataFrame:
+def indexed_search(vectors: DataFrame, index: str, request: Request) -> DataFrame:
+    """As hybrid_search over the corpus, with BM25 from a written index (lexical.build_index)."""
+    scores = lexical.bm25_from_index(vectors.sparkSession, index, request.terms)
+    return fuse(None if request.mode == "lexical" else knn(vectors, request.vector, request.n), scores, request, request.top_k)
+
+
+def fuse(dense: DataFrame | None, scores: DataFrame, request: Request, n: int) -> DataFrame:
+    """(id, score): the n best by reciprocal ranks of the dense candidates, if any, and the best of scores."""
     sparse = scores.where("score > 0").orderBy(F.desc("score"), "id").limit(request.n)
-    return fusion.rrf(dense, sparse, weight=request.weight).orderBy(F.desc("score"), "id").limit(request.top_k)
+    fused = fusion.rrf(sparse, sparse, weight=1.0) if dense is None else fusion.rrf(dense, sparse, weight=request.weight)
+    return fused.orderBy(F.desc("score"), "id").limit(n)
+
+
+def served_search(docs: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float], *, top_k: int = 5, case_type: str | None = None, jurisdiction: str | None = None, scorer: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, content, score): the search as served.
+
+    The query's text gives terms, fusion weight and jurisdiction; four times top_k candidates are
+    fetched, reranked by `scorer` (a column over `content`; the share of query words unless given)
+    and cut to top_k. A jurisdiction filters rows only where docs has that column, a case type only if asked for.
+    """
+    told = parsed_query(docs.sparkSession, query)
+    where = F.lit(True)
+    place = jurisdiction or told.jurisdiction
+    if place is not None and "jurisdiction" in docs.columns:
+        where = where & (F.col("jurisdiction") == place)
+    if case_type is not None:
+        where = where & (F.col("case_type") == case_type)
+    request = Request(told.terms, vector, top_k=top_k, weight=told.weight, candidates=min(16 * top_k, RERANKED), where=where)
+    found = hybrid_search(docs, vectors, request, id_col=id_col, text_col=text_col, n=4 * top_k)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("content")).join(F.broadcast(found), "id")  # found has 4 top_k rows at most
+    return presented(fusion.rerank(rows, scorer if scorer is not None else fusion.lexical_reranker(told.normalized), top_k))
 
 
 def presented(rows: DataFrame) -> DataFrame:
@@ -74,22 +123,33 @@ def presented(rows: DataFrame) -> DataFrame:
     return rows.withColumn("content", F.left("content", F.lit(600))).withColumn("score", F.bround("score", 6))
 
 
-def research(docs: DataFrame, vectors: DataFrame, request: Request, question: str, *, alpha: float = 0.3, court: str = "source") -> DataFrame:
-    """One row: answer, sources, confidence and the validation of the answer."""
-    found = hybrid_search(docs, vectors, request)
-    rows = found.join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col(court).alias("court")), "id").withColumn("source_id", F.col("id").cast("string"))
-    scored = fusion.blend_authority(rows, alpha=alpha)
-    best = fusion.ranked(scored).withColumn("q", F.lit(question))
+def research(docs: DataFrame, vectors: DataFrame, request: Request, question: str, *, alpha: float | None = None, court: str = "source", scorer: Column | None = None, graph_tables: tuple[DataFrame, DataFrame, DataFrame] | None = None, today: Column | None = None) -> DataFrame:
+    """One row: answer, sources, confidence and the validation of the answer.
+
+    Candidates are kept only if in force `today` (by docs' effective_date and expiry_date) where the
+    question asks for current law, reranked by `scorer`, enriched with the citation graph (ranks,
+    good law and counts by source_id) if its tables are given, and blended with the court's authority.
+    """
+    told = parsed_query(docs.sparkSession, question)
+    found = hybrid_search(docs, vectors, request, n=request.n)
+    dated = [c for c in ("effective_date", "expiry_date") if c in docs.columns]
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col(court).alias("court"), *dated).join(F.broadcast(found), "id")  # found has request.n rows at most
+    if told.temporal and len(dated) == 2:
+        rows = rows.where(fusion.valid_on(F.current_date() if today is None else today))
+    ranked = fusion.rerank(rows, scorer if scorer is not None else fusion.lexical_reranker(told.normalized), request.top_k).withColumn("source_id", F.col("id").cast("string"))
+    if graph_tables is not None:
+        ranked = graph.enrich(ranked, *graph_tables)
+    best = fusion.ranked(fusion.blend_authority(ranked, alpha=told.alpha if alpha is None else alpha)).withColumn("q", F.lit(question))
     answer = extractive_answer(best, "q").join(prompt_context(best, "q"), "q").join(fusion.confidence(best, "q"), "q")
-    known = best.groupBy("q").agg(F.collect_list("source_id").alias("context_ids"))
+    known = best.groupBy("q").agg(F.collect_list("source_id").alias("context_ids"))  # top_k rows
     return validated(answer.join(known, "q")).withColumnRenamed("q", "question")
 
 
-def analyze_filings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(indicators, one row with the risk): the filings are read once and kept for the five detectors."""
-    kept = rows.select("source_id", "content", "parties", "filing_date").cache()
-    found = filings.indicators(kept)
-    return found, filings.risk_level(found.withColumn("all", F.lit(1)), "all").select("risk")
+def analyze_filings(rows: DataFrame, *, evidence: int = filings.EVIDENCE) -> tuple[DataFrame, DataFrame]:
+    """(indicators, one row with the risk): the columns that the detectors need are written once, the indicators too."""
+    kept = written(rows.select("source_id", "content", "parties", "filing_date"), "filings")
+    found = written(filings.indicators(kept, evidence=evidence), "indicators")
+    return found, filings.risk_level(found)
 
 
 def summarize(rows: DataFrame, *, text: str = "content", chars: int = 8000) -> DataFrame:

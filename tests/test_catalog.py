@@ -49,6 +49,11 @@ def test_queries_without_sql_give_rows(spark):
         assert catalog.queries()[name](spark, DIR).count() > 0, name
 
 
+def test_index_finds_nine_of_ten_neighbours(spark):
+    got = [r.recall for r in catalog.queries()["ivf_probe"](spark, "/root/testdata/sf0.01").collect()]
+    assert len(got) == 5 and sum(got) / len(got) >= 0.9
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
