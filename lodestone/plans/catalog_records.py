@@ -246,12 +246,12 @@ def message_batches(spark, sf_dir):
     return sinks.in_batches(rows, "queue", "o_orderkey").select("o_orderkey", "o_orderstatus", "batch_no")
 
 
-@query("SELECT user_id AS agent, ts::DATE AS dt, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SELECT event_type AS agent, ts::DATE AS dt, count(*) AS n FROM events GROUP BY 1, 2")
 def audit_records(spark, sf_dir):
     path = scratch_path(spark, "audit")
-    runs = table(spark, sf_dir, "events").select(F.col("user_id").alias("agent"), F.col("ts").cast("timestamp").alias("started_at"), "event_type")
+    runs = table(spark, sf_dir, "events").select(F.col("event_type").alias("agent"), F.col("ts").cast("timestamp").alias("started_at"), "user_id")
     sinks.write_audit(runs, path)
-    return spark.read.schema("started_at timestamp, event_type string, agent long, dt date").json(path).groupBy("agent", "dt").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema("started_at timestamp, user_id long, agent string, dt date").json(path).groupBy("agent", "dt").agg(F.count(F.lit(1)).alias("n"))
 
 
 _SENT = f"""WITH {_CASES} SELECT '{{"source_type":"court_case","source_id":"d' || o_orderkey || '","download_url":"http://x/' || o_orderkey || '","metadata":{{"case_number":"' || case_number || '","title":"Motion","filing_date":"' || o_orderdate::DATE || '"}}}}' AS value FROM c WHERE county = 'County 3' AND filing_date >= DATE '1998-05-02'"""
@@ -375,7 +375,7 @@ def answers_guarded(spark, sf_dir):
 _LCG = "SELECT doc_id, x0, (1664525 * x0 + 1013904223) % 4294967296 AS x1 FROM (SELECT doc_id, ('0x' || left(md5(text), 8))::BIGINT AS x0 FROM documents)"
 
 
-@query(f"SELECT doc_id, round(x1 / 2147483648.0::DOUBLE - 1, 6) AS a, round(x2 / 2147483648.0::DOUBLE - 1, 6) AS b FROM (SELECT doc_id, x1, (1664525 * x1 + 1013904223) % 4294967296 AS x2 FROM ({_LCG}))")
+@query(f"SELECT doc_id, round((x1 / 2147483648.0::DOUBLE - 1)::FLOAT::DOUBLE, 6) AS a, round((x2 / 2147483648.0::DOUBLE - 1)::FLOAT::DOUBLE, 6) AS b FROM (SELECT doc_id, x1, (1664525 * x1 + 1013904223) % 4294967296 AS x2 FROM ({_LCG}))")
 def congruential_vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", embedding.embedded("text", lambda: lambda texts: [embedding.congruential_vector(t, 2) for t in texts]).alias("v"))
     return rows.select("doc_id", *[F.round(F.get("v", F.lit(i)).cast("double"), 6).alias(c) for i, c in enumerate("ab")])
