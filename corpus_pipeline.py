@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; run() writes each stage as
 Parquet into the shared folder and reads it again as the next stage's docs.
+
+In every stage a null text counts as empty, null and repeated ids are rows like others, texts of
+any length are worked on whole, an empty table gives no rows, and further columns of docs, whatever
+their names, are ignored. Stages set the session's rows per Arrow batch.
 """
 
 from __future__ import annotations
@@ -57,9 +61,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         out = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        if last is not None:
+            _removed(spark, last)  # the next stage has read it
+        docs, last = spark.read.parquet(out), out
     return docs
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
