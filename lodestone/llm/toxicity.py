@@ -35,7 +35,8 @@ MOST_COUNTED = 100_000  # terms that a task counts before it hands them on
 PATTERNS = ("beginning", "two_beginnings", "two_words", "three_hits", "density", "shouting", "exclaiming", "addressing", "drawn_out", "masked")
 #: Second-person pronouns of four languages.
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine deinen tu te toi ton ta tes tú ti tus tuyo".split())
-DRAWN_OUT = re.compile(r"([^\W\d_])\1\1\1")
+DRAWN_OUT = tuple(4 * c for c in "abcdefghijklmnopqrstuvwxyz")
+MASKS = "*@#$%"
 MASKED = re.compile(r"[^\W\d_][*@#$%]+[^\W\d_]")
 VOTERS = LEXICON_VOTERS + len(PATTERNS)
 
@@ -105,6 +106,11 @@ def mine_lexicon(train: DataFrame, *, strength: float = 3.0, chance: float = 1.0
     return Lexicon(_deal(words), _deal(rank(1), len(words)))
 
 
+def _masked(text: str | None) -> bool:
+    """Whether a word has signs inside it, as in f**k."""
+    return bool(text) and any(m in text for m in MASKS) and bool(MASKED.search(text))
+
+
 def features(text: str | None, lex: Lexicon) -> tuple[list[int], np.ndarray, float]:
     """Indices of the lexicon entries that occur, the votes, and the log of the number of hits."""
     raw = WORD.findall(text) if text else []
@@ -119,7 +125,7 @@ def features(text: str | None, lex: Lexicon) -> tuple[list[int], np.ndarray, flo
     votes[LEXICON_VOTERS:] = (
         len(begun) >= 1, len(begun) >= 2, len(hit) >= 2, n >= 3, n >= 1 and n * 150 >= len(low),
         len(raw) >= 5 and 2 * sum(w.isupper() and len(w) > 1 for w in raw) >= len(raw), bool(text) and text.count("!") * 20 >= len(raw) + 20,
-        bool(raw) and 15 * sum(w in SECOND_PERSON for w in low) >= len(low), bool(text) and bool(DRAWN_OUT.search(text)), bool(text) and bool(MASKED.search(text)))
+        not SECOND_PERSON.isdisjoint(seen) and 15 * sum(w in SECOND_PERSON for w in low) >= len(low), any(len(w) >= 4 and any(x in w for x in DRAWN_OUT) for w in seen if len(set(w)) <= len(w) - 3), _masked(text))
     return sorted(found + [lex.beginnings[b] for b in begun]), votes, float(np.log1p(n))
 
 
