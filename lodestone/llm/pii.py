@@ -212,7 +212,8 @@ def sanitise(docs: DataFrame, *, threshold: float = 0.8, support: int = 3, reach
     said = F.transform(said, lambda w: F.struct(w["start"].alias("start"), F.lit(len(KINDS) + 1).alias("order"), w["end"].alias("end"), F.lit("term").alias("kind"), F.lower(w["value"]).alias("value")))
     held = held.withColumn("spans", F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", said))))
     held = held.withColumn("clean", replaced(F.col("text"), F.col("spans"))).select("doc_id", "text", "spans", "clean", *keep)
-    return rows.where(F.size("spans") == 0).select("doc_id", "text", "spans", F.col("text").alias("clean"), *keep).unionByName(held)
+    none = F.array().cast(held.schema["spans"].dataType).alias("spans")
+    return rows.where(F.size("spans") == 0).select("doc_id", "text", none, F.col("text").alias("clean"), *keep).unionByName(held)
 
 
 def replaced(text: Column, spans: Column) -> Column:
