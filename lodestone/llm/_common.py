@@ -111,30 +111,34 @@ def _fold(values: Column, join: Callable[[Column, Column], Column]) -> Column:
     return F.aggregate(values, start, step, lambda acc: acc["out"])
 
 
-def scan(values: Column, join: Callable[[Column, Column], Column], block: int = 1000) -> Column:
-    """Running sums (or maxima, ...) of an array of longs, in blocks: n * block copies where a plain fold makes n * n."""
+def scan(values: Column, join: Callable[[Column, Column], Column], block: int = 64, levels: int = 1) -> Column:
+    """Running sums (or maxima, ...) of an array of longs, in blocks of blocks: n * block copies where a plain fold makes n * n."""
+    if not levels:
+        return _fold(values, join)
 
     def blocks(x: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")), lambda b: _fold(F.slice(x, b * block + 1, F.lit(block)), join))
 
     def glued(parts: Column) -> Column:
-        before = _fold(F.transform(parts, lambda p: F.element_at(p, -1)), join)
+        before = scan(F.transform(parts, lambda p: F.element_at(p, -1)), join, block, levels - 1)
         return let(before, lambda all_before: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda v: join(F.get(all_before, i - 1), v))))))
 
     return let(values, lambda x: F.when(F.size(x) == 0, x).when(F.size(x) <= block, _fold(x, join)).otherwise(let(blocks(x), glued)))
 
 
-def copies_of(rows: DataFrame, key: str, ident: str, pick, salts: int = 16) -> DataFrame:
+def copies_of(rows: DataFrame, key: str, ident: str, pick, hot: int = 200_000) -> DataFrame:
     """(ident, representative) for the rows whose key occurs more than once.
 
     pick is the aggregate (F.min or F.max) that chooses the representative. The groups are
-    pre-aggregated on the map side; a hot key is dealt over `salts` join keys.
+    pre-aggregated on the map side. Those of more than `hot` rows, a row for every `hot` rows of the
+    input at most, are broadcast, so their rows are not shuffled; the others meet in a shuffled join.
     """
-    groups = rows.groupBy(key).agg(pick(ident).alias("_rep"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    groups = groups.select(F.col(key).alias("_key"), "_rep", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(ident), F.lit(salts)).cast("int"))
-    joined = salted.join(groups, (salted[key] == groups["_key"]) & (salted["_salt"] == groups["_salt"]))
-    return joined.select(salted[ident], F.col("_rep"))
+    groups = rows.groupBy(key).agg(pick(ident).alias("_rep"), F.count(F.lit(1)).alias("_n"))
+    groups = written(groups.where("_n > 1"), "copies")
+    large = F.broadcast(groups.where(F.col("_n") > hot).drop("_n"))
+    small = groups.where(F.col("_n") <= hot).drop("_n")
+    met = rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(small, key))
+    return met.select(ident, "_rep")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:

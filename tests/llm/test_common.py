@@ -9,7 +9,7 @@ def test_scan_equals_running_values(spark):
     r = random.Random(1)
     for n in (0, 1, 5, 99, 100, 101, 2345):
         v = [r.randint(-50, 50) for _ in range(n)]
-        df = spark.createDataFrame([(v,)], "v array<long>").select(scan(F.col("v"), lambda a, b: a + b, block=100).alias("s"), scan(F.col("v"), F.greatest, block=100).alias("m"))
+        df = spark.createDataFrame([(v,)], "v array<long>").select(scan(F.col("v"), lambda a, b: a + b, block=100).alias("s"), scan(F.col("v"), F.greatest, block=8).alias("m"))
         got = df.first()
         assert list(got.s) == [sum(v[: i + 1]) for i in range(n)] and list(got.m) == [max(v[: i + 1]) for i in range(n)]
 
@@ -20,8 +20,9 @@ def test_let(spark):
 
 def test_copies_and_checked_joins(spark):
     rows = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id as string)) as key")
-    got = {r.id: r._rep for r in copies_of(rows, "key", "id", F.max).collect()}
-    assert got == {i: 999 for i in range(0, 1000, 3)}
+    for hot in (10, 10_000):
+        got = {r.id: r._rep for r in copies_of(rows, "key", "id", F.max, hot=hot).collect()}
+        assert got == {i: 999 for i in range(0, 1000, 3)}
     few = spark.range(10).withColumnRenamed("id", "id")
     for most in (5, 100):
         assert join_checked(rows, few, "id", "left_semi", most).count() == 10
