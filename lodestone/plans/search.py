@@ -93,7 +93,8 @@ def indexed_search(vectors: DataFrame, index: str, request: Request) -> DataFram
 
 def fuse(dense: DataFrame | None, scores: DataFrame, request: Request, n: int) -> DataFrame:
     """(id, score): the n best by reciprocal ranks of the dense candidates, if any, and the best of scores."""
-    sparse = scores.where("score > 0").orderBy(F.desc("score"), "id").limit(request.n)
+    # the filter comes after the cut, as below it the scores would be worked out twice; positive scores come first anyway
+    sparse = scores.orderBy(F.desc("score"), "id").limit(request.n).where("score > 0")
     fused = fusion.rrf(sparse, sparse, weight=1.0) if dense is None else fusion.rrf(dense, sparse, weight=request.weight)
     return fused.orderBy(F.desc("score"), "id").limit(n)
 
