@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,3 +164,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         if not moved:
             return labels
     raise RuntimeError("components did not settle")
+
+
+def vector_matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, float64 matrix) of a list column's vectors of `size` components without nulls, NaN and infinities."""
+    offsets = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    wrong = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+    valid = ~np.asarray(column.is_null())
+    lengths = np.diff(offsets)
+    rows = np.flatnonzero(valid & (wrong[offsets[1:]] == wrong[offsets[:-1]]) & (lengths == size))
+    return rows, values[offsets[rows][:, None] + np.arange(size)]

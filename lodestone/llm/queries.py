@@ -93,6 +93,18 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm._common import written
+    from lodestone.llm.vector_codes import encode, train_codebooks, with_label_error
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = train_codebooks(rows, parts=4, entries=256, rounds=4, scale=1024)
+    if books is None:
+        return spark.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
+    coded = with_label_error(written(encode(rows, books), "codes"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -120,10 +132,24 @@ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars
 sum(15 + {_ESCAPED.format("role")} + length(role) - length(replace(role, '>', '')) + {_ESCAPED.format("text")})::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
 
 
+_OP12_ASSIGNED = """a{r} AS MATERIALIZED (SELECT vec_id, p, x, min(d * 256 + j) // 256 AS d, min(d * 256 + j) % 256 AS j
+FROM (SELECT vec_id, v.p, x, j, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - b[i]) * (x[i] - b[i])))::BIGINT AS d FROM v JOIN b{r} USING (p)) GROUP BY ALL)"""
+_OP12_REFINED = """b{s} AS MATERIALIZED (SELECT b{r}.p, b{r}.j, coalesce(m.b, b{r}.b) AS b FROM b{r} LEFT JOIN (SELECT p, j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS b
+FROM (SELECT p, j, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT p, j, unnest(x) AS x, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY ALL) GROUP BY ALL) m USING (p, j))"""
+_OP12 = f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT vec_id, p, e[p * len(e) // 4 + 1 : (p + 1) * len(e) // 4] AS x FROM k, range(4) r(p)),
+b0 AS MATERIALIZED (SELECT p, dense_rank() OVER (ORDER BY vec_id) - 1 AS j, x AS b FROM v WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256)),
+{", ".join(_OP12_ASSIGNED.format(r=r) + ", " + _OP12_REFINED.format(r=r, s=r + 1) for r in range(4))}, {_OP12_ASSIGNED.format(r=4)},
+c AS (SELECT vec_id, string_agg(printf('%02x', j), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY vec_id),
+s AS (SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), s"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
     """Of the queries that SQL can express; the others are tested against brute force in tests/llm."""
-    return {"op1_warc": _OP1, "op3_benchmark_decontamination": _OP3, "op10_chat_formatting": _OP10}
+    return {"op1_warc": _OP1, "op3_benchmark_decontamination": _OP3, "op10_chat_formatting": _OP10, "op12_vector_codes": _OP12}
