@@ -79,6 +79,17 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, most: int = BR
     return left.join(F.broadcast(right) if right.limit(most + 1).count() <= most else right, on, how)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, same: Column | str, size: str = "_n", hot: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join of rows with groups, which has one row a group and the number of its rows in `size`; groups should be a written table.
+
+    Groups of more than `hot` rows (one for every `hot` rows at most) are broadcast, so that no task gets all rows of
+    one; the others are broadcast if they are few and meet in a shuffled join if not.
+    """
+    large, small = F.broadcast(groups.where(F.col(size) > hot)), groups.where(F.col(size) <= hot)
+    most = rows.join(large, same)
+    return most.unionByName(join_checked(rows.join(large, same, "left_anti"), small, same, "inner"))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value evaluated once however often use names it."""
     return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)

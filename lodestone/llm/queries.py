@@ -93,6 +93,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.runs import digest, looped, periodic_runs
+
+    arrow_rows(spark, 200)
+    docs = table(spark, sf_dir, "documents").select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text"))
+    return digest(periodic_runs(docs))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm._common import written
     from lodestone.llm.vector_codes import encode, train_codebooks, with_label_error
@@ -105,6 +113,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.vector_dedup import near_links
+
+    return near_links(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -132,6 +146,21 @@ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars
 sum(15 + {_ESCAPED.format("role")} + length(role) - length(replace(role, '>', '')) + {_ESCAPED.format("text")})::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
 
 
+_CRC32 = """list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+lambda crc, c: list_reduce(list_concat([xor(crc, c)], range(8)::UBIGINT[]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)))"""
+_OP11 = f"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, xor({_CRC32}, 4294967295::UBIGINT)::BIGINT AS h FROM documents),
+e AS (SELECT *, len(w) AS n, (h // 10) % len(w) AS a, 1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8) AS p FROM t),
+d AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(w[:a], list_transform(range(0, n - a), lambda i: w[1 + a + i % p])) ELSE w END AS w FROM e),
+g AS MATERIALIZED (SELECT doc_id, i, n, hash(array_to_string(w[i + 1 : i + 5], ' ')) AS g FROM (SELECT *, unnest(range(0, n - 4)) AS i FROM d WHERE n > 5)),
+m AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.g = b.g AND b.i > a.i AND b.i - a.i <= a.n // 4),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM m) GROUP BY doc_id, q, k),
+r AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM s WHERE length >= greatest(6, 4 * q) GROUP BY ALL),
+x AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(v, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(w) AS v, unnest(range(0, n)) AS i FROM d) ANTI JOIN x USING (doc_id, i) GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs, arg_min({{'s': start, 'l': length, 'p': period}}, [-length / period, start, period]) AS best FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
 _OP12_ASSIGNED = """a{r} AS MATERIALIZED (SELECT vec_id, p, x, min(d * 256 + j) // 256 AS d, min(d * 256 + j) % 256 AS j
 FROM (SELECT vec_id, v.p, x, j, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - b[i]) * (x[i] - b[i])))::BIGINT AS d FROM v JOIN b{r} USING (p)) GROUP BY ALL)"""
 _OP12_REFINED = """b{s} AS MATERIALIZED (SELECT b{r}.p, b{r}.j, coalesce(m.b, b{r}.b) AS b FROM b{r} LEFT JOIN (SELECT p, j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS b
@@ -146,10 +175,18 @@ s AS (SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY p, j)) AS c
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), s"""
 
 
+_OP13 = """WITH RECURSIVE u AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL
+AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least AS component_id, vec_id = least AS kept FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) ON a = vec_id
+JOIN (SELECT a AS i, min(b) AS least FROM r GROUP BY a) ON i = vec_id"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
     """Of the queries that SQL can express; the others are tested against brute force in tests/llm."""
-    return {"op1_warc": _OP1, "op3_benchmark_decontamination": _OP3, "op10_chat_formatting": _OP10, "op12_vector_codes": _OP12}
+    return {"op1_warc": _OP1, "op3_benchmark_decontamination": _OP3, "op10_chat_formatting": _OP10, "op11_periodic_runs": _OP11, "op12_vector_codes": _OP12, "op13_embedding_dedup": _OP13}

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import BROADCAST_ROWS, join_checked, vector_matrix, written
+from lodestone.llm._common import BROADCAST_ROWS, join_groups, vector_matrix, written
 
 #: Rows compared with a codebook at a time; coefficients taken at a time; values of one limb of a sum; the largest long.
 ROWS, STEP, LIMB, MOST = 1024, 4, 1 << 60, (1 << 63) - 1
@@ -212,15 +212,7 @@ def encode(rows: DataFrame, books: Codebooks, *, id_col: str = "vec_id", vector:
 
 
 def with_label_error(coded: DataFrame, label: str = "label", hot: int = BROADCAST_ROWS) -> DataFrame:
-    """coded with `label_error`, its error summed over the rows of an equal label, nulls together.
-
-    Labels of more than `hot` rows (one for every `hot` rows at most) are broadcast, so that no task
-    gets all rows of one; the others are broadcast if they are few and meet in a shuffled join if not.
-    """
+    """coded with `label_error`, its error summed over the rows of an equal label, nulls together."""
     cut = F.least(F.sum(F.col("error").cast("decimal(19,0)")), F.lit(MOST).cast("decimal(38,0)")).cast("long")
     sums = written(coded.groupBy(F.col(label).alias("_label")).agg(cut.alias("label_error"), F.count(F.lit(1)).alias("_n")), "labels")
-    same = F.col(label).eqNullSafe(F.col("_label"))
-    large, small = sums.where(F.col("_n") > hot), sums.where(F.col("_n") <= hot)
-    most = coded.join(F.broadcast(large), same)
-    rest = join_checked(coded.join(F.broadcast(large), same, "left_anti"), small, same, "inner")
-    return most.unionByName(rest).drop("_label", "_n")
+    return join_groups(coded, sums, F.col(label).eqNullSafe(F.col("_label")), hot=hot).drop("_label", "_n")
