@@ -144,7 +144,7 @@ def _matrix(column: pa.Array, kind: str, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, size).astype(np.float64)
 
 
-def near_links(rows: DataFrame, *, threshold: float = 0.95, id_col: str = "vec_id", vector: str = "embedding", block: int = 16, pivots: int = 16, left: int = 2048, right: int = 8192) -> DataFrame:
+def near_links(rows: DataFrame, *, threshold: float = 0.95, id_col: str = "vec_id", vector: str = "embedding", block: int = 16, pivots: int = 16, left: int = 8192, right: int = 32768) -> DataFrame:
     """(id, n_links, component_id, kept) of every row: its direct links, the least id that links reach, whether it is that one.
 
     A null, empty or zero vector and one with a null or non-finite component link with nothing, as do
