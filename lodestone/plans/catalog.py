@@ -134,7 +134,8 @@ SELECT id, round(sum(p), 6) AS score FROM part GROUP BY id HAVING sum(p) > 0"""
 
 def _branches(spark, sf_dir, n=40):
     dense = knn.knn(_t(spark, sf_dir, "embeddings"), query_vector(), n)
-    sparse = lexical.bm25(_t(spark, sf_dir, "documents"), QUERY_TERMS).where("score > 0").orderBy(F.desc("score"), "id").limit(n)
+    # the filter comes after the cut, as below it the scores would be worked out twice
+    sparse = lexical.bm25(_t(spark, sf_dir, "documents"), QUERY_TERMS).orderBy(F.desc("score"), "id").limit(n).where("score > 0")
     return dense, sparse
 
 
@@ -155,6 +156,32 @@ def hybrid_search(spark, sf_dir):
     return search.hybrid_search(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "embeddings"), request).withColumn("score", F.round("score", 6))
 
 
+_ONE = "source = 'src1'"
+_FILTERED_DENSE = f"SELECT vec_id AS id, {_COS} AS score FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE {_ONE}) ORDER BY score DESC, id LIMIT 40"
+
+
+def _fused_sql(dense: str, sparse: str, w: float = 0.5, k: int = 60) -> str:
+    return f"""d AS ({dense}), s AS ({sparse}),
+part AS (SELECT id, {1 - w} / ({k} + row_number() OVER (ORDER BY score DESC, id)) AS p FROM d UNION ALL SELECT id, {w} / ({k} + row_number() OVER (ORDER BY score DESC, id)) FROM s)
+SELECT id, round(sum(p), 6) AS score FROM part GROUP BY id ORDER BY sum(p) DESC, id LIMIT 10"""
+
+
+@_query(f"WITH one AS (SELECT * FROM documents WHERE {_ONE}), {_bm25_sql('one')}, " + _fused_sql(_FILTERED_DENSE, "SELECT id, score FROM bm WHERE score > 0 ORDER BY score DESC, id LIMIT 40"))
+def hybrid_filtered(spark, sf_dir):
+    """Both branches see the rows of one source only."""
+    request = search.Request(QUERY_TERMS, query_vector(), top_k=10, candidates=40, where=F.expr(_ONE))
+    return search.hybrid_search(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "embeddings"), request).withColumn("score", F.round("score", 6))
+
+
+@_query(f"WITH {_bm25_sql('documents')}, " + _fused_sql(_FILTERED_DENSE, f"SELECT id, score FROM bm WHERE score > 0 AND id IN (SELECT doc_id FROM documents WHERE {_ONE}) ORDER BY score DESC, id LIMIT 40"))
+def indexed_filtered(spark, sf_dir):
+    """The filter over an index: statistics of the whole corpus, rows of one source."""
+    docs, path = _t(spark, sf_dir, "documents"), scratch_path(spark, "index")
+    lexical.build_index(docs, path)
+    request = search.Request(QUERY_TERMS, query_vector(), top_k=10, candidates=40, where=F.expr(_ONE))
+    return search.indexed_search(_t(spark, sf_dir, "embeddings"), path, request, docs).withColumn("score", F.round("score", 6))
+
+
 _SAID = "what is the license of ertion"
 
 
@@ -167,6 +194,17 @@ def served_search(spark, sf_dir):
     return search.served_search(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "embeddings"), _SAID, query_vector()).select("id", "content", "score")
 
 
+@_query(f"""WITH one AS (SELECT * FROM documents WHERE lang = 'de'), {_bm25_sql('one', _SAID.split())}, d AS (SELECT vec_id AS id, {_COS} AS score FROM embeddings WHERE vec_id IN (SELECT doc_id FROM one) ORDER BY score DESC, id LIMIT 20),
+s AS (SELECT id, score FROM bm WHERE score > 0 ORDER BY score DESC, id LIMIT 20),
+part AS (SELECT id, 0.7 / (60 + row_number() OVER (ORDER BY score DESC, id)) AS p FROM d UNION ALL SELECT id, 0.3 / (60 + row_number() OVER (ORDER BY score DESC, id)) FROM s),
+f AS (SELECT id, sum(p) AS p FROM part GROUP BY id ORDER BY p DESC, id LIMIT 20)
+SELECT id, left(text, 600) AS content, round_even(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), {_lit(_SAID.split())}))::DOUBLE / 6, 6) AS score
+FROM f JOIN documents ON doc_id = id ORDER BY score DESC, id LIMIT 5""")
+def served_filtered(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").withColumn("case_type", F.when(F.col("lang") == "de", "Civil").otherwise("Criminal"))
+    return search.served_search(docs, _t(spark, sf_dir, "embeddings"), _SAID, query_vector(), case_type="Civil").select("id", "content", "score")
+
+
 @_query()
 def research_answer(spark, sf_dir):
     request = search.Request(QUERY_TERMS, query_vector(), top_k=5)
@@ -724,7 +762,7 @@ def fixed_window_limit(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from lodestone.plans import catalog_filings, catalog_records  # noqa: F401  they register themselves
+    from lodestone.plans import catalog_filings, catalog_records, catalog_stored  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 

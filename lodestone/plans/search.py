@@ -12,7 +12,7 @@ from lodestone.functions import text as T
 from lodestone.operators import filings, fusion, graph, lexical
 from lodestone.operators.evaluate import extractive_answer, prompt_context, validated
 from lodestone.operators.knn import knn
-from lodestone.storage import written
+from lodestone.storage import join_checked, written
 
 
 def parse_queries(queries: DataFrame, column: str = "query") -> DataFrame:
@@ -76,18 +76,37 @@ def parsed_query(spark: SparkSession, query: str) -> Parsed:
 def hybrid_search(docs: DataFrame, vectors: DataFrame, request: Request, *, id_col: str = "doc_id", text_col: str = "text", n: int | None = None) -> DataFrame:
     """(id, score): the n (top_k unless given) best of dense candidates and BM25 candidates by weighted reciprocal ranks.
 
-    In lexical mode the dense list is ignored, as no embedding provider is at hand.
+    A filter holds for both branches: BM25 is scored over the rows that pass it, and only their vectors
+    are candidates. In lexical mode the dense list is ignored, as no embedding provider is at hand.
     """
     rows = docs if request.where is None else docs.where(request.where)
+    if request.where is not None and request.mode != "lexical":
+        vectors = passing(vectors, rows, id_col)
     # BM25 is scored over the corpus or, if asked, over the matching rows alone
     base = rows if request.scope == "corpus" else rows.where(lexical.matches_any(text_col, request.terms))
     scores = lexical.bm25(base, request.terms, id_col=id_col, text_col=text_col)
     return fuse(None if request.mode == "lexical" else knn(vectors, request.vector, request.n), scores, request, n or request.top_k)
 
 
-def indexed_search(vectors: DataFrame, index: str, request: Request) -> DataFrame:
-    """As hybrid_search over the corpus, with BM25 from a written index (lexical.build_index)."""
+def passing(scored: DataFrame, rows: DataFrame, id_col: str, key: str = "vec_id") -> DataFrame:
+    """The rows of scored (by key) whose id is one of rows; the ids are broadcast only if they are counted to be few."""
+    return join_checked(scored, rows.select(F.col(id_col).alias(key)), key, "left_semi")
+
+
+def indexed_search(vectors: DataFrame, index: str, request: Request, docs: DataFrame | None = None, *, id_col: str = "doc_id") -> DataFrame:
+    """As hybrid_search over the corpus, with BM25 from a written index (lexical.build_index).
+
+    A filter is a condition on docs, which must then be given; scores stay those of the whole corpus.
+    BM25 over candidates alone is not to be had from an index.
+    """
+    if request.scope != "corpus":
+        raise ValueError("an index has the statistics of the corpus, not of candidates")
+    if request.where is not None and docs is None:
+        raise ValueError("a filter needs docs, the rows that it is about")
     scores = lexical.bm25_from_index(vectors.sparkSession, index, request.terms)
+    if request.where is not None:
+        rows = docs.where(request.where)
+        scores, vectors = passing(scores, rows, id_col, "id"), passing(vectors, rows, id_col)
     return fuse(None if request.mode == "lexical" else knn(vectors, request.vector, request.n), scores, request, request.top_k)
 
 

@@ -41,3 +41,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def join_checked(left: DataFrame, right: DataFrame, on, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcasts right if it has at most `most` rows, else shuffles. right should be cheap to count."""
     return left.join(F.broadcast(right) if right.limit(most + 1).count() <= most else right, on, how)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return _fs(spark, path).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    return sorted(s.getPath().getName() for s in _fs(spark, path).listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))) if exists(spark, path) else []
+
+
+def _fs(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

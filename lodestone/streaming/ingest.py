@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators.chunking import chunk_documents
-from lodestone.operators.versions import new_versions
+from lodestone.operators.versions import new_versions, with_hash
 from lodestone.sources.sinks import MESSAGE
+from lodestone.sources.tables import StoredTable, record_versions
+from lodestone.storage import written
 
 
 def message_stream(spark: SparkSession, path: str, *, files_per_batch: int = 10) -> DataFrame:
@@ -49,6 +51,28 @@ def run_ingest(docs: DataFrame, versions_path: str, chunks_path: str, checkpoint
     return (q.trigger(availableNow=True) if available_now else q).start()
 
 
+def run_stored_ingest(docs: DataFrame, versions: StoredTable, chunks: StoredTable, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
+    """Streams docs (source_id, content, ingested_at) into stored tables: only the buckets of a batch's sources are read and rewritten.
+
+    Chunks are replaced by source before the versions are recorded, so a batch that is run again after a
+    crash between the two ends in the same tables, and one that is merely repeated changes nothing. Of
+    several contents of a source in a batch the newest is chunked.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        given = written(with_hash(batch), "batch")
+        seen = versions.read(buckets=[r[0] for r in given.select(versions.bucket()).distinct().collect()])
+        new = given.join(seen.select("version_id"), "version_id", "left_anti")
+        order = F.struct("ingested_at", "version_id")
+        newest = new.groupBy("source_id").agg(F.max_by("content", order).alias("content"))
+        made = chunk_documents(newest, id_col="source_id", text_col="content")
+        chunks.replace(made.select("chunk_id", "source_id", "section", "content"))
+        record_versions(versions, batch)
+
+    q = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (q.trigger(availableNow=True) if available_now else q).start()
+
+
 def current_chunks(chunks: DataFrame, log: DataFrame) -> DataFrame:
     """Chunks of current versions, once each though a repeated batch may have written them twice."""
     return chunks.join(log.where("is_current").select("version_id", F.col("source_id")), "version_id").dropDuplicates(["chunk_id"])
