@@ -5,9 +5,14 @@ evidence: stop-word density and length speak for article text, link density agai
 block stands adds to that (in the page's `article` or `main` element, beside one, or in an area
 named as menu, advert, comments and so on). Enough evidence makes a block good, little makes it
 bad, and what lies between is ambiguous: short blocks and those of middling density. Pass two lets
-an ambiguous block inherit the label of the nearest decided blocks on either side of it in its
-region, the article or the rest of the page, and a heading that of the block after it. Where the
-neighbours differ, or the region has none, its own evidence decides against the middle of the scale.
+an ambiguous block inherit the label of the nearest decided blocks in its region, the article or the
+rest of the page, and a heading that of the block after it. Where those before and after differ, the
+nearer one counts; evidence that leans clearly, that stands between two as near or in a region
+without decided blocks, decides against the middle of the scale.
+
+A name or a form does not make an area of what holds most of the page's text and all of its articles:
+that is the page's frame (of a page without an article only if the name is one of a layout). Areas
+of readers' comments, related pages and the like always count.
 """
 
 from __future__ import annotations
@@ -33,6 +38,10 @@ ITEMS = frozenset("li dt dd td th tr option".split())
 #: Words of class, id and role attributes that name areas beside the article.
 AREAS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer comment comments discussion reply replies cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup login share sharing social related recommended widget toolbar pagination pager search disclaimer".split())
 HEADER_AREAS = frozenset("header masthead topbar".split())
+#: Of those, the ones that are areas however much they hold; and words that turn a name into a statement about the page.
+ALWAYS = frozenset("comment comments discussion reply replies related recommended footer cookie cookies consent gdpr disclaimer".split())
+LAYOUT = frozenset("sidebar search widget toolbar pager pagination".split())
+ABOUT = frozenset("has have with without no not is show shows hide hides hidden".split())
 #: Frequent words of four languages.
 STOP = frozenset(
     "the of and to in a is that it for as was with be by on not he his but at are this have from or had an they which you were her she there been their has will would who when what so if no out up into than them can only other some could these about all our me my do "
@@ -47,10 +56,14 @@ _NAME = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Kinds of areas: always one; one unless it frames an article; one unless it frames most of the text.
+SURE, NAMED, FRAME = 3, 2, 1
+
+
 @dataclass
 class Block:
     root: int  # 0 outside the article, else the number of the article
-    area: bool
+    area: int  # 0 outside areas, else the number of the innermost one
     heading: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -60,7 +73,7 @@ class Block:
 
 
 class _Open(list):
-    """The open elements, as (name, inside an area, article number), with counts of what matters of them."""
+    """The open elements, as (name, number of the area they are in, article number), with counts of what matters of them."""
 
     def __init__(self) -> None:
         super().__init__()
@@ -68,7 +81,7 @@ class _Open(list):
         self.blocks: list[int] = []  # places of block elements
         self.links = self.headings = 0
 
-    def push(self, name: str, area: bool, root: int) -> None:
+    def push(self, name: str, area: int, root: int) -> None:
         if name in BLOCK:
             self.blocks.append(len(self))
         self.count[name] += 1
@@ -96,14 +109,16 @@ class _Open(list):
             at -= 1
         return self.cut(at)
 
-    def place(self) -> tuple[bool, int]:
-        return self[-1][1:] if self else (False, 0)
+    def place(self) -> tuple[int, int]:
+        return self[-1][1:] if self else (0, 0)
 
 
 def _named(attributes: str) -> set[str]:
     found: set[str] = set()
     for m in _MARK.finditer(attributes):
-        found.update(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1]).lower()))
+        for name in m[1].split():
+            words = _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+            found.update(words if words and words[0] not in ABOUT else ())
     return found
 
 
@@ -111,7 +126,8 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; blocks without text are left out. Takes time in proportion to the page."""
     out: list[Block] = []
     stack, roots, at = _Open(), 0, 0
-    now = Block(0, False, False)
+    areas: list[tuple[int, int]] = [(0, FRAME)]  # by number: the area around it, its kind
+    now = Block(0, 0, False)
 
     def close() -> None:
         nonlocal now
@@ -145,28 +161,70 @@ def blocks(page: str) -> list[Block]:
             if name == "p" or (name == tag and tag in ITEMS):
                 stack.cut(stack.blocks[-1])
         area, root = stack.place()
-        if tag in ("article", "main") and not area and not root:
-            roots += 1
-            root = roots
-        if tag in RAW or m[0].endswith("/>"):
-            if tag in RAW and not m[0].endswith("/>"):
+        alone = _self_closed(m[3])
+        if tag in RAW or alone:
+            if tag in RAW and not alone:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
+            elif tag in BLOCK:
+                close()
             continue
+        if tag in ("article", "main") and areas[area][1] != SURE and not root:
+            roots += 1
+            root = roots
         beside = _beside(tag, m[3], root)
-        stack.push(tag, area or beside, root)
+        if beside:
+            areas.append((area, SURE if areas[area][1] == SURE else beside))
+            area = len(areas) - 1
+        stack.push(tag, area, root)
         if tag in BLOCK or tag in NEVER or beside:
             close()
     close()
+    _settle(out, areas)
     return out
 
 
-def _beside(tag: str, attributes: str, root: int) -> bool:
-    """Whether an element is an area beside the article text, by its own or its class, id or role name."""
-    if tag in NEVER or (tag == "header" and not root):
+def _settle(found: list[Block], areas: list[tuple[int, int]]) -> None:
+    """Sets each block's area to one that counts around it, or to 0: a frame is none."""
+    inside, rooted = [0] * len(areas), [0] * len(areas)
+    for b in found:
+        if areas[b.area][1] != SURE:
+            inside[b.area] += len(b.text) - b.linked
+            rooted[b.area] += len(b.text) if b.root else 0
+    for k in range(len(areas) - 1, 0, -1):  # an area comes after the one around it
+        around, kind = areas[k]
+        if kind != SURE:
+            inside[around] += inside[k]
+            rooted[around] += rooted[k]
+    counts = [0] * len(areas)
+    for k in range(1, len(areas)):
+        around, kind = areas[k]
+        frame = kind != SURE and 2 * inside[k] > inside[0] and rooted[k] == rooted[0] and (rooted[k] or kind == FRAME)
+        counts[k] = counts[around] if frame else k
+    for b in found:
+        b.area = counts[b.area]
+
+
+def _self_closed(attributes: str) -> bool:
+    """Whether a tag ends in a slash of its own; one that ends an unquoted value is part of the value."""
+    if not attributes.endswith("/"):
+        return False
+    before = attributes[:-1]
+    last = before.split()[-1] if before.strip() and not before[-1].isspace() else ""
+    if not last or last[-1] in "\"'":
         return True
+    return "=" not in last and not before[: -len(last)].rstrip().endswith("=")
+
+
+def _beside(tag: str, attributes: str, root: int) -> int:
+    """The kind of area beside the article text that an element is, by its own or its class, id or role name; 0 for none."""
+    if (tag in NEVER and tag != "form") or (tag == "header" and not root):
+        return SURE
     names = _named(attributes) if attributes and tag not in HEADINGS and tag not in ("html", "body", "article", "main") else set()
-    return not AREAS.isdisjoint(names) or (not root and not HEADER_AREAS.isdisjoint(names))
+    named = AREAS & names or (HEADER_AREAS & names if not root else set())
+    if not named:
+        return FRAME if tag == "form" else 0
+    return SURE if not ALWAYS.isdisjoint(named) else FRAME if named <= LAYOUT else NAMED
 
 
 @dataclass(frozen=True)
@@ -206,27 +264,33 @@ def first_pass(b: Block, marked: bool, rules: Rules = RULES) -> None:
 
 
 def second_pass(found: list[Block], rules: Rules = RULES) -> None:
-    """Ambiguous blocks inherit from the nearest decided blocks before and after them in their region, which is their article or the rest of the page.
+    """Ambiguous blocks inherit from the nearest decided block in their region, which is their article or the rest of the page.
 
-    Where these two agree, theirs is the label; where they differ, the block's own evidence decides
-    against the middle. The edges of an article count as good blocks, those of the rest of the page as
-    bad ones; in a region without decided blocks the evidence decides. A heading takes the label of
-    the block after it in its region. Areas named as beside the article are no neighbours.
+    The edges of an article count as good blocks, those of the rest of the page as bad ones. Where the
+    decided blocks before and after differ, the nearer one counts, unless the block's own evidence is
+    nearer to being good or bad than to the middle; that decides then, as it does between two as near
+    and in a region without decided blocks. A heading takes the label of the block after it in its
+    region. Areas beside the article are no neighbours.
     """
     labels = [b.label for b in found]
-    decided: dict[int, list[int]] = {}
     regions: dict[int, list[int]] = {}
     for i, b in enumerate(found):
         if not b.area:
             regions.setdefault(b.root, []).append(i)
-            if labels[i] != "ambiguous":
-                decided.setdefault(b.root, []).append(i)
-    for i, b in enumerate(found):
-        if labels[i] == "ambiguous":
-            sure, edge = decided.get(b.root, []), "good" if b.root else "bad"
-            k = bisect(sure, i)
-            left, right = labels[sure[k - 1]] if k else edge, labels[sure[k]] if k < len(sure) else edge
-            b.label = left if sure and left == right else "good" if b.evidence >= rules.middle else "bad"
+    for root, places in regions.items():
+        edge, own = "good" if root else "bad", [labels[i] for i in places]
+        sure = [k for k, x in enumerate(own) if x != "ambiguous"]
+        for k, i in enumerate(places):
+            if own[k] == "ambiguous":
+                at = bisect(sure, k)
+                before, after = sure[at - 1] if at else -1, sure[at] if at < len(sure) else len(own)
+                left, right = own[before] if at else edge, own[after] if at < len(sure) else edge
+                nearest = left if left == right or k - before < after - k else right if after - k < k - before else ""
+                clear = not rules.middle + rules.bad < 2 * found[i].evidence < rules.middle + rules.good
+                found[i].label = nearest if sure and nearest and (left == right or not clear) else "good" if found[i].evidence >= rules.middle else "bad"
+    for b in found:
+        if b.area and b.label == "ambiguous":
+            b.label = "good" if b.evidence >= rules.middle else "bad"
     for places in regions.values():
         for i, after in zip(places[-2::-1], places[:0:-1], strict=True):
             if found[i].heading and labels[i] == "ambiguous":

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from lodestone.llm import chat, html_extract, langid, toxicity, winnowing
 
@@ -159,8 +160,16 @@ def test_blocks_inherit_from_their_nearest_neighbours():
             region = [j for j, x in enumerate(found) if x.root == b.root and not x.area]
             sure = [j for j in region if first[j] != "ambiguous"]
             edge = "good" if b.root else "bad"
-            left, right = ([first[j] for j in sure if j < i] or [edge])[-1], ([first[j] for j in sure if j > i] or [edge])[0]
-            want = left if sure and left == right else "good" if b.evidence >= html_extract.RULES.middle else "bad"
+            if b.area:
+                assert b.label == ("good" if b.evidence >= html_extract.RULES.middle else "bad")
+                continue
+            at = region.index(i)
+            near = sorted([(abs(region.index(j) - at), first[j]) for j in sure] + [(at + 1, edge)] * (not any(j < i for j in sure)) + [(len(region) - at, edge)] * (not any(j > i for j in sure)))
+            own = "good" if b.evidence >= html_extract.RULES.middle else "bad"
+            before = ([first[j] for j in sure if j < i] or [edge])[-1]
+            after = ([first[j] for j in sure if j > i] or [edge])[0]
+            clear = b.evidence >= 1.25 or b.evidence <= 0.45
+            want = before if sure and before == after else own if not sure or clear or len({x for d, x in near if d == near[0][0]}) != 1 else near[0][1]
             after = [j for j in region if j > i]
             if b.heading and after and not b.area:
                 want = found[after[0]].label
@@ -175,6 +184,42 @@ def test_ambiguous_blocks_may_turn_bad():
     assert [b.label for b in html_extract.classified(page)] == ["good"] + ["bad"] * 7
 
 
+PROSE = "the man was in the house and it was on the hill, as he had been there with his dog for a year. " * 3
+
+
+@pytest.mark.parametrize("frame", ['<div class="layout has-sidebar"><article>{}</article></div>', '<div id="search-results-page"><main>{}</main></div>', "<form action=x><div><article>{}</article></div></form>",
+                                   '<div class="sidebar-page"><form><article>{}</article></form></div>', '<div class="sidebar">{}</div>', '<div class="modal"><article>{}</article></div>'])
+def test_a_frame_is_no_area(frame):
+    page = '<body><div class="ad"><p>Buy it now</p></div>' + frame.format(f"<p>{PROSE}</p>") + '<div class="comments"><article><p>' + PROSE + PROSE + "</p></article></div></body>"
+    assert html_extract.main_text(page) == PROSE.strip()
+
+
+@pytest.mark.parametrize("area", ['<div class="sidebar"><article>{}</article></div>', '<div class="promo">{}</div>', "<form>{}</form>", '<div class="comment-list"><article>{}</article></div>', "<nav><article>{}</article></nav>", '<div class="advert">{}</div>'])
+def test_an_area_beside_the_article_stays_one(area):
+    page = f"<body><article><p>{PROSE}</p></article>" + area.format(f"<p>{PROSE[:120]}</p>") + "</body>"
+    assert html_extract.main_text(page) == PROSE.strip()
+    assert html_extract.main_text('<body><div class="advert"><p>' + PROSE + "</p></div></body>") == ""
+
+
+def test_self_closed_tags():
+    assert html_extract.main_text(f"<article><p>{PROSE}there.<div/>more of the same<p/>and so on</article>") == f"{PROSE}there.\n\nmore of the same\n\nand so on"
+    found = html_extract.blocks("<p><a href=http://x.y/>linked</a> <img src=a/> <b class=c />rest <a href = z/>too</a></p>")
+    assert [(b.text, b.linked) for b in found] == [("linked rest too", 9)]
+
+
+def test_first_pass_adds_its_evidence():
+    r = random.Random(8)
+    for _ in range(200):
+        words = [r.choice(["the", "of", "und", "quartz", "Xylo"]) for _ in range(r.randint(1, 80))]
+        text = " ".join(words)
+        b = html_extract.Block(r.choice([0, 1]), r.choice([0, 0, 4]), False, text=text, linked=r.randint(0, len(text)))
+        marked = r.random() < 0.5
+        html_extract.first_pass(b, marked)
+        stops = sum(w.lower() in ("the", "of", "und") for w in words) / len(words)
+        want = min(stops / 0.25, 1) + min(len(text) / 200, 1) - 3 * b.linked / len(text) + (-4 if b.area else 1.25 if b.root else -1.5 if marked else 0)
+        assert abs(b.evidence - want) < 1e-9 and b.label == ("good" if want >= 1.6 else "bad" if want <= 0 else "ambiguous")
+
+
 def test_closing_over_a_link_ends_it():
     assert html_extract.main_text("<article><p><a href=x>foo</p><p>the man of the house</p></article>") == "the man of the house"
 
