@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import fulltext
+from lodestone.operators import fulltext, ivfpq, knn
 from lodestone.plans.registry import literal, query, table
 from lodestone.sources.tables import StoredTable, chunk_table, record_versions, version_table
 from lodestone.storage import scratch_path
-from lodestone.streaming import ingest
+from lodestone.streaming import ingest, state
 
 _BATCHES = """WITH one AS (SELECT doc_id, source, md5(text) AS content, lang AS first FROM documents),
 two AS (SELECT doc_id, source, content || '!' AS content, 'late' AS first FROM one WHERE doc_id % 100 = 7 UNION ALL SELECT doc_id + 1000000, source, content, 'new' FROM one WHERE doc_id % 50 = 3)"""
@@ -59,9 +59,9 @@ def stored_ingest(spark, sf_dir):
     return versions.read().join(known.withColumn("_some", F.lit(True)), "source_id", "left").select("version_id", (F.col("is_current") & F.coalesce("_some", F.lit(False))).alias("chunked"))
 
 
-_SOUGHT = "the licensing of worthless things"
+_SOUGHT = "the licensing of worthless tokens"
 #: all forms of the sought lexemes that occur in the tables, and more
-_FORMS = (["license", "licensed", "licenses", "licensing"], ["worthless", "worthlessly", "worthlessness"], ["thing", "things", "thinged", "thinging"])
+_FORMS = (["license", "licensed", "licenses", "licensing"], ["worthless", "worthlessly", "worthlessness"], ["token", "tokens", "tokened", "tokening"])
 _PLACES = ", ".join(f"list_filter(range(1, len(w) + 1), lambda i: list_contains({literal(f)}, w[i])) AS p{k}" for k, f in enumerate(_FORMS))
 _PAIRS = ", ".join(
     f"coalesce(list_sum(list_transform(p{i}, lambda a: coalesce(list_sum(list_transform(list_filter(p{j}, lambda b: abs(a - b) BETWEEN 1 AND 100), lambda b: ln(1 - 0.1 / sqrt(1.005 + 0.05 * exp(abs(a - b) / 1.5 - 2))))), 0))), 0) AS l{i}{j}"
@@ -83,3 +83,65 @@ def fulltext_indexed(spark, sf_dir):
     path = scratch_path(spark, "fulltext")
     fulltext.build_fulltext(table(spark, sf_dir, "documents"), path)
     return fulltext.fulltext_search(fulltext.index_hits(spark, path, fulltext.lexemes(_SOUGHT)), 100).withColumn("score", F.round("score", 9))
+
+
+@query()
+def ivfpq_recall(spark, sf_dir):
+    """Recall of the stored index for every query (ids divisible by 100) against all rows, and the rows that each scores exactly."""
+    vectors, path = table(spark, sf_dir, "embeddings"), scratch_path(spark, "ivfpq")
+    asked = vectors.where("vec_id % 100 = 0")
+    ivfpq.build(vectors, path)
+    probes = -(-3 * len(ivfpq.load_model(spark, path).centres) // 4)
+    found = ivfpq.search(spark, path, asked, 10, probes=probes, rerank=100)
+    return knn.recall(found, knn.knn_batch(vectors, asked, 10), 10)
+
+
+def _drained(spark, batches, make, mode="append"):
+    """What make(stream) gives over batches, each a file and a trigger, as a stored table of rows."""
+    landed, out, cp = (scratch_path(spark, x) for x in ("landed", "out", "cp"))
+    for k, batch in enumerate(batches):
+        batch.coalesce(1).write.mode("append").parquet(landed)
+        q = make(spark.readStream.schema(batch.schema).parquet(landed)).writeStream.outputMode(mode).option("checkpointLocation", cp)
+        q.foreachBatch(lambda d, n, k=k: d.withColumn("_part", F.lit(k)).write.mode("append").parquet(out)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("""SELECT doc_id::VARCHAR AS message_id, CASE WHEN doc_id % 5 < 3 AND doc_id % 7 > 0 THEN 'done' ELSE 'dead' END AS event, CASE WHEN doc_id % 5 < 3 AND doc_id % 7 > 0 THEN doc_id % 5 + 1 ELSE 3 END::INTEGER AS attempt,
+doc_id + 86400 + CASE WHEN doc_id % 5 < 3 AND doc_id % 7 > 0 THEN 300 * (doc_id % 5) + 5 ELSE 900 END AS seconds FROM documents""")
+def redelivered(spark, sf_dir):
+    """A message for every document, whose handler fails doc_id % 5 times, or always if 7 divides doc_id: how each ends."""
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    sent = ids.select(F.col("doc_id").cast("string").alias("message_id"), F.lit("sent").alias("kind"), F.timestamp_seconds(F.col("doc_id") + 86400).alias("ts"))
+    done = ids.where("doc_id % 7 > 0").select(F.col("doc_id").cast("string").alias("message_id"), F.lit("done").alias("kind"), F.timestamp_seconds(F.col("doc_id") + 86405 + 300 * (F.col("doc_id") % 5)).alias("ts"))
+    clock = ids.agg(F.max("doc_id")).select(F.lit("clock").alias("message_id"), F.lit("sent").alias("kind"), F.timestamp_seconds(F.col("max(doc_id)") + 91400).alias("ts"))
+    told = _drained(spark, [sent.unionByName(done), clock], state.redelivery_stream)
+    ends = told.where("event in ('done', 'dead') and message_id <> 'clock'")
+    return ends.select("message_id", "event", "attempt", F.unix_seconds(F.col("at").cast("timestamp")).alias("seconds"))
+
+
+@query("""SELECT user_id::VARCHAR AS token, epoch_us(ts) AS seen, ts >= (TIMESTAMP '2024-01-01' + INTERVAL (user_id % 20) DAY) OR user_id % 3 > 0 AS allowed FROM events""")
+def revoked_uses(spark, sf_dir):
+    """Every event is a use of its user's token; those of every third user are revoked until some day."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id"), F.col("ts").cast("timestamp").alias("ts"))
+    first = events.agg(F.min("ts")).first()[0]
+    uses = events.select(F.col("user_id").cast("string").alias("token"), F.lit("used").alias("kind"), "ts", F.lit(None).cast("timestamp").alias("until"))
+    day = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01").cast("timestamp")) + 86400 * (F.col("user_id") % 20))
+    barred = events.where("user_id % 3 = 0").select("user_id").distinct()
+    revoked = barred.select(F.col("user_id").cast("string").alias("token"), F.lit("revoked").alias("kind"), F.lit(first).alias("ts"), day.alias("until"))
+    told = _drained(spark, [uses.unionByName(revoked)], state.revocation_stream)
+    return told.select("token", F.unix_micros(F.col("ts").cast("timestamp")).alias("seen"), "allowed")
+
+
+_LAST = "SELECT event_type AS key, value, count(*) OVER (PARTITION BY event_type) AS seen, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, value DESC) AS k FROM events"
+
+
+@query(f"""SELECT key, len(v) AS n, seen, v[1 + least(len(v) - 1, floor(0.5 * len(v)))::INT] AS p50, v[1 + least(len(v) - 1, floor(0.95 * len(v)))::INT] AS p95, v[1 + least(len(v) - 1, floor(0.99 * len(v)))::INT] AS p99
+FROM (SELECT key, seen, list_sort(list(value::DOUBLE)) AS v FROM ({_LAST}) WHERE k <= 1000 GROUP BY ALL)""")
+def latency_buffer(spark, sf_dir):
+    """Percentiles of the last 1000 values of each kind of event, kept in a stream's state over three triggers."""
+    events = table(spark, sf_dir, "events").select("event_type", F.col("value").cast("double").alias("value"), F.col("ts").cast("timestamp").alias("ts"))
+    a, b = (F.timestamp_micros(F.lit(int(x))) for x in events.select(F.unix_micros("ts").alias("t")).approxQuantile("t", [0.3, 0.7], 0.01))
+    parts = [events.where(F.col("ts") < a), events.where((F.col("ts") >= a) & (F.col("ts") < b)), events.where(F.col("ts") >= b)]
+    told = _drained(spark, parts, lambda s: state.last_samples_stream(s, "event_type", "value", size=1000), "update")
+    last = told.groupBy("key").agg(F.max_by(F.struct("n", "seen", "p50", "p95", "p99"), "_part").alias("r"))
+    return last.select("key", "r.*")
