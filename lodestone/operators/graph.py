@@ -33,6 +33,26 @@ def precedents(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
     return found
 
 
+def precedents_of_many(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """As precedents, for any depth and many starts: a written frontier and table of the reached pairs, so that the plan is that of one hop.
+
+    A start that is cited by what it cites is found like any other source.
+    """
+    hops = written(edges.select("citing_id", "cited_id").distinct(), "hops")
+    frontier = start.select(F.col("source_id").alias("start_id"), "source_id").distinct()
+    found = None
+    for d in range(1, depth + 1):
+        nxt = frontier.join(hops, frontier.source_id == hops.citing_id).select("start_id", F.col("cited_id").alias("source_id")).distinct()
+        nxt = nxt if found is None else nxt.join(found.select("start_id", "source_id"), ["start_id", "source_id"], "left_anti")
+        # only pairs that are new are followed: what the others reach has been reached before
+        frontier = written(nxt, "frontier")
+        level = frontier.withColumn("depth", F.lit(d))
+        found = level if found is None else found.unionByName(level)
+        if not frontier.limit(1).count():
+            break
+    return found
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 30, every: int = 5) -> DataFrame:
     """(source_id, pagerank) divided by the largest.
 

@@ -87,21 +87,25 @@ def bm25(docs: DataFrame, terms: Sequence[str], *, id_col: str = "doc_id", text_
     return counted.select("id", score.alias("score"))
 
 
-def build_index(docs: DataFrame, path: str, *, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes path/postings (bucket, term, id, tf, dl), sorted by term within a bucket, and path/statistics.
-
-    Counts come from each document's sorted tokens, so nothing but the postings is shuffled; a
-    frequent term's postings are dealt over several files.
-    """
+def postings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, dl, term, tf) of every document and term of it. Counts come from each document's sorted tokens, so nothing is shuffled."""
     tokens = docs.select(F.col(id_col).alias("id"), F.array_sort(bm25_tokens(text_col)).alias("t"))
     starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
     tokens = tokens.select("id", "t", F.size("t").alias("dl"), F.when(F.size("t") > 0, starts).otherwise(F.array().cast("array<int>")).alias("s"))
     posting = F.transform("s", lambda p, k: F.struct(F.get("t", p).alias("term"), (F.coalesce(F.get("s", k + 1), F.col("dl")) - p).alias("tf")))
-    rows = tokens.select("id", "dl", F.explode(posting).alias("p")).select(F.pmod(F.xxhash64("p.term"), F.lit(buckets)).cast("int").alias("bucket"), "p.term", "id", "p.tf", "dl")
+    return tokens.select("id", "dl", F.explode(posting).alias("p")).select("id", "dl", "p.term", "p.tf")
+
+
+def build_index(docs: DataFrame, path: str, *, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes path/postings (bucket, term, id, tf, dl), sorted by term within a bucket, and path/statistics.
+
+    Nothing but the postings is shuffled; a frequent term's postings are dealt over several files.
+    """
+    rows = postings(docs, id_col=id_col, text_col=text_col).select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", "id", "tf", "dl")
     dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("bucket", "term")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
     spark = docs.sparkSession
-    n, length = tokens.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    n, length = docs.select(F.size(bm25_tokens(text_col)).alias("dl")).agg(F.count(F.lit(1)), F.avg("dl")).first()
     df = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     mean = df.agg(F.avg(F.log(F.lit(n) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))).first()[0]
     spark.createDataFrame([(n, float(length or 0), float(mean or 0), buckets)], "n_docs long, mean_length double, mean_idf double, buckets int").coalesce(1).write.parquet(f"{path}/statistics")

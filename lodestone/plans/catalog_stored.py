@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import fulltext, ivfpq, knn
+from lodestone.operators import fulltext, graph, ivfpq, knn, names
+from lodestone.operators.segments import SegmentedIndex
+from lodestone.plans.catalog import _bm25_sql
 from lodestone.plans.registry import literal, query, table
 from lodestone.sources.tables import StoredTable, chunk_table, record_versions, version_table
 from lodestone.storage import scratch_path
 from lodestone.streaming import ingest, state
 
+RARE = ("license", "worthless", "ertion", "token")
+
 _BATCHES = """WITH one AS (SELECT doc_id, source, md5(text) AS content, lang AS first FROM documents),
 two AS (SELECT doc_id, source, content || '!' AS content, 'late' AS first FROM one WHERE doc_id % 100 = 7 UNION ALL SELECT doc_id + 1000000, source, content, 'new' FROM one WHERE doc_id % 50 = 3)"""
 
@@ -145,3 +149,61 @@ def latency_buffer(spark, sf_dir):
     told = _drained(spark, parts, lambda s: state.last_samples_stream(s, "event_type", "value", size=1000), "update")
     last = told.groupBy("key").agg(F.max_by(F.struct("n", "seen", "p50", "p95", "p99"), "_part").alias("r"))
     return last.select("key", "r.*")
+
+
+_TOP = "SELECT id, round(score, 6) AS score FROM bm WHERE id IN (SELECT id FROM tf) ORDER BY round(bm.score, 9) DESC, id LIMIT 50"
+
+
+def _segmented(spark, sf_dir):
+    index, docs = SegmentedIndex(spark, scratch_path(spark, "segments")), table(spark, sf_dir, "documents")
+    for part in range(3):
+        index.add(docs.where(F.col("doc_id") % 3 == part))
+    return index
+
+
+@query(f"WITH {_bm25_sql('documents', RARE)} {_TOP}")
+def segmented_search(spark, sf_dir):
+    """The top of three segments, added one after the other: that of the corpus."""
+    return _segmented(spark, sf_dir).search(RARE, 50).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH left_ AS (SELECT * FROM documents WHERE source IS DISTINCT FROM 'src1'), {_bm25_sql('left_', RARE)} {_TOP}")
+def segmented_merged(spark, sf_dir):
+    """A source is deleted, the segments merged: the top of what is left."""
+    index = _segmented(spark, sf_dir)
+    index.delete_source(spark.createDataFrame([("src1",)], "source string"))
+    index.merge()
+    return index.search(RARE, 50).withColumn("score", F.round("score", 6))
+
+
+_CITED = "SELECT DISTINCT l_partkey AS citing_id, (l_partkey * 7 + l_suppkey) % 2000 AS cited_id FROM lineitem WHERE l_orderkey % 29 = 0"
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED ({_CITED}), r AS (SELECT p_partkey AS start_id, cited_id AS source_id, 1 AS depth FROM part JOIN e ON citing_id = p_partkey WHERE p_partkey % 100 = 0
+UNION SELECT start_id, cited_id, depth + 1 FROM r JOIN e ON citing_id = source_id WHERE depth < 5) SELECT start_id, source_id, min(depth) AS depth FROM r GROUP BY ALL""")
+def precedents_d5(spark, sf_dir):
+    """Five hops from every part whose key is divisible by 100, over parts that cite parts (a 29th of the order lines are citations)."""
+    edges = table(spark, sf_dir, "lineitem").where("l_orderkey % 29 = 0").select(F.col("l_partkey").alias("citing_id"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 2000).alias("cited_id"))
+    start = table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("source_id"))
+    return graph.precedents_of_many(edges, start, 5)
+
+
+@query("""WITH t AS (SELECT doc_id, lower(text) AS t FROM documents), n AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS n FROM part),
+m AS (SELECT doc_id, n FROM t JOIN n ON contains(t, n)) SELECT doc_id, arg_min(n, (-length(n), n)) AS found FROM t LEFT JOIN m USING (doc_id) GROUP BY doc_id""")
+def longest_name(spark, sf_dir):
+    """The longest word of a part's name that each document contains."""
+    parts = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("name"))
+    return names.longest_name(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")), parts).select("doc_id", "found")
+
+
+@query("""WITH s AS (SELECT event_type AS alarm, floor(epoch(ts) / 300)::BIGINT AS p, max(value)::DOUBLE AS value FROM events GROUP BY 1, 2),
+c AS (SELECT alarm, unnest(generate_series(lo, hi)) AS p FROM (SELECT alarm, min(p) AS lo, max(p) AS hi FROM s GROUP BY alarm)), d AS (SELECT alarm, p, value, coalesce(value > 30, false) AS b FROM c LEFT JOIN s USING (alarm, p))
+SELECT alarm, p * 300 AS start, value, CASE WHEN sum(b::INT) OVER (PARTITION BY alarm ORDER BY p ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 THEN 'ALARM' ELSE 'OK' END AS state FROM d""")
+def alarm_states(spark, sf_dir):
+    """An alarm for each kind of event over a stream: periods without events do not breach."""
+    events = table(spark, sf_dir, "events").select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    last = events.agg(F.max("ts")).first()[0]
+    clock = spark.range(1).select(F.lit("clock").alias("event_type"), F.lit(0.0).alias("value"), (F.lit(last) + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    told = _drained(spark, [events, clock], lambda s: state.alarm_stream(s, "event_type", F.max("value"), threshold=30, periods=3))
+    ends = events.groupBy(F.col("event_type").alias("alarm")).agg(F.max("ts").alias("_last"))  # what comes after a kind's last event is left out, as the SQL does
+    return told.join(ends, "alarm").where("period_start <= _last").select("alarm", F.unix_seconds("period_start").alias("start"), "value", "state")

@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lodestone.streaming.windows import timed
@@ -189,3 +190,80 @@ def last_samples_stream(events: DataFrame, key: str, value: str, *, ts: str = "t
     rows = events.selectExpr(f"cast(`{key}` as string) as key", f"cast(`{value}` as double) as value", f"cast(`{ts}` as timestamp) as ts")
     out = "key string, n long, seen long" + "".join(f", p{round(100 * s)} double" for s in shares)
     return rows.groupBy("key").transformWithStateInPandas(LastSamples(size, list(shares)), out, "update", "none")
+
+
+MISSING = ("not breaching", "breaching", "ignore", "missing")
+
+
+def judged(points: list[bool | None], rule: str, before: str) -> str:
+    """The state of an alarm after some periods (breaching or not, None without data): ALARM, OK or INSUFFICIENT_DATA.
+
+    All breaching is an alarm, any that does not breach is none. Periods without data count as the
+    rule says; under `ignore` and `missing` they count as nothing, so the state stays as it was where
+    the others do not decide, and under `missing` there is too little data where none of them has any.
+    """
+    if rule in ("not breaching", "breaching"):
+        points = [rule == "breaching" if p is None else p for p in points]
+    if any(p is False for p in points):
+        return "OK"
+    if all(points):
+        return "ALARM"
+    return "INSUFFICIENT_DATA" if rule == "missing" and all(p is None for p in points) else before
+
+
+class Alarms(StatefulProcessor):
+    """The state of an alarm after every period, also after those without data, as far as the watermark has come."""
+
+    def __init__(self, seconds: int, threshold: float, periods: int, rule: str):
+        self.length, self.threshold, self.periods, self.rule = seconds * 1000, threshold, periods, rule
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "next long, points array<int>, state string")
+
+    def _period(self, told: tuple | None, start: int, value: float | None, out: list) -> tuple:
+        points, state = ([*told[1]], told[2]) if told else ([], "INSUFFICIENT_DATA")
+        points = [*points, -1 if value is None else int(value > self.threshold)][-self.periods :]
+        full = [None] * (self.periods - len(points)) + [None if p < 0 else bool(p) for p in points]
+        state = judged(full, self.rule, state)
+        out.append((pd.Timestamp(start, unit="ms"), value, state))
+        return start + self.length, points, state
+
+    def _told(self, key: tuple, told: tuple | None, out: list) -> Iterator[pd.DataFrame]:
+        if told is not None:
+            self.seen.update(told)
+            self.handle.registerTimer(told[0] + self.length)  # when the next period is over
+        if out:
+            yield pd.DataFrame({"alarm": [str(key[0])] * len(out), "period_start": [o[0] for o in out], "value": [o[1] for o in out], "state": [o[2] for o in out]}).astype({"value": "Float64"})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out, told = [], self.seen.get()
+        for r in _in_order(rows, ["window_start"]).itertuples():
+            start = _ms(r.window_start)
+            while told is not None and told[0] < start:
+                told = self._period(told, told[0], None, out)
+            if told is None or told[0] == start:
+                told = self._period(told, start, r.value, out)
+        yield from self._told(key, told, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out, told = [], self.seen.get()
+        while told is not None and told[0] + self.length <= timerValues.getCurrentWatermarkInMs():
+            told = self._period(told, told[0], None, out)
+        yield from self._told(key, told, out)
+
+    def close(self) -> None: ...
+
+
+def alarm_stream(events: DataFrame, key: str, value: Column, *, ts: str = "ts", seconds: int = 300, threshold: float, periods: int, rule: str = "not breaching", late: str = "10 minutes") -> DataFrame:
+    """(alarm, period_start, value, state) for every period of every alarm: value is an aggregate of the period's events.
+
+    Periods are aggregated in a streaming window, map-side first, and go to the alarm's state once the
+    watermark has passed them; a period in a row without events counts as `rule` (of MISSING) says.
+    """
+    if rule not in MISSING:
+        raise ValueError(f"a rule for missing data is one of {MISSING}")
+    state_store(events.sparkSession)
+    windows = timed(events, ts, late).groupBy(F.window(ts, f"{seconds} seconds"), F.col(key).cast("string").alias("alarm")).agg(value.cast("double").alias("value"))
+    rows = windows.select("alarm", F.col("window.start").alias("window_start"), "value", F.window_time("window").alias("_time"))
+    return rows.groupBy("alarm").transformWithStateInPandas(Alarms(seconds, threshold, periods, rule), "alarm string, period_start timestamp, value double, state string", "append", "eventTime")
