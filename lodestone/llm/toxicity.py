@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import join_checked, written
@@ -230,6 +230,16 @@ def fit_classifier(rows: list[tuple[list[int], np.ndarray, float]], target: np.n
     return Classifier(lex, w)
 
 
+def sampled(rows: DataFrame, by: Column, n: int, most: int) -> DataFrame:
+    """The `most` of n rows with the least hash `by`, added as h; of rows with one hash, which are repetitions, any."""
+    rows = rows.withColumn("h", by)
+    if n <= most:
+        return rows
+    least = [r["h"] for r in rows.select("h").orderBy("h").limit(most).collect()]  # `most` longs
+    below = sum(h < least[-1] for h in least)
+    return rows.where(F.col("h") < least[-1]).unionByName(rows.where(F.col("h") == least[-1]).limit(most - below))
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, annotator: float = 0.9, id_col: str = "doc_id") -> Classifier:
     """docs (doc_id, text) and labels (doc_id, toxic) of the rows one may learn from.
 
@@ -253,11 +263,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [features(t.as_py(), lex) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.float64()), batch.column(1)], names=["found", "votes", "hits", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.float64()), batch.column(1), batch.column(2)], names=["found", "votes", "hits", "toxic", "h"])
 
-    share = F.pmod(F.xxhash64(id_col, "text"), F.lit(1_000_000)) < F.lit(int(1e6 * min(1.0, sample / max(n, 1))))
-    picked = train.where(share).select("text", "toxic").mapInArrow(run, "found array<int>, votes array<long>, hits double, toxic int")
-    rows = picked.limit(sample).collect()
+    rows = sampled(train, F.xxhash64(id_col, "text"), n, sample).select("text", "toxic", "h").mapInArrow(run, "found array<int>, votes array<long>, hits double, toxic int, h long").collect()
+    rows.sort(key=lambda r: (r["h"], r["toxic"]))  # in one order, however the rows were dealt
     given = np.where([r["toxic"] for r in rows], 1.0, -1.0) * np.log(annotator / (1 - annotator)) if rows else np.zeros(0)
     rows = [(list(r["found"]), np.array(r["votes"]), r["hits"]) for r in rows]
     target = model.posterior(np.array([r[1] for r in rows]).reshape(-1, VOTERS), given) if rows else np.zeros(0)

@@ -340,3 +340,14 @@ def test_label_model_reads_accuracies():
     p = m.posterior(v)
     assert ((p > 0.5) == y).mean() > 0.98
     assert np.allclose(m.fire[:6], np.log(hit[:6] / miss[:6]), atol=0.35) and (m.share[6:] == 0).all()
+
+
+def test_the_sample_is_exact_and_the_same_however_rows_are_dealt(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i % 40, f"t{i % 40}", i % 2) for i in range(200)], "doc_id long, text string, toxic int")
+    by = F.xxhash64("doc_id", "text")
+    got = [sorted((r.doc_id, r.h) for r in toxicity.sampled(rows.repartition(n), by, 200, 33).collect()) for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 33
+    assert got[0] == sorted(sorted(((r.doc_id, r.h) for r in rows.withColumn("h", by).collect()), key=lambda r: r[1])[:33])
+    assert toxicity.sampled(rows, by, 200, 500).count() == 200
