@@ -65,7 +65,8 @@ def filing_evidence(spark, sf_dir):
 
 @query(f"WITH {_FOUND} SELECT DISTINCT source_id AS evidence FROM f WHERE deed AND (SELECT count(*) FROM f WHERE deed) >= 3")
 def deed_evidence(spark, sf_dir):
-    return filings.all_evidence(filings.deed_pattern(filed(spark, sf_dir), evidence=1_000_000))
+    found = filings.evidence_links(filed(spark, sf_dir))
+    return found.where("indicator_type = 'deed_fraud_pattern'").select(F.col("source_id").alias("evidence")).distinct()
 
 
 _SHOWN = "upper(left(indicator_type, 1)) || substr(indicator_type, 2)"

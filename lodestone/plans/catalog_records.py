@@ -127,7 +127,7 @@ def union_of_courts(spark, sf_dir):
 
 
 _STRIPPED = r"trim(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '\s{{2,}}', ' ', 'g'))"
-_OPINION = f"CASE WHEN page_id % 3 = 0 THEN url || ' ' || url || ' ' || url || ' ' || url WHEN page_id % 3 = 1 THEN {_STRIPPED.format('html')} ELSE {_STRIPPED.format('left(html, 400)')} END"
+_OPINION = f"CASE WHEN page_id % 3 = 0 THEN url || ' ' || url || ' ' || url || ' ' || url WHEN page_id % 3 = 1 THEN {_STRIPPED.format('html')} ELSE {_STRIPPED.format('html')} END"
 
 
 @query(f"SELECT page_id::VARCHAR AS source_id, md5(t) AS text, url AS citations FROM (SELECT page_id, url, {_OPINION} AS t FROM pages) WHERE length(t) >= 100")
@@ -135,7 +135,7 @@ def opinions_decoded(spark, sf_dir):
     key = F.col("page_id")
     raw = table(spark, sf_dir, "pages").select(
         key.cast("string").alias("id"), F.lit("n").alias("case_name"), F.lit("c").alias("court"), F.lit("2024-01-02").alias("date_filed"), F.when(key % 3 == 0, F.concat_ws(" ", "url", "url", "url", "url")).otherwise("  ").alias("plain_text"), F.when(key % 3 == 1, F.col("html")).alias("html_with_citations"),
-        F.left("html", F.lit(400)).alias("html"), F.array(F.col("url"), F.lit(""), F.lit(None).cast("string")).alias("citations"))
+        "html", F.array(F.col("url"), F.lit(""), F.lit(None).cast("string")).alias("citations"))
     return records.opinions(raw).select("source_id", F.md5("text").alias("text"), F.array_join("citations", "|").alias("citations"))
 
 
@@ -175,9 +175,9 @@ def statute_section(spark, sf_dir):
     return records.statute_section(rows, key["title"], key["article"], key["chapter"], "7")
 
 
-@query("SELECT doc_id::VARCHAR AS source_id, 0 AS chunk_no, md5(text) AS content, 'ic-' || doc_id || '-000' AS chunk_id FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM (SELECT doc_id, left(regexp_replace(text, '\\s+', ' ', 'g'), 900) AS text, lang FROM documents) WHERE lang IN ('en', 'fr') AND length(text) >= 30)")
+@query("SELECT doc_id::VARCHAR AS source_id, 0 AS chunk_no, md5(text) AS content, 'ic-' || doc_id || '-000' AS chunk_id FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS text, lang FROM documents) WHERE lang IN ('en', 'fr') AND length(text) >= 30)")
 def statute_chunks(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("title"), F.col("doc_id").alias("source_id"), F.left(F.regexp_replace("text", r"\s+", " "), F.lit(900)).alias("text"))
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("title"), F.col("doc_id").alias("source_id"), F.regexp_replace("text", r"\s+", " ").alias("text"))
     return ingest.statute_chunks(rows, ["en", "fr"]).withColumn("content", F.md5("content"))
 
 
