@@ -118,7 +118,7 @@ def test_texts_that_share_a_hash_are_told_apart(spark, monkeypatch):
 
     rows = [(i, t) for i, t in enumerate(["one text of its own", "another text here", "one text of its own", "third", None, ""])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(neardup, "_text_hash", lambda text, turn: F.length(text) * 0 + turn if turn < 2 else F.xxhash64(text))
-    keys = [r._key for r in neardup.keyed(docs).orderBy("doc_id").collect()]
+    monkeypatch.setattr(N, "_text_hash", lambda text, turn: F.length(text) * 0 + turn if turn < 2 else F.xxhash64(text))
+    keys = [r._key for r in N.keyed(docs).orderBy("doc_id").collect()]
     assert len(set(keys)) == 4 and keys[0] == keys[2] and keys[4] == keys[5]
-    assert {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4, 5: 4}
+    assert {r.doc_id: r.class_id for r in N.near_duplicate_classes(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4, 5: 4}
