@@ -49,9 +49,10 @@ def stored_versions(spark, sf_dir):
     return kept.read().select("version_id", F.unix_seconds("ingested_at").alias("seen"), "is_current")
 
 
-@query("SELECT source || '@' || left(sha256(text), 12) AS version_id, bool_or(doc_id = newest) AS chunked FROM (SELECT *, max(doc_id) OVER (PARTITION BY source) AS newest FROM documents WHERE source IS NOT NULL AND text IS NOT NULL) GROUP BY 1")
+@query("""WITH f AS (SELECT source, source || '@' || left(sha256(text), 12) AS version_id, min(doc_id) AS seen FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2)
+SELECT version_id, seen = max(seen) OVER (PARTITION BY source) AS chunked FROM f""")
 def stored_ingest(spark, sf_dir):
-    """Documents as a stream into stored tables, run twice; of each source the newest content of the batch is chunked."""
+    """Documents as a stream into stored tables, run twice; of each source the content that was first seen last is chunked."""
     landed, v, c, cp = (scratch_path(spark, x) for x in ("landed", "versions", "chunks", "cp"))
     rows = table(spark, sf_dir, "documents").where("source is not null and text is not null")
     rows = rows.select(F.col("source").alias("source_id"), F.col("text").alias("content"), F.timestamp_seconds("doc_id").alias("ingested_at"))

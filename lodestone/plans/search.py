@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,12 +128,13 @@ def served_search(docs: DataFrame, vectors: DataFrame, query: str, vector: Seque
     and cut to top_k. A jurisdiction filters rows only where docs has that column, a case type only if asked for.
     """
     told = parsed_query(docs.sparkSession, query)
-    where = F.lit(True)
+    conditions = []
     place = jurisdiction or told.jurisdiction
     if place is not None and "jurisdiction" in docs.columns:
-        where = where & (F.col("jurisdiction") == place)
+        conditions.append(F.col("jurisdiction") == place)
     if case_type is not None:
-        where = where & (F.col("case_type") == case_type)
+        conditions.append(F.col("case_type") == case_type)
+    where = reduce(and_, conditions) if conditions else None
     request = Request(told.terms, vector, top_k=top_k, weight=told.weight, candidates=min(16 * top_k, RERANKED), where=where)
     found = hybrid_search(docs, vectors, request, id_col=id_col, text_col=text_col, n=4 * top_k)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("content")).join(F.broadcast(found), "id")  # found has 4 top_k rows at most

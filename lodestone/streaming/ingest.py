@@ -63,6 +63,8 @@ def run_stored_ingest(docs: DataFrame, versions: StoredTable, chunks: StoredTabl
         given = written(with_hash(batch), "batch")
         seen = versions.read(buckets=[r[0] for r in given.select(versions.bucket()).distinct().collect()])
         new = given.join(seen.select("version_id"), "version_id", "left_anti")
+        # a content counts from when it was first seen, as its version does
+        new = new.groupBy("version_id", "source_id").agg(F.min("ingested_at").alias("ingested_at"), F.first("content").alias("content"))
         order = F.struct("ingested_at", "version_id")
         newest = new.groupBy("source_id").agg(F.max_by("content", order).alias("content"))
         made = chunk_documents(newest, id_col="source_id", text_col="content")
