@@ -8,8 +8,9 @@ from lodestone.operators import fulltext, graph, ivfpq, knn, names
 from lodestone.operators.segments import SegmentedIndex
 from lodestone.plans.catalog import _bm25_sql
 from lodestone.plans.registry import literal, query, table
+from lodestone.sources import paged
 from lodestone.sources.tables import StoredTable, chunk_table, record_versions, version_table
-from lodestone.storage import scratch_path
+from lodestone.storage import scratch_path, written
 from lodestone.streaming import ingest, state
 
 RARE = ("license", "worthless", "ertion", "token")
@@ -208,3 +209,69 @@ def alarm_states(spark, sf_dir):
     told = _drained(spark, [events, clock], lambda s: state.alarm_stream(s, "event_type", F.max("value"), threshold=30, periods=3))
     ends = events.groupBy(F.col("event_type").alias("alarm")).agg(F.max("ts").alias("_last"))  # what comes after a kind's last event is left out, as the SQL does
     return told.join(ends, "alarm").where("period_start <= _last").select("alarm", F.unix_seconds("period_start").alias("start"), "value", "state")
+
+
+# --- records in pages -----------------------------------------------------------------------
+
+
+def _land_cases(spark, sf_dir, path, part=None, size=1000):
+    """Orders as pages of cases, a court for each priority; every 40th has no date."""
+    date = F.when(F.col("o_orderkey") % 40 != 0, F.to_date("o_orderdate"))
+    orders = table(spark, sf_dir, "orders")
+    cases = (orders if part is None else orders.where(part)).select(
+        F.col("o_orderpriority").alias("court"), F.col("o_orderkey").cast("string").alias("case_number"), date.alias("filing_date"), F.col("o_orderstatus").alias("case_type"),
+        F.concat(F.lit("County "), F.col("o_custkey") % 10).alias("county"), F.concat(F.lit("Summary "), F.col("o_custkey")).alias("summary"))
+    paged.land(cases, path, "court", ["filing_date", "case_number"], size)
+
+
+_PAGED = "SELECT o_orderpriority AS court, o_orderkey::VARCHAR AS case_number, CASE WHEN o_orderkey % 40 <> 0 THEN o_orderdate::DATE END AS filing_date, 'County ' || (o_custkey % 10) AS county FROM orders"
+
+
+@query(f"SELECT * FROM ({_PAGED}) WHERE court IN ('1-URGENT', '5-LOW') AND filing_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND county IN ('County 3', 'County 4')")
+def paged_cases(spark, sf_dir):
+    """Cases of two courts, two counties and one year from a paged service: filters reach the source."""
+    path = scratch_path(spark, "pages")
+    _land_cases(spark, sf_dir, path)
+    rows = spark.read.format(paged.register(spark)).option("orderedBy", "filing_date").load(path)
+    found = rows.where("court in ('1-URGENT', '5-LOW') and filing_date between date '1996-01-01' and date '1996-12-31' and county in ('County 3', 'County 4')")
+    return found.select("court", "case_number", "filing_date", "county")
+
+
+@query(f"SELECT * FROM ({_PAGED})")
+def paged_stream(spark, sf_dir):
+    """The pages of a service as a stream: what is landed after the first run is all that the second reads."""
+    path, out, cp = (scratch_path(spark, x) for x in ("pages", "cases", "cp"))
+    name = paged.register(spark)
+    for part in (F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 3 > 0):
+        _land_cases(spark, sf_dir, path, part)
+        stream = spark.readStream.format(name).load(path).select("court", "case_number", "filing_date", "county")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+class _OneDown(paged.PagedRecords):
+    """A service whose court 3-MEDIUM answers its first page only."""
+
+    @classmethod
+    def name(cls):
+        return "paged_one_down"
+
+    def service(self):
+        return _Down(self.options["path"], "court")
+
+
+class _Down(paged.LandedPages):
+    def page(self, group, number):
+        if group == "3-MEDIUM" and number > 0:
+            raise OSError("this court does not answer")
+        return super().page(group, number)
+
+
+@query(f"SELECT * FROM ({_PAGED}) WHERE court <> '3-MEDIUM'")
+def courts_answering(spark, sf_dir):
+    """A court that fails while its pages are read leaves the others as they are."""
+    path = scratch_path(spark, "pages")
+    _land_cases(spark, sf_dir, path, size=100)
+    rows = spark.read.format(paged.register(spark, _OneDown)).options(failures="skip", tries="2", pause="0", pagesPerPartition="4").load(path)
+    read, _ = paged.answered(written(rows, "answers"))
+    return read.select("court", "case_number", "filing_date", "county")
