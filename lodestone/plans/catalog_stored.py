@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import re
+import uuid
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.operators import fulltext, graph, ivfpq, knn, names
 from lodestone.operators.segments import SegmentedIndex
-from lodestone.plans.catalog import _bm25_sql
+from lodestone.plans.catalog import _bm25_sql, _without_sql
 from lodestone.plans.registry import literal, query, table
-from lodestone.sources import paged
+from lodestone.sources import archives, paged
 from lodestone.sources.tables import StoredTable, chunk_table, record_versions, version_table
 from lodestone.storage import scratch_path, written
 from lodestone.streaming import ingest, state
@@ -275,3 +281,45 @@ def courts_answering(spark, sf_dir):
     rows = spark.read.format(paged.register(spark, _OneDown)).options(failures="skip", tries="2", pause="0", pagesPerPartition="4").load(path)
     read, _ = paged.answered(written(rows, "answers"))
     return read.select("court", "case_number", "filing_date", "county")
+
+
+# --- archives -------------------------------------------------------------------------------
+
+
+def _zip_pages(spark, sf_dir):
+    """The pages as statute sections in ZIP archives of 200 entries; every other one has its citation in a heading."""
+    path = scratch_path(spark, "zips")
+    key = F.col("page_id").cast("string")
+    head = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<h2>IC 35-"), key, F.lit("</h2>"))).otherwise("")
+    name = F.concat(F.lit("title"), 30 + F.col("page_id") % 5, F.lit("/article"), F.col("page_id") % 7, F.lit("/chapter01/IC_35-42-"), key, F.lit(".html"))
+    rows = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 200).alias("archive"), name.alias("name"), F.concat(head, F.lit("<h4>Line "), key, F.lit("</h4>"), F.coalesce("html", F.lit(""))).alias("html"))
+    spark.createDataFrame([], "path string").write.parquet(path)  # makes the folder
+
+    def pack(group: pa.Table) -> pa.Table:
+        from pyarrow.fs import FileSystem
+
+        fs, root = FileSystem.from_uri(re.sub("^file:/+", "/", path))
+        out = f"{root}/a{group.column('archive')[0].as_py()}.zip"
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            for r in group.sort_by("name").to_pylist():
+                z.writestr(zipfile.ZipInfo(r["name"]), r["html"], zipfile.ZIP_DEFLATED)
+        part = f"{out}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(part) as f:
+            f.write(buffer.getvalue())
+        fs.move(part, out)
+        return pa.table({"path": [out]})
+
+    rows.groupBy("archive").applyInArrow(pack, "path string").count()
+    return path
+
+
+_SECTION_TEXT = f"trim(regexp_replace(array_to_string(list_filter(list_transform(string_split({_without_sql('h')}, chr(1)), lambda t: regexp_replace(t, '^\\s+|\\s+$', '', 'g')), lambda t: t <> ''), ' '), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '<h2>IC 35-' || page_id || '</h2>' ELSE '' END || '<h4>Line ' || page_id || '</h4>' || coalesce(html, '') AS h FROM pages WHERE page_id % 5 IN (1, 3)),
+t AS (SELECT page_id, {_SECTION_TEXT} AS t FROM p) SELECT (30 + page_id % 5)::VARCHAR AS title, (page_id % 7)::VARCHAR AS article, CASE WHEN page_id % 2 = 0 THEN 'IC 35-' ELSE 'IC 35-42-' END || page_id AS citation, 'Line ' || page_id AS catchline, md5(t) AS text FROM t WHERE length(t) >= 30""")
+def statute_archives(spark, sf_dir):
+    """Sections of two titles out of ZIP archives; entries of other titles are not unpacked."""
+    sections, _ = archives.statute_sections(archives.archive_paths(spark, _zip_pages(spark, sf_dir)), ["31", "33"])
+    return sections.select("title", "article", "citation", "catchline", F.md5("text").alias("text"))

@@ -33,22 +33,53 @@ def squeeze(text: str) -> str:
     return re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", text)).strip()
 
 
+#: End tags that close what was left open inside their element; others stop at a dropped element around them.
+_CONTAINERS = frozenset("html body main article section aside div form table nav header footer".split())
+
+
 class _Text(HTMLParser):
+    """Text nodes outside dropped elements. A nav, footer or header that only the end of the page closes drops nothing."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.depth, self.parts = 0, []
+        self.open: list[str] = []
+        self.parts: list[str] = []
+        self.held: list[str] = []  # text inside dropped elements that are still open
+        self.depth = 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in DROPPED:
-            self.depth += 1
+        if tag not in _VOID:
+            self.open.append(tag)
+            self.depth += tag in DROPPED
 
     def handle_endtag(self, tag):
-        if tag in DROPPED and self.depth:
-            self.depth -= 1
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k] == tag:
+                self._close(k, tag in ("html", "body"))
+                return
+            if self.open[k] in DROPPED and tag not in _CONTAINERS:
+                return
+
+    def _close(self, first: int, page_ends: bool) -> None:
+        dropped = sum(t in DROPPED for t in self.open[first:])
+        del self.open[first:]
+        self.depth -= dropped
+        if dropped and not self.depth:
+            if page_ends:
+                self.parts += self.held
+            self.held = []
 
     def handle_data(self, data):
-        if not self.depth and data.strip():
+        if not data.strip():
+            return
+        if not self.depth:
             self.parts.append(data.strip())
+        elif self.open[-1] not in ("script", "style"):
+            self.held.append(data.strip())
+
+    def close(self):
+        super().close()
+        self._close(0, True)
 
 
 def html_text(page: str) -> str:
