@@ -82,7 +82,7 @@ def land(rows: DataFrame, path: str, by: str, order: list[str], page_size: int =
     if exists(spark, path):
         known = LandedPages(path, by)
         there = spark.createDataFrame([(g, known.pages(g)) for g in known.groups()], f"_g {rows.schema[by].dataType.simpleString()}, _pages long")
-        paged = paged.join(F.broadcast(there), F.col(by).eqNullSafe(F.col("_g")), "left").withColumn("page", F.col("page") + F.coalesce("_pages", F.lit(0)))
+        paged = join_checked(paged, there, F.col(by).eqNullSafe(F.col("_g")), "left").withColumn("page", F.col("page") + F.coalesce("_pages", F.lit(0)))
     paged = paged.repartition(by, "page").sortWithinPartitions(by, "page", *order)
     paged.select(*rows.columns, "page").write.mode("append").partitionBy(by, "page").json(path)
 
