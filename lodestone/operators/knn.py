@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.vectors import cosine
+from lodestone.storage import written
 
 
 def knn(vectors: DataFrame, query: Sequence[float], k: int, *, where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -20,58 +21,123 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int, *, where: Column | N
     return scored.where("score is not null").orderBy(F.desc("score"), "id").limit(k)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 4096, tile: int = 65_536, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score): the k most similar vectors of each query, ties by id.
 
-    queries: (id, vector) under the same names; a vector is not its own neighbour. Queries go to the
-    tasks in blocks of at most `block` rows; every task keeps the k best of what it reads, so only
-    k rows per query and task are merged. Null vectors have no neighbours and are none.
+    queries: (id, vector) under the same names; a vector is not its own neighbour. At most `block`
+    queries go to the tasks whole, and each task keeps the k best of what it reads: no vector is
+    shuffled. More queries meet the vectors in tiles of `tile` by `tile` rows, k rows per query and
+    tile are merged, and the driver holds none of them. Null vectors and ids have no neighbours and are none.
     """
     import numpy as np
+
+    rows, asked = _named(vectors, id_col, vector_col), _named(queries, id_col, vector_col)
+    held = asked.limit(block + 1).collect()
+    if len(held) > block:
+        return _top(_in_tiles(rows.withColumn("list_id", F.lit(0)), asked.withColumn("list_id", F.lit(0)), k, block, tile), k)
+    ids, q = np.array([r["id"] for r in held], np.int64), _unit(np.array([r["v"] for r in held], float).reshape(len(held), -1 if held else 0))
+
+    def run(batches):
+        best = _none()
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                best = _taken_in(best, ids, q, batch.column(0).to_numpy(), _matrix(batch.column(1)), k)
+        yield _batch(ids, best)
+
+    return _top(rows.mapInArrow(run, _FOUND), k)
+
+
+_FOUND = "query_id long, id long, score double"
+#: Scores that a task holds at once.
+_SCORES = 4_000_000
+
+
+def _named(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    given = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()
+    return vectors.where(given).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+
+
+def _unit(v):
+    import numpy as np
+
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def _matrix(column):
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _none():
+    """No neighbours yet: (numbers of queries, ids, scores)."""
+    import numpy as np
+
+    return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+
+def _taken_in(best, asked, q, own, v, k: int):
+    """The k best of each query among `best` and the vectors (own, v); q are unit vectors of the queries `asked`."""
+    import numpy as np
+
+    step = max(k + 1, _SCORES // len(q))
+    for at in range(0, len(own), step):
+        ids = own[at : at + step]
+        s = q @ _unit(v[at : at + step]).T
+        s[asked[:, None] == ids[None]] = -np.inf
+        edge = np.partition(s, -k, axis=1)[:, [-k]] if len(ids) > k else -np.inf
+        r, c = np.nonzero((s >= edge) & (s > -np.inf))  # ties at the edge stay until ids decide
+        r, ids, s = np.concatenate([best[0], r]), np.concatenate([best[1], ids[c]]), np.concatenate([best[2], s[r, c]])
+        order = np.lexsort((ids, -s, r))
+        r, ids, s = r[order], ids[order], s[order]
+        near = np.arange(len(r)) - np.searchsorted(r, r) < k
+        best = r[near], ids[near], s[near]
+    return best
+
+
+def _batch(asked, best):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(asked[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "id", "score"])
+
+
+def _in_tiles(rows: DataFrame, asked: DataFrame, k: int, block: int, tile: int) -> DataFrame:
+    """(query_id, id, score): the k best of each query in each tile of its lists.
+
+    rows, asked: (id, v, list_id). A list's rows and its queries are dealt by hashes of their ids
+    to parts of about `tile`, and each part of rows meets each part of queries in a task of its
+    own, so a list of any size is spread. A task scores `block` queries at a time.
+    """
     import pyarrow as pa
 
-    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-
-    def unit(v: np.ndarray) -> np.ndarray:
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-
-    def scored(block_ids: np.ndarray, q: np.ndarray):
-        def run(batches):
-            ids, best = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy()
-                v = unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1))
-                s = np.where(block_ids[:, None] == own[None], -np.inf, q @ v.T)
-                ids, best = np.hstack([ids, np.broadcast_to(own, s.shape)]), np.hstack([best, s])
-                order = np.lexsort((ids, -best), axis=1)[:, :k]
-                ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
-            n = ids.shape[1]
-            real = np.isfinite(best).ravel()
-            cols = [np.repeat(block_ids, n)[real], ids.ravel()[real], best.ravel()[real]]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["query_id", "id", "score"])
-
-        return run
-
-    out, ids, part = None, [], []
-    it = asked.toLocalIterator()
-    while True:
-        r = next(it, None)
-        if r is not None:
-            ids.append(r["id"])
-            part.append(r["v"])
-        if part and (r is None or len(part) == block):
-            found = rows.mapInArrow(scored(np.array(ids), unit(np.array(part))), "query_id long, id long, score double")
-            out = found if out is None else out.unionByName(found)
-            ids, part = [], []
-        if r is None:
-            break
-    if out is None:
-        return rows.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score")).where("false")
+    def dealt(df: DataFrame, parts: str) -> DataFrame:
+        return df.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(parts))
+
+    def numbers(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def part(n: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+
+    sizes = F.broadcast(written(dealt(rows, "row_parts").join(dealt(asked, "query_parts"), "list_id"), "tiles"))  # a row a list
+    left = rows.join(sizes, "list_id").select("list_id", part("row_parts").alias("r"), numbers("query_parts").alias("q"), "id", "v")
+    right = asked.join(sizes, "list_id").select("list_id", numbers("row_parts").alias("r"), part("query_parts").alias("q"), "id", "v")
+
+    def scored(some: pa.Table, queries: pa.Table) -> pa.Table:
+        found = []
+        if some.num_rows:
+            own, v = some.column("id").to_numpy(), _matrix(some.column("v").combine_chunks())
+            for at in range(0, queries.num_rows, block):
+                here = queries.slice(at, block)
+                ids, q = here.column("id").to_numpy(), _unit(_matrix(here.column("v").combine_chunks()))
+                found.append(_batch(ids, _taken_in(_none(), ids, q, own, v, k)))
+        return pa.Table.from_batches(found, pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+
+    keys = ["list_id", "r", "q"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scored, _FOUND)
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
+    return found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
 
 
 def build_ivf(vectors: DataFrame, *, lists: int = 100, seed: int = 7, sample: int = 100_000, id_col: str = "vec_id", vector_col: str = "embedding"):
@@ -99,11 +165,11 @@ def probe_ivf(assigned: DataFrame, centroids, query: Sequence[float], k: int, *,
     return knn(assigned, query, k, where=F.col("list_id").isin([int(i) for i in near]), id_col=id_col, vector_col=vector_col)
 
 
-def probe_ivf_batch(assigned: DataFrame, centroids, queries: DataFrame, k: int, *, probes: int = 10, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def probe_ivf_batch(assigned: DataFrame, centroids, queries: DataFrame, k: int, *, probes: int = 10, block: int = 4096, tile: int = 65_536, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score): as knn_batch, each query against the rows of its `probes` nearest lists only.
 
-    Queries meet lists in a join on list_id, so a list's rows are scored in its own tasks; the k
-    best of each query and list come out of a bounded top-k.
+    Queries and rows of a list meet in tiles of `tile` by `tile` rows, so a long list is several
+    tasks' work; the k best of each query and tile are merged. `assigned` should be a written table.
     """
     import numpy as np
 
@@ -115,12 +181,10 @@ def probe_ivf_batch(assigned: DataFrame, centroids, queries: DataFrame, k: int,
         q = np.array(v.tolist(), float).reshape(len(v), -1)
         return pd.Series(list(np.argsort(-(q @ c.T), 1)[:, :probes].astype(np.int32)))
 
-    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("q"))
-    asked = asked.select("query_id", "q", F.explode(nearest("q")).alias("list_id"))
-    rows = assigned.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), "list_id")
-    met = rows.join(asked, "list_id").where("id <> query_id").select("query_id", "id", cosine(F.col("v"), F.col("q")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return met.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
+    asked = written(_named(queries, id_col, vector_col).withColumn("list_id", F.explode(nearest("v"))), "probes")
+    given = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()
+    rows = assigned.where(given).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col("list_id").cast("int"))
+    return _top(_in_tiles(rows, asked, k, block, tile), k)
 
 
 def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:

@@ -15,8 +15,8 @@ def order_statistics(rows: DataFrame, by: Sequence[str], value: str, ranks: dict
     """(by, n, one column per rank): the values at the given 0-based ranks of each group's sorted values, exactly.
 
     ranks: name -> expression of the group's count `n`. Approximate quantiles bracket each rank
-    within 2 / accuracy of the group; values below a bracket are only counted (partial sums on the
-    map side), and the few inside are sorted. Null values are left out.
+    within about half a percent of the group; values below a bracket are only counted (partial sums
+    on the map side), and only those inside one are shuffled and sorted. Null values are left out.
     """
     names = list(ranks)
     rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
@@ -31,7 +31,7 @@ def order_statistics(rows: DataFrame, by: Sequence[str], value: str, ranks: dict
     brackets = written(size.select(*by, "n", *map(bracket, names)), "brackets")
     each = join_checked(rows, brackets, list(by), "inner") if by else rows.crossJoin(F.broadcast(brackets))  # without groups there is one row
     below = each.groupBy(*by).agg(*[F.count_if(F.col("_v") < F.col(f"{x}.low")).alias(x) for x in names])
-    inside = each.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("c"), *[F.first(F.col(x)).alias(x) for x in names])
+    inside = each.where(F.array_contains(F.array(*[F.col("_v").between(F.col(f"{x}.low"), F.col(f"{x}.high")) for x in names]), True)).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("c"), *[F.first(F.col(x)).alias(x) for x in names])
     out = brackets.select(*by, "n")
     for x in names:
         near = inside.where((F.col("_v") >= F.col(f"{x}.low")) & (F.col("_v") <= F.col(f"{x}.high"))).select(*by, "_v", "c", F.col(f"{x}.rank").alias("r"))
@@ -58,3 +58,20 @@ def with_next_in_group(rows: DataFrame, group: str, order: Sequence[str], value:
     near = kept.withColumn("_next", F.lead(following).over(line)).join(F.broadcast(first.where("_part is not null")), "_part", "left")
     nxt = F.coalesce("_next", "_later")
     return near.withColumn(out, F.when(nxt["g"].eqNullSafe(F.col(group)), nxt["v"])).drop("_part", "_next", "_later")
+
+
+def numbered_in_group(rows: DataFrame, group: str, order: Sequence[str], out: str = "row_no") -> DataFrame:
+    """Adds `out`: the number of the row in its group, from 1, by the given order; null groups are one group.
+
+    Rows are range-partitioned by group and order and written once. Each part numbers its own rows;
+    a part whose first group began in earlier parts adds their rows of it, and there is at most one
+    such group a part. So a group of any size is spread.
+    """
+    keys = [group, *order]
+    kept = written(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = kept.groupBy("_part", F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begun = sizes.select(F.col("_part").alias("_p"), "_g", F.sum("_n").over(earlier).alias("_before")).where("_before is not null")  # a row a part at most
+    own = F.row_number().over(Window.partitionBy("_part", group).orderBy(*order))
+    met = kept.withColumn(out, own).join(F.broadcast(begun), (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")), "left")
+    return met.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_part", "_p", "_g", "_before")

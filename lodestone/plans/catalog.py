@@ -19,7 +19,7 @@ from lodestone.plans.registry import query as _query
 from lodestone.plans.registry import table as _t
 from lodestone.plans.registry import values as _values
 from lodestone.sources import documents, records
-from lodestone.storage import scratch_path
+from lodestone.storage import scratch_path, written
 
 QUERY_TERMS = ("license", "ertion", "the", "worthless")
 
@@ -77,6 +77,7 @@ def ivf_probe(spark, sf_dir):
     """Recall of the clustered index against exact neighbours, for every query (ids divisible by 100) against all rows."""
     vectors, asked = _asked(spark, sf_dir)
     assigned, centres = knn.build_ivf(vectors, lists=16)
+    assigned = written(assigned, "lists")
     return knn.recall(knn.probe_ivf_batch(assigned, centres, asked, 10, probes=12), knn.knn_batch(vectors, asked, 10), 10)
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.functions.text import edge_id
+from lodestone.operators.ordering import numbered_in_group
 from lodestone.operators.versions import upsert_latest
 
 MESSAGE = "source_type string, source_id string, download_url string, metadata map<string,string>"
@@ -24,8 +24,9 @@ def messages(documents: DataFrame, source_type: str) -> DataFrame:
 
 
 def in_batches(rows: DataFrame, by: str, order: str, size: int = 10) -> DataFrame:
-    """Adds batch_no within each `by` group: queue calls take `size` messages at a time."""
-    return rows.withColumn("batch_no", F.ceil(F.row_number().over(Window.partitionBy(by).orderBy(order)) / size))
+    """Adds batch_no within each `by` group: queue calls take `size` messages at a time. A queue of any length is numbered in parts."""
+    numbered = numbered_in_group(rows, by, [order], "_row")
+    return numbered.withColumn("batch_no", F.ceil(F.col("_row") / size)).drop("_row")
 
 
 def edges_upserted(current: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -199,8 +199,10 @@ def test_nearest_neighbours_in_blocks(spark):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(999, None)], "vec_id long, embedding array<double>").repartition(5)
     asked = df.where("vec_id % 10 = 0")
     got = {}
-    for r in knn.knn_batch(df, asked, 5, block=7).collect():
+    for r in knn.knn_batch(df, asked, 5, block=7, tile=11).collect():
         got.setdefault(r.query_id, []).append((-round(r.score, 9), r.id))
+    whole, tiled = (sorted((r.query_id, r.id, round(r.score, 9)) for r in knn.knn_batch(df, asked, 5, **o).collect()) for o in ({}, {"block": 7, "tile": 100}))
+    assert whole == tiled
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     for q in range(0, 300, 10):
         s = [(-round(float(u[q] @ u[j]), 9), j) for j in range(300) if j != q]
@@ -209,6 +211,41 @@ def test_nearest_neighbours_in_blocks(spark):
     assigned, centres = knn.build_ivf(df, lists=8)
     shares = knn.recall(knn.probe_ivf_batch(assigned, centres, asked, 5, probes=8), knn.knn_batch(df, asked, 5), 5).collect()
     assert len(shares) == 30 and all(x.recall == 1.0 for x in shares)  # all lists are all rows
+    own = {r.vec_id: r.list_id for r in assigned.collect()}
+    c = np.array(centres) / np.linalg.norm(centres, axis=1, keepdims=True)
+    want = set()
+    for q in range(0, 300, 10):
+        lists = set(np.argsort(-(u[q] @ c.T))[:2])
+        s = sorted((-round(float(u[q] @ u[j]), 9), j) for j in range(300) if j != q and own[j] in lists)
+        want |= {(q, j) for _, j in s[:5]}
+    for tile in (13, 1000):
+        assert {(r.query_id, r.id) for r in knn.probe_ivf_batch(assigned, centres, asked, 5, probes=2, tile=tile, block=3).collect()} == want
+
+
+def test_neighbours_with_equal_scores_come_by_id(spark):
+    from lodestone.operators import knn
+
+    df = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(40)] + [(None, [1.0, 1.0]), (50, None)], "vec_id long, embedding array<double>").repartition(3)
+    for options in ({}, {"block": 2, "tile": 4}):
+        got = knn.knn_batch(df, df.where("vec_id < 8 or vec_id is null"), 3, **options).collect()
+        assert {r.query_id for r in got} == set(range(8))
+        for q in range(8):
+            assert sorted(r.id for r in got if r.query_id == q) == [j for j in range(q % 2, 40, 2) if j != q][:3]
+
+
+def test_rows_numbered_across_parts(spark):
+    from lodestone.operators.ordering import numbered_in_group
+
+    rows = [("hot", i) for i in range(200)] + [(None, i) for i in range(30)] + [(f"g{i % 7}", i) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, o long").repartition(5)
+    got = numbered_in_group(df, "g", ["o"], "n")
+    assert got.columns == ["g", "o", "n"]
+    seen = {}
+    for r in got.collect():
+        seen.setdefault(r.g, []).append((r.o, r.n))
+    assert sum(map(len, seen.values())) == len(rows)
+    assert all([n for _, n in sorted(v)] == list(range(1, len(v) + 1)) for v in seen.values())
+    assert numbered_in_group(df.where("false"), "g", ["o"]).count() == 0
 
 
 def test_evidence_is_bounded_and_links_are_whole(spark):
