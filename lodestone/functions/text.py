@@ -170,3 +170,9 @@ def light_stem(word: Column) -> Column:
     w = F.when(word.rlike("(?:sses|shes|ches|xes)$"), F.regexp_replace(word, "es$", "")).when(word.rlike("ies$"), F.regexp_replace(word, "ies$", "i")).when(word.rlike("[^su]s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
     w = F.regexp_replace(w, "(?<=[a-z]{3})(?:ing|edly|ed|ly)$", "")
     return F.when(F.char_length(word) <= 4, word).otherwise(F.regexp_replace(w, "y$", "i"))
+
+
+def section_headers(text: str | Column) -> Column:
+    """array<string>: the header lines of sections, as the chunker finds them."""
+    found = F.regexp_extract_all(text if isinstance(text, Column) else F.col(text), F.lit(fixed.SECTION), F.lit(0))
+    return F.transform(found, lambda h: F.regexp_replace(h, r"^\s+|\s+$", ""))

@@ -763,7 +763,7 @@ def fixed_window_limit(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from lodestone.plans import catalog_filings, catalog_records, catalog_stored  # noqa: F401  they register themselves
+    from lodestone.plans import catalog_files, catalog_filings, catalog_records, catalog_stored  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 

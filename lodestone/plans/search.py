@@ -29,6 +29,15 @@ def parse_queries(queries: DataFrame, column: str = "query") -> DataFrame:
 QUERY_CHARS, TOP_K, RERANKED = (3, 1000), (1, 20), 20
 
 
+def refused(requests: DataFrame, *, query: str = "query", top_k: str | None = "top_k", chars: tuple[int, int] = QUERY_CHARS) -> DataFrame:
+    """Adds `refused`: the names of the columns that break the bounds of a request; a null query is empty, a null top_k is the default."""
+    n = F.char_length(F.coalesce(query, F.lit("")))
+    wrong = [F.when(~n.between(*chars), query)]
+    if top_k is not None:
+        wrong.append(F.when(~F.col(top_k).between(*TOP_K), top_k))
+    return requests.withColumn("refused", F.array_compact(F.array(*wrong)))
+
+
 @dataclass(frozen=True)
 class Request:
     """One search. candidates: how many rows each branch gives (min(4 top_k, RERANKED) unless set)."""

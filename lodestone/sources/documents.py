@@ -1,4 +1,4 @@
-"""Document files: format dispatch and parsers for text, HTML, DOCX and (where a parser is installed) PDF.
+"""Document files: format dispatch, parsers for text, HTML, DOCX and PDF, and the landing of files by their addresses.
 
 Files are read by Spark's binaryFile source; the bytes are parsed in the task that reads them.
 """
@@ -7,15 +7,19 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.pdf import pages_text
+
 DROPPED = frozenset(("script", "style", "nav", "footer", "header"))
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -100,11 +104,8 @@ def docx_text(data: bytes) -> str:
 
 
 def pdf_pages(data: bytes) -> list[str]:
-    """Text of each page; needs an installed pdf parser, else the document carries an error."""
-    import pdfplumber
-
-    with pdfplumber.open(io.BytesIO(data)) as f:
-        return [squeeze(p.extract_text() or "") for p in f.pages]
+    """Text of each page; an encrypted or unreadable file raises ValueError."""
+    return [squeeze(t) for t in pages_text(data)]
 
 
 def parse(kind: str, data: bytes) -> list[str]:
@@ -136,10 +137,57 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 
 def load_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Parsed files of a folder and those in it. Spark's file sources list no empty files, so they give no rows."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return parse_files(files.select("path", "content"))
 
 
+def fetched(url: str) -> bytes:
+    """What stands at an address: http, https, ftp, file or data."""
+    from urllib.request import urlopen
+
+    with urlopen(url, timeout=30) as f:  # noqa: S310  the caller names the addresses
+        return f.read()
+
+
+def land_files(rows: DataFrame, folder: str, fetch: Callable[[str], bytes] = fetched) -> DataFrame:
+    """rows (name, url) -> (name, url, size, error), written: each file is fetched in the task that has its row.
+
+    A file appears under its name once it is whole, so a task that runs again changes nothing. An
+    address that fails, and a null or nested name, is a row with its error and no file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = FileSystem.from_uri(re.sub("^file:/+", "/", folder))
+        fs.create_dir(f"{root}/files")
+        for batch in batches:
+            sizes, errors = [], []
+            for name, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    if not name or "/" in name or name.startswith("."):
+                        raise ValueError("no name for a file")
+                    data = fetch(url)
+                    part = f"{root}/files/.{name}.{uuid.uuid4().hex}"
+                    with fs.open_output_stream(part) as f:
+                        f.write(data)
+                    try:
+                        fs.move(part, f"{root}/files/{name}")
+                    except OSError:  # some file systems do not replace a file: it is there from an earlier attempt
+                        if fs.get_file_info(f"{root}/files/{name}").size != len(data):
+                            raise
+                        fs.delete_file(part)
+                    sizes.append(len(data))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001  the reason is kept with the address
+                    sizes.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(errors, pa.string())], names=["name", "url", "size", "error"])
+
+    schema = "name string, url string, size long, error string"
+    rows.select("name", "url").mapInArrow(run, schema).write.parquet(f"{folder}/landed")
+    return rows.sparkSession.read.schema(schema).parquet(f"{folder}/landed")
+
+
 def html_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, text) of pages that are already rows."""
 
