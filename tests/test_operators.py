@@ -119,6 +119,12 @@ def test_chunks(spark):
     assert [r.chunk_id for r in two] == [f"2:chunk:{i}" for i in range(len(two))]
 
 
+def test_addresses_are_no_headers():
+    for text in ("56.187.231.175 reads a line.\n" + "x" * 120, "one\n1.22.3.4\n" + "x" * 120):
+        assert [(c["section"], c["char_start"], c["char_end"], c["content"]) for c in chunking.document_chunks("a", text, 2048, 256, 100)] == [("", 0, len(text), text)]
+    assert [h for h, _, _ in chunking.sections("1.2.3.4. Terms\n" + "x" * 120 + "\n1.2 Scope\n" + "x" * 120, 100)] == ["1.2.3.4. Terms", "1.2 Scope"]
+
+
 def test_versions(spark):
     rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 1)], "source_id string, content string, ingested_at int")
     log = versions.version_log(versions.with_hash(rows))
