@@ -21,6 +21,7 @@ def test_unclosed_elements(page, text):
 ])
 def test_references_end_in_a_semicolon(page, text):
     assert documents.html_text(page) == text
+    assert archives.section_of(page, "x.html")[2] == " ".join(text.split())
 
 
 def test_long_pages_of_unclosed_elements():
