@@ -329,8 +329,9 @@ def presented(spark, sf_dir):
 
 @query("SELECT lang AS query_id, doc_id::VARCHAR AS doc_id, (CASE WHEN toxic = 1 THEN 2 ELSE 1 END)::INTEGER AS grade FROM labels JOIN documents USING (doc_id) WHERE quality = 1 OR toxic = 1")
 def judgements(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").where("quality = 1 or toxic = 1").select(F.col("lang").alias("query_id"), F.col("doc_id").cast("string").alias("d"), "quality", "toxic")
-    sets = rows.groupBy("query_id").agg(F.collect_list(F.when(F.col("quality") == 1, F.col("d"))).alias("relevant_source_ids"), F.map_from_entries(F.collect_list(F.when(F.col("toxic") == 1, F.struct("d", F.lit(2))))).alias("graded_relevance"))
+    """Evaluation sets of each language, an example for every 1000 ids: no row holds the judgements of a whole language."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").where("quality = 1 or toxic = 1").select(F.col("lang").alias("query_id"), F.col("doc_id").cast("string").alias("d"), F.floor(F.col("doc_id") / 1000).alias("part"), "quality", "toxic")
+    sets = rows.groupBy("query_id", "part").agg(F.collect_list(F.when(F.col("quality") == 1, F.col("d"))).alias("relevant_source_ids"), F.map_from_entries(F.collect_list(F.when(F.col("toxic") == 1, F.struct("d", F.lit(2))))).alias("graded_relevance"))
     return evaluate.judgements(sets)
 
 

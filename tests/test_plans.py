@@ -78,6 +78,11 @@ def test_failed_courts_are_left_out(spark):
     assert got.count() == 2 and failed == {"b": "no answer"} and ingest.union_of_courts({"b": broken}) is None
 
 
+def test_judgements_look_nothing_up_in_the_map_of_an_example(spark):
+    one = spark.createDataFrame([("a", ["x"], {"x": 2})], "query_id string, relevant_source_ids array<string>, graded_relevance map<string,int>")
+    assert "element_at" not in evaluate.judgements(one)._jdf.queryExecution().optimizedPlan().toString()  # a walk through the map for each id
+
+
 def test_records_and_examples(spark, tmp_path):
     from lodestone.operators import evaluate, filings, graph
     from lodestone.sources import records
@@ -88,6 +93,8 @@ def test_records_and_examples(spark, tmp_path):
     (tmp_path / "set.json").write_text('{"name": "n", "examples": [{"query_id": "a", "query": "q", "relevant_source_ids": ["x", "y"], "graded_relevance": {"y": 3, "z": 0}}]}')
     ex = evaluate.load_examples(spark, str(tmp_path / "set.json"))
     assert {tuple(r) for r in evaluate.judgements(ex).collect()} == {("a", "x", 1), ("a", "y", 3), ("a", "z", 0)}
+    more = ex.unionByName(spark.createDataFrame([("a", ["z", "v", "u"], {"y": 2, "v": None, "w": None}), ("b", None, {"y": 2}), ("c", [], None)], "query_id string, relevant_source_ids array<string>, graded_relevance map<string,int>"), allowMissingColumns=True)
+    assert sorted(evaluate.judgements(more).collect(), key=str) == sorted([("a", "x", 1), ("a", "y", 3), ("a", "z", 0), ("a", "v", 1), ("a", "u", 1), ("a", "w", None), ("b", "y", 2)], key=str)
     evaluate.save_examples(ex, str(tmp_path / "out"), "n")
     assert evaluate.load_examples(spark, str(tmp_path / "out")).first().query == "q"
     g = evaluate.guarded(spark.createDataFrame([("x [SOURCE: a]", ["a"]), ("x [SOURCE: b]", ["a"]), ("x", [])], "answer string, context_ids array<string>"), "none").collect()
