@@ -79,6 +79,8 @@ def test_failed_courts_are_left_out(spark):
 
 
 def test_judgements_look_nothing_up_in_the_map_of_an_example(spark):
+    from lodestone.operators import evaluate
+
     one = spark.createDataFrame([("a", ["x"], {"x": 2})], "query_id string, relevant_source_ids array<string>, graded_relevance map<string,int>")
     assert "element_at" not in evaluate.judgements(one)._jdf.queryExecution().optimizedPlan().toString()  # a walk through the map for each id
 
