@@ -63,7 +63,7 @@ def stored_ingest(spark, sf_dir):
     landed, v, c, cp = (scratch_path(spark, x) for x in ("landed", "versions", "chunks", "cp"))
     rows = table(spark, sf_dir, "documents").where("source is not null and text is not null")
     rows = rows.select(F.col("source").alias("source_id"), F.col("text").alias("content"), F.timestamp_seconds("doc_id").alias("ingested_at"))
-    rows.repartition(1).write.parquet(landed)
+    rows.write.parquet(landed)
     versions, chunks = version_table(spark, v, 16), chunk_table(spark, c, 16)
     for turn in range(2):
         ingest.run_stored_ingest(spark.readStream.schema(rows.schema).parquet(landed), versions, chunks, f"{cp}-{turn}").awaitTermination()
@@ -109,10 +109,10 @@ def ivfpq_recall(spark, sf_dir):
 
 
 def _drained(spark, batches, make, mode="append"):
-    """What make(stream) gives over batches, each a file and a trigger, as a stored table of rows."""
+    """What make(stream) gives over batches, each some files and a trigger, as a stored table of rows."""
     landed, out, cp = (scratch_path(spark, x) for x in ("landed", "out", "cp"))
     for k, batch in enumerate(batches):
-        batch.coalesce(1).write.mode("append").parquet(landed)
+        batch.write.mode("append").parquet(landed)
         q = make(spark.readStream.schema(batch.schema).parquet(landed)).writeStream.outputMode(mode).option("checkpointLocation", cp)
         q.foreachBatch(lambda d, n, k=k: d.withColumn("_part", F.lit(k)).write.mode("append").parquet(out)).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)

@@ -194,3 +194,18 @@ def test_vector_index_finds_nine_of_ten(spark, sf):
 
     got = [r.recall for r in catalog.queries()["ivfpq_recall"](spark, f"/root/testdata/{sf}").collect()]
     assert len(got) == {"sf0.01": 5, "sf0.1": 20}[sf] and sum(got) / len(got) >= 0.9
+
+
+def test_what_streams_read_is_not_landed_by_one_task(spark, tmp_path, monkeypatch):
+    from lodestone.plans import catalog_stored
+
+    monkeypatch.setattr(catalog_stored, "scratch_path", lambda _, name: str(tmp_path / name))
+    docs = spark.range(40).selectExpr("id as doc_id", "'s' as source", "'t' as text")
+    monkeypatch.setattr(catalog_stored.ingest, "run_stored_ingest", lambda *_: 1 / 0)
+    monkeypatch.setattr(catalog_stored, "table", lambda *_: docs.repartition(4))
+    with pytest.raises(ZeroDivisionError):
+        catalog_stored.stored_ingest(spark, str(tmp_path))
+    assert len(list((tmp_path / "landed").glob("*.parquet"))) == 4
+    monkeypatch.setattr(catalog_stored, "scratch_path", lambda _, name: str(tmp_path / f"drained-{name}"))
+    assert catalog_stored._drained(spark, [docs.repartition(4)], lambda s: s).count() == 40
+    assert len(list((tmp_path / "drained-landed").glob("*.parquet"))) == 4
