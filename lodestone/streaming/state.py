@@ -34,6 +34,15 @@ def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(by, kind="stable")
 
 
+def _ordered(rows: Iterator[pd.DataFrame], ts: str, kind: str, more: str | None = None) -> list[tuple]:
+    """(microseconds, kind, value of `more`) in the order of times and kinds; without the cost of sorting a frame for each key."""
+    out = []
+    for d in rows:
+        us = d[ts].to_numpy("datetime64[us]").astype("int64").tolist()
+        out += zip(us, d[kind].tolist(), d[more].tolist() if more else us, strict=True)
+    return sorted(out, key=lambda r: (r[0], r[1] is None, r[1] or ""))
+
+
 DELIVERY = "message_id string, event string, attempt int, at timestamp"
 
 
@@ -50,48 +59,54 @@ class Redelivery(StatefulProcessor):
         self.handle = handle
         self.message = handle.getValueState("message", "sent long, attempt int, due long, ended boolean")
 
-    def _advance(self, now: int) -> list[tuple[str, int, int]]:
-        """What falls due up to now: (event, attempt, time)."""
-        out = []
-        while (m := self.message.get()) is not None and m[2] <= now:
+    def _advance(self, m: tuple | None, now: int, out: list[tuple[str, int, int]]) -> tuple | None:
+        """The message after what falls due up to now; out gets (event, attempt, time)."""
+        while m is not None and m[2] <= now:
             sent, attempt, due, ended = m
             if ended or due >= sent + self.retention:
                 if not ended:
                     out.append(("expired", attempt, sent + self.retention))
-                self.message.clear()
+                m = None
             elif attempt < self.most:
                 out.append(("delivered", attempt + 1, due))
-                self._wait(sent, attempt + 1, min(due + self.visibility, sent + self.retention), False)
+                m = (sent, attempt + 1, min(due + self.visibility, sent + self.retention), False)
             else:
                 out.append(("dead", attempt, due))
-                self._wait(sent, attempt, sent + self.retention, True)  # known until then, so a repeated sending is none
-        return out
-
-    def _wait(self, sent: int, attempt: int, due: int, ended: bool) -> None:
-        self.message.update((sent, attempt, due, ended))
-
-    def _told(self, key: tuple, out: list[tuple[str, int, int]]) -> Iterator[pd.DataFrame]:
-        if (m := self.message.get()) is not None:
-            self.handle.registerTimer(m[2])
+                m = (sent, attempt, sent + self.retention, True)  # known until then, so a repeated sending is none
+        return m
+
+    def _told(self, key: tuple, old: tuple | None, m: tuple | None, out: list[tuple[str, int, int]]) -> Iterator[pd.DataFrame]:
+        """Stores the message: the state is asked and told once a call, as each time is a message to Spark."""
+        if m is None and old is not None:
+            self.message.clear()
+        elif m != old:
+            self.message.update(m)
+            if old is None or old[2] != m[2]:
+                self.handle.registerTimer(m[2])
         if out:
-            yield pd.DataFrame({"message_id": [str(key[0])] * len(out), "event": [e for e, _, _ in out], "attempt": [a for _, a, _ in out], "at": [pd.Timestamp(t, unit="ms") for _, _, t in out]})
+            yield pd.DataFrame({"message_id": [str(key[0])] * len(out), "event": [e for e, _, _ in out], "attempt": [a for _, a, _ in out], "at": pd.to_datetime([t for _, _, t in out], unit="ms")})
+
+    def _stored(self) -> tuple | None:
+        m = self.message.get()
+        return None if m is None else tuple(m)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for r in _in_order(rows, ["ts", "kind"]).itertuples():
-            now = _ms(r.ts)
-            out += self._advance(now)
-            m = self.message.get()
-            if r.kind == "sent" and m is None:
+        out, old = [], self._stored()
+        m = old
+        for us, kind, _ in _ordered(rows, "ts", "kind"):
+            now = us // 1000
+            m = self._advance(m, now, out)
+            if kind == "sent" and m is None:
                 out.append(("delivered", 1, now))
-                self._wait(now, 1, now + min(self.visibility, self.retention), False)
-            elif r.kind == "done" and m is not None and not m[3]:
+                m = (now, 1, now + min(self.visibility, self.retention), False)
+            elif kind == "done" and m is not None and not m[3]:
                 out.append(("done", m[1], now))
-                self._wait(m[0], m[1], m[0] + self.retention, True)
-        yield from self._told(key, out)
+                m = (m[0], m[1], m[0] + self.retention, True)
+        yield from self._told(key, old, m, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._told(key, self._advance(timerValues.getCurrentWatermarkInMs()))
+        out, old = [], self._stored()
+        yield from self._told(key, old, self._advance(old, timerValues.getCurrentWatermarkInMs(), out), out)
 
     def close(self) -> None: ...
 
@@ -114,18 +129,20 @@ class Revocations(StatefulProcessor):
         self.handle, self.until = handle, handle.getValueState("until", "until long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        told = self.until.get()  # asked once a call, as each time is a message to Spark
+        old = end = told[0] if told else None
         uses, allowed = [], []
-        for r in _in_order(rows, ["ts", "kind"]).itertuples():  # a revocation comes before a use at the same time
-            told = self.until.get()
-            if r.kind == "revoked":
-                end = max(_ms(r.until), told[0] if told else 0)
-                self.until.update((end,))
-                self.handle.registerTimer(end)
+        for us, kind, until in _ordered(rows, "ts", "kind", "until"):  # a revocation comes before a use at the same time
+            if kind == "revoked":
+                end = max(_ms(until), end or 0)
             else:
-                uses.append(r.ts)
-                allowed.append(told is None or _ms(r.ts) >= told[0])
+                uses.append(us)
+                allowed.append(end is None or us // 1000 >= end)
+        if end != old:
+            self.until.update((end,))
+            self.handle.registerTimer(end)
         if uses:
-            yield pd.DataFrame({"token": [str(key[0])] * len(uses), "ts": uses, "allowed": allowed})
+            yield pd.DataFrame({"token": [str(key[0])] * len(uses), "ts": pd.to_datetime(uses, unit="us"), "allowed": allowed})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         told = self.until.get()

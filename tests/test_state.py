@@ -76,3 +76,46 @@ def test_last_samples_are_those_of_the_batch_query(spark, tmp_path):
             last = sorted(every[route][-600:])
             want[route] = (len(last), len(every[route]), *(last[min(len(last) - 1, int(s * len(last)))] for s in (0.5, 0.95, 0.99)))
         assert {o.key: (o.n, o.seen, o.p50, o.p95, o.p99) for o in out} == want
+
+
+class _Told:
+    """A state variable and a handle that count how often Spark is asked."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls.append("timer")
+
+
+def test_state_is_asked_once_a_call_however_many_rows():
+    import pandas as pd
+
+    told, p = _Told(), state.Revocations()
+    p.handle = p.until = told
+    rows = pd.DataFrame({"kind": ["used"] * 50 + ["revoked"] * 2, "ts": [AT(k) for k in range(50)] + [AT(10), AT(12)], "until": [pd.NaT] * 50 + [AT(30), AT(20)]})
+    (out,) = p.handleInputRows(("a",), iter([rows[:20], rows[20:]]), None)
+    assert out["allowed"].tolist() == [not 10 <= k < 30 for k in range(50)] and out["ts"].tolist() == [AT(k) for k in range(50)]
+    assert sorted(told.calls) == ["get", "timer", "update"]
+
+
+def test_redelivery_asks_its_state_once_a_call():
+    import pandas as pd
+
+    told, p = _Told(), state.Redelivery(300, 9, 14 * state.DAY)
+    p.handle = p.message = told
+    (out,) = p.handleInputRows(("m",), iter([pd.DataFrame({"kind": ["done", "sent", "sent"], "ts": [AT(2000), AT(0), AT(1000)]})]), None)
+    assert out["attempt"].tolist() == [1, 2, 3, 4, 5, 6, 7, 7] and out["event"].tolist() == ["delivered"] * 7 + ["done"]
+    assert sorted(told.calls) == ["get", "timer", "update"]
