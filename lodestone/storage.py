@@ -43,6 +43,13 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, most: int = BR
     return left.join(F.broadcast(right) if right.limit(most + 1).count() <= most else right, on, how)
 
 
+def arrow_rows(spark: SparkSession, rows: int) -> None:
+    """At most so many rows in a batch that goes to Python, for the session: a worker holds few long texts or files at a time."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now <= 0 or now > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     return _fs(spark, path).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
 

@@ -107,3 +107,18 @@ def test_section_headers_and_bounds(spark):
     assert got == [[], ["query"], ["query", "top_k"], ["query"], [], ["top_k"]]
     fraud = search.refused(spark.createDataFrame([("x" * 501, 1), ("x" * 500, 1)], "query string, k int").select("query"), top_k=None, chars=(3, 500))
     assert fraud.select(F.size("refused").alias("n")).collect()[0].n == 1 and fraud.collect()[1].refused == []
+
+
+def test_few_files_are_in_a_batch(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        files = spark.range(0, 1000, 1, 1).selectExpr("concat(id, '.txt') as path", "encode('a  b', 'utf-8') as content")
+        assert documents.parse_files(files).where("text = 'a b' and error is null").count() == 1000
+        assert int(spark.conf.get(key)) == documents.FILES
+        spark.conf.set(key, "7")
+        documents.parse_files(files)
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.set(key, before)
