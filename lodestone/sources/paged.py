@@ -25,6 +25,8 @@ from pyspark.sql.window import Window
 
 from lodestone.storage import exists, join_checked, written
 
+#: Tasks of a read, about: where there are more ranges of pages, a task reads several, each as if it were alone.
+TASKS = 2_000
 CASES = "court string, case_number string, filing_date date, case_type string, county string, summary string, error string"
 _COMPARED = {GreaterThan: gt, GreaterThanOrEqual: ge, LessThan: lt, LessThanOrEqual: le}
 
@@ -83,8 +85,10 @@ def land(rows: DataFrame, path: str, by: str, order: list[str], page_size: int =
         known = LandedPages(path, by)
         there = spark.createDataFrame([(g, known.pages(g)) for g in known.groups()], f"_g {rows.schema[by].dataType.simpleString()}, _pages long")
         paged = join_checked(paged, there, F.col(by).eqNullSafe(F.col("_g")), "left").withColumn("page", F.col("page") + F.coalesce("_pages", F.lit(0)))
-    paged = paged.repartition(by, "page").sortWithinPartitions(by, "page", *order)
-    paged.select(*rows.columns, "page").write.mode("append").partitionBy(by, "page").json(path)
+    # a number of parts, so that none is merged for its bytes: each page is a file to open and close
+    paged = paged.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), by, "page").sortWithinPartitions(by, "page", *order)
+    # tasks put their pages in place themselves; else the driver would, one after the other
+    paged.select(*rows.columns, "page").write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(by, "page").json(path)
 
 
 @dataclass
@@ -135,12 +139,19 @@ class _Pages:
         if partition.error is not None:
             yield self._failed(partition.group, partition.error)
             return
-        try:
-            yield from self._rows(partition, self.source.service())
-        except Exception as e:
-            if not self.skip:
-                raise
-            yield self._failed(partition.group, f"{type(e).__name__}: {e}")
+        for k in range(partition.start, partition.end, self.pages_each):
+            try:
+                yield from self._rows(PageRange(partition.group, k, min(k + self.pages_each, partition.end)), self.source.service())
+            except Exception as e:
+                if not self.skip:
+                    raise
+                yield self._failed(partition.group, f"{type(e).__name__}: {e}")
+
+    def _cut(self, ranges: list[tuple[str | None, int, int]]) -> list[PageRange]:
+        """Partitions of pagesPerPartition pages, or of a multiple if there were more than TASKS."""
+        n = sum(-(-max(end - start, 0) // self.pages_each) for _, start, end in ranges)
+        size = self.pages_each * max(1, -(-n // TASKS))
+        return [PageRange(g, k, min(k + size, end)) for g, start, end in ranges for k in range(start, end, size)]
 
 
 class _Reader(_Pages, DataSourceReader):
@@ -179,7 +190,7 @@ class _Reader(_Pages, DataSourceReader):
         return start, end
 
     def partitions(self) -> list[PageRange]:
-        service, out = self.source.service(), []
+        service, out, ranges = self.source.service(), [], []
         for group in self._asked(service.groups):
             if not all(_holds(kind, group, value) for kind, n, value in self.kept if n == self.by):
                 continue
@@ -190,7 +201,8 @@ class _Reader(_Pages, DataSourceReader):
                     raise
                 out.append(PageRange(group, 0, 0, f"{type(e).__name__}: {e}"))
                 continue
-            out += [PageRange(group, k, min(k + self.pages_each, end)) for k in range(start, end, self.pages_each)]
+            ranges.append((group, start, end))
+        out += self._cut(ranges)
         return out or [PageRange(None, 0, 0)]
 
 
@@ -206,7 +218,7 @@ class _StreamReader(_Pages, DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[PageRange]:
         done = {g: n for g, n in start["pages"]}
-        return [PageRange(g, k, min(k + self.pages_each, n)) for g, n in end["pages"] for k in range(done.get(g, 0), n, self.pages_each)]
+        return self._cut([(g, done.get(g, 0), n) for g, n in end["pages"]])
 
     def commit(self, end: dict) -> None:
         pass
@@ -253,7 +265,7 @@ def answered(rows: DataFrame, by: str = "court") -> tuple[DataFrame, DataFrame]:
     """
     failed = rows.where("error is not null").groupBy(by).agg(F.min("error").alias("error"))
     bad = failed.select(F.col(by).alias("_bad"))
-    return rows.join(bad, F.col(by).eqNullSafe(F.col("_bad")), "left_anti").drop("error"), failed
+    return join_checked(rows, bad, F.col(by).eqNullSafe(F.col("_bad")), "left_anti").drop("error"), failed
 
 
 def _day(value: Any) -> date | None:

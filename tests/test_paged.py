@@ -118,3 +118,26 @@ def test_other_schemas_and_no_pages(spark, tmp_path):
     assert sorted(map(tuple, rows.collect()), key=str) == sorted([("x", 3, date(2024, 5, 6)), ("x", None, None), ("x", None, None)], key=str)
     (tmp_path / "empty").mkdir()
     assert spark.read.format("paged_records").load(str(tmp_path / "empty")).count() == 0
+
+
+def test_many_ranges_are_read_by_few_tasks(landed, monkeypatch):
+    from pyspark.sql.types import _parse_datatype_string
+
+    class Down(paged.LandedPages):
+        def page(self, group, number):
+            if number in (4, 17):
+                raise OSError(f"page {number}")
+            return super().page(group, number)
+
+    class Source(paged.PagedRecords):
+        def service(self):
+            return Down(self.options["path"], "court")
+
+    got = []
+    for most in (2_000, 4):
+        monkeypatch.setattr(paged, "TASKS", most)
+        reader = Source({"path": landed, "pagesPerPartition": "2", "failures": "skip", "pause": "0"}).reader(_parse_datatype_string(paged.CASES))
+        parts = reader.partitions()
+        got.append((len(parts), sorted((r for p in parts for r in reader.read(p)), key=str)))
+    assert got[0][0] == 17 and got[1][0] <= 6 and got[0][1] == got[1][1]
+    assert [r[-1] for r in got[1][1] if r[-1]] == ["OSError: page 17", "OSError: page 4"]
