@@ -57,6 +57,7 @@ def entries(paths: DataFrame) -> DataFrame:
 def read_entries(found: DataFrame) -> DataFrame:
     """Entries (path, name, part, error) -> (path, name, content binary, error); the entries of a range go to one task.
 
+    The number of tasks is that of the session's shuffles: by the size of their names all entries would be put into one.
     An entry that cannot be read has an error and no content. Names that an archive holds twice give the last one's content.
     """
 
@@ -84,7 +85,7 @@ def read_entries(found: DataFrame) -> DataFrame:
                 z.close(), f.close()
 
     schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("content", pa.binary()), ("error", pa.string())])
-    spread = found.repartition("path", "part").sortWithinPartitions("path", "part", "name")
+    spread = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "part").sortWithinPartitions("path", "part", "name")
     return spread.select("path", "name", "error").mapInArrow(run, "path string, name string, content binary, error string")
 
 
@@ -120,11 +121,14 @@ class _Section(_Text):
 
 
 def section_of(page: str, name: str) -> tuple[str, str, str]:
-    """(citation, catchline, text) of a statute page; the citation is that of a heading, else the file's name without its leading IC."""
+    """(citation, catchline, text) of a statute page; the citation is that of a heading, else the file's name without its leading IC.
+
+    IC stands for itself there: a word that ends in it, as in `pathetic 12`, cites nothing.
+    """
     p = _Section()
     p.feed(page)
     p.close()
-    citation = p.first(("h1", "h2", "h3"), lambda t: re.search(r"IC\s+\d+", t, re.IGNORECASE))
+    citation = p.first(("h1", "h2", "h3"), lambda t: re.search(r"\bIC\s+\d+", t, re.IGNORECASE))
     if not citation:
         parts = re.sub(r"\.[^.]*$", "", name.rsplit("/", 1)[-1]).replace("_", "-").split("-")
         parts = parts[1:] if parts[0].upper() == "IC" else parts

@@ -32,6 +32,8 @@ def test_long_pages_of_unclosed_elements():
     ("<h1>Title</h1><h2>IC 35-42-1-1 Murder</h2><p>1. x</p><p>Sec. a</p>", "t/a/x.html", ("IC 35-42-1-1 Murder", "Sec. a", "Title IC 35-42-1-1 Murder 1. x Sec. a")),
     ("<nav><h2>IC 1</h2></nav><h4>Catch <b>line</b></h4>body\n  text", "t/a/IC_35-42-1-2.html", ("IC 35-42-1-2", "Catch line", "Catch line body text")),
     ("<p>one<p>two", "x.html", ("", "one", "one two")), ("", "12-3.html", ("IC 12-3", "", "")), ("<p>9<h3>ic  7</h3>", "a", ("ic  7", "", "9 ic 7")),
+    ("<h1>so pathetic 4650831781109601</h1><h2>Public 12 (IC 5-1)</h2>", "IC_35-42-3.html", ("Public 12 (IC 5-1)", "", "so pathetic 4650831781109601 Public 12 (IC 5-1)")),
+    ("<h1>so pathetic 4650831781109601</h1>", "IC_35-42-3.html", ("IC 35-42-3", "", "so pathetic 4650831781109601")),
 ])
 def test_section_of(page, name, want):
     assert archives.section_of(page, name) == want
