@@ -87,13 +87,13 @@ def bm25(docs: DataFrame, terms: Sequence[str], *, id_col: str = "doc_id", text_
     return counted.select("id", score.alias("score"))
 
 
-def postings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, dl, term, tf) of every document and term of it. Counts come from each document's sorted tokens, so nothing is shuffled."""
-    tokens = docs.select(F.col(id_col).alias("id"), F.array_sort(bm25_tokens(text_col)).alias("t"))
+def postings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", also: Sequence[str] = ()) -> DataFrame:
+    """(id, *also, dl, term, tf) of every document and term of it. Counts come from each document's sorted tokens, so nothing is shuffled."""
+    tokens = docs.select(F.col(id_col).alias("id"), *also, F.array_sort(bm25_tokens(text_col)).alias("t"))
     starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
-    tokens = tokens.select("id", "t", F.size("t").alias("dl"), F.when(F.size("t") > 0, starts).otherwise(F.array().cast("array<int>")).alias("s"))
+    tokens = tokens.select("id", *also, "t", F.size("t").alias("dl"), F.when(F.size("t") > 0, starts).otherwise(F.array().cast("array<int>")).alias("s"))
     posting = F.transform("s", lambda p, k: F.struct(F.get("t", p).alias("term"), (F.coalesce(F.get("s", k + 1), F.col("dl")) - p).alias("tf")))
-    return tokens.select("id", "dl", F.explode(posting).alias("p")).select("id", "dl", "p.term", "p.tf")
+    return tokens.select("id", *also, "dl", F.explode(posting).alias("p")).select("id", *also, "dl", "p.term", "p.tf")
 
 
 def build_index(docs: DataFrame, path: str, *, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text") -> None:

@@ -1,13 +1,14 @@
 """BM25 over a stored index of segments: documents are added, deleted by source and merged without a rebuild.
 
-A segment deals its documents to shards of about `block` and stores a row for each term and shard: the
+A segment deals its documents to shards of about `block`, all of a shard to one task, and stores a row for each term and shard: the
 postings as arrays, and beside them the largest count and the least length, which bound the score of
 any document there under whatever statistics hold later. A search reads the bounds alone, sums them by
 shard, scores the shards with the highest bounds for a threshold and then only those others whose
 bound reaches it: the same k documents as scoring them all.
 
 A deletion writes the ids that go. They are left out of results at once and count in the statistics
-until the next merge, which writes one segment of what is left. What is there is told by a log, an
+until the next merge, which writes one segment of what is left; they are told with their shards, so
+that a merge takes them out of the blocks where those are. What is there is told by a log, an
 entry a change, which counts once Spark's committer has marked it. One writer at a time.
 """
 
@@ -16,6 +17,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,23 @@ from lodestone.operators.lexical import Statistics, _distinct, _weight, postings
 from lodestone.storage import exists, join_checked, listed, written
 
 _LOG = "kind string, folder string, n_docs long, length long"
+_BLOCK = "shard long, term string, docs array<struct<id:long,tf:int,dl:int>>, max_tf int, min_dl int, n long"
+#: Shards that a task writes, at most about.
+SHARDS = 128
+#: Deleted ids that a merge sends to all tasks; more of them meet the blocks in a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def _without(blocks: DataFrame, deleted: DataFrame, few: bool) -> DataFrame:
+    """The blocks without the deleted documents (id, segment, shard): a shard's are at most its own documents."""
+    gone = deleted.groupBy("segment", "shard").agg(F.collect_list("id").alias("gone"))
+    left = F.filter("docs", lambda d: ~F.array_contains("gone", d["id"]))
+    met = blocks.join(F.broadcast(gone) if few else gone, ["segment", "shard"], "left")
+    met = met.withColumn("docs", F.when(F.col("gone").isNull(), F.col("docs")).otherwise(left)).where(F.size("docs") > 0)
+    fewer = F.size("docs") < F.col("n")
+    return met.drop("gone").withColumns({
+        "max_tf": F.when(fewer, F.array_max("docs.tf")).otherwise(F.col("max_tf")), "min_dl": F.when(fewer, F.array_min("docs.dl")).otherwise(F.col("min_dl")),
+        "n": F.size("docs").cast("long")})
 
 
 @dataclass
@@ -49,20 +69,26 @@ class SegmentedIndex:
 
     def add(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> None:
         """A segment of docs; their ids are new. Null texts have no words."""
-        rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        known = rows.select("id", "source", F.size(bm25_tokens("text")).alias("dl"))
-        self._segment("add", postings(rows, id_col="id"), known)
+        shards = max(1, -(-docs.count() // self.block))
+        shard = F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")
+        rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("*", shard)
+        known = rows.select("id", "source", F.size(bm25_tokens("text")).alias("dl"), "shard")
+        # the texts are dealt, as their postings are many times larger: all of a shard's are made in one task
+        found = postings(rows.select("id", "text", "shard").repartition(self._tasks(shards), "shard"), id_col="id", also=("shard",))
+        blocks = found.groupBy("shard", "term").agg(  # about `block` documents
+            F.collect_list(F.struct("id", "tf", "dl")).alias("docs"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count(F.lit(1)).alias("n"))
+        self._segment("add", blocks, known)
+
+    def _tasks(self, shards: int) -> int:
+        """Tasks that write a segment of so many shards, each a file a bucket."""
+        return max(1, min(shards, max(self.spark.sparkContext.defaultParallelism, -(-shards // SHARDS))))
 
-    def _segment(self, kind: str, rows: DataFrame, known: DataFrame) -> None:
+    def _segment(self, kind: str, blocks: DataFrame, known: DataFrame) -> None:
         folder = f"segments/{uuid.uuid4().hex[:12]}"
         known.write.parquet(f"{self.path}/{folder}/docs")
         n, length = self.spark.read.parquet(f"{self.path}/{folder}/docs").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        shard = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // self.block))))
-        blocks = rows.withColumn("shard", shard).groupBy("term", "shard").agg(  # about `block` documents
-            F.collect_list(F.struct("id", "tf", "dl")).alias("docs"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count(F.lit(1)).alias("n"))
         blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        dealt = blocks.repartition("bucket", F.pmod("shard", F.lit(8))).sortWithinPartitions("bucket", "term", "shard")
-        dealt.write.partitionBy("bucket").parquet(f"{self.path}/{folder}/blocks")
+        blocks.sortWithinPartitions("bucket", "term", "shard").write.partitionBy("bucket").parquet(f"{self.path}/{folder}/blocks")
         self._record(kind, folder, n, length)
 
     def _blocks(self, terms: Sequence[str] | None) -> DataFrame:
@@ -70,11 +96,10 @@ class SegmentedIndex:
         rows = None
         buckets = None if terms is None else [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.buckets)).cast("int")).distinct().collect()]
         for kind, folder, n, _ in self.log():
-            if kind != "delete" and n and exists(self.spark, f"{self.path}/{folder}/blocks/_SUCCESS"):
+            if kind != "delete" and n and any(x.startswith("bucket=") for x in listed(self.spark, f"{self.path}/{folder}/blocks")):  # none: no words
                 part = self.spark.read.parquet(f"{self.path}/{folder}/blocks")
-                if "bucket" in part.columns:
-                    part = (part if terms is None else part.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))).withColumn("segment", F.lit(folder))
-                    rows = part if rows is None else rows.unionByName(part)
+                part = (part if terms is None else part.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))).withColumn("segment", F.lit(folder))
+                rows = part if rows is None else rows.unionByName(part)
         return rows
 
     def _deleted(self) -> DataFrame | None:
@@ -82,29 +107,53 @@ class SegmentedIndex:
         return self.spark.read.parquet(*paths) if paths else None
 
     def _docs(self) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/{folder}/docs" for kind, folder, _, _ in self.log() if kind != "delete"])
+        """(id, source, dl, shard, segment) of all segments."""
+        parts = [self.spark.read.parquet(f"{self.path}/{folder}/docs").withColumn("segment", F.lit(folder)) for kind, folder, _, _ in self.log() if kind != "delete"]
+        return reduce(DataFrame.unionByName, parts)
 
     def _live(self, rows: DataFrame) -> DataFrame:
         gone = self._deleted()
-        return rows if gone is None else join_checked(rows, gone, "id", "left_anti")
+        return rows if gone is None else join_checked(rows, gone.select("id"), "id", "left_anti")
 
     def delete_source(self, sources: DataFrame) -> int:
         """Documents of the sources (source) go; how many."""
         folder = f"deleted/{uuid.uuid4().hex[:12]}"
-        self._live(self._docs().join(sources.select("source"), "source", "left_semi")).select("id").distinct().write.parquet(f"{self.path}/{folder}")
+        self._live(self._docs().join(sources.select("source"), "source", "left_semi")).select("id", "segment", "shard").distinct().write.parquet(f"{self.path}/{folder}")
         n = self.spark.read.parquet(f"{self.path}/{folder}").count()
         if n:
             self._record("delete", folder, n)
         return n
 
     def merge(self) -> None:
-        """One segment of all documents that are not deleted, from the stored postings."""
-        if not self.log():
+        """One segment of all documents that are not deleted, from the stored blocks.
+
+        Shards stay together under new numbers, so blocks go from files to files; only if fewer than
+        half of `block` documents are left in a shard on average are several made into one.
+        """
+        log = self.log()
+        if not log:
             return
+        spans = {r["segment"]: r["n"] for r in self._docs().groupBy("segment").agg((F.max("shard") + 1).alias("n")).collect()}  # a row a segment
+        gone = sum(r[2] for r in log if r[0] == "delete")
+        shards, live = sum(spans.values()), sum(r[2] for r in log if r[0] != "delete") - gone
+        if whole := 2 * live >= shards * self.block:
+            starts = dict(zip(spans, accumulate(spans.values(), initial=0)))
+            shard = F.col("shard") + F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])[F.col("segment")]
+        else:
+            shards = max(1, -(-live // self.block))
+            shard = F.pmod(F.xxhash64("segment", "shard"), F.lit(shards))
         blocks = self._blocks(None)
-        empty = self.spark.createDataFrame([], "id long, dl int, term string, tf int")
-        rows = empty if blocks is None else blocks.select("term", F.explode("docs").alias("d")).select("d.id", "d.dl", "term", "d.tf")
-        self._segment("merge", self._live(rows), self._live(self._docs()))
+        if blocks is None:
+            blocks = self.spark.createDataFrame([], f"{_BLOCK}, segment string")
+        if gone:
+            blocks = _without(blocks, self._deleted(), gone <= BROADCAST_IDS)
+        blocks = blocks.withColumn("shard", shard).drop("segment", "bucket")
+        if whole:
+            blocks = blocks.coalesce(self._tasks(shards))
+        else:
+            blocks = blocks.repartition(self._tasks(shards), "shard").groupBy("shard", "term").agg(
+                F.flatten(F.collect_list("docs")).alias("docs"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"), F.sum("n").alias("n"))
+        self._segment("merge", blocks, self._live(self._docs()).withColumn("shard", shard).select("id", "source", "dl", "shard"))
 
     def statistics(self, terms: Sequence[str], bounds: DataFrame | None) -> Statistics:
         log = self.log()

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, lexical, names
+from lodestone.operators import graph, lexical, names, segments
 from lodestone.operators.segments import SegmentedIndex
 from lodestone.streaming import state
 
@@ -56,6 +56,48 @@ def test_deletion_needs_no_rebuild_and_a_merge_forgets(spark, tmp_path):
     assert len(index.log()) == 2
 
 
+def _exchanges(plan):
+    return plan._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_shards_are_made_and_merged_without_shuffling_postings(spark, tmp_path, monkeypatch):
+    docs, terms, plans = corpus(spark, 400), ["rare", "w30"], []
+    index = SegmentedIndex(spark, str(tmp_path), buckets=4, block=16)
+    segment = index._segment
+    monkeypatch.setattr(index, "_segment", lambda kind, blocks, known: (plans.append(blocks), segment(kind, blocks, known)))
+    for part in range(2):
+        index.add(docs.where(F.col("doc_id") % 2 == part))
+    assert [_exchanges(p) for p in plans] == [1, 1]  # that of the texts
+    before = {r.shard for r in index._docs().collect()}
+    index.delete_source(spark.createDataFrame([("s1",)], "source string"))
+    index.merge()
+    assert "hashpartitioning(shard" not in plans[2]._jdf.queryExecution().executedPlan().toString()  # blocks stay where they are
+    left = docs.where("source is null or source <> 's1'").withColumn("text", F.coalesce("text", F.lit("")))
+    want = top(lexical.bm25(left, terms).where("score > 0"), 20)
+    assert top(index.search(terms, 20), 20) == want and len({r.shard for r in index._docs().collect()}) > len(before)
+    rows = index._blocks(None).select("term", "shard", "n", F.size("docs").alias("k"), "max_tf", F.array_max("docs.tf").alias("t"), "min_dl", F.array_min("docs.dl").alias("d")).collect()
+    assert all(r.n == r.k and r.max_tf == r.t and r.min_dl == r.d for r in rows) and len({(r.term, r.shard) for r in rows}) == len(rows)
+    held = {(r.id, r.shard) for r in index._docs().collect()}
+    assert {(r.id, r.shard) for r in index._blocks(None).select("shard", F.explode("docs.id").alias("id")).collect()} <= held and len(held) == left.count()
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_a_merge_joins_shards_that_have_become_small(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(segments, "BROADCAST_IDS", most)
+    docs, terms = corpus(spark, 400), ["rare", "w30"]
+    index = SegmentedIndex(spark, str(tmp_path), buckets=4, block=16)
+    for part in range(2):
+        index.add(docs.where(F.col("doc_id") % 2 == part))
+    index.delete_source(spark.createDataFrame([("s1",), ("s2",), ("s3",)], "source string"))
+    index.merge()
+    left = docs.where("source is null or source = 's0'").withColumn("text", F.coalesce("text", F.lit("")))
+    assert top(index.search(terms, 20), 20) == top(lexical.bm25(left, terms).where("score > 0"), 20)
+    assert len({r.shard for r in index._docs().collect()}) <= 7
+    index.delete_source(spark.createDataFrame([("s0",)], "source string"))
+    index.merge()
+    assert index.search(terms, 20).count() == 0 and [(r[0], r[2]) for r in index.log()] == [("merge", 1)]
+
+
 @pytest.mark.parametrize("most", [1000, 3])
 def test_longest_name_equals_brute_force(spark, most):
     r = random.Random(4)
