@@ -94,9 +94,8 @@ def landed_files(spark, sf_dir):
     """Every document fetched from its address (a data URL) into a folder, and the folder read."""
     said, folder = F.array_join(_lines(), "\n"), scratch_path(spark, "landed")
     rows = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.concat(F.lit("data:text/plain;base64,"), F.regexp_replace(F.base64(F.encode(said, "utf-8")), r"\s", "")).alias("url"))
-    landed = documents.land_files(rows, folder).where("error is null").select("name", "size")
-    read = documents.load_documents(spark, f"{folder}/files", "*.txt").select(documents.filename_from_url("path").alias("name"), F.md5("text").alias("text"))
-    return landed.join(read, "name", "left").withColumn("text", F.coalesce("text", F.when(F.col("size") == 0, F.md5(F.lit("")))))
+    read = documents.read_landed(documents.land_files(rows, folder), folder)
+    return read.select("name", "size", F.when(F.col("error").isNull(), F.md5("text")).alias("text"))
 
 
 _HEADED = "replace(coalesce(text, ''), '. ', '.' || chr(10) || 'SECTION 4. ')"

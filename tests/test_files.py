@@ -82,6 +82,15 @@ def test_files_that_cannot_be_read_are_rows_with_their_error(spark):
     assert set(wrong) == set(files) - {"good.pdf", "signed"} and "encrypted" in wrong["secret.pdf"] and "CCITTFaxDecode" in wrong["fax.pdf"]
 
 
+def test_landed_files_are_read_by_name(spark, tmp_path):
+    rows = [(name, f"data:;base64,{base64.b64encode(body).decode()}") for name, body in {"a.txt": b"one", "b.html": b"<p>two</p>", "c.html": b"%PDF no more", "d.txt": b"", "e.txt": b"gone"}.items()]
+    landed = documents.land_files(spark.createDataFrame([*rows, ("../f.txt", "data:,x")], "name string, url string"), f"{tmp_path}/land")
+    (tmp_path / "land/files/e.txt").unlink()
+    got = {r.name: (r.size, r.kind, r.text, r.error is None) for r in documents.read_landed(landed, f"{tmp_path}/land").collect()}
+    assert got.pop("c.html")[1] == "pdf"
+    assert got == {"a.txt": (3, "text", "one", True), "b.html": (10, "html", "two", True), "d.txt": (0, "text", "", True), "e.txt": (4, "text", "", False)}
+
+
 def test_landing(spark, tmp_path):
     def data(b):
         return "data:;base64," + base64.b64encode(b).decode()
