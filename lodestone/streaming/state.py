@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -43,7 +43,7 @@ def _ordered(rows: Iterator[pd.DataFrame], ts: str, kind: str, more: str | None
     return sorted(out, key=lambda r: (r[0], r[1] is None, r[1] or ""))
 
 
-DELIVERY = "message_id string, event string, attempt int, at timestamp"
+DELIVERY = "message_id string, event string, attempt int, ms long"
 
 
 class Redelivery(StatefulProcessor):
@@ -75,7 +75,7 @@ class Redelivery(StatefulProcessor):
                 m = (sent, attempt, sent + self.retention, True)  # known until then, so a repeated sending is none
         return m
 
-    def _told(self, key: tuple, old: tuple | None, m: tuple | None, out: list[tuple[str, int, int]]) -> Iterator[pd.DataFrame]:
+    def _told(self, key: tuple, old: tuple | None, m: tuple | None, out: list[tuple[str, int, int]]) -> Iterator:
         """Stores the message: the state is asked and told once a call, as each time is a message to Spark."""
         if m is None and old is not None:
             self.message.clear()
@@ -84,16 +84,22 @@ class Redelivery(StatefulProcessor):
             if old is None or old[2] != m[2]:
                 self.handle.registerTimer(m[2])
         if out:
-            yield pd.DataFrame({"message_id": [str(key[0])] * len(out), "event": [e for e, _, _ in out], "attempt": [a for _, a, _ in out], "at": pd.to_datetime([t for _, _, t in out], unit="ms")})
+            yield from self._frames(key, out)
+
+    def _frames(self, key: tuple, out: list[tuple[str, int, int]]) -> Iterator:
+        yield pd.DataFrame({"message_id": [str(key[0])] * len(out), "event": [e for e, _, _ in out], "attempt": [a for _, a, _ in out], "at": pd.to_datetime([t for _, _, t in out], unit="ms")})
 
     def _stored(self) -> tuple | None:
         m = self.message.get()
         return None if m is None else tuple(m)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield from self._taken(key, _ordered(rows, "ts", "kind"))
+
+    def _taken(self, key: tuple, events: list[tuple]) -> Iterator:
         out, old = [], self._stored()
         m = old
-        for us, kind, _ in _ordered(rows, "ts", "kind"):
+        for us, kind, _ in events:
             now = us // 1000
             m = self._advance(m, now, out)
             if kind == "sent" and m is None:
@@ -104,13 +110,25 @@ class Redelivery(StatefulProcessor):
                 m = (m[0], m[1], m[0] + self.retention, True)
         yield from self._told(key, old, m, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         out, old = [], self._stored()
         yield from self._told(key, old, self._advance(old, timerValues.getCurrentWatermarkInMs(), out), out)
 
     def close(self) -> None: ...
 
 
+class _RowRedelivery(Redelivery):
+    """The same over rows: most messages have a few, for which frames cost more than all else."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        events = [(r["us"], r["kind"], None) for r in rows]
+        yield from self._taken(key, sorted(events, key=lambda r: (r[0], r[1] is None, r[1] or "")))
+
+    def _frames(self, key: tuple, out: list[tuple[str, int, int]]) -> Iterator[Row]:
+        for event, attempt, ms in out:
+            yield Row(message_id=str(key[0]), event=event, attempt=attempt, ms=ms)
+
+
 def redelivery_stream(events: DataFrame, *, visibility: int = 300, most: int = 3, retention: int = 14 * DAY, late: str = "10 minutes") -> DataFrame:
     """(message_id, event, attempt, at) from events (message_id, kind, ts): kind `sent` puts a message in, `done` acknowledges it.
 
@@ -118,8 +136,9 @@ def redelivery_stream(events: DataFrame, *, visibility: int = 300, most: int = 3
     A repeated sending of a known message and an acknowledgement of one that has ended change nothing.
     """
     state_store(events.sparkSession)
-    rows = timed(events.select("message_id", "kind", "ts"), "ts", late)
-    return rows.groupBy("message_id").transformWithStateInPandas(Redelivery(visibility, most, retention), DELIVERY, "append", "eventTime")
+    rows = timed(events.select("message_id", "kind", "ts"), "ts", late).withColumn("us", F.unix_micros("ts"))  # a row's time would be that of the worker's zone
+    told = rows.groupBy("message_id").transformWithState(_RowRedelivery(visibility, most, retention), DELIVERY, "append", "eventTime")
+    return told.select("message_id", "event", "attempt", F.timestamp_millis("ms").alias("at"))
 
 
 class Revocations(StatefulProcessor):

@@ -119,3 +119,21 @@ def test_redelivery_asks_its_state_once_a_call():
     (out,) = p.handleInputRows(("m",), iter([pd.DataFrame({"kind": ["done", "sent", "sent"], "ts": [AT(2000), AT(0), AT(1000)]})]), None)
     assert out["attempt"].tolist() == [1, 2, 3, 4, 5, 6, 7, 7] and out["event"].tolist() == ["delivered"] * 7 + ["done"]
     assert sorted(told.calls) == ["get", "timer", "update"]
+
+
+def test_redelivery_takes_rows_as_it_takes_frames():
+    import random
+
+    import pandas as pd
+    from pyspark.sql import Row
+
+    r = random.Random(5)
+    for _ in range(50):
+        events = [(AT(r.randrange(3000)), r.choice(["sent", "done", "else", None])) for _ in range(r.randrange(1, 8))]
+        framed, rowed = state.Redelivery(300, 3, 2000), state._RowRedelivery(300, 3, 2000)
+        for p in (framed, rowed):
+            p.handle = p.message = _Told()
+        want = [x for d in framed.handleInputRows(("m",), iter([pd.DataFrame(events, columns=["ts", "kind"])]), None) for x in d.itertuples(index=False)]
+        got = list(rowed.handleInputRows(("m",), iter([Row(us=pd.Timestamp(t).value // 1000, kind=k) for t, k in events]), None))
+        assert [(x.message_id, x.event, x.attempt, x.at.value // 1_000_000) for x in want] == [tuple(x) for x in got]
+        assert framed.message.value == rowed.message.value and sorted(framed.message.calls) == sorted(rowed.message.calls)
