@@ -4,14 +4,20 @@ Two ways to the same scores. `bm25` scans the corpus: one pass counts its size a
 frequencies of the query's terms (one row to the driver), a second scores. Only if a term is so
 frequent that its idf is negative is the vocabulary counted for the mean idf. `build_index` writes
 postings and statistics once; `bm25_from_index` then reads the partitions of its terms only.
+
+For segments, postings are made in Arrow batches, all of a slice of documents at once, a row for each term.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +93,60 @@ def bm25(docs: DataFrame, terms: Sequence[str], *, id_col: str = "doc_id", text_
     return counted.select("id", score.alias("score"))
 
 
+#: Bytes of text that a Python worker turns into postings at a time, about.
+SLICE = 16 << 20
+#: What bm25_tokens splits at. Arrow also splits at four separators that are no white space there.
+_SPACE, _OTHER = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"), "[\\x1c-\\x1f]"
+
+
+def _words(lowered: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of lower-cased texts, those of bm25_tokens, one after the other, and the row of each."""
+    if pc.any(pc.match_substring_regex(lowered, _OTHER)).as_py():
+        lists = pa.array([None if t is None else _SPACE.split(t) for t in lowered.to_pylist()], pa.list_(pa.string()))
+    else:
+        lists = pc.utf8_split_whitespace(lowered)
+    words, row = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0))
+    real = pc.not_equal(words, "")
+    return words.filter(real), row[real.to_numpy(zero_copy_only=False)]
+
+
+def lengths(lowered: pa.Array) -> np.ndarray:
+    """How many words each text has, none for null."""
+    return np.bincount(_words(lowered)[1], minlength=len(lowered)).astype(np.int32)
+
+
+def blocks(ids: pa.Array, lowered: pa.Array) -> dict[str, pa.Array]:
+    """A row for each term: its documents (id, tf, dl), the largest tf and the least dl there, how many documents and occurrences."""
+    words, row = _words(lowered)
+    dl, coded = np.bincount(row, minlength=len(ids)), words.dictionary_encode()
+    pair, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(ids) + row, return_counts=True)
+    term, doc = np.divmod(pair, max(1, len(ids)))
+    starts, of = np.flatnonzero(np.diff(term, prepend=-1)), dl[doc]
+    docs = pa.StructArray.from_arrays([ids.take(pa.array(doc)), pa.array(tf, pa.int32()), pa.array(of, pa.int32())], ["id", "tf", "dl"])
+    ends = np.append(starts, len(pair))
+    return {
+        "term": coded.dictionary.take(pa.array(term[starts])), "docs": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), docs), "max_tf": pa.array(np.maximum.reduceat(tf, starts), pa.int32()),
+        "min_dl": pa.array(np.minimum.reduceat(of, starts), pa.int32()), "n": pa.array(np.diff(ends), pa.int64()), "words": pa.array(np.add.reduceat(tf, starts), pa.int64())}
+
+
+def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches anew, by about SLICE bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(batch):
+            stop = max(start + 1, int(np.searchsorted(ends, SLICE - size + (ends[start - 1] if start else 0), "right")))
+            held.append(batch.slice(start, stop - start))
+            size += int(ends[stop - 1] - (ends[start - 1] if start else 0))
+            start = stop
+            if start < len(batch) or size >= SLICE:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def postings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", also: Sequence[str] = ()) -> DataFrame:
     """(id, *also, dl, term, tf) of every document and term of it. Counts come from each document's sorted tokens, so nothing is shuffled."""
     tokens = docs.select(F.col(id_col).alias("id"), *also, F.array_sort(bm25_tokens(text_col)).alias("t"))

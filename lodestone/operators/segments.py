@@ -15,16 +15,17 @@ entry a change, which counts once Spark's committer has marked it. One writer at
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import bm25_tokens
-from lodestone.operators.lexical import Statistics, _distinct, _weight, postings
+from lodestone.operators import lexical
+from lodestone.operators.lexical import Statistics, _distinct, _weight
 from lodestone.storage import exists, join_checked, listed, written
 
 _LOG = "kind string, folder string, n_docs long, length long"
@@ -69,15 +70,23 @@ class SegmentedIndex:
 
     def add(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> None:
         """A segment of docs; their ids are new. Null texts have no words."""
-        shards = max(1, -(-docs.count() // self.block))
+        shards, block = max(1, -(-docs.count() // self.block)), [c.split()[0] for c in _BLOCK.split(", ")]
         shard = F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")
-        rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("*", shard)
-        known = rows.select("id", "source", F.size(bm25_tokens("text")).alias("dl"), "shard")
-        # the texts are dealt, as their postings are many times larger: all of a shard's are made in one task
-        found = postings(rows.select("id", "text", "shard").repartition(self._tasks(shards), "shard"), id_col="id", also=("shard",))
-        blocks = found.groupBy("shard", "term").agg(  # about `block` documents
-            F.collect_list(F.struct("id", "tf", "dl")).alias("docs"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count(F.lit(1)).alias("n"))
-        self._segment("add", blocks, known)
+        rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).select("*", shard)
+
+        @F.arrow_udf("int")
+        def length(text: pa.Array) -> pa.Array:
+            return pa.array(lexical.lengths(text))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in lexical.slices(batches, "text"):
+                made = lexical.blocks(b.column("id"), b.column("text"))
+                made["shard"] = pa.repeat(b.column("shard")[0], len(made["term"]))
+                yield pa.RecordBatch.from_arrays([made[c] for c in block], block)
+
+        # the texts are dealt, as their postings are many times larger: all of a shard's, about `block` documents, are made at once
+        blocks = rows.select("id", "text", "shard").repartition(self._tasks(shards), "shard").groupBy("shard").applyInArrow(run, _BLOCK.replace("id:long", f"id:{dict(rows.dtypes)['id']}"))
+        self._segment("add", blocks, rows.select("id", "source", length("text").alias("dl"), "shard"))
 
     def _tasks(self, shards: int) -> int:
         """Tasks that write a segment of so many shards, each a file a bucket."""

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import bm25_tokens
 from lodestone.operators import graph, lexical, names, segments
 from lodestone.operators.segments import SegmentedIndex
 from lodestone.streaming import state
@@ -81,6 +82,39 @@ def test_shards_are_made_and_merged_without_shuffling_postings(spark, tmp_path,
     assert {(r.id, r.shard) for r in index._blocks(None).select("shard", F.explode("docs.id").alias("id")).collect()} <= held and len(held) == left.count()
 
 
+def test_words_of_blocks_are_those_of_the_scan(spark):
+    import pyarrow as pa
+
+    texts = [None, "", " ", " a  b ", "\x1c", *(f"A{chr(c)}b{chr(c)}{chr(c)} {chr(c)}c" for c in [*range(1, 0x3100), 0xFEFF, 0x1F600])]
+    want = {r.i: (r.low, r.t) for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", F.lower("text").alias("low"), bm25_tokens("text").alias("t")).collect()}
+    for some in (range(5), [i for i in want if i not in range(4, 37)], list(want)):  # with and without the separators that Arrow alone splits at
+        low = pa.array([want[i][0] for i in some], pa.string())
+        assert lexical.lengths(low).tolist() == [len(want[i][1] or []) for i in some]
+        made = lexical.blocks(pa.array(list(some)), low)
+        got = {(d["id"], t): (d["tf"], d["dl"]) for t, docs in zip(made["term"].to_pylist(), made["docs"].to_pylist()) for d in docs}
+        assert got == {(i, t): (want[i][1].count(t), len(want[i][1])) for i in some for t in want[i][1] or []}
+    batches = [pa.RecordBatch.from_pydict({"i": list(range(k, k + 4)), "text": ["x" * k, None, "", "yy"]}) for k in (0, 4, 8)]
+    for most in (1, 6, 100):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(lexical, "SLICE", most)
+            cut = list(lexical.slices(batches, "text"))
+        assert [i for b in cut for i in b.column("i").to_pylist()] == list(range(12)) and (len(cut) > 1) == (most < 100)
+
+
+def test_a_segment_is_made_of_blocks_not_of_postings(spark, tmp_path, monkeypatch):
+    rows = [(1, "a b\x1cc a", "s"), (1, "a", "s"), (None, "B b", None), (3, None, "s"), (4, "\x1d \u00a0d", "s")]
+    docs, plans = spark.createDataFrame(rows, "doc_id int, text string, source string"), []
+    index = SegmentedIndex(spark, str(tmp_path), buckets=2, block=2)
+    segment = index._segment
+    monkeypatch.setattr(index, "_segment", lambda kind, blocks, known: (plans.append(blocks), segment(kind, blocks, known)))
+    index.add(docs)
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan  # no row for each posting in the JVM
+    got = sorted(((r.term, d.id is None, d.id, d.tf, d.dl) for r in index._blocks(None).collect() for d in r.docs), key=str)
+    assert got == sorted([("a", False, 1, 2, 3), ("b\x1cc", False, 1, 1, 3), ("a", False, 1, 1, 1), ("b", True, None, 2, 2), ("\x1d", False, 4, 1, 2), ("d", False, 4, 1, 2)], key=str)
+    assert sorted(r.dl for r in index._docs().collect()) == [0, 1, 2, 2, 3]
+
+
 @pytest.mark.parametrize("most", [2_000_000, 0])
 def test_a_merge_joins_shards_that_have_become_small(spark, tmp_path, monkeypatch, most):
     monkeypatch.setattr(segments, "BROADCAST_IDS", most)
