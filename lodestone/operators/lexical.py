@@ -5,7 +5,8 @@ frequencies of the query's terms (one row to the driver), a second scores. Only
 frequent that its idf is negative is the vocabulary counted for the mean idf. `build_index` writes
 postings and statistics once; `bm25_from_index` then reads the partitions of its terms only.
 
-For segments, postings are made in Arrow batches, all of a slice of documents at once, a row for each term.
+Postings are made in Arrow batches, all of a slice of documents at once, and leave a task as one
+row for each term of the slice: fewer and shorter rows to shuffle, sort and write than postings.
 """
 
 from __future__ import annotations
@@ -147,28 +148,39 @@ def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         yield pa.concat_batches(held)
 
 
-def postings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", also: Sequence[str] = ()) -> DataFrame:
-    """(id, *also, dl, term, tf) of every document and term of it. Counts come from each document's sorted tokens, so nothing is shuffled."""
-    tokens = docs.select(F.col(id_col).alias("id"), *also, F.array_sort(bm25_tokens(text_col)).alias("t"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
-    tokens = tokens.select("id", *also, "t", F.size("t").alias("dl"), F.when(F.size("t") > 0, starts).otherwise(F.array().cast("array<int>")).alias("s"))
-    posting = F.transform("s", lambda p, k: F.struct(F.get("t", p).alias("term"), (F.coalesce(F.get("s", k + 1), F.col("dl")) - p).alias("tf")))
-    return tokens.select("id", *also, "dl", F.explode(posting).alias("p")).select("id", *also, "dl", "p.term", "p.tf")
+#: Documents that a task of build_index takes, at most about; it writes a file a bucket.
+TASK_DOCS = 32_768
 
 
 def build_index(docs: DataFrame, path: str, *, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes path/postings (bucket, term, id, tf, dl), sorted by term within a bucket, and path/statistics.
+    """Writes path/postings (bucket, term, docs, n, words), sorted by term within a bucket, and path/statistics.
 
-    Nothing but the postings is shuffled; a frequent term's postings are dealt over several files.
+    A row is a term in a slice of documents, or without a term the number of a task's texts. The
+    texts are dealt to tasks, as their postings are many times larger; each task writes its own files,
+    so that a frequent term's rows are in several.
     """
-    rows = postings(docs, id_col=id_col, text_col=text_col).select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", "id", "tf", "dl")
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("bucket", "term")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
-    spark = docs.sparkSession
-    n, length = docs.select(F.size(bm25_tokens(text_col)).alias("dl")).agg(F.count(F.lit(1)), F.avg("dl")).first()
-    df = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    mean = df.agg(F.avg(F.log(F.lit(n) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))).first()[0]
-    spark.createDataFrame([(n, float(length or 0), float(mean or 0), buckets)], "n_docs long, mean_length double, mean_idf double, buckets int").coalesce(1).write.parquet(f"{path}/statistics")
+    columns = ["term", "docs", "n", "words"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = 0
+        for b in slices(batches, "text"):
+            made = blocks(b.column("id"), b.column("text"))
+            yield pa.RecordBatch.from_arrays([made[c] for c in columns], columns)
+            known += len(b) - b.column("text").null_count
+        if known:
+            texts = [pa.array([x], made[c].type) for c, x in zip(columns, [None, None, known, 0], strict=True)]
+            yield pa.RecordBatch.from_arrays(texts, columns)
+
+    spark, n = docs.sparkSession, docs.count()
+    texts = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
+    dealt = texts.repartition(max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-n // TASK_DOCS)))), F.xxhash64("id", "text"))
+    rows = dealt.mapInArrow(run, f"term string, docs array<struct<id:{dict(texts.dtypes)['id']},tf:int,dl:int>>, n long, words long")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).sortWithinPartitions("bucket", "term")
+    rows.write.partitionBy("bucket").parquet(f"{path}/postings")
+    df = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    idf = F.when(F.col("term").isNotNull(), F.log(F.lit(n) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))
+    mean, words, known = df.agg(F.avg(idf), F.sum("words"), F.max(F.when(F.col("term").isNull(), F.col("n")))).first()
+    spark.createDataFrame([(n, (words or 0) / max(known or 0, 1), float(mean or 0), buckets)], "n_docs long, mean_length double, mean_idf double, buckets int").coalesce(1).write.parquet(f"{path}/statistics")
 
 
 def bm25_from_index(spark: SparkSession, path: str, terms: Sequence[str], *, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -178,12 +190,12 @@ def bm25_from_index(spark: SparkSession, path: str, terms: Sequence[str], *, k1:
     bucket = F.pmod(F.xxhash64("t"), F.lit(s["buckets"])).cast("int")
     wanted = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(bucket).distinct().collect()] if terms else []
     hits = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(wanted) & F.col("term").isin(terms))
-    df = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a term
+    df = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row a term
     stats = Statistics(s["n_docs"], s["mean_length"], df, s["mean_idf"])
     part = F.lit(0.0)
     for t in terms:
         part = F.when(F.col("term") == t, _weight(F.col("tf"), F.col("dl"), stats.idf(t, epsilon), stats.mean_length, k1, b)).otherwise(part)
-    return hits.select("id", part.alias("part")).groupBy("id").agg(F.sum("part").alias("score"))
+    return hits.select("term", F.explode("docs").alias("d")).select("term", "d.*").select("id", part.alias("part")).groupBy("id").agg(F.sum("part").alias("score"))
 
 
 def matches_any(text: str | Column, terms: Sequence[str], *, stem: bool = False) -> Column:

@@ -185,6 +185,22 @@ def test_index_and_scan_give_the_same_scores(spark, tmp_path):
         assert {r.id: r.score for r in lexical.bm25_from_index(spark, str(tmp_path / "ix"), terms).collect() if r.score} == pytest.approx(want)
 
 
+def test_an_index_holds_a_row_for_each_term_of_a_slice(spark, tmp_path):
+    texts = ["the theft of the goods", None, "", *(f"the end {i}" for i in range(40)), "\x1c the\x1ct"]
+    docs = spark.createDataFrame([*((f"d{i}", t) for i, t in enumerate(texts)), ("d0", "the goods"), (None, "goods")], "name string, body string")
+    lexical.build_index(docs, str(tmp_path / "ix"), buckets=4, id_col="name", text_col="body")
+    rows = spark.read.parquet(str(tmp_path / "ix/postings")).where("term = 'the'").collect()
+    assert len(rows) <= spark.sparkContext.defaultParallelism  # not a row for each of its 42 postings
+    assert sum(r.n for r in rows) == sum(len(r.docs) for r in rows) == 42 and sum(r.words for r in rows) == 43
+    scan, read = lexical.statistics(docs, [], id_col="name", text_col="body"), spark.read.parquet(str(tmp_path / "ix/statistics")).first()
+    assert (read.n_docs, read.mean_length) == (scan.n_docs, pytest.approx(scan.mean_length)) and read.mean_idf == pytest.approx(lexical.mean_idf(docs, "body", scan.n_docs))
+    terms = ["the", "goods", "the\x1ct"]
+    want = sorted((str(r.id), round(r.score, 9)) for r in lexical.bm25(docs.where("name is null or name <> 'd0'").union(docs.where("name = 'd0'").withColumn("name", F.concat("name", F.length("body")))), terms, id_col="name", text_col="body").collect() if r.score)
+    got = {str(r.id): r.score for r in lexical.bm25_from_index(spark, str(tmp_path / "ix"), terms).collect()}
+    both = sum(s for i, s in want if i.startswith("d0"))  # of two rows with one id
+    assert got == pytest.approx({i: s for i, s in want if not i.startswith("d0")} | {"d0": both}, abs=1e-6)
+
+
 def test_vocabulary_is_counted_only_for_frequent_terms(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "common " + ("rare" if i == 0 else "x")) for i in range(9)], "doc_id int, text string")
     called = []
