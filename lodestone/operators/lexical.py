@@ -95,7 +95,7 @@ def bm25(docs: DataFrame, terms: Sequence[str], *, id_col: str = "doc_id", text_
 
 
 #: Bytes of text that a Python worker turns into postings at a time, about.
-SLICE = 16 << 20
+SLICE = 4 << 20
 #: What bm25_tokens splits at. Arrow also splits at four separators that are no white space there.
 _SPACE, _OTHER = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"), "[\\x1c-\\x1f]"
 
@@ -113,13 +113,15 @@ def _words(lowered: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def lengths(lowered: pa.Array) -> np.ndarray:
     """How many words each text has, none for null."""
-    return np.bincount(_words(lowered)[1], minlength=len(lowered)).astype(np.int32)
+    found = [np.bincount(_words(b.column("text"))[1], minlength=len(b)) for b in slices([pa.RecordBatch.from_arrays([lowered], ["text"])], "text")]
+    return np.concatenate([np.zeros(0), *found]).astype(np.int32)
 
 
 def blocks(ids: pa.Array, lowered: pa.Array) -> dict[str, pa.Array]:
     """A row for each term: its documents (id, tf, dl), the largest tf and the least dl there, how many documents and occurrences."""
     words, row = _words(lowered)
     dl, coded = np.bincount(row, minlength=len(ids)), words.dictionary_encode()
+    del words
     pair, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(ids) + row, return_counts=True)
     term, doc = np.divmod(pair, max(1, len(ids)))
     starts, of = np.flatnonzero(np.diff(term, prepend=-1)), dl[doc]
@@ -149,7 +151,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
 
 
 #: Documents that a task of build_index takes, at most about; it writes a file a bucket.
-TASK_DOCS = 32_768
+TASK_DOCS = 8192
 
 
 def build_index(docs: DataFrame, path: str, *, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text") -> None:
